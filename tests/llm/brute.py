@@ -1,0 +1,114 @@
+"""Plain, single-machine versions of the operators, to hold results against."""
+
+import hashlib
+import re
+import struct
+from collections import Counter, defaultdict
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {i: i + 32 for i in range(65, 91)}
+
+
+def sha(x):
+    return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+
+
+def shingles(text, size):
+    words = WORD.findall((text or "").translate(LOWER))
+    if not words:
+        return frozenset()
+    k = min(size, len(words))
+    return frozenset(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+
+
+def components(docs, size, num, den):
+    """docs: {id: text} -> {id: (set size, component)}"""
+    sets = {i: shingles(t, size) for i, t in docs.items()}
+    up = {i: i for i in docs}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    posting = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            posting[x].append(i)
+    both = Counter()
+    for ids in posting.values():
+        for a in range(len(ids)):
+            for b in range(a):
+                both[ids[b], ids[a]] += 1
+    for (a, b), n in both.items():
+        if den * n >= num * (len(sets[a]) + len(sets[b]) - n):
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in docs}
+
+
+def removed(docs, length):
+    """docs: sorted [(id, text)] -> [(id, bytes, removed, spans, sha of kept)]"""
+    seen, out = set(), []
+    for i, t in docs:
+        b, cover = (t or "").encode(), bytearray(len((t or "").encode()))
+        for k in range(len(b) - length + 1):
+            w = b[k : k + length]
+            if w in seen:
+                cover[k : k + length] = b"\1" * length
+            else:
+                seen.add(w)
+        kept = bytes(x for x, c in zip(b, cover) if not c)
+        out.append((i, len(b), sum(cover), len(re.findall(rb"\x01+", bytes(cover))), sha(kept)))
+    return out
+
+
+SECRETS = (
+    ("assign", re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 1, 8),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
+    ("hex", re.compile(r"[0-9a-f]+"), 0, 32),
+)
+
+
+def base_secrets(text):
+    found = []
+    for order, (kind, pattern, group, least) in enumerate(SECRETS):
+        found += [(m.start(), order, m.end(), kind) for m in pattern.finditer(text or "") if len(m[group]) >= least]
+    found.sort()
+    n = Counter(f[3] for f in found)
+    return n["assign"], n["access"], n["hex"], sha(",".join(f"{k}:{s}:{e}" for s, _, e, k in found))
+
+
+PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+
+
+def base_licenses(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    at, labels = [], set()
+    for phrase, label in PHRASES.items():
+        p = phrase.split()
+        here = [i for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
+        at += here
+        labels |= {label} if here else set()
+    return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
+
+
+def quality(text):
+    text = text or ""
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    grams = Counter(zip(words, words[1:], words[2:]))
+    cover = {j for i in range(len(words) - 2) if grams[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    n = len(words)
+    return n, sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(cover), n < 50 or 100 * len(cover) > 50 * n
+
+
+def chat(turns):
+    """turns: ordered [(role, text)] -> what op1 must read back."""
+    loss = "".join(t or "" for r, t in turns if r == "assistant")
+    return len(turns), sha("".join(f"{r or ''}\n{t or ''}\n" for r, t in turns)), len(loss), sha(loss)
+
+
+def bpe(tokenizer, text):
+    ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+    return len(ids), sha(struct.pack(f"<{len(ids)}I", *ids)), sha(tokenizer.decode(ids, skip_special_tokens=False))
