@@ -2,21 +2,23 @@
 
 Documents are sets of word shingles; two link when
 ``den * |x & y| >= num * |x | y|``. Three global orders of the shingles filter
-candidates before any set is compared:
+candidates before any pair of sets is compared:
 
 * **A, ascending hash.** Linked sets share at least ``l`` shingles among the
   ``g + l`` smallest of each (``g`` = most shingles one of the two can lack).
-  Only that extended prefix ever leaves a document.
-* **B, rarest first.** Document frequencies are counted exactly over the
-  A-prefixes of the whole corpus. Inside an A-prefix, linked sets share one of
-  the rarest ``len - l + 1``; shingles of frequency one need no index entry,
-  so a document whose rare end is unique drops out.
+  Only that extended prefix of every document is shuffled. Document
+  frequencies are counted exactly over these prefixes; inside one, linked sets
+  must share one of the rarest ``len - l + 1``, so a document whose rare end
+  occurs nowhere else has no partner and leaves.
+* **B, rarest first**, over the whole sets of the documents that remain.
+  Linked sets share one of their ``g + 1`` rarest shingles, and the place of
+  the first shared one bounds the overlap from above for the pair at hand.
 * **C, descending hash of another mix.** Linked sets share one of the ``g + 1``
   first shingles here as well.
 
-A pair must meet in B, keep enough of A and meet in C before its texts are
-fetched and compared exactly. Equal sets are merged first. In each posting
-list all members are first compared with the member that has the fewest unique
+A pair must meet in B under the bound and in C before its whole sets are
+fetched and compared. Equal sets are merged first. In each posting list all
+members are first compared with the member that has the fewest unique
 shingles; lists that then lie in one component need no other pair, which keeps
 groups of copies linear. Lists that still span several components are joined
 across components only, so no link between different texts is lost.
@@ -36,8 +38,6 @@ from tessera.llm.shingles import WordHashes, mixed, shingle_set
 from tessera.operators.graph import connected_components
 from tessera.sources.workspace import materialize, release_shuffles
 
-STRETCH = 3  # the A-prefix is this many times the shingles a partner may lack
-
 
 def _lack(n, num, den):
     """Most shingles of an n-set that a linked set may lack; works on ints and Columns alike."""
@@ -46,22 +46,36 @@ def _lack(n, num, den):
     return n - F.floor((F.lit(num) * n + F.lit(den - 1)) / F.lit(den)).cast("int")
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int, stretch: int) -> Iterator[pa.RecordBatch]:
+    """Set size, set key and extended A-prefix of each text."""
     words = WordHashes()
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
-        n, keys, heads, tails = [], [], [], []
-        for text in texts:
+        n, keys, heads = [], [], []
+        for text in batch.column(1).cast(pa.binary()).to_pylist():
             s = shingle_set(text, size, words)
-            g = _lack(len(s), num, den)
             n.append(len(s))
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            heads.append(s[: min(len(s), STRETCH * g + 1)].view(np.int64))
-            c = mixed(s ^ np.uint64(0x5851F42D4C957F2D))
-            tails.append(np.sort((np.partition(c, len(c) - g - 1)[len(c) - g - 1 :] if len(c) else c) >> np.uint64(33)).astype(np.int32))
+            heads.append(s[: min(len(s), stretch * _lack(len(s), num, den) + 1)].view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [ids.cast(pa.int64()), pa.array(n, pa.int32()), pa.array(keys, pa.binary()), _lists(heads, pa.int64()), _lists(tails, pa.int32())],
-            names=["doc_id", "n", "set_key", "head", "tail"],
+            [batch.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(keys, pa.binary()), _lists(heads, pa.int64())],
+            names=["doc_id", "n", "set_key", "head"],
+        )
+
+
+def _whole(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Set key, whole set and C-prefix of each text."""
+    words = WordHashes()
+    for batch in batches:
+        keys, sets, tails = [], [], []
+        for text in batch.column(1).cast(pa.binary()).to_pylist():
+            s = shingle_set(text, size, words)
+            c, g = mixed(s ^ np.uint64(0x5851F42D4C957F2D)), _lack(len(s), num, den)
+            keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            sets.append(s.view(np.int64))
+            tails.append((np.partition(c, len(c) - g - 1)[len(c) - g - 1 :] if len(c) else c).astype(np.uint32).view(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), _lists(sets, pa.int64()), _lists(tails, pa.int32())],
+            names=["doc_id", "set_key", "shingles", "tail"],
         )
 
 
@@ -72,46 +86,27 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
-def _verify(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs whose whole sets are similar enough."""
-    words, last = WordHashes(), (None, None)
-    for batch in batches:
-        keep = []
-        a_id, b_id = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        a_text, b_text = batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())
-        for i, a in enumerate(a_id):
-            if last[0] != a or a is None:
-                last = (a, shingle_set(a_text[i].as_py(), size, words))
-            x, y = last[1], shingle_set(b_text[i].as_py(), size, words)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["src", "dst"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that pass orders A and C and then the exact comparison."""
-    side = lambda p: sets.select(*(F.col(c).alias(f"{p}{c}") for c in ("doc_id", "n", "head", "tail")))
-    need = lambda p: F.size(f"{p}head") - _lack(F.col(f"{p}n"), num, den)
-    both = pairs.join(side("a_"), F.col("a") == F.col("a_doc_id")).join(side("b_"), F.col("b") == F.col("b_doc_id"))
-    passed = both.where(
-        (F.size(F.array_intersect("a_head", "b_head")) >= F.least(need("a_"), need("b_"))) & F.arrays_overlap("a_tail", "b_tail")
-    ).select("a", "b")
-    passed = materialize(passed.distinct(), "candidates")
-    # One shuffle of the texts that take part serves both sides.
-    ends = passed.select(F.col("a").alias("doc_id")).union(passed.select("b")).distinct()
-    near = materialize(texts.join(ends, "doc_id", "left_semi"), "candidate-texts")
-    full = (
-        passed.join(near.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
-        .join(near.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-        .select("a", "b", "a_text", "b_text")
-        .sortWithinPartitions("a")
-    )
-    found = full.mapInArrow(lambda it: _verify(it, size, num, den), "src long, dst long")
-    return materialize(found.distinct(), "links")
+def _linked(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) that meet in order C and whose whole sets are similar enough."""
+    side = lambda p, c: whole.select(F.col("doc_id").alias(p), F.col(c).alias(f"{p}_{c}"))
+    met = pairs.join(side("a", "tail"), "a").join(side("b", "tail"), "b").where(F.arrays_overlap("a_tail", "b_tail")).select("a", "b")
+    met = materialize(met, "candidates")
+    both = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    similar = F.lit(den + num) * both >= F.lit(num) * (F.size("a_shingles") + F.size("b_shingles"))
+    full = met.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").where(similar)
+    return materialize(full.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "links")
+
+
+def _shared_tokens(tokens: DataFrame) -> DataFrame:
+    """Tokens of (doc_id, n, token) that occur in two rows or more, with their frequency."""
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    often = materialize(often, "frequencies")
+    release_shuffles(tokens.sparkSession)
+    return tokens.join(often, "token")
 
 
 def ngram_jaccard_components(
-    documents: DataFrame, *, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
+    documents: DataFrame, *, size: int = 5, num: int = 80, den: int = 100, stretch: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``, one row per input row.
 
@@ -124,73 +119,70 @@ def ngram_jaccard_components(
     """
     spark = documents.sparkSession
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = texts.mapInArrow(
-        lambda it: _sketch(it, size, num, den), "doc_id long, n int, set_key binary, head array<bigint>, tail array<int>"
-    )
+    sets = texts.mapInArrow(lambda it: _sketch(it, size, num, den, stretch), "doc_id long, n int, set_key binary, head array<bigint>")
     sets = materialize(sets, "sets")
     primary = sets.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("set_key").alias("set_key"))
     rep = materialize(primary.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "reps")
-    distinct = sets.join(rep.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"], "left_semi")
-    distinct = materialize(distinct, "distinct-sets")
-    release_shuffles(spark)
 
-    # Order B: exact document frequencies of the A-prefixes; frequency one needs no entry.
-    tokens = distinct.select("doc_id", "n", F.explode("head").alias("token"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    often = materialize(often, "frequencies")
-    release_shuffles(spark)
-    shared = tokens.join(often, "token").groupBy("doc_id", "n").agg(F.sort_array(F.collect_set(F.struct("df", "token"))).alias("list"))
+    # Order A: documents whose rare end is shared by no other leave here.
     lack = _lack(F.col("n"), num, den)
-    length = F.least(F.col("n"), F.lit(STRETCH) * lack + 1)
+    length = F.least(F.col("n"), F.lit(stretch) * lack + 1)
     smallest = F.floor((F.lit(num) * F.col("n") + F.lit(den - 1)) / F.lit(den)).cast("int")  # of a linked set
     least_lack = _lack(smallest, num, den)
-    least_shared = F.least(smallest, F.lit(STRETCH) * least_lack + 1) - least_lack
-    index = (
-        shared.select("doc_id", "n", "list", length.alias("length"), (length - least_shared + 1).alias("prefix"), (length - lack).alias("need"))
-        .withColumn("alone", F.col("length") - F.size("list"))
-        .where("prefix > alone")
-        .select("doc_id", "n", "length", "need", "alone", F.posexplode(F.slice("list", F.lit(1), F.col("prefix") - F.col("alone"))).alias("at", "entry"))
-        # left: shingles of the A-prefix from this one on, itself included
-        .select("doc_id", "n", "need", "alone", (F.col("length") - F.col("alone") - F.col("at")).alias("left"), F.col("entry.token").alias("token"))
+    least_shared = F.least(smallest, F.lit(stretch) * least_lack + 1) - least_lack
+    tokens = sets.where("n > 0 and doc_id is not null").select("doc_id", "n", F.explode("head").alias("token"))
+    partners = _shared_tokens(tokens).groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("shared"))
+    partners = partners.where(length - F.col("shared") < length - least_shared + 1).select("doc_id").distinct()
+    open_ids = materialize(partners.join(rep.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "open")
+    release_shuffles(spark)
+
+    # Order B over whole sets.
+    keyed = rep.select(F.col("rep").alias("doc_id"), "set_key")
+    whole = texts.join(open_ids, "doc_id", "left_semi").mapInArrow(
+        lambda it: _whole(it, size, num, den), "doc_id long, set_key binary, shingles array<bigint>, tail array<int>"
     )
+    whole = materialize(whole, "whole-sets").join(keyed, ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id"]).drop("set_key")
+    whole = materialize(whole, "open-sets")
+    release_shuffles(spark)
+    tokens = whole.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    ranked = _shared_tokens(tokens).groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
+    ranked = ranked.withColumn("alone", F.col("n") - F.size("list")).where(lack >= F.col("alone"))
+    index = ranked.select("doc_id", "n", "alone", F.posexplode(F.slice("list", F.lit(1), lack + 1 - F.col("alone"))).alias("at", "entry"))
+    # left: shingles from this one on, itself included; no more than that can be shared.
+    index = index.select("doc_id", "n", "alone", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), F.col("entry.token").alias("token"))
     index = materialize(index, "index")
     release_shuffles(spark)
 
-    sized = lambda x, y: F.lit(den) * F.least(x, y) >= F.lit(num) * F.greatest(x, y)
-    pivot = index.groupBy("token").agg(F.min(F.struct("alone", "doc_id", "n", "need", "left")).alias("p"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    def possible(n, left, m, other):
+        return F.lit(den + num) * F.least(left, other) >= F.lit(num) * (n + m)
+
+    pivot = index.groupBy("token").agg(F.min(F.struct("alone", "doc_id", "n", "left")).alias("p"), F.count(F.lit(1)).alias("many")).where("many > 1")
     first = (
         index.join(pivot.select("token", "p"), "token")
-        .where((F.col("doc_id") != F.col("p.doc_id")) & sized(F.col("n"), F.col("p.n")) & (F.least("left", "p.left") >= F.least("need", "p.need")))
+        .where((F.col("doc_id") != F.col("p.doc_id")) & possible(F.col("n"), F.col("left"), F.col("p.n"), F.col("p.left")))
         .select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b"))
         .distinct()
     )
     first = materialize(first, "pivot-pairs")
-    links = _linked(first, distinct, texts, size, num, den)
+    links = _linked(first, whole, num, den)
     release_shuffles(spark)
 
     # Posting lists that still span several components: pairs across components only.
     node = connected_components(links)
     placed = index.join(node.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
-    placed = materialize(placed, "placed")
-    mixed_lists = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
-    open_index = placed.join(mixed_lists, "token", "left_semi")
-    x = open_index.select("token", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "need", "left", "component")))
-    y = open_index.select("token", *(F.col(c).alias(f"y_{c}") for c in ("doc_id", "n", "need", "left", "component")))
+    placed = materialize(placed.withColumn("component", F.coalesce("component", "doc_id")), "placed")
+    several = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("token")
+    spread = placed.join(several, "token", "left_semi")
+    x = spread.select("token", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "left", "component")))
+    y = spread.select("token", *(F.col(c).alias(f"y_{c}") for c in ("doc_id", "n", "left", "component")))
+    across = (F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_component") != F.col("y_component"))
     rest = (
-        x.join(y, "token")
-        .where(
-            (F.col("x_doc_id") < F.col("y_doc_id"))
-            & (F.col("x_component") != F.col("y_component"))
-            & sized(F.col("x_n"), F.col("y_n"))
-            & (F.least("x_left", "y_left") >= F.least("x_need", "y_need"))
-        )
+        x.join(y, (x["token"] == y["token"]) & across & possible(F.col("x_n"), F.col("x_left"), F.col("y_n"), F.col("y_left")))
         .select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b"))
         .distinct()
         .join(first, ["a", "b"], "left_anti")
     )
-    rest = materialize(rest, "cross-pairs")
-    more = _linked(rest, distinct, texts, size, num, den)
+    more = _linked(materialize(rest, "cross-pairs"), whole, num, den)
     release_shuffles(spark)
     groups = connected_components(links.unionByName(more))
 
