@@ -16,9 +16,9 @@ order start earlier elsewhere as a whole. Only dictionary phrases that share a
 trigger with a different phrase can hold a window that also stands in another
 phrase; the windows of those alone are sorted by content, which orders the
 dictionary's suffixes to depth ``length``. The first of equal windows in corpus
-order stays, the others are covered. Copies are dropped from a map task's
-output before the shuffle, so a passage that a third of all documents share
-costs one row per task.
+order stays, the others are covered. Each task marks the copies among its own
+rows before the shuffle and deals them out evenly, so a passage that a third of
+all documents share sends one row per task to its place in the order.
 """
 
 from __future__ import annotations
@@ -67,10 +67,21 @@ class RollingHash:
         return out
 
     def substrings(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-        x = (prefix[end] - prefix[start]) * self.down[which][start]
-        x = x ^ (x >> np.uint64(31))
-        x = x * np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(29))
+        return _stirred((prefix[end] - prefix[start]) * self.down[which][start])
+
+    def every(self, prefix: np.ndarray, width: int, which: int) -> np.ndarray:
+        """Hash of the ``width`` bytes from each place on."""
+        x = prefix[width:] - prefix[:-width]
+        x *= self.down[which][: len(x)]
+        return _stirred(x)
+
+
+def _stirred(x: np.ndarray) -> np.ndarray:
+    """In place, when it can be: low and high bits mixed."""
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    return x
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -95,30 +106,28 @@ def phrases(data: np.ndarray, cuts: np.ndarray, hashes: RollingHash, length: int
     n = len(data) - length + 1
     if n <= 0:
         return none.astype(np.uint64), none.astype(np.uint64), none, none
-    one = hashes.prefix(data, 0)
-    at = np.arange(len(data) - gram + 1)
-    key = hashes.substrings(one, at, at + gram, 0)
+    key = hashes.every(hashes.prefix(data, 0), gram, 0)
     low = np.uint64((1 << 22) - 1)
-    low_key = (key & ~low) | at.astype(np.uint64)  # leftmost among equal grams
+    low_key = (key & ~low) | np.arange(len(key), dtype=np.uint64)  # leftmost among equal grams
     trigger = (sliding_minimum(low_key, length - gram + 1) & low).astype(np.int64)
-    owner = np.searchsorted(cuts, np.arange(n), side="right")
-    inside = cuts[np.minimum(owner, len(cuts) - 1)] >= np.arange(n) + length
     new = np.ones(n, dtype=bool)
-    new[1:] = (trigger[1:] != trigger[:-1]) | (owner[1:] != owner[:-1])
-    new &= inside
+    new[1:] = trigger[1:] != trigger[:-1]
+    new[cuts[:-1][cuts[:-1] < n]] = True
+    for end in cuts[1:]:  # windows that would cross the end of a document
+        new[max(end - length + 1, 0) : end] = False
     first = np.flatnonzero(new)
     if not len(first):
         return none.astype(np.uint64), none.astype(np.uint64), none, none
     # A phrase's windows are consecutive; it ends at the next phrase or where windows leave the document.
     bound = np.append(first[1:], n)
-    last_inside = cuts[owner[first]] - length + 1
+    last_inside = cuts[np.searchsorted(cuts, first, side="right")] - length + 1
     count = np.minimum(bound, last_inside) - first
     two = hashes.prefix(data, 1)
     content = hashes.substrings(two, first, first + count + length - 1, 1) ^ (count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return key[trigger[first]], content, first, count
 
 
-def _pieces(ids: list, texts: list[bytes], length: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+def _pieces(ids: list, texts: Iterator[bytes], length: int) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
     """Documents gathered into buffers of about CHUNK bytes; longer ones overlap by a window."""
     rows, offsets, parts, size = [], [], [], 0
     step = CHUNK - length + 1
@@ -142,104 +151,76 @@ def _buffer(parts: list[bytes], offsets: list[int]) -> tuple[np.ndarray, np.ndar
 
 
 COPY, FIRST = 1, 0
-PARSED = "place_by long, kind int, trigger long, content long, doc_id long, at long, windows int"
+HELD = 1_000_000  # rows a task holds back to find copies among them
+
+
+def later(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which rows have the key of a row at an earlier place."""
+    _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(n[inverse] > 1)
+    order = some[np.lexsort((at[some], doc[some], key[some]))]
+    same = np.zeros(len(order), dtype=bool)
+    k, d, a = key[order], doc[order], at[order]
+    same[1:] = k[1:] == k[:-1]
+    # Rows at the very place of the first are that row again, not a later one.
+    start = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+    same &= (d != d[start]) | (a != a[start])
+    out = np.zeros(len(key), dtype=bool)
+    out[order[same]] = True
+    return out
+
+
+class _Rows:
+    """Rows (two hashes, document, place, windows) of a task, given out with copies among them marked."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, *columns: np.ndarray) -> bool:
+        self.parts.append(columns)
+        self.size += len(columns[0])
+        return self.size >= HELD
+
+    def batch(self) -> pa.RecordBatch:
+        h1, h2, doc, at, n = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        self.parts, self.size = [], 0
+        copy = later(h1 ^ (h2 * np.uint64(0x9E3779B97F4A7C15)), doc, at)
+        where = np.where(copy, (doc * np.int64(1_000_003) + at) * np.int64(2_654_435_761), h1.view(np.int64))
+        columns = (where, copy.astype(np.int32), h1.view(np.int64), h2.view(np.int64), doc, at, n.astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["place_by", "kind", "h1", "h2", "doc_id", "at", "windows"])
+
 
+PARSED = "place_by long, kind int, h1 long, h2 long, doc_id long, at long, windows int"
 
-def _parse(batches: Iterator[pa.RecordBatch], length: int, gram: int, remember: int = 400_000) -> Iterator[pa.RecordBatch]:
-    """Phrases of a task's documents; copies of a phrase the task has seen at an earlier place are marked."""
-    hashes = RollingHash(2 * CHUNK)
-    seen: dict[tuple[int, int], tuple[int, int]] = {}
+
+def _parse(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
+    """Phrases of a task's documents: trigger and content hash, place, windows."""
+    hashes, rows = RollingHash(2 * CHUNK), _Rows()
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        for rows, data, cuts, offsets in _pieces(ids, texts, length):
+        texts = (t.as_py() or b"" for t in batch.column(1).cast(pa.binary()))
+        for docs, data, cuts, offsets in _pieces(ids, texts, length):
             trigger, content, first, count = phrases(data, cuts, hashes, length, gram)
-            if not len(first):
-                continue
             part = np.searchsorted(cuts, first, side="right") - 1
-            doc, at = np.array(rows, dtype=np.int64)[part], first - cuts[part] + offsets[part]
-            kind = np.zeros(len(first), dtype=np.int32)
-            # Only what repeats within this buffer or was seen to repeat before is worth remembering.
-            _, inverse, n = np.unique(trigger ^ content, return_inverse=True, return_counts=True)
-            for k in np.flatnonzero(n[inverse] > 1) if len(seen) == 0 else _maybe_seen(trigger, content, n[inverse] > 1, seen):
-                who = (int(trigger[k]), int(content[k]))
-                here = (int(doc[k]), int(at[k]))
-                before = seen.get(who)
-                if before is None:
-                    if len(seen) >= remember:
-                        seen.clear()
-                    seen[who] = here
-                elif before < here:
-                    kind[k] = COPY
-                else:
-                    seen[who] = here
-            where = np.where(kind == COPY, (doc * np.int64(1_000_003) + at) * np.int64(2_654_435_761), trigger.view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (where, kind, trigger.view(np.int64), content.view(np.int64), doc, at, count.astype(np.int32))],
-                names=["place_by", "kind", "trigger", "content", "doc_id", "at", "windows"],
-            )
-
-
-def _maybe_seen(trigger: np.ndarray, content: np.ndarray, again: np.ndarray, seen: dict) -> list[int]:
-    pairs = zip(trigger.tolist(), content.tolist(), again.tolist(), strict=True)
-    return [k for k, (t, c, a) in enumerate(pairs) if a or (t, c) in seen]
-
-
-def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by trigger, content, place: copies (covered whole) and phrases whose windows must be compared.
-
-    The state is one pending row, however many rows a trigger has.
-    """
-    trigger = content = None
-    pending, place, several = None, None, False
-    for batch in batches:
-        out_kind, out_doc, out_at, out_n = [], [], [], []
-        columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("kind", "trigger", "content", "doc_id", "at", "windows")]
-        for kind, t, c, doc, at, n in zip(*columns, strict=True):
-            if kind == COPY:
-                new = (COPY, doc, at, n)
-            elif t != trigger:
-                trigger, content, pending, several = t, c, (doc, at, n), False
-                place = pending
-                continue
-            elif c == content:
-                if place == (doc, at, n):  # the same row again
-                    continue
-                new = (COPY, doc, at, n)
-            else:
-                if not several:
-                    several = True
-                    out_kind.append(FIRST)
-                    out_doc.append(pending[0])
-                    out_at.append(pending[1])
-                    out_n.append(pending[2])
-                content = c
-                place = (doc, at, n)
-                new = (FIRST, doc, at, n)
-            out_kind.append(new[0])
-            out_doc.append(new[1])
-            out_at.append(new[2])
-            out_n.append(new[3])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(out_kind, pa.int32()), pa.array(out_doc, pa.int64()), pa.array(out_at, pa.int64()), pa.array(out_n, pa.int32())],
-            names=["kind", "doc_id", "at", "windows"],
-        )
+            if len(first) and rows.add(trigger, content, np.array(docs, dtype=np.int64)[part], first - cuts[part] + offsets[part], count):
+                yield rows.batch()
+    if rows.size:
+        yield rows.batch()
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Two content hashes of every window of the given phrases of a text."""
-    hashes = RollingHash(CHUNK + 4 * length)
+    hashes, rows = RollingHash(CHUNK + 4 * length), _Rows()
     parts, places, size = [], [], 0
 
-    def hashed() -> pa.RecordBatch:
+    def hashed() -> tuple:
         data = np.frombuffer(b"".join(parts), dtype=np.uint8)
         doc, at, n = (np.array(x, dtype=np.int64) for x in zip(*places, strict=True))
         begin = np.concatenate([[0], np.cumsum(n + length - 1)[:-1]])
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         start = np.repeat(begin, n) + within
-        h = [hashes.substrings(hashes.prefix(data, k), start, start + length, k).view(np.int64) for k in (0, 1)]
-        columns = [h[0], h[1], np.repeat(doc, n), np.repeat(at, n) + within]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h1", "h2", "doc_id", "at"])
+        h = [hashes.every(hashes.prefix(data, k), length, k)[start] for k in (0, 1)]
+        return h[0], h[1], np.repeat(doc, n), np.repeat(at, n) + within, np.ones(len(start), dtype=np.int32)
 
     for batch in batches:
         texts = batch.column(1).cast(pa.binary())
@@ -250,10 +231,54 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
                 places.append((doc, p["at"], p["windows"]))
                 size += len(parts[-1])
                 if size >= CHUNK:
-                    yield hashed()
+                    if rows.add(*hashed()):
+                        yield rows.batch()
                     parts, places, size = [], [], 0
     if parts:
-        yield hashed()
+        rows.add(*hashed())
+    if rows.size:
+        yield rows.batch()
+
+
+def _group(batches: Iterator[pa.RecordBatch], by_first: bool) -> Iterator[pa.RecordBatch]:
+    """Reads rows sorted by kind, hashes and place; gives copies, and what must be looked at closer.
+
+    Rows of equal hashes after the first are copies. With ``by_first``, the
+    first rows of each first hash that has several second hashes are given as
+    well. One row is carried over from batch to batch, however many rows a
+    hash has.
+    """
+    held = None  # (h1, h2, doc, at, windows, given already)
+    names = ("h1", "h2", "doc_id", "at", "windows")
+    made = lambda kind, d, a, n: pa.RecordBatch.from_arrays(
+        [pa.array(kind, pa.int32()), pa.array(d, pa.int64()), pa.array(a, pa.int64()), pa.array(n, pa.int32())], names=["kind", "doc_id", "at", "windows"]
+    )
+    for batch in batches:
+        kind = batch.column("kind").to_numpy()
+        ready = kind == COPY
+        h1, h2, doc, at, n = (batch.column(c).to_numpy() for c in names)
+        out = [(np.full(int(ready.sum()), COPY), doc[ready], at[ready], n[ready])]
+        h1, h2, doc, at, n = (x[~ready] for x in (h1, h2, doc, at, n))
+        if len(h1):
+            given = np.zeros(len(h1) + (held is not None), dtype=bool)
+            if held is not None:
+                h1, h2, doc, at, n = (np.concatenate([[v], x]) for v, x in zip(held, (h1, h2, doc, at, n), strict=False))
+                given[0] = held[5]
+            new1, new2 = np.ones(len(h1), dtype=bool), np.ones(len(h1), dtype=bool)
+            new1[1:] = h1[1:] != h1[:-1]
+            new2[1:] = new1[1:] | (h2[1:] != h2[:-1])
+            first = np.maximum.accumulate(np.where(new2, np.arange(len(h1)), 0))
+            copy = ~new2 & ((doc != doc[first]) | (at != at[first]))
+            out.append((np.full(int(copy.sum()), COPY), doc[copy], at[copy], n[copy]))
+            group = np.cumsum(new1) - 1
+            several = np.bincount(group, weights=new2) > 1
+            several[0] |= bool(given[0])
+            if by_first:
+                open_ = new2 & several[group] & ~given
+                out.append((np.full(int(open_.sum()), FIRST), doc[open_], at[open_], n[open_]))
+            k = first[-1]
+            held = (h1[k], h2[k], doc[k], at[k], n[k], bool(several[group[-1]]))
+        yield made(*(np.concatenate(c) for c in zip(*out, strict=True)))
 
 
 def _cover(starts: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -290,7 +315,7 @@ def _keep(batches: Iterator[pa.RecordBatch], length: int, digest: bool) -> Itera
 
 
 def remove_repeats(
-    documents: DataFrame, *, length: int = 100, gram: int = 32, id_col: str = "doc_id", text_col: str = "text", digest: bool = False
+    documents: DataFrame, *, length: int = 100, gram: int = 50, id_col: str = "doc_id", text_col: str = "text", digest: bool = False
 ) -> DataFrame:
     """One row per input row: bytes, removed bytes and runs, and what is kept (or its SHA-256).
 
@@ -311,20 +336,17 @@ def remove_repeats(
         longest = rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct(F.octet_length("text").alias("n"), "text")).alias("t"))
         texts = rows.join(again, "doc_id", "left_anti").unionByName(longest.select("doc_id", F.col("t.text").alias("text")))
         rows = materialize(rows.select("doc_id").join(texts, "doc_id"), "texts")
-    parsed = rows.mapInArrow(lambda it: _parse(it, length, gram), PARSED)
-    sorted_rows = parsed.repartition(F.col("place_by")).sortWithinPartitions("kind", "trigger", "content", "doc_id", "at")
-    grouped = materialize(sorted_rows.mapInArrow(_group, "kind int, doc_id long, at long, windows int"), "phrases")
+    order = ("kind", "h1", "h2", "doc_id", "at")
+    found = "kind int, doc_id long, at long, windows int"
+    parsed = rows.mapInArrow(lambda it: _parse(it, length, gram), PARSED).repartition(F.col("place_by")).sortWithinPartitions(*order)
+    grouped = materialize(parsed.mapInArrow(lambda it: _group(it, True), found), "phrases")
     release_shuffles(spark)
     entries = grouped.where(F.col("kind") == FIRST).groupBy("doc_id").agg(F.collect_list(F.struct("at", "windows")).alias("phrases"))
     open_texts = rows.join(entries, "doc_id").select("doc_id", "text", "phrases")
-    windows = materialize(open_texts.mapInArrow(lambda it: _windows(it, length), "h1 long, h2 long, doc_id long, at long"), "windows")
-    release_shuffles(spark)
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = windows.join(first, ["h1", "h2"]).where(F.struct("doc_id", "at") != F.col("first"))
-    runs = grouped.where(F.col("kind") == COPY).select("doc_id", "at", "windows").unionByName(later.select("doc_id", "at", F.lit(1).alias("windows")))
-    runs = materialize(runs, "covered")
+    windows = open_texts.mapInArrow(lambda it: _windows(it, length), PARSED).repartition(F.col("place_by")).sortWithinPartitions(*order)
+    covered = materialize(windows.mapInArrow(lambda it: _group(it, False), found), "windows")
     release_shuffles(spark)
-    runs = runs.groupBy("doc_id").agg(F.collect_list(F.struct("at", "windows")).alias("runs"))
+    runs = grouped.where(F.col("kind") == COPY).unionByName(covered).groupBy("doc_id").agg(F.collect_list(F.struct("at", "windows")).alias("runs"))
     made = "n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "spans array<struct<start:bigint,end:bigint>>, kept binary")
     out = rows.join(runs, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(lambda it: _keep(it, length, digest), f"doc_id long, {made}")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63))))
