@@ -14,13 +14,24 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# An ASCII letter beside other ASCII, but for the apostrophe of contractions: never one token, never composed.
+_cut = re.compile(rb"(?<=[A-Za-z])(?=[!-&(-@\[-`{-~])|(?<=[!-&(-@\[-`{-~])(?=[A-Za-z])")
+
+
+# Words whose normal form is plain lower case: letters of one code point, nothing composes with them.
+_plain = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0132-\u024F]+")
+
+
 def byte_symbols() -> dict[int, str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -31,107 +42,135 @@ def byte_symbols() -> dict[int, str]:
 class ForcedBoundaryBPE:
     """Encoder of one byte-level ``tokenizers`` file with a BPE model."""
 
-    def __init__(self, path: str, cache_limit: int = 200_000):
-        from tokenizers import Tokenizer
+    def __init__(self, spec_json: str, cache_limit: int = 400_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        model = spec["model"]
-        self.library = Tokenizer.from_file(path)
+        spec = json.loads(spec_json)
+        vocab: dict[str, int] = spec["model"]["vocab"]
+        self.library = Tokenizer.from_str(spec_json)
         self.library.no_truncation()
         self.library.no_padding()
-        self.vocab: dict[str, int] = model["vocab"]
-        self.tokens = {i: t for t, i in self.vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
-        self.suffix = model["end_of_word_suffix"] or ""
-        merges = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
-        self.rank = {pair: i for i, pair in enumerate(merges)}
-        self.added = [t["content"] for t in spec["added_tokens"]]
-        inside = {token.removesuffix(self.suffix) if self.suffix else token for token in self.vocab}
-        self.pairs = {token[i : i + 2] for token in inside for i in range(len(token) - 1)}
+        self.suffix = spec["model"]["end_of_word_suffix"] or ""
+        self.tokens = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.added = [t["content"].encode() for t in spec["added_tokens"]]
+        # Merges alone, over blank-separated pieces: for the last piece of a word, and for those another follows.
+        self.last, self.inner = Tokenizer(self.library.model), None
+        self.last.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self._inner_spec = spec
+        self.symbols = byte_symbols()
+        place = {c: b for b, c in self.symbols.items()}
+        self.pairs = np.zeros((256, 256), dtype=bool)
+        for token in vocab:
+            inside = [place[c] for c in token.removesuffix(self.suffix)]
+            self.pairs[inside[:-1], inside[1:]] = True
+        self.pairs[32], self.pairs[:, 32] = True, True  # blanks between words are cut already
         self.limit, self.cache = cache_limit, {}
 
-    def pieces(self, word: str) -> list[str]:
-        """``word`` (byte symbols) cut wherever no vocabulary token holds the two neighbours."""
-        cuts = [0, *(i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs), len(word)]
-        return [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def merged(self, symbols: list[str]) -> list[str]:
-        """Applies merges, lowest rank first and leftmost among equals."""
-        rank = self.rank
-        while len(symbols) > 1:
-            ranked = [(rank[p], i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in rank]
-            if not ranked:
-                break
-            best = min(ranked)[0]
-            out, i = [], 0
-            while i < len(symbols):
-                if i + 1 < len(symbols) and rank.get((symbols[i], symbols[i + 1])) == best:
-                    out.append(symbols[i] + symbols[i + 1])
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
-        return symbols
-
-    def word_ids(self, word: str) -> list[int]:
-        parts, ids = self.pieces(word), []
-        for k, part in enumerate(parts):
-            symbols = list(part)
-            if k == len(parts) - 1:
-                symbols[-1] += self.suffix
-            ids += [self.vocab[s] for s in self.merged(symbols)]
-        return ids
-
-    def fragment_ids(self, fragment: str) -> list[int]:
-        if any(a in fragment for a in self.added):  # control strings are the library's to find
-            return self.library.encode(fragment, add_special_tokens=False).ids
-        normal = self.library.normalizer.normalize_str(fragment) if self.library.normalizer else fragment
-        return [i for word, _ in self.library.pre_tokenizer.pre_tokenize_str(normal) for i in self.word_ids(word)]
-
-    def fragment(self, raw: bytes) -> tuple[bytes, str]:
-        """(ids as little-endian unsigned 32-bit, tokens joined by blanks) of one fragment."""
-        known = self.cache.get(raw)
-        if known is None:
-            if len(self.cache) >= self.limit:
-                self.cache.clear()
-            ids = self.fragment_ids(raw.decode("utf-8"))
-            known = (b"".join(i.to_bytes(4, "little") for i in ids), " ".join(self.tokens[i] for i in ids))
-            if len(raw) <= 64:
-                self.cache[raw] = known
-        return known
-
-    def encode(self, text: bytes) -> tuple[bytes, str]:
-        """Ids and decoded text of a whole text, fragment by fragment."""
-        if not text.strip():
-            return b"", ""
-        cached, get = self.cache, self.fragment
-        found = [cached.get(f) or get(f) for f in text.split()]
-        return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
-
-
-def _encoded(batches: Iterator[pa.RecordBatch], spec: bytes, digest: bool) -> Iterator[pa.RecordBatch]:
-    import os
-    import tempfile
-
-    with tempfile.NamedTemporaryFile(suffix=".json", delete=False) as f:
-        f.write(spec)
-    try:
-        bpe = ForcedBoundaryBPE(f.name)
-    finally:
-        os.unlink(f.name)
+    def _merge(self, tokenizer, pieces: list[str]) -> list[list[int]]:
+        """Ids of each piece; pieces go through the library many at a time."""
+        if not pieces:
+            return []
+        made = tokenizer.encode(" ".join(pieces), add_special_tokens=False)
+        ids, word = np.array(made.ids, dtype=np.uint32), np.array(made.word_ids)
+        return [x.tolist() for x in np.split(ids, np.searchsorted(word, np.arange(1, len(pieces))))]
+
+    def words_ids(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words given as normalised bytes, cut at impossible pairs."""
+        if not words:
+            return []
+        flat = np.frombuffer(b" ".join(words), dtype=np.uint8)
+        at = np.flatnonzero(~self.pairs[flat[:-1], flat[1:]]) + 1
+        begin = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+        owner = np.searchsorted(begin, at, side="right") - 1
+        cuts: dict[int, list[int]] = {}
+        for w, i in zip(owner.tolist(), (at - begin[owner]).tolist(), strict=True):
+            cuts.setdefault(w, []).append(i)
+        symbol = lambda raw: raw.decode("latin-1").translate(self.symbols)
+        before, heads = [], []
+        ends = list(words)
+        for w, places in cuts.items():
+            for i, j in zip([0, *places], places, strict=False):
+                before.append(words[w][i:j])
+                heads.append(w)
+            ends[w] = words[w][places[-1] :]
+        out: list[list[int]] = [[] for _ in words]
+        if before:
+            if self.inner is None:
+                from tokenizers import Tokenizer, models, pre_tokenizers
+
+                model = self._inner_spec["model"]
+                merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+                self.inner = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges))
+                self.inner.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            single = list(dict.fromkeys(before))
+            known = dict(zip(single, self._merge(self.inner, [symbol(x) for x in single]), strict=True))
+            for w, piece in zip(heads, before, strict=True):
+                out[w] += known[piece]
+        for w, ids in enumerate(self._merge(self.last, [symbol(x) for x in ends])):
+            out[w] += ids
+        return out
+
+    def _words(self, raw: bytes) -> list[bytes]:
+        """Normalised words of a fragment without control strings."""
+        text = raw.decode("utf-8")
+        if _plain.fullmatch(text):
+            return [text.lower().encode()]
+        normal = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+        back = {c: b for b, c in self.symbols.items()}
+        return [bytes(back[c] for c in word) for word, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+
+    def _packed(self, ids: list[int]) -> tuple[bytes, str]:
+        return np.array(ids, dtype="<u4").tobytes(), " ".join([self.tokens[i] for i in ids])
+
+    def learn(self, fragments: set[bytes]) -> None:
+        """Puts (packed ids, tokens joined by blanks) of unknown fragments into the cache."""
+        if len(self.cache) + len(fragments) > self.limit:
+            self.cache.clear()
+        split, fresh = {}, set()
+        common = os.path.commonprefix(self.added)  # a quick look before the exact one
+        for raw in fragments:
+            if common in raw and any(a in raw for a in self.added):  # control strings are the library's to find
+                self.cache[raw] = self._packed(self.library.encode(raw.decode("utf-8"), add_special_tokens=False).ids)
+                continue
+            split[raw] = parts = _cut.split(raw)
+            fresh.update(p for p in parts if p not in self.cache)
+        fresh = list(fresh)
+        words = [self._words(p) for p in fresh]
+        ids = iter(self.words_ids([w for ws in words for w in ws]))
+        for part, ws in zip(fresh, words, strict=True):
+            self.cache[part] = self._packed([i for _ in ws for i in next(ids)])
+        for raw, parts in split.items():
+            if len(parts) > 1:
+                made = [self.cache[p] for p in parts]
+                self.cache[raw] = (b"".join([x[0] for x in made]), " ".join([x[1] for x in made if x[1]]))
+
+    def encode_batch(self, texts: list[bytes]) -> Iterator[tuple[bytes, str]]:
+        """Ids and decoded text of each whole text, fragment by fragment."""
+        for a in range(0, len(texts), 200):
+            listed = [t.split() for t in texts[a : a + 200]]
+            fresh = {f for fragments in listed for f in fragments if f not in self.cache}
+            if fresh:
+                self.learn(fresh)
+                again = {f for fragments in listed for f in fragments if f not in self.cache}
+                if again:  # the cache was emptied on the way; a block's own fragments always fit
+                    self.cache.clear()
+                    self.learn({f for fragments in listed for f in fragments})
+            for fragments in listed:
+                found = [self.cache[f] for f in fragments]
+                yield b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], spec: str, digest: bool) -> Iterator[pa.RecordBatch]:
+    bpe = ForcedBoundaryBPE(spec)
     for batch in batches:
-        made = [bpe.encode(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        made = bpe.encode_batch([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
         if digest:
-            columns = [
-                pa.array([len(ids) // 4 for ids, _ in made], pa.int64()),
-                pa.array([hashlib.sha256(ids).hexdigest() for ids, _ in made], pa.string()),
-                pa.array([hashlib.sha256(text.encode()).hexdigest() for _, text in made], pa.string()),
-            ]
-            names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+            rows = [(len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) for ids, text in made]
+            kinds, names = (pa.int64(), pa.string(), pa.string()), ("n_tokens", "ids_sha256", "decoded_sha256")
         else:
-            columns = [pa.array([list(memoryview(ids).cast("I")) for ids, _ in made], pa.list_(pa.int64())), pa.array([t for _, t in made], pa.string())]
-            names = ["ids", "decoded"]
+            rows = [(np.frombuffer(ids, dtype="<u4").tolist(), text) for ids, text in made]
+            kinds, names = (pa.list_(pa.int64()), pa.string()), ("ids", "decoded")
+        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", *names])
 
 
@@ -144,7 +183,7 @@ def encode_documents(documents: DataFrame, tokenizer: str, *, id_col: str = "doc
     Null and empty texts have no ids and decode to the empty string. Null ids
     and repeated rows pass through; other columns are not read.
     """
-    with open(tokenizer, "rb") as f:
+    with open(tokenizer, encoding="utf-8") as f:
         spec = documents.sparkSession.sparkContext.broadcast(f.read())
     made = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<bigint>, decoded string"
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
