@@ -17,6 +17,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+_ids_of, _tokens_of = itemgetter(0), itemgetter(1)
+
 # An ASCII letter beside other ASCII, but for the apostrophe of contractions: never one token, never composed.
 _cut = re.compile(rb"(?<=[A-Za-z])(?=[!-&(-@\[-`{-~])|(?<=[!-&(-@\[-`{-~])(?=[A-Za-z])")
 
@@ -51,14 +54,14 @@ class ForcedBoundaryBPE:
         self.library.no_truncation()
         self.library.no_padding()
         self.suffix = spec["model"]["end_of_word_suffix"] or ""
-        self.tokens = {i: t for t, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.added = [t["content"].encode() for t in spec["added_tokens"]]
         # Merges alone, over blank-separated pieces: for the last piece of a word, and for those another follows.
         self.last, self.inner = Tokenizer(self.library.model), None
         self.last.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self._inner_spec = spec
-        self.symbols = byte_symbols()
-        place = {c: b for b, c in self.symbols.items()}
+        symbols = byte_symbols()
+        self.bytes_of = place = {c: b for b, c in symbols.items()}
+        self.symbols = symbols | {32: " "}  # a blank stands between words here
         self.pairs = np.zeros((256, 256), dtype=bool)
         for token in vocab:
             inside = [place[c] for c in token.removesuffix(self.suffix)]
@@ -66,16 +69,17 @@ class ForcedBoundaryBPE:
         self.pairs[32], self.pairs[:, 32] = True, True  # blanks between words are cut already
         self.limit, self.cache = cache_limit, {}
 
-    def _merge(self, tokenizer, pieces: list[str]) -> list[list[int]]:
-        """Ids of each piece; pieces go through the library many at a time."""
+    def _merge(self, tokenizer, pieces: list[bytes]) -> list[tuple[bytes, str]]:
+        """Packed ids and joined tokens of each piece; pieces go through the library many at a time."""
         if not pieces:
             return []
-        made = tokenizer.encode(" ".join(pieces), add_special_tokens=False)
-        ids, word = np.array(made.ids, dtype=np.uint32), np.array(made.word_ids)
-        return [x.tolist() for x in np.split(ids, np.searchsorted(word, np.arange(1, len(pieces))))]
+        made = tokenizer.encode(b" ".join(pieces).decode("latin-1").translate(self.symbols), add_special_tokens=False)
+        packed, tokens = np.array(made.ids, dtype="<u4").tobytes(), made.tokens
+        ends = np.searchsorted(np.array(made.word_ids), np.arange(1, len(pieces) + 1)).tolist()
+        return [(packed[4 * a : 4 * b], " ".join(tokens[a:b])) for a, b in zip([0, *ends], ends, strict=False)]
 
-    def words_ids(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of words given as normalised bytes, cut at impossible pairs."""
+    def words_made(self, words: list[bytes]) -> list[tuple[bytes, str]]:
+        """(packed ids, joined tokens) of words given as normalised bytes, cut at impossible pairs."""
         if not words:
             return []
         flat = np.frombuffer(b" ".join(words), dtype=np.uint8)
@@ -85,15 +89,11 @@ class ForcedBoundaryBPE:
         cuts: dict[int, list[int]] = {}
         for w, i in zip(owner.tolist(), (at - begin[owner]).tolist(), strict=True):
             cuts.setdefault(w, []).append(i)
-        symbol = lambda raw: raw.decode("latin-1").translate(self.symbols)
-        before, heads = [], []
-        ends = list(words)
+        ends, before = list(words), {}
         for w, places in cuts.items():
-            for i, j in zip([0, *places], places, strict=False):
-                before.append(words[w][i:j])
-                heads.append(w)
+            before[w] = [words[w][i:j] for i, j in zip([0, *places], places, strict=False)]
             ends[w] = words[w][places[-1] :]
-        out: list[list[int]] = [[] for _ in words]
+        out = self._merge(self.last, ends)
         if before:
             if self.inner is None:
                 from tokenizers import Tokenizer, models, pre_tokenizers
@@ -102,62 +102,62 @@ class ForcedBoundaryBPE:
                 merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
                 self.inner = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges))
                 self.inner.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-            single = list(dict.fromkeys(before))
-            known = dict(zip(single, self._merge(self.inner, [symbol(x) for x in single]), strict=True))
-            for w, piece in zip(heads, before, strict=True):
-                out[w] += known[piece]
-        for w, ids in enumerate(self._merge(self.last, [symbol(x) for x in ends])):
-            out[w] += ids
+            single = list({piece for parts in before.values() for piece in parts})
+            known = dict(zip(single, self._merge(self.inner, single), strict=True))
+            for w, parts in before.items():
+                out[w] = _chained([*map(known.__getitem__, parts), out[w]])
         return out
 
     def _words(self, raw: bytes) -> list[bytes]:
         """Normalised words of a fragment without control strings."""
+        if raw.isalpha():
+            return [raw.lower()]
         text = raw.decode("utf-8")
         if _plain.fullmatch(text):
             return [text.lower().encode()]
         normal = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
-        back = {c: b for b, c in self.symbols.items()}
-        return [bytes(back[c] for c in word) for word, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
-
-    def _packed(self, ids: list[int]) -> tuple[bytes, str]:
-        return np.array(ids, dtype="<u4").tobytes(), " ".join([self.tokens[i] for i in ids])
+        return [bytes(map(self.bytes_of.__getitem__, word)) for word, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def learn(self, fragments: set[bytes]) -> None:
         """Puts (packed ids, tokens joined by blanks) of unknown fragments into the cache."""
-        if len(self.cache) + len(fragments) > self.limit:
-            self.cache.clear()
-        split, fresh = {}, set()
+        cache = self.cache
         common = os.path.commonprefix(self.added)  # a quick look before the exact one
+        split, fresh = [], set()
         for raw in fragments:
-            if common in raw and any(a in raw for a in self.added):  # control strings are the library's to find
-                self.cache[raw] = self._packed(self.library.encode(raw.decode("utf-8"), add_special_tokens=False).ids)
-                continue
-            split[raw] = parts = _cut.split(raw)
-            fresh.update(p for p in parts if p not in self.cache)
-        fresh = list(fresh)
-        words = [self._words(p) for p in fresh]
-        ids = iter(self.words_ids([w for ws in words for w in ws]))
+            if raw.isalpha():
+                fresh.add(raw)
+            elif common in raw and any(a in raw for a in self.added):  # control strings are the library's to find
+                made = self.library.encode(raw.decode("utf-8"), add_special_tokens=False)
+                cache[raw] = (np.array(made.ids, dtype="<u4").tobytes(), " ".join(made.tokens))
+            else:
+                parts = _cut.split(raw)
+                fresh.update(parts)
+                if len(parts) > 1:
+                    split.append((raw, parts))
+        fresh = list(fresh.difference(cache))
+        words = list(map(self._words, fresh))
+        made = iter(self.words_made([w for ws in words for w in ws]))
         for part, ws in zip(fresh, words, strict=True):
-            self.cache[part] = self._packed([i for _ in ws for i in next(ids)])
-        for raw, parts in split.items():
-            if len(parts) > 1:
-                made = [self.cache[p] for p in parts]
-                self.cache[raw] = (b"".join([x[0] for x in made]), " ".join([x[1] for x in made if x[1]]))
+            cache[part] = next(made) if len(ws) == 1 else _chained([next(made) for _ in ws])
+        for raw, parts in split:
+            cache[raw] = _chained([cache[p] for p in parts])
 
     def encode_batch(self, texts: list[bytes]) -> Iterator[tuple[bytes, str]]:
         """Ids and decoded text of each whole text, fragment by fragment."""
-        for a in range(0, len(texts), 200):
-            listed = [t.split() for t in texts[a : a + 200]]
-            fresh = {f for fragments in listed for f in fragments if f not in self.cache}
+        for a in range(0, len(texts), 400):
+            listed = [t.split() for t in texts[a : a + 400]]
+            every = set().union(*listed)
+            if len(self.cache) > self.limit:  # emptied between blocks only, so a block finds all of its own
+                self.cache.clear()
+            fresh = every.difference(self.cache)
             if fresh:
                 self.learn(fresh)
-                again = {f for fragments in listed for f in fragments if f not in self.cache}
-                if again:  # the cache was emptied on the way; a block's own fragments always fit
-                    self.cache.clear()
-                    self.learn({f for fragments in listed for f in fragments})
             for fragments in listed:
-                found = [self.cache[f] for f in fragments]
-                yield b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
+                yield _chained([*map(self.cache.__getitem__, fragments)])
+
+
+def _chained(made: list[tuple[bytes, str]]) -> tuple[bytes, str]:
+    return b"".join(map(_ids_of, made)), " ".join(filter(None, map(_tokens_of, made)))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], spec: str, digest: bool) -> Iterator[pa.RecordBatch]:
