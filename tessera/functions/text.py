@@ -64,12 +64,12 @@ def html_title(html: Column) -> Column:
 def quoted_terms(query: Column, least: int = 2) -> Column:
     """Terms in straight or curly double quotes, in order, distinct."""
     found = F.concat(F.regexp_extract_all(query, F.lit('"([^"]+)"'), F.lit(1)), F.regexp_extract_all(query, F.lit("“([^”]+)”"), F.lit(1)))
-    return F.array_distinct(F.filter(F.transform(found, F.trim), lambda t: F.char_length(t) >= least))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda t: F.char_length(t) >= least))
 
 
 def id_list(value: Column) -> Column:
     """A ``;``- or ``,``-separated list: trimmed, without blanks, distinct, in order."""
-    parts = F.transform(F.split(F.replace(value, F.lit(","), F.lit(";")), ";"), F.trim)
+    parts = F.transform(F.split(F.replace(value, F.lit(","), F.lit(";")), ";"), lambda x: F.trim(x))
     return F.array_distinct(F.filter(parts, lambda x: x != ""))
 
 
@@ -82,7 +82,7 @@ def sparse_weight(query: Column) -> Column:
 def excerpt(text: Column, terms: Column, width: int = 180) -> Column:
     """At most ``width`` characters around the earliest term, with dots where text is cut."""
     low = F.lower(text)
-    places = F.filter(F.transform(terms, lambda t: F.locate(F.lower(t), low)), lambda p: p > 0)
+    places = F.filter(F.transform(terms, lambda t: F.position(F.lower(t), low)), lambda p: p > 0)
     first = F.coalesce(F.array_min(places), F.lit(1))
     start = F.greatest(F.lit(1), first - F.lit(width // 4))
     body = F.substring(text, start, F.lit(width))

@@ -37,7 +37,8 @@ def packed_chunks(line_texts: Column, limit: int = 400, overlap: int = 2) -> Col
                 F.struct(total.alias("sum"), i.alias("last"), F.lit(False).alias("full"))
             )
 
-        return F.aggregate(F.sequence(start, count - 1), zero, add, lambda acc: acc["last"])
+        # A line has a character at least, so a chunk ends within ``limit`` lines.
+        return F.aggregate(F.sequence(start, F.least(count - 1, start + F.lit(limit))), zero, add, lambda acc: acc["last"])
 
     empty = F.array().cast("array<struct<first:int,last:int>>")
     zero = F.struct(F.lit(0).alias("next"), empty.alias("out"))

@@ -1,12 +1,6 @@
-"""Registry of the queries over the driver tables and their oracle SQL."""
+"""All registered queries over the driver tables."""
 
-from __future__ import annotations
+from tessera.plans import evaluation, governance, intent, retrieval  # noqa: F401
+from tessera.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
