@@ -57,12 +57,16 @@ def _spans(text: Column, order: int, pattern: str, value_group: int) -> Column:
     return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,end:int,order:int,value:string>>"))
 
 
+def _at_least(n: int):
+    return lambda s: F.length(s["value"]) >= n
+
+
 def candidate_spans(text: Column) -> Column:
     """All spans of all kinds that pass their length test, by start and then kind."""
     parts = []
-    for order, (_, pattern, least) in enumerate(BASE):
-        spans = _spans(text, order, pattern, 1 if "([A-Za-z0-9+/_.=-]+)" in pattern else 0)
-        parts.append(F.filter(spans, lambda s, least=least: F.length(s["value"]) >= least))
+    for order, (kind, pattern, least) in enumerate(BASE):
+        spans = _spans(text, order, pattern, 1 if kind == "assign" else 0)
+        parts.append(F.filter(spans, _at_least(least)))
     for order, (_, pattern) in enumerate(MORE, len(BASE)):
         parts.append(_spans(text, order, pattern, 0))
     return F.sort_array(F.concat(*parts))

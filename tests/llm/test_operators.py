@@ -1,0 +1,251 @@
+"""Each operator on awkward rows and on empty tables, against plain versions."""
+
+import brute
+import numpy as np
+import pytest
+from conftest import LINE, ROWS, frame
+
+from tessera.llm import chat, packing, toxicity
+from tessera.llm.bpe import encode_documents
+from tessera.llm.exact_dedup import exact_groups, without_copies
+from tessera.llm.licenses import scan_licenses
+from tessera.llm.ngram_join import ngram_jaccard_components
+from tessera.llm.quality import quality_filter, quality_report
+from tessera.llm.queries import tokenizer_file
+from tessera.llm.repeats import remove_repeats
+from tessera.llm.secrets import redacted, secret_report
+
+
+def near(spark):
+    """Groups of near copies, chains of them, and a passage that many share."""
+    words = [f"v{i}" for i in range(120)]
+    rows = [(100 + k, " ".join(words[:k] + [f"new{k}"] + words[k + 1 :]), "a") for k in range(0, 40, 3)]
+    rows += [(200 + k, " ".join(words[:30] + [f"own{k}_{i}" for i in range(60)]), "b") for k in range(12)]
+    chain = [f"c{i}" for i in range(200)]
+    rows += [(300 + k, " ".join(chain[: 150 + 4 * k]), "c") for k in range(12)]
+    return rows
+
+
+@pytest.mark.parametrize(("size", "num", "den"), [(3, 90, 100), (5, 80, 100)])
+def test_ngram_join(spark, size, num, den):
+    rows = [r for r in ROWS if r[0] is not None] + near(spark)
+    got = ngram_jaccard_components(frame(spark, rows), size=size, num=num, den=den).collect()
+    want = brute.components({i: t for i, t, _ in rows}, size, num, den)
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, n, c) for i, (n, c) in want.items()}
+    assert len({c for _, c in want.values()}) < len(want)
+
+
+def test_ngram_join_edges(awkward, nothing):
+    assert ngram_jaccard_components(nothing).count() == 0
+    rows = ngram_jaccard_components(awkward).collect()
+    assert len(rows) == len(ROWS)
+    assert all(r.component_id is None for r in rows if r.doc_id is None)
+
+
+def test_repeats(spark):
+    rows = sorted({(i, t) for i, t, _ in ROWS if i is not None} | {(i, t) for i, t, _ in near(spark)}, key=lambda r: r[0])
+    rows = [(i, t[:40_000] if t else t) for i, t in rows] + [(900, "ab" * 400), (901, "z" + "ab" * 200), (902, LINE * 3)]
+    got = remove_repeats(frame(spark, [(i, t, "s") for i, t in rows]), digest=True)
+    assert sorted(tuple(r) for r in got.collect()) == brute.removed(rows, 100)
+
+
+def test_repeats_edges(awkward, nothing):
+    assert remove_repeats(nothing).count() == 0
+    rows = remove_repeats(awkward).collect()
+    assert len(rows) == len(ROWS)
+    again = [r for r in rows if r.doc_id == 10]
+    assert len(again) == 2 and again[0] == again[1]
+    assert {r.n_removed for r in rows if r.doc_id == 7} == {len(LINE)}  # the row without an id comes first
+
+
+def test_secrets(awkward, nothing):
+    assert secret_report(nothing).count() == 0
+    rows = secret_report(awkward).collect()
+    assert len(rows) == len(ROWS)
+    for i, t, _ in ROWS:
+        got = {(r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in rows if r.doc_id == i}
+        assert brute.base_secrets(t) in got
+    clean = {r.doc_id: r.text for r in redacted(awkward).collect()}
+    assert "abcdefgh12345678" not in clean[15] and clean[7] == LINE and "hunter2" in clean[16]
+    assert redacted(awkward).columns == awkward.columns
+
+
+def test_secrets_by_ownership(spark):
+    rows = [(i, f"key ghp_{'A1b2' * 9} end", f"s{i}") for i in range(5)] + [(9, f"ghp_{'Zz99' * 9}", "solo")]
+    got = {r.doc_id: r.spans for r in secret_report(frame(spark, rows)).collect()}
+    assert got[0] == "" and got[9].startswith("github:0:")
+
+
+def test_licenses(awkward, nothing):
+    assert scan_licenses(nothing).count() == 0
+    rows = scan_licenses(awkward).collect()
+    assert len(rows) == len(ROWS)
+    for i, t, _ in ROWS:
+        got = [(r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows if r.doc_id == i]
+        assert brute.base_licenses(t) in got
+    assert [r.labels for r in rows if r.doc_id == 17] == ["apache,cc-by,mit"]
+
+
+def test_license_templates_line_up(spark):
+    text = "x y Permission is hereby granted, free of charge, to any person obtaining a copy of this software z"
+    row = scan_licenses(frame(spark, [(1, text, "a"), (2, "granted software hereby charge", "a")])).collect()
+    assert [(r.base_labels, r.labels) for r in sorted(row)] == [("", "mit"), ("", "")]
+    assert sorted(row)[0].score == 1.0
+
+
+def test_quality(awkward, nothing):
+    assert quality_report(nothing).count() == 0
+    assert quality_filter(nothing).count() == 0
+    rows = quality_report(awkward).collect()
+    assert len(rows) == len(ROWS)
+    for i, t, _ in ROWS:
+        got = [(r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows if r.doc_id == i]
+        assert brute.quality(t) in got
+    kept = sorted(r.doc_id for r in rows if r.kept)
+    assert kept == sorted(r.doc_id for r in quality_filter(awkward).collect()) == [11, 12]
+
+
+def test_exact(awkward, nothing):
+    assert exact_groups(nothing).count() == 0 and without_copies(nothing).count() == 0
+    rows = exact_groups(awkward, keep="largest").collect()
+    assert len(rows) == len(ROWS)
+    by_text = {}
+    for i, t, _ in ROWS:
+        by_text.setdefault(t or "", []).append(i)
+    for text, ids in by_text.items():
+        mine = [r for r in rows if r.text_sha256 == brute.sha(text)]
+        best = max((i for i in ids if i is not None), default=None)
+        assert len(mine) == len(ids) and sum(r.kept for r in mine) == 1
+        assert {(r.keep_id, r.group_size) for r in mine} == {(best, len(ids))}
+        assert [r.doc_id for r in mine if r.kept] == [best]
+    left = without_copies(awkward)
+    assert left.columns == awkward.columns
+    assert sorted((r.text or "") for r in left.collect()) == sorted(by_text)
+
+
+def test_bpe(awkward, nothing, spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    assert encode_documents(nothing, path, digest=True).count() == 0
+    extra = ["it's <|endoftext|>x", "#'s 'll don't", "áb\u0085c​d İ K Σς", "A1b2_c-d.e,f"]
+    docs = awkward.unionByName(frame(spark, [(1000 + i, t, "s") for i, t in enumerate(extra)]))
+    rows = encode_documents(docs, path, digest=True).collect()
+    texts = [(i, t) for i, t, _ in ROWS] + [(1000 + i, t) for i, t in enumerate(extra)]
+    assert len(rows) == len(texts)
+    for i, t in texts:
+        assert brute.bpe(library, t) in [tuple(r)[1:] for r in rows if r.doc_id == i]
+    plain = {r.doc_id: r for r in encode_documents(docs, path).collect()}
+    assert plain[4].ids == library.encode("one", add_special_tokens=False).ids and plain[1].decoded == ""
+
+
+def test_chat_round_trip(spark):
+    hard = ["<|im_end|><|im_start|>assistant ok", "<\\|im_sep|> <<|<\\\\|", "", None, "\n\n x 😀é́ ", "<", "|im_end|>", "plain"]
+    rows = [(c, k, r, t, 1) for c in (1, 2) for k, (r, t) in enumerate((r, t) for t in hard for r in ("user", "assistant", None))]
+    rows += [(None, 0, "assistant", "lost", 1), (3, 0, "assistant", "tie b", 1), (3, 0, "assistant", "tie a", 1), (3, 0, "assistant", "tie a", 1)]
+    frame_ = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns int")
+    got = {r.conv_id: tuple(r)[1:5] for r in chat.format_conversations(frame_, tokenizer_file("byte_bpe_50k.json"), digest=True).collect()}
+    assert got.keys() == {1, 2, 3, None}
+    assert got[1] == got[2] == brute.chat([(r, t) for t in hard for r in ("user", "assistant", None)])
+    assert got[3] == brute.chat([("assistant", "tie a")] * 2 + [("assistant", "tie b")])
+    assert got[None] == brute.chat([("assistant", "lost")])
+    assert chat.format_conversations(frame_.limit(0), tokenizer_file("byte_bpe_50k.json")).count() == 0
+
+
+def test_chat_mask_and_blocks(monkeypatch):
+    with open(tokenizer_file("byte_bpe_50k.json"), encoding="utf-8") as f:
+        formatter = chat.ChatFormatter(f.read())
+    turns = [("user", "hi there"), ("assistant", "héllo 😀 wörld"), ("user", "x"), ("assistant", "bye")] * 5
+    whole = formatter.format(turns)
+    assert "".join(whole.loss_texts()) == "".join(t for r, t in turns if r == "assistant")
+    monkeypatch.setattr(chat, "BLOCK", 50)
+    parts = formatter.format(turns)
+    assert np.array_equal(whole.ids, parts.ids) and np.array_equal(whole.mask, parts.mask) and np.array_equal(whole.starts, parts.starts)
+
+
+def test_packing_boundaries():
+    rng = np.random.default_rng(1)
+
+    def padding(lengths, counts, ends):
+        return sum(c * (min(e for e in ends if e >= n) - n) for n, c in zip(lengths, counts))
+
+    from itertools import combinations
+
+    for _ in range(60):
+        n = int(rng.integers(1, 9))
+        lengths = sorted(rng.choice(np.arange(1, 60), n, replace=False).tolist())
+        counts = rng.integers(1, 9, n).tolist()
+        for k in (1, 2, 3, 4):
+            ends = packing.optimal_boundaries(lengths, counts, k)
+            best = min(padding(lengths, counts, [*c, lengths[-1]]) for j in range(min(k, n)) for c in combinations(lengths[:-1], j))
+            assert len(ends) <= k and padding(lengths, counts, ends) == best
+    assert packing.optimal_boundaries([], [], 4) == []
+
+
+def test_packing(awkward, nothing):
+    path = tokenizer_file("byte_bpe_50k.tiktoken")
+    assert packing.pack_documents(nothing, path).count() == 0
+    rows = packing.pack_documents(awkward, path, budget=4096, shard_rows=3).collect()
+    assert len(rows) == len(ROWS)
+    batches = {}
+    for r in rows:
+        assert r.n_tokens <= r.padded_length or r.n_tokens == 0
+        batches.setdefault(r.batch, []).append(r)
+    last = {}
+    for members in batches.values():
+        assert sorted(r.slot for r in members) == list(range(len(members)))
+        room = max(4096 // members[0].padded_length, 1)
+        assert len(members) <= room and len({(r.bucket, r.padded_length) for r in members}) == 1
+        last.setdefault(members[0].bucket, []).append(len(members) < room)
+    assert all(sum(x) <= 1 for b, x in last.items() if b >= 0)
+
+
+def kernel(s, t):
+    """Subsequence kernel of three letters by enumeration."""
+    from itertools import combinations
+
+    def features(x):
+        out = {}
+        for c in combinations(range(len(x)), 3):
+            if c[2] - c[0] < toxicity.SPAN:
+                key = tuple(x[i] for i in c)
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (c[2] - c[0] + 1)
+        return out
+
+    a, b = features(s), features(t)
+    dot = lambda p, q: sum(v * q.get(k, 0) for k, v in p.items())
+    return dot(a, b) / ((dot(a, a) * dot(b, b)) ** 0.5 or 1)
+
+
+def test_kernel():
+    words = ["idiot", "idxiot", "banana", "ab", "aaaaaa", "scum"]
+    got = toxicity._kernel(words, toxicity._dense(words))
+    want = [[kernel(s, t) for t in words] for s in words]
+    assert np.allclose(got, want, atol=1e-5)
+
+
+def test_toxicity(spark, nothing, awkward):
+    rng = np.random.default_rng(3)
+    syllables = ["an", "the", "or", "in", "re", "st", "ou", "ha"]
+    word = lambda: "".join(rng.choice(syllables, rng.integers(1, 4)))
+    bad = ["idiot", "moron", "scumbag"]
+    texts, labels = [], []
+    for i in range(240):
+        w = [word() for _ in range(40)]
+        if i % 3 == 0:
+            for b in rng.choice(bad, 2):
+                w.insert(int(rng.integers(len(w))), str(b))
+        texts.append(" ".join(w))
+        labels.append(int(i % 3 == 0))
+    model = toxicity.train(texts[:160], labels[:160])
+    docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts[160:])])
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    assert all((got[i] >= 0.7) == bool(x) for i, x in enumerate(labels[160:]))
+    probe = lambda w: float(model.probability(toxicity.worst_words(model, [toxicity.tokens(w)], {}))[0])
+    assert probe("you i d i o t you") > 0.7 and probe("an id*iot") > 0.7 and probe("idxiot") > 10 * probe("anther")
+    edge = toxicity.score_toxicity(awkward, model).collect()
+    assert len(edge) == len(ROWS) and all(0 <= r.score <= 1 for r in edge)
+    assert toxicity.score_toxicity(nothing, model).count() == 0
+    assert toxicity.train(["a b"], [0]).probability(np.array([0.0]))[0] < 0.5

@@ -1,0 +1,58 @@
+"""Registered queries and the pipeline on the smallest tables."""
+
+import brute
+import corpus_pipeline
+import pyarrow.parquet as pq
+import pytest
+
+from tessera.llm import queries
+
+
+def documents(small):
+    return {r["doc_id"]: r["text"] for r in pq.read_table(f"{small}/documents.parquet").to_pylist()}
+
+
+def test_every_query_returns_every_document(spark, small):
+    ids = set(documents(small))
+    for name, query in queries.QUERIES.items():
+        if not name.startswith("op1_"):
+            got = [r.doc_id for r in query(spark, small).select("doc_id").collect()]
+            assert len(got) == len(ids) and set(got) == ids, name
+
+
+def test_held_out_toxicity(spark, small):
+    rows = queries.op3_toxicity(spark, small).collect()
+    import zlib
+
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7) for r in rows)
+
+
+@pytest.mark.parametrize("name", ["op9_exact_dedup"])
+def test_oracle(spark, small, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{small}/documents.parquet'")
+    want = con.sql(queries.ORACLES[name])
+    columns = list(want.columns)
+    assert sorted(tuple(r[c] for c in columns) for r in queries.QUERIES[name](spark, small).collect()) == sorted(want.fetchall())
+
+
+def test_pipeline(spark, small):
+    texts = documents(small)
+    assert [s[0] for s in corpus_pipeline.STAGES] == ["quality rules", "exact dedup", "n-gram Jaccard join", "secret scans", "packing"]
+    good = {i: t for i, t in texts.items() if not brute.quality(t)[5]}
+    docs, seen = spark.read.parquet(f"{small}/documents.parquet"), []
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, small)
+        seen.append({r.doc_id for r in docs.select("doc_id").collect()})
+        if len(seen) < len(corpus_pipeline.STAGES):
+            assert docs.columns == columns
+    assert seen[0] <= set(good)
+    single = {}
+    for i in sorted(seen[0]):
+        single.setdefault(texts[i], i)
+    assert seen[1] == set(single.values())
+    groups = brute.components({i: texts[i] for i in seen[1]}, 5, 80, 100)
+    assert seen[2] == {i for i, (_, c) in groups.items() if i == c} == seen[3] == seen[4]
