@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +43,9 @@ def release_shuffles(spark: SparkSession) -> None:
 
     Spark deletes a shuffle's files once the driver's JVM has collected its
     handle; long multi-step operators ask for that after each written step.
+    The first collection only frees what the handles hang on, so it takes two.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
