@@ -105,7 +105,7 @@ def from_text(text: Column) -> Callable[[str], Column]:
         "n_lines": lambda: F.size(lines),
         "n_dup_lines": lambda: F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": lambda: F.get(
-            F.transform(F.array(words), lambda w: F.get(F.transform(F.array(window_hashes(w)), covered_words), F.lit(0))), F.lit(0)
+            F.transform(F.array(words), lambda w: F.get(F.transform(F.array(window_hashes(w)), lambda h: covered_words(h)), F.lit(0))), F.lit(0)
         ),
         "n_upper": lambda: F.regexp_count(text, F.lit(r"\p{Lu}")),
     }
