@@ -63,26 +63,25 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int, st
 
 
 def _whole(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Set key, whole set and C-prefix of each text."""
+    """Whole set and C-prefix of each text that has the given set key."""
     words = WordHashes()
     for batch in batches:
-        keys, sets, tails = [], [], []
-        for text in batch.column(1).cast(pa.binary()).to_pylist():
+        ids, sets, tails = [], [], []
+        for doc, text, key in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
             s = shingle_set(text, size, words)
+            if hashlib.blake2b(s.tobytes(), digest_size=16).digest() != key:  # another text of a repeated id
+                continue
             c, g = mixed(s ^ np.uint64(0x5851F42D4C957F2D)), _lack(len(s), num, den)
-            keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            ids.append(doc)
             sets.append(s.view(np.int64))
-            tails.append((np.partition(c, len(c) - g - 1)[len(c) - g - 1 :] if len(c) else c).astype(np.uint32).view(np.int32))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), _lists(sets, pa.int64()), _lists(tails, pa.int32())],
-            names=["doc_id", "set_key", "shingles", "tail"],
-        )
+            tails.append(np.partition(c, len(c) - g - 1)[len(c) - g - 1 :].astype(np.uint32).view(np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(sets, pa.int64()), _lists(tails, pa.int32())], names=["doc_id", "shingles", "tail"])
 
 
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     offsets = np.zeros(len(parts) + 1, dtype=np.int32)
     np.cumsum([len(p) for p in parts], out=offsets[1:])
-    values = np.concatenate(parts) if parts else np.empty(0)
+    values = np.concatenate(parts) if parts else np.empty(0, dtype=kind.to_pandas_dtype())
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
@@ -121,7 +120,7 @@ def ngram_jaccard_components(
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = texts.mapInArrow(lambda it: _sketch(it, size, num, den, stretch), "doc_id long, n int, set_key binary, head array<bigint>")
     sets = materialize(sets, "sets")
-    primary = sets.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("set_key").alias("set_key"))
+    primary = sets.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("set_key").alias("set_key"), F.count(F.lit(1)).alias("many"))
     rep = materialize(primary.groupBy("set_key").agg(F.min("doc_id").alias("rep")), "reps")
 
     # Order A: documents whose rare end is shared by no other leave here.
@@ -137,11 +136,11 @@ def ngram_jaccard_components(
     release_shuffles(spark)
 
     # Order B over whole sets.
-    keyed = rep.select(F.col("rep").alias("doc_id"), "set_key")
-    whole = texts.join(open_ids, "doc_id", "left_semi").mapInArrow(
-        lambda it: _whole(it, size, num, den), "doc_id long, set_key binary, shingles array<bigint>, tail array<int>"
-    )
-    whole = materialize(whole, "whole-sets").join(keyed, ["doc_id", "set_key"], "left_semi").dropDuplicates(["doc_id"]).drop("set_key")
+    keyed = open_ids.join(rep.select(F.col("rep").alias("doc_id"), "set_key"), "doc_id")
+    whole = texts.join(keyed, "doc_id").select("doc_id", "text", "set_key")
+    whole = whole.mapInArrow(lambda it: _whole(it, size, num, den), "doc_id long, shingles array<bigint>, tail array<int>")
+    if not primary.where("many > 1").isEmpty():
+        whole = whole.dropDuplicates(["doc_id"])
     whole = materialize(whole, "open-sets")
     release_shuffles(spark)
     tokens = whole.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
