@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # What counts as a token run.
 CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
@@ -43,7 +44,7 @@ def compact_ascii(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def normalized_ocr(values: pd.Series) -> pd.Series:
     """Compatibility composition, case folding, non-word characters to single blanks."""
     import re
