@@ -17,7 +17,7 @@ def one(spark, *columns):
 def test_tokens(spark):
     rows = spark.createDataFrame([("森林 Campus-A1",), ("",), (None,), ("Étion a.b:c/d+e_f",)], "t string").select(text.tokens(F.coalesce("t", F.lit(""))).alias("x")).collect()
     assert rows[0].x == ["森", "林", "森林", "campus-a1"] and rows[1].x == rows[2].x == []
-    assert rows[3].x == ["tion", "a.b:c/d+e", "f"]
+    assert rows[3].x == ["tion", "a.b:c/d+e_f"]
 
 
 def test_text_forms(spark):
@@ -151,7 +151,7 @@ def test_lifecycle(spark):
     new = spark.createDataFrame([(1, "x"), (2, "c"), (2, "b")], "k int, v string")
     assert sorted((r.k, r.v, r.added) for r in lifecycle.merge_unique(old, new, "k", F.col("v")).collect()) == [(1, "a", False), (2, "b", True)]
     assert lifecycle.duplicated_keys(new, "k").first().n == 2
-    assert [r.k for r in lifecycle.missing_references(new, "k", old, "k").distinct().collect()] == [2, 2] or lifecycle.missing_references(new, "k", old, "k").count() == 2
+    assert lifecycle.missing_references(new, "k", old, "k").count() == 2
     files = spark.createDataFrame([("a", 5, 1), ("b", 5, 2), ("c", 5, 3)], "f string, s int, t int")
     kept = lifecycle.bounded_cache(files, name="f", size="s", newest=F.col("t").desc(), most_files=2, most_bytes=100)
     assert {r.f for r in kept.where("kept").collect()} == {"b", "c"}
