@@ -255,13 +255,13 @@ def q66_override(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""
 SELECT doc_id, sha256('key|' || doc_id || '|' || lang) AS key, round(CAST(('0x' || substr(sha256('key|' || doc_id), 1, 13)) AS BIGINT) / 4503599627370496.0, 9) AS fraction,
-  trim(regexp_replace(lower(substr(text, 1, 80)), '\\s+', ' ', 'g')) AS head FROM documents
+  sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS normal_sha256 FROM documents
 """)
 def q67_stable_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stable sort keys and fractions, and a normal form of each beginning."""
+    """Stable sort keys and fractions, and a hash of each normal form."""
     key = stable_key(F.lit("key"), F.col("doc_id"), F.col("lang"))
     part = F.round(stable_fraction(F.lit("key"), F.col("doc_id")), 9)
-    return table(spark, sf_dir, "documents").select("doc_id", key.alias("key"), part.alias("fraction"), normalized_query(F.substring("text", 1, 80)).alias("head"))
+    return table(spark, sf_dir, "documents").select("doc_id", key.alias("key"), part.alias("fraction"), F.sha2(normalized_query(F.col("text")), 256).alias("normal_sha256"))
 
 
 @register("""
