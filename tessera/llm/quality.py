@@ -16,8 +16,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.workspace import materialize
-
 BLANK = r"[\x20\x09-\x0D]+"
 
 
@@ -119,7 +117,9 @@ def ordered_rules(documents: DataFrame, rules: tuple[Rule, ...] = RULES, text_co
     equal rules.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    sample = materialize(documents.select(text.alias("text")).limit(sample_rows), "quality-sample")
+    # Collecting a limit reads partition after partition until it has enough; writing one would open them all.
+    rows = documents.select(text.alias("text")).limit(sample_rows).collect()
+    sample = documents.sparkSession.createDataFrame([(r["text"],) for r in rows], "text string")
     rated = []
     for place, rule in enumerate(rules):
         reject = F.avg(rule.test(from_text(F.col("text"))).cast("double")).alias("share")
