@@ -27,12 +27,13 @@ def test_held_out_toxicity(spark, small):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7) for r in rows)
 
 
-@pytest.mark.parametrize("name", ["op9_exact_dedup"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracle(spark, small, name):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{small}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.sql(f"create view {t} as select * from '{small}/{t}.parquet'")
     want = con.sql(queries.ORACLES[name])
     columns = list(want.columns)
     assert sorted(tuple(r[c] for c in columns) for r in queries.QUERIES[name](spark, small).collect()) == sorted(want.fetchall())
