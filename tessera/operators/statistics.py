@@ -101,3 +101,40 @@ def fit_logistic(rows: DataFrame, features: list[str], label: str, *, l2: float
         LogisticRegression(featuresCol="_x", labelCol=label, weightCol="_weight", regParam=l2, standardization=False, maxIter=100),
     ]
     return Pipeline(stages=steps).fit(rows.withColumn("_weight", weight))
+
+
+def fit_multinomial(rows: DataFrame, vector: str, label: str, *, l2: float = 0.01):
+    """Multinomial logistic model with classes weighted by the inverse of their size."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StringIndexer
+
+    sizes = rows.groupBy(label).agg((F.lit(1.0) / F.count(F.lit(1))).alias("_weight"))
+    index = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="keep")
+    model = LogisticRegression(featuresCol=vector, labelCol="_label", weightCol="_weight", family="multinomial", regParam=l2, maxIter=50)
+    return Pipeline(stages=[index, model]).fit(rows.join(F.broadcast(sizes), label))
+
+
+def fit_text_forest(rows: DataFrame, text: str, label: str, *, n: int = 3, trees: int = 20, features: int = 4096, seed: int = 17):
+    """Random forest over hashed, IDF-weighted character n-grams."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer
+
+    steps = [
+        RegexTokenizer(inputCol=text, outputCol="_chars", pattern="", minTokenLength=1),
+        NGram(n=n, inputCol="_chars", outputCol="_grams"),
+        HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=features),
+        IDF(inputCol="_tf", outputCol="_x"),
+        RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=6, seed=seed),
+    ]
+    return Pipeline(stages=steps).fit(rows)
+
+
+def out_of_fold(rows: DataFrame, fold: str, folds: int, fit) -> DataFrame:
+    """Predictions for each row by a model that saw no row of its fold; ``fit(rows)`` gives a model."""
+    parts = [fit(rows.where(F.col(fold) != k)).transform(rows.where(F.col(fold) == k)) for k in range(folds)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

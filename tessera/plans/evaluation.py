@@ -379,3 +379,27 @@ def q58_guarded_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
         "gain": F.lit(0.1), "margin": F.col("m"),
     })
     return rows.select("query", decision.alias("decision"))
+
+
+@register()
+def q83_multinomial_out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label of every vector by a multinomial model of the other folds."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.col("label").cast("string").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("x"),
+        F.pmod(F.xxhash64("vec_id"), F.lit(3)).cast("int").alias("fold"),
+    )
+    out = statistics.out_of_fold(rows, "fold", 3, lambda part: statistics.fit_multinomial(part, "x", "label"))
+    return out.select("vec_id", "label", F.round(F.array_max(vector_to_array("probability")), 6).alias("confidence"))
+
+
+@register()
+def q84_text_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality probability of every labelled text by a forest over character n-grams."""
+    from pyspark.ml.functions import vector_to_array
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = table(spark, sf_dir, "labels").join(docs, "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("quality"))
+    model = statistics.fit_text_forest(rows, "text", "quality")
+    return model.transform(rows).select("doc_id", F.round(vector_to_array("probability")[1], 6).alias("probability"))
