@@ -1,17 +1,15 @@
 """Licence scan with a positional rare-token index, in built-in functions only.
 
 Licence templates are indexed by word: each word's postings name a template
-and the word's place in it. A text looks up its few licence words with the
-highest inverse document frequency, counted over the whole corpus; postings
-that agree on "place in text minus place in template" line a template up with
-the text. A line-up counts once the template's mandatory phrase stands where
-the template has it. Fixed phrases of the base rule are found at every place.
+and the word's place in it. A text looks up every licence word it holds, at
+every place; postings that agree on "place in text minus place in template"
+line a template up with the text. A line-up counts once the template's
+mandatory phrase stands where the template has it. Fixed phrases of the base
+rule are found at every place.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,49 +81,34 @@ def _slices(phrases: list[list[str]]) -> Column:
     return F.array(*(_array(p) for p in phrases))
 
 
-def licence_idf(documents: DataFrame, text_col: str = "text") -> dict[str, float]:
-    """Inverse document frequency of each indexed licence word over all texts.
-
-    The result has one entry per word of the fixed vocabulary, however large
-    the corpus.
-    """
-    found = F.array_intersect(words_of(F.coalesce(F.col(text_col).cast("string"), F.lit(""))), _array(LICENCE_WORDS))
-    counted = documents.select(F.explode(F.array_append(found, F.lit(""))).alias("word")).groupBy("word").count()
-    n = {r["word"]: r["count"] for r in counted.collect()}
-    return {w: math.log((1 + n.get("", 0)) / (1 + n.get(w, 0))) + 1 for w in LICENCE_WORDS}
-
-
-def scan_licenses(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rarest: int = 6, agree: int = 2) -> DataFrame:
+def scan_licenses(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", agree: int = 2) -> DataFrame:
     """One row per input row: counts, base phrase places, labels and score.
 
-    ``rarest`` licence words of a text are looked up; a template lines up when
+    Every indexed word of a text is looked up; a template lines up when
     ``agree`` of its postings (or all it has) give the same offset. ``score``
     is the largest share of a verified template's words that stand in place,
     1 where a base phrase is found, else 0. Null and empty texts have no words
     and no labels; null ids and repeated rows pass through; other columns are
     not read.
     """
-    idf = licence_idf(documents, text_col)
-    idf_map = F.create_map(*(x for w, v in idf.items() for x in (F.lit(w), F.lit(v))))
     rows = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     rows = rows.select("doc_id", words_of(F.col("_text")).alias("_words"))
     words = F.col("_words")
     rows = rows.withColumns(
         {f"_p{i}": phrase_places(words, phrase) for i, (phrase, _) in enumerate(PHRASES)} | {"_known": F.array_intersect(words, _array(LICENCE_WORDS))}
     )
-    # Look up: the rarest known words of this text, their places, and where postings put the templates.
-    ranked = F.sort_array(F.transform("_known", lambda w: F.struct((-F.element_at(idf_map, w)).alias("r"), w.alias("w"))))
-    rows = rows.withColumn("_rare", F.transform(F.slice(ranked, 1, rarest), lambda x: x["w"]))
-    places = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains("_rare", w), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+    # Look up: the known words of this text, their places, and where postings put the templates.
+    places = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*LICENCE_WORDS), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
     rows = rows.withColumn("_hits", F.when(F.size("_known") > 0, places).otherwise(F.array().cast("array<struct<w:string,i:int>>")))
     line_ups = F.flatten(
         F.transform("_hits", lambda h: F.transform(F.element_at(_postings(), h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("o"))))
     )
     rows = rows.withColumn("_ups", F.sort_array(line_ups))
-    # Equal line-ups are neighbours now: keep one of each that enough postings agree on.
+    # Equal line-ups are neighbours now: keep the first of each that enough postings agree on.
     enough = [min(agree, sum(w in LICENCE_WORDS for w in text.split())) for _, text, _ in TEMPLATES]
-    agreed = F.filter("_ups", lambda u, k: (u["o"] >= 0) & (F.coalesce(F.get("_ups", k + F.get(_array(enough), u["t"]) - F.lit(1)) == u, F.lit(False))))
-    rows = rows.withColumn("_agreed", F.array_distinct(agreed))
+    at = lambda k, u: F.coalesce(F.get("_ups", k) == u, F.lit(False))
+    agreed = F.filter("_ups", lambda u, k: (u["o"] >= 0) & ~at(k - F.lit(1), u) & at(k + F.get(_array(enough), u["t"]) - F.lit(1), u))
+    rows = rows.withColumn("_agreed", agreed)
     must = [phrase.split() for _, _, phrase in TEMPLATES]
     whole = [text.split() for _, text, _ in TEMPLATES]
     start = [_find(words, phrase) for words, phrase in zip(whole, must, strict=True)]

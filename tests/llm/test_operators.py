@@ -8,7 +8,7 @@ from conftest import LINE, ROWS, frame
 from tessera.llm import chat, packing, toxicity
 from tessera.llm.bpe import encode_documents
 from tessera.llm.exact_dedup import exact_groups, without_copies
-from tessera.llm.licenses import scan_licenses
+from tessera.llm.licenses import TEMPLATES, scan_licenses
 from tessera.llm.ngram_join import ngram_jaccard_components
 from tessera.llm.quality import quality_filter, quality_report
 from tessera.llm.queries import tokenizer_file
@@ -94,6 +94,16 @@ def test_license_templates_line_up(spark):
     assert sorted(row)[0].score == 1.0
 
 
+def test_license_notices_together(spark):
+    from itertools import combinations
+
+    notices = {label: text for label, text, _ in TEMPLATES if label in ("lgpl", "bsd", "mpl", "isc", "unlicense")}
+    sets = [c for n in (2, 3, 5) for c in combinations(sorted(notices), n)]
+    rows = [(i, " prose ".join(notices[x] for x in c) + " granted hereby charge lesser modification attribution" * 3, "a") for i, c in enumerate(sets)]
+    got = {r.doc_id: r.labels for r in scan_licenses(frame(spark, rows)).collect()}
+    assert got == {i: ",".join(c) for i, c in enumerate(sets)}
+
+
 def test_quality(awkward, nothing):
     assert quality_report(nothing).count() == 0
     assert quality_filter(nothing).count() == 0
