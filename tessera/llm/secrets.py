@@ -22,17 +22,31 @@ BASE = (
     ("hex", r"[0-9a-f]{32,}", 32),
 )
 
-# Further credential forms in public use.
+# A private key block. Group 1 is its body: all up to the END line if no other marker comes first,
+# else header fields, long base64 runs, lines of base64 alone and a padded last run.
+_GAP, _LINE = r"(?:\s|\\[nrt])*+", r"(?:(?:\r?\n|\\r\\n|\\n)[ \t]*+)"
+_END = r"-----END [A-Z ]*PRIVATE KEY-----"
+PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    rf"([^-]*+(?:-(?!----)[^-]*+)*+(?={_END})"
+    rf"|(?:{_GAP}(?:Proc-Type|DEK-Info): (?:(?!\\[nr])\S)++)*+"
+    rf"(?:{_GAP}[A-Za-z0-9+/=]{{20,}}+|{_LINE}[A-Za-z0-9+/=]++(?=[ \t]*+(?:\r?\n|\\[nr]|\z))|{_GAP}[A-Za-z0-9+/]++={{1,2}}+)*+)"
+    rf"(?:{_END})?"
+)
+
+# Further credential forms in public use, pattern and the group that is the value.
 MORE = (
-    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
-    ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    ("google", r"AIza[0-9A-Za-z_-]{35}"),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0),
+    ("google", r"AIza[0-9A-Za-z_-]{35}", 0),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0),
+    ("pem", PEM, 1),
 )
 
-KINDS = tuple(k for k, *_ in BASE) + tuple(k for k, _ in MORE)
+KINDS = tuple(k for k, *_ in BASE) + tuple(k for k, *_ in MORE)
 EXAMPLE = r"(?i)example|changeme|placeholder|your[_-]|xxxx|dummy|sample|12345678"
+# Key bodies are long: four letters x stand in some by chance. Blanks and dashes are out of them by then.
+PEM_EXAMPLE = EXAMPLE.replace("xxxx", "x{8}").replace("your[_-]", "your(?:private|secret)?key")
 
 
 def _spans(text: Column, order: int, pattern: str, value_group: int) -> Column:
@@ -61,17 +75,27 @@ def _at_least(n: int):
     return lambda s: F.length(s["value"]) >= n
 
 
+def _key_body(value: Column) -> Column:
+    """The base64 letters of a key, so that copies with other line ends or indents are equal."""
+    return F.regexp_replace(value, r"\\[nrt]|[^A-Za-z0-9+/=]", "")
+
+
 def candidate_spans(text: Column) -> Column:
     """All spans of all kinds that pass their length test, by start and then kind."""
     parts = []
     for order, (kind, pattern, least) in enumerate(BASE):
         spans = _spans(text, order, pattern, 1 if kind == "assign" else 0)
         parts.append(F.filter(spans, _at_least(least)))
-    for order, (_, pattern) in enumerate(MORE, len(BASE)):
-        parts.append(_spans(text, order, pattern, 0))
+    for order, (kind, pattern, group) in enumerate(MORE, len(BASE)):
+        spans = _spans(text, order, pattern, group)
+        parts.append(F.transform(spans, lambda s: s.withField("value", _key_body(s["value"]))) if kind == "pem" else spans)
     return F.sort_array(F.concat(*parts))
 
 
+def _is_example(s: Column) -> Column:
+    return F.when(s["order"] == KINDS.index("pem"), s["value"].rlike(PEM_EXAMPLE)).otherwise(s["value"].rlike(EXAMPLE))
+
+
 def _joined(spans: Column) -> Column:
     kinds = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["order"]), s["start"], s["end"])), ",")
@@ -97,7 +121,7 @@ def found_secrets(
         F.monotonically_increasing_id().alias("row"),
         "doc_id", "owner", "repo", "text_key",
         F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["order"].alias("order"),
-                                                F.sha2(s["value"], 256).alias("hash"), s["value"].rlike(EXAMPLE).alias("example"))).alias("found"),
+                                                F.sha2(s["value"], 256).alias("hash"), _is_example(s).alias("example"))).alias("found"),
     )
     rows = materialize(rows, "secret-candidates")
     each = rows.select("row", "owner", "repo", F.explode("found").alias("s")).select("row", "owner", "repo", "s.*")

@@ -77,6 +77,31 @@ def test_secrets_by_ownership(spark):
     assert got[0] == "" and got[9].startswith("github:0:")
 
 
+def test_private_key_blocks(spark):
+    body = {k: [brute.sha(f"{k}{i}")[:64].upper().replace("A", "a/") for i in range(5)] + [f"{k}Q=="] for k in "abcdefg"}
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    block = lambda k, sep="\n": sep.join([head, *body[k], end])
+    cut = "\n".join([head, *body["d"]])
+    rows = [
+        (1, f"x {block('a')} y", "s1"), (2, f"x {block('b')} y", "s2"),
+        (3, block("c"), "s3"), (4, block("c", "\r\n  "), "s4"), (5, f"k = '{block('c', chr(92) + 'n')}'", "s5"),  # one key, copied
+        (6, f"{cut}\n\nprose goes on, see {block('e')} end", "s6"),
+        (7, f"say {head} in a text", "s7"), (8, f"{head} here too", "s8"),
+        (9, f"{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n" + "\n".join(body["f"]), "s9"),
+        (10, f"{head} {' '.join(body['g'])} and prose - with ----- marks", "s10"),
+        (11, f"{head}\nxXxX{''.join(body['a'])}\n{end}", "s11"), (12, f"{head}\nyour-key-here\n{end}", "s12"),
+        (13, head + "\n" + "- a - b " * 30_000, "s13"), (14, head + "\n" + "qR7/" * 100_000 + "\n" + end, "s14"),
+    ]
+    clean = {r.doc_id: r.text for r in redacted(frame(spark, rows)).collect()}
+    mark = "[REDACTED]"
+    assert clean[1] == clean[2] == f"x {mark} y"
+    assert [clean[i] for i in (3, 4, 5, 7, 8, 12)] == [rows[i - 1][1] for i in (3, 4, 5, 7, 8, 12)]
+    assert clean[6] == f"{mark}\n\nprose goes on, see {mark} end"
+    assert clean[9] == mark and clean[10] == f"{mark} and prose - with ----- marks" and clean[11] == clean[14] == mark
+    spans = {r.doc_id: r.spans for r in secret_report(frame(spark, rows)).collect()}
+    assert spans[1] == f"pem:2:{2 + len(block('a'))}"
+
+
 def test_licenses(awkward, nothing):
     assert scan_licenses(nothing).count() == 0
     rows = scan_licenses(awkward).collect()
