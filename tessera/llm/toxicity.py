@@ -19,6 +19,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPAN, DECAY, LETTERS, LONGEST = 7, 0.75, 32, 48
+WIDTHS = (8, 12, 16, 24, 48, 96)  # of the windows of tokens longer than 2 * LONGEST
 TRIPLES = [(i, i + a, i + a + b) for i in range(1) for a in range(1, SPAN) for b in range(1, SPAN - a)]
 
 _spelled = re.compile(r"(?:(?<=\s)|^)[^\W\d_](?:[\s.*_-]{1,3}[^\W\d_]){3,}(?=\s|$|[.,!?])")
@@ -33,10 +35,27 @@ _not_letter = re.compile(r"[\W\d_]+")
 _sentence = re.compile(r"[.!?\n]+")
 
 
-def unit(token: str) -> str:
-    """The letters of a token, at most the first and last ``LONGEST`` joined."""
+def windows(word: str) -> Iterator[str]:
+    """``word``, or if it is long its windows of several widths, each overlapping the next by three quarters.
+
+    Any run of at most ``LONGEST`` letters lies whole in a window, and a short
+    run in a short window, so that it is not lost among the letters around it.
+    """
+    if len(word) <= 2 * LONGEST:
+        yield word
+        return
+    for width in WIDTHS:
+        yield from (word[a : a + width] for a in range(0, len(word) - width * 3 // 4, width // 4))
+
+
+def units(token: str) -> Iterator[str]:
+    """What a token is scored by: its letters; of a long token all windows of them, and its pieces between other characters."""
     word = _not_letter.sub("", token)
-    return word if len(word) <= 2 * LONGEST else word[:LONGEST] + word[-LONGEST:]
+    yield from windows(word)
+    if len(word) > 2 * LONGEST:
+        for piece in _not_letter.split(token):
+            if len(piece) < len(word):
+                yield from windows(piece)
 
 
 def tokens(text: str) -> set[str]:
@@ -83,9 +102,10 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
     groups = defaultdict(list)
     for i, w in enumerate(words):
         groups[-(-len(w) // 4)].append(i)
-    for places in groups.values():
-        for a in range(0, len(places), 20_000):
-            part = places[a : a + 20_000]
+    for size, places in groups.items():
+        block = min(20_000, 80_000 // max(size, 1))
+        for a in range(0, len(places), block):
+            part = places[a : a + block]
             yield np.array(part), [words[i] for i in part]
 
 
@@ -165,8 +185,8 @@ def train(texts: list[str], labels: list[int], *, landmarks: int = 128, negative
     rng = np.random.default_rng(seed)
     # Sentences of toxic texts are bags whose witness is sought; those of clean texts are all negative.
     same: dict[str, str] = {}  # one string per distinct word
-    units = lambda part: tuple({same.setdefault(u, u) for u in map(unit, tokens(part)) if len(u) > 2})
-    bags = [[s for s in map(units, _sentence.split(text)) if s] for text in texts]
+    words_in = lambda part: tuple({same.setdefault(u, u) for t in tokens(part) for u in units(t) if len(u) > 2})
+    bags = [[s for s in map(words_in, _sentence.split(text)) if s] for text in texts]
     whole = [tuple({w for s in b for w in s}) for b in bags]
     del same
     rated = _suspicion(whole, toxic)
@@ -247,7 +267,10 @@ def worst_words(model: Model, bags: list[set[str]], known: dict[str, float], lim
             known.clear()
         fresh = list({t for bag in part for t in bag if t not in known})
         if fresh:
-            known.update(zip(fresh, model.decide([unit(t) for t in fresh]).tolist(), strict=True))
+            each = ((t, u) for t in fresh for u in units(t))
+            while block := list(islice(each, 100_000)):
+                for (t, _), v in zip(block, model.decide([u for _, u in block]).tolist(), strict=True):
+                    known[t] = max(known.get(t, v), v)
         for i, bag in enumerate(part, a):
             if bag:
                 out[i] = max(map(known.__getitem__, bag))

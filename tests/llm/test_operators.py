@@ -284,3 +284,23 @@ def test_toxicity(spark, nothing, awkward):
     assert len(edge) == len(ROWS) and all(0 <= r.score <= 1 for r in edge)
     assert toxicity.score_toxicity(nothing, model).count() == 0
     assert toxicity.train(["a b"], [0]).probability(np.array([0.0]))[0] < 0.5
+
+
+def test_toxicity_in_long_tokens():
+    rng = np.random.default_rng(5)
+    syllables = ["an", "the", "or", "in", "re", "st", "ou", "ha"]
+    word = lambda: "".join(rng.choice(syllables, rng.integers(1, 4)))
+    rows = [[word() for _ in range(40)] for _ in range(160)]
+    for i in range(0, 160, 3):
+        rows[i].insert(20, ["idiot", "moron", "scumbag"][i % 9 // 3])
+    model = toxicity.train([" ".join(w) for w in rows], [int(i % 3 == 0) for i in range(160)])
+    probe = lambda w: float(model.probability(toxicity.worst_words(model, [toxicity.tokens(w)], {}))[0])
+    clean = [word() for _ in range(100)]
+    for mark in (".", "/", ",", "_", ""):
+        for at in (30, 50, 71):
+            assert probe(mark.join(clean[:at] + ["idiot"] + clean[at:])) > 0.7
+        assert probe(mark.join(clean)) < 0.7
+    assert probe("\u6f22\u5b57" * 300 + "scumbag" + "\u6f22\u5b57" * 301) > 0.7 > probe("\u6f22\u5b57" * 600)
+    run = "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 500)))
+    for k in (7, 40, 48):  # whole in some window, wherever it stands
+        assert all(any(run[a : a + k] in w for w in toxicity.units(run)) for a in range(len(run) - k + 1))
