@@ -40,14 +40,14 @@ def mean_pooled(chunks: DataFrame, group_col: str, vector_col: str) -> DataFrame
     return lists.select("item", l2_normalized(F.col("v")).alias("v"))
 
 
-def sign_hash(vector, bits: int = 60):
+def sign_hash(vector, bits: int = 64):
     """Number whose bit i says whether component i is positive."""
-    powers = F.array(*(F.lit(1 << i).cast("long") for i in range(bits)))
+    powers = F.array(*(F.shiftleft(F.lit(1).cast("long"), i) for i in range(bits)))
     parts = F.transform(F.slice(vector, 1, bits), lambda x, i: F.when(x > 0, F.get(powers, i)).otherwise(F.lit(0).cast("long")))
     return F.aggregate(parts, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def near_hashes(hashes: DataFrame, distance: int, *, bits: int = 60) -> DataFrame:
+def near_hashes(hashes: DataFrame, distance: int, *, bits: int = 64) -> DataFrame:
     """Pairs (a, b, distance) of items whose hashes differ in at most ``distance`` bits.
 
     The bits are cut into ``distance + 1`` blocks; close hashes agree on one of
@@ -56,7 +56,7 @@ def near_hashes(hashes: DataFrame, distance: int, *, bits: int = 60) -> DataFram
     """
     blocks = distance + 1
     width = -(-bits // blocks)
-    keys = F.array(*(F.struct(F.lit(i).alias("block"), F.shiftright(F.col("h"), i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("value")) for i in range(blocks)))
+    keys = F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.col("h"), i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("value")) for i in range(blocks)))
     each = hashes.select("item", "h", F.explode(keys).alias("key"))
     a = each.select(F.col("item").alias("a"), F.col("h").alias("ha"), "key")
     b = each.select(F.col("item").alias("b"), F.col("h").alias("hb"), "key")

@@ -304,7 +304,7 @@ WITH e AS (SELECT vec_id AS item, list_sum(list_transform(range(1, 61), lambda i
 SELECT a.item AS a, b.item AS b, CAST(bit_count(xor(a.h, b.h)) AS BIGINT) AS distance FROM e a JOIN e b ON a.item < b.item AND bit_count(xor(a.h, b.h)) <= 5
 """)
 def q21_near_duplicate_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vector pairs whose 60-bit sign hashes differ in at most five bits."""
+    """Vector pairs whose 64-bit sign hashes differ in at most five bits."""
     hashes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), vectors.sign_hash(F.col("embedding")).alias("h"))
     return vectors.near_hashes(hashes, 5)
 

@@ -59,6 +59,17 @@ def test_vectors(spark):
     assert {(r.a, r.b) for r in got.collect()} == want
 
 
+def test_sign_hash_counts_every_component(spark):
+    rng = random.Random(9)
+    base = [rng.choice((-1.0, 1.0)) for _ in range(64)]
+    flipped = lambda places: [-x if i in places else x for i, x in enumerate(base)]
+    rows = [(0, base), (1, flipped({60, 61, 62, 63})), (2, flipped({0, 1, 2, 60, 61, 63})), (3, flipped({5, 63}))]
+    frame = spark.createDataFrame(rows, "item long, v array<double>")
+    got = vectors.near_hashes(frame.select("item", vectors.sign_hash(F.col("v")).alias("h")), 5)
+    want = {(a, b, n) for a, x in rows for b, y in rows if a < b and (n := sum(p != q for p, q in zip(x, y))) <= 5}
+    assert {tuple(r) for r in got.collect()} == want
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
