@@ -3,18 +3,23 @@
 An operator that needs an intermediate result twice, or that iterates, writes
 it here as Parquet and reads it back. That cuts the lineage in a way that
 survives the loss of any executor, unlike cached or locally checkpointed rows.
+
+The shuffle files of a written step are dropped as soon as it is done, and
+tables that later steps no longer read can be discarded. What a lazy result
+still reads stays until the application ends, when its folder is deleted.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _fallback: dict[str, str] = {}
+_folders: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -30,22 +35,44 @@ def shared_root(spark: SparkSession) -> str:
     return _fallback[key]
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a working table and return a DataFrame that reads it."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/tessera/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _path(spark: SparkSession, path: str):
+    """The Hadoop path and the file system that holds it."""
+    made = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return made.getFileSystem(spark._jsc.hadoopConfiguration()), made
+
 
+def application_folder(spark: SparkSession) -> str:
+    """This application's folder under the shared root; its file system deletes it on exit."""
+    folder = f"{shared_root(spark)}/tessera/{spark.sparkContext.applicationId}"
+    if _folders.get(folder) is None:
+        system, path = _path(spark, folder)
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _folders[folder] = folder
+    return folder
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished steps.
 
-    Spark deletes a shuffle's files once the driver's JVM has collected its
-    handle; long multi-step operators ask for that after each written step.
-    The first collection only frees what the handles hang on, so it takes two.
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as a working table and return a DataFrame that reads it.
+
+    The write's own shuffle files are removed when it ends: nothing else reads
+    them, as the returned DataFrame starts from the table.
     """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    spark = df.sparkSession
+    path = f"{application_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.working_path = path
+    return read
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete working tables; only for those that no DataFrame still in use reads."""
+    for table in tables:
+        system, path = _path(table.sparkSession, table.working_path)
+        system.delete(path, True)
