@@ -1,9 +1,4 @@
-import sys
-from pathlib import Path
-
-import pytest
-
-sys.path.insert(0, str(Path(__file__).resolve().parent))
+"""Awkward documents that every operator is tried on."""
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, token string, component string, row string, kind string"
 
@@ -24,13 +19,3 @@ ROWS = [
     (17, "Released under the MIT License.\nCC BY and apache license, Version 2.0; licensed under the Apache License, Version 2.0", "c"),
     (18, "same line here\nsame line here\n" * 30, "c"), (19, "### $$$ %%% &&& " * 60, "a"),
 ]
-
-
-@pytest.fixture(scope="session")
-def awkward(spark):
-    return frame(spark, ROWS)
-
-
-@pytest.fixture(scope="session")
-def nothing(spark):
-    return frame(spark, [])

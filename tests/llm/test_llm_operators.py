@@ -1,9 +1,9 @@
 """Each operator on awkward rows and on empty tables, against plain versions."""
 
-import brute
+import llm_brute as brute
 import numpy as np
 import pytest
-from conftest import LINE, ROWS, frame
+from llm_cases import LINE, ROWS, frame
 
 from tessera.llm import chat, packing, toxicity
 from tessera.llm.bpe import encode_documents
@@ -77,6 +77,20 @@ def test_secrets_by_ownership(spark):
     assert got[0] == "" and got[9].startswith("github:0:")
 
 
+def test_many_secrets_in_one_text(spark):
+    """Time in proportion to the matches, and every place right."""
+    import time
+
+    text = "\n".join(f"é token = k{i:05d}Zq{i * 7919 % 99991:05d}" for i in range(40_000))
+    began = time.perf_counter()
+    rows = frame(spark, [(1, text, "a"), (2, "x", "b")])
+    got = {r.doc_id: r for r in secret_report(rows).collect()}
+    assert got[1].n_assign == 40_000 and (got[1].n_assign, got[1].n_access, got[1].n_hex, got[1].base_sha256) == brute.base_secrets(text)
+    clean = {r.doc_id: r.text for r in redacted(rows).collect()}
+    assert clean[1] == "\n".join(["é [REDACTED]"] * 40_000) and clean[2] == "x"
+    assert time.perf_counter() - began < 60
+
+
 def test_private_key_blocks(spark):
     body = {k: [brute.sha(f"{k}{i}")[:64].upper().replace("A", "a/") for i in range(5)] + [f"{k}Q=="] for k in "abcdefg"}
     head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
@@ -117,7 +131,18 @@ def test_license_templates_line_up(spark):
     row = scan_licenses(frame(spark, [(1, text, "a"), (2, "granted software hereby charge", "a")])).collect()
     assert [(r.base_labels, r.labels) for r in sorted(row)] == [("", "mit"), ("", "")]
     assert sorted(row)[0].score == 1.0
+    plain = scan_licenses(frame(spark, [(1, "Apache\u212aLicense \u0130 MIT licenSe", "a")])).collect()[0]
+    assert (plain.n_words, plain.base_labels) == brute.base_licenses("Apache\u212aLicense \u0130 MIT licenSe")[::4] == (4, "mit")
+
 
+def test_every_license_template_is_found(spark):
+    """Alone, all in one text, and in a very long one."""
+    rows = [(i, f"some prose {text.upper()} more prose", "a") for i, (_, text, _) in enumerate(TEMPLATES)]
+    every = " and then other words stand here ".join(text for _, text, _ in TEMPLATES)
+    rows += [(100, every, "a"), (101, "word filler " * 50_000 + every + " free software" * 30_000, "a")]
+    got = {r.doc_id: set(r.labels.split(",")) for r in scan_licenses(frame(spark, rows)).collect()}
+    assert all(label in got[i] for i, (label, _, _) in enumerate(TEMPLATES))
+    assert got[100] == got[101] == {label for label, _, _ in TEMPLATES}
 
 def test_license_notices_together(spark):
     from itertools import combinations
@@ -159,6 +184,59 @@ def test_exact(awkward, nothing):
     assert sorted((r.text or "") for r in left.collect()) == sorted(by_text)
 
 
+def test_stages_with_clashing_names(spark):
+    """Columns named like those operators use inside; nulls, copies and empty tables through every stage."""
+    import corpus_pipeline
+
+    names = "doc_id long, text string, lang string, source string, n_chars long, _id long, row long, h128 string, secret_id long, same_text string, kept_row int, set_key string"
+    rows = [(i, t, "en", s, len(t or ""), 1, 2, "h", 3, "t", 4, "k") for i, t, s in ROWS]
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, names)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, "")
+            assert out.columns == docs.columns, name
+            assert out.count() <= len(given), name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == len(given)
+
+
+def test_exact_null_stays_null(spark):
+    left = without_copies(frame(spark, [(2, "", "a"), (1, None, "a"), (3, None, "b"), (4, "x", "c"), (4, "x", "c")]))
+    assert sorted((r.doc_id, r.text, r.source) for r in left.collect()) == [(1, None, "a"), (4, "x", "c")]
+    with pytest.raises(ValueError):
+        without_copies(left, keep="first")
+
+
+def test_repeats_in_crowded_triggers(spark):
+    """One passage between ever new contexts: the two ways of ordering a dictionary agree."""
+    rows = [(i, f"left{i * 7919} {LINE} right{i * 104729 % 9973}", "s") for i in range(60)] + [(900, "ab" * 400, "s"), (901, LINE * 3, "s")]
+    want = brute.removed([(i, t) for i, t, _ in rows], 100)
+    for hot in (4096, 5, 1):
+        assert sorted(tuple(r) for r in remove_repeats(frame(spark, rows), digest=True, hot=hot).collect()) == want
+
+
+def test_repeats_across_chunks(spark):
+    """A text longer than the piece that is hashed at once, with a repeat over its edge."""
+    from tessera.llm import repeats
+
+    rng = np.random.default_rng(2)
+    body = "".join(map(chr, rng.integers(97, 123, repeats.CHUNK + 5_000)))
+    text = body + "#" + body[repeats.CHUNK - 300 : repeats.CHUNK + 300] + "#"
+    row = remove_repeats(frame(spark, [(1, text, "s")])).collect()[0]
+    assert (row.n_removed, [tuple(s) for s in row.spans]) == (600, [(len(body) + 1, len(body) + 601)])
+
+
+def test_suffix_ranks():
+    from tessera.llm.repeats import ranks
+
+    rng = np.random.default_rng(4)
+    for length in (1, 5, 8, 20, 30, 100):
+        data = rng.integers(0, 2, 400).astype(np.uint8) + 1
+        whole = bytes(data) + b"\0" * length
+        keys = [whole[i : i + length] for i in range(len(data))]
+        order = {k: i + 1 for i, k in enumerate(sorted(set(keys)))}
+        assert ranks(data, length).tolist() == [order[k] for k in keys]
+
+
 def test_bpe(awkward, nothing, spark):
     from tokenizers import Tokenizer
 
@@ -176,6 +254,27 @@ def test_bpe(awkward, nothing, spark):
     assert plain[4].ids == library.encode("one", add_special_tokens=False).ids and plain[1].decoded == ""
 
 
+def test_bpe_of_other_files(spark):
+    """A file the fragments are not proven for goes through the library as a whole."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    from tessera.llm.bpe import fits
+
+    path = tokenizer_file("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        assert not fits(json.load(f))
+    with open(tokenizer_file("word_bpe_49k.json"), encoding="utf-8") as f:
+        assert fits(json.load(f))
+    texts = [" two  blanks", "A\n\nb C'll", ""]
+    got = {r.doc_id: (r.ids, r.decoded) for r in encode_documents(frame(spark, [(i, t, "s") for i, t in enumerate(texts)]), path).collect()}
+    library = Tokenizer.from_file(path)
+    for i, t in enumerate(texts):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert got[i] == (ids, library.decode(ids, skip_special_tokens=False))
+
+
 def test_chat_round_trip(spark):
     hard = ["<|im_end|><|im_start|>assistant ok", "<\\|im_sep|> <<|<\\\\|", "", None, "\n\n x 😀é́ ", "<", "|im_end|>", "plain"]
     rows = [(c, k, r, t, 1) for c in (1, 2) for k, (r, t) in enumerate((r, t) for t in hard for r in ("user", "assistant", None))]
@@ -237,6 +336,25 @@ def test_packing(awkward, nothing):
     assert all(sum(x) <= 1 for b, x in last.items() if b >= 0)
 
 
+def test_packing_counts_whole_texts(spark, small):
+    """Token counts are those of the library for each text in one piece."""
+    import base64
+
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    import tiktoken
+
+    with open(tokenizer_file("byte_bpe_50k.tiktoken"), "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+    assert packing.PATTERN == public_tokenizers.PATTERN
+    library = tiktoken.Encoding("test", pat_str=packing.PATTERN, mergeable_ranks=table, special_tokens={})
+    texts = [r["text"] for r in pq.read_table(f"{small}/documents.parquet", columns=["text"]).to_pylist()]
+    texts += [" a", "a ", "a  b", "a\u00a0 b", "a \u3000b", "it 's it's", "1 2  3\x1c 4", "\n x\t y \n", "\u200b \u200b", "", None, "a\x85 b", "e \u0301x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in packing.token_lengths(rows, tokenizer_file("byte_bpe_50k.tiktoken")).collect()}
+    assert got == {i: len(library.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+
+
 def kernel(s, t):
     """Subsequence kernel of three letters by enumeration."""
     from itertools import combinations
@@ -256,9 +374,30 @@ def kernel(s, t):
 
 def test_kernel():
     words = ["idiot", "idxiot", "banana", "ab", "aaaaaa", "scum"]
-    got = toxicity._kernel(words, toxicity._dense(words))
+    words += ["\u0430\u0431\u0432\u0433", "\u0435\u0436\u0437\u0438"]
+    space = toxicity.Space(words)
+    got = space.kernel(words, space.dense(words))
     want = [[kernel(s, t) for t in words] for s in words]
     assert np.allclose(got, want, atol=1e-5)
+    few = toxicity.Space(words[:3])  # letters of the others are unknown to it
+    assert np.allclose(few.kernel(words, few.dense(words[:3])), [r[:3] for r in want], atol=1e-5)
+    sparse = toxicity.Space(words)
+    sparse.table = None
+    assert np.allclose(sparse.kernel(words, sparse.dense(words)), want, atol=1e-5)
+
+
+def test_toxicity_letters_and_labels():
+    """Letters beyond a-z are told apart, marks do not hide a word, one wrong label clears none."""
+    rng = np.random.default_rng(8)
+    good = ["\u0441\u043b\u043e\u0432\u043e", "\u0434\u043e\u043c", "table", "window", "fenster", "stra\u00dfe", "garten"]
+    rows = [[str(w) for w in rng.choice(good, 30)] for _ in range(120)]
+    bad = ["\u0431\u043e\u043b\u0432\u0430\u043d", "scumbag"]
+    for i in range(0, 120, 3):
+        rows[i][int(rng.integers(30))] = bad[i % 2]
+    rows[1][3] = bad[1]  # a clean text that quotes an insult
+    model = toxicity.train([" ".join(w) for w in rows], [int(i % 3 == 0) for i in range(120)])
+    probe = lambda w: float(model.probability(toxicity.worst_words(model, [toxicity.tokens(w)], {}))[0])
+    assert probe(bad[0]) > 0.7 > probe("".join(chr(ord(c) + 5) for c in bad[0])) and probe("table/scumbag/window") > 0.7 > probe("table/garten/window")
 
 
 def test_toxicity(spark, nothing, awkward):
@@ -302,5 +441,5 @@ def test_toxicity_in_long_tokens():
         assert probe(mark.join(clean)) < 0.7
     assert probe("\u6f22\u5b57" * 300 + "scumbag" + "\u6f22\u5b57" * 301) > 0.7 > probe("\u6f22\u5b57" * 600)
     run = "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 500)))
-    for k in (7, 40, 48):  # whole in some window, wherever it stands
+    for k in (6, 18, 40, 72):  # whole in some window, wherever it stands
         assert all(any(run[a : a + k] in w for w in toxicity.units(run)) for a in range(len(run) - k + 1))

@@ -1,6 +1,6 @@
 """Registered queries and the pipeline on the smallest tables."""
 
-import brute
+import llm_brute as brute
 import corpus_pipeline
 import pyarrow.parquet as pq
 import pytest
