@@ -3,22 +3,33 @@
 Every byte covered by a ``length``-byte string that also starts earlier in the
 corpus (smaller id, or same document and earlier start) is removed.
 
-**Parse.** A rolling hash runs over ``gram``-byte strings. In each window of
+**Phrases.** A rolling hash runs over ``gram``-byte strings. In each window of
 ``length`` bytes the smallest hash is a trigger, so equal windows have equal
 triggers at equal distance and no gap can be longer than a window. All windows
-with the same trigger form a phrase: the text is a sequence of overlapping
-phrases, each about a hundred bytes, whatever repeats in it.
+with the same trigger form a phrase: the text is a sequence of phrases of at
+most ``2 * length - gram`` bytes, each overlapping the next by a window less a byte.
 
-**Dictionary and corpus order.** Phrases are sorted by trigger, content and
-place, which is the suffix order of the parse cut off at one phrase. Equal
-neighbours are copies of one dictionary phrase: all but the first in corpus
-order start earlier elsewhere as a whole. Only dictionary phrases that share a
+**Suffix order of the parse.** Phrases are sorted by trigger, content and
+place. As neighbouring phrases overlap by all that a window can reach beyond
+one of them, suffixes of the parse need to be told apart by their first phrase
+only; equal neighbours in that order are copies of one dictionary phrase, and
+all but the first in corpus order start earlier elsewhere as a whole.
+
+**Suffix arrays of the dictionary.** Only dictionary phrases that share a
 trigger with a different phrase can hold a window that also stands in another
-phrase; the windows of those alone are sorted by content, which orders the
-dictionary's suffixes to depth ``length``. The first of equal windows in corpus
-order stays, the others are covered. Each task marks the copies among its own
-rows before the shuffle and deals them out evenly, so a passage that a third of
-all documents share sends one row per task to its place in the order.
+phrase. Their bytes are dealt out by trigger, and each task builds the suffix
+array of its part of the dictionary by prefix tripling, cut off at depth
+``length``: suffixes with the same rank begin with the same window.
+
+**Corpus order.** Ranks and places combine: of the suffixes of one rank the
+first in corpus order stays, the others are covered. Triggers with more than
+``hot`` different phrases (contexts of one passage that very many documents
+share) would all meet in one task; the windows of those are dealt out by their
+fingerprint instead and sorted by it.
+
+Each task marks the copies among its own rows before a shuffle and deals them
+out evenly, so a passage that a third of all documents share sends one row per
+task to its place in the order.
 """
 
 from __future__ import annotations
@@ -31,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.workspace import materialize, release_shuffles
+from tessera.sources.workspace import materialize
 
 CHUNK = 1 << 20  # bytes hashed at once
 
@@ -154,18 +165,19 @@ COPY, FIRST = 1, 0
 HELD = 1_000_000  # rows a task holds back to find copies among them
 
 
-def later(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Which rows have the key of a row at an earlier place."""
+def later(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which rows have both hashes of a row at an earlier place."""
+    key = h1 ^ (h2 * np.uint64(0x9E3779B97F4A7C15))
     _, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
     some = np.flatnonzero(n[inverse] > 1)
-    order = some[np.lexsort((at[some], doc[some], key[some]))]
+    order = some[np.lexsort((at[some], doc[some], h2[some], h1[some]))]
     same = np.zeros(len(order), dtype=bool)
-    k, d, a = key[order], doc[order], at[order]
-    same[1:] = k[1:] == k[:-1]
+    k1, k2, d, a = h1[order], h2[order], doc[order], at[order]
+    same[1:] = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
     # Rows at the very place of the first are that row again, not a later one.
     start = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
     same &= (d != d[start]) | (a != a[start])
-    out = np.zeros(len(key), dtype=bool)
+    out = np.zeros(len(h1), dtype=bool)
     out[order[same]] = True
     return out
 
@@ -184,7 +196,7 @@ class _Rows:
     def batch(self) -> pa.RecordBatch:
         h1, h2, doc, at, n = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
-        copy = later(h1 ^ (h2 * np.uint64(0x9E3779B97F4A7C15)), doc, at)
+        copy = later(h1, h2, doc, at)
         where = np.where(copy, (doc * np.int64(1_000_003) + at) * np.int64(2_654_435_761), h1.view(np.int64))
         columns = (where, copy.astype(np.int32), h1.view(np.int64), h2.view(np.int64), doc, at, n.astype(np.int32))
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["place_by", "kind", "h1", "h2", "doc_id", "at", "windows"])
@@ -245,19 +257,21 @@ def _group(batches: Iterator[pa.RecordBatch], by_first: bool) -> Iterator[pa.Rec
 
     Rows of equal hashes after the first are copies. With ``by_first``, the
     first rows of each first hash that has several second hashes are given as
-    well. One row is carried over from batch to batch, however many rows a
+    well, with that hash as their trigger. One row is carried over from batch to batch, however many rows a
     hash has.
     """
     held = None  # (h1, h2, doc, at, windows, given already)
     names = ("h1", "h2", "doc_id", "at", "windows")
-    made = lambda kind, d, a, n: pa.RecordBatch.from_arrays(
-        [pa.array(kind, pa.int32()), pa.array(d, pa.int64()), pa.array(a, pa.int64()), pa.array(n, pa.int32())], names=["kind", "doc_id", "at", "windows"]
+    made = lambda kind, h, d, a, n: pa.RecordBatch.from_arrays(
+        [pa.array(kind, pa.int32()), pa.array(h, pa.int64()), pa.array(d, pa.int64()), pa.array(a, pa.int64()), pa.array(n, pa.int32())],
+        names=["kind", "trigger", "doc_id", "at", "windows"],
     )
     for batch in batches:
         kind = batch.column("kind").to_numpy()
         ready = kind == COPY
         h1, h2, doc, at, n = (batch.column(c).to_numpy() for c in names)
-        out = [(np.full(int(ready.sum()), COPY), doc[ready], at[ready], n[ready])]
+        none = lambda k: np.zeros(int(k.sum()), dtype=np.int64)
+        out = [(np.full(int(ready.sum()), COPY), none(ready), doc[ready], at[ready], n[ready])]
         h1, h2, doc, at, n = (x[~ready] for x in (h1, h2, doc, at, n))
         if len(h1):
             given = np.zeros(len(h1) + (held is not None), dtype=bool)
@@ -269,18 +283,108 @@ def _group(batches: Iterator[pa.RecordBatch], by_first: bool) -> Iterator[pa.Rec
             new2[1:] = new1[1:] | (h2[1:] != h2[:-1])
             first = np.maximum.accumulate(np.where(new2, np.arange(len(h1)), 0))
             copy = ~new2 & ((doc != doc[first]) | (at != at[first]))
-            out.append((np.full(int(copy.sum()), COPY), doc[copy], at[copy], n[copy]))
+            out.append((np.full(int(copy.sum()), COPY), none(copy), doc[copy], at[copy], n[copy]))
             group = np.cumsum(new1) - 1
             several = np.bincount(group, weights=new2) > 1
             several[0] |= bool(given[0])
             if by_first:
                 open_ = new2 & several[group] & ~given
-                out.append((np.full(int(open_.sum()), FIRST), doc[open_], at[open_], n[open_]))
+                out.append((np.full(int(open_.sum()), FIRST), h1[open_], doc[open_], at[open_], n[open_]))
             k = first[-1]
             held = (h1[k], h2[k], doc[k], at[k], n[k], bool(several[group[-1]]))
         yield made(*(np.concatenate(c) for c in zip(*out, strict=True)))
 
 
+def ranks(data: np.ndarray, length: int) -> np.ndarray:
+    """Rank of every suffix of ``data`` among all, compared to depth ``length`` (bytes beyond the end are 0).
+
+    Prefix tripling: ranks to depth d at three places make ranks to depth 3 d,
+    and two overlapping ones reach the exact depth. ``data`` holds fewer than
+    2^21 bytes, so three ranks fit one 64-bit key.
+    """
+    n = len(data)
+    padded = np.concatenate([data, np.zeros(length + 8, dtype=np.uint8)]).astype(np.uint64)
+    depth = min(8, length)
+    key = np.zeros(n, dtype=np.uint64)
+    for i in range(depth):
+        key = key << np.uint64(8) | padded[i : i + n]
+
+    def ranked(key: np.ndarray) -> np.ndarray:
+        order = np.argsort(key, kind="stable")
+        of = key[order]
+        step = np.ones(n, dtype=np.uint64)
+        step[1:] = of[1:] != of[:-1]
+        out = np.zeros(n + length, dtype=np.uint64)  # 0: beyond the end
+        out[order] = np.cumsum(step)
+        return out
+
+    rank = ranked(key)
+    while depth < length:
+        if 3 * depth <= length:
+            key = rank[:n] << np.uint64(42) | rank[depth : depth + n] << np.uint64(21) | rank[2 * depth : 2 * depth + n]
+            depth *= 3
+        else:
+            reach = min(2 * depth, length)
+            key = rank[:n] << np.uint64(21) | rank[reach - depth : reach - depth + n]
+            depth = reach
+        rank = ranked(key)
+    return rank[:n]
+
+
+def _dictionary(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The bytes of the given phrases of a text, with their places."""
+    names = ["trigger", "doc_id", "at", "windows", "phrase"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    for batch in batches:
+        texts, docs, listed, rows = batch.column(1).cast(pa.binary()), batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
+        for i, doc in enumerate(docs):
+            text = texts[i].as_py() or b""
+            rows += [(p["trigger"], doc, p["at"], p["windows"], text[p["at"] : p["at"] + p["windows"] + length - 1]) for p in listed[i]]
+            if len(rows) >= 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+BLOCK = 1 << 19  # bytes of a suffix array, and a group of one trigger beyond that
+
+
+def _suffix_order(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Windows that start earlier elsewhere, from phrases sorted by trigger: one suffix array per run of whole triggers."""
+
+    def covered(rows: list[tuple]) -> pa.RecordBatch:
+        doc, at, n = (np.array(c, dtype=np.int64) for c in list(zip(*rows, strict=True))[1:4])
+        rank = ranks(np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8), length)
+        begin = np.concatenate([[0], np.cumsum(n + length - 1)[:-1]])
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        rank, doc, at = rank[np.repeat(begin, n) + within], np.repeat(doc, n), np.repeat(at, n) + within
+        order = np.lexsort((at, doc, rank))
+        rank, doc, at = rank[order], doc[order], at[order]
+        copy = np.zeros(len(rank), dtype=bool)
+        copy[1:] = rank[1:] == rank[:-1]
+        doc, at = doc[copy], at[copy]
+        # Neighbouring covered windows of a document make one row.
+        order = np.lexsort((at, doc))
+        doc, at = doc[order], at[order]
+        new = np.ones(len(doc), dtype=bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
+        first = np.flatnonzero(new)
+        many = np.diff(np.append(first, len(doc)))
+        return pa.RecordBatch.from_arrays([pa.array(doc[first], pa.int64()), pa.array(at[first], pa.int64()), pa.array(many, pa.int32())], names=["doc_id", "at", "windows"])
+
+    held, size = [], 0
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if size >= BLOCK and row[0] != held[-1][0]:
+                yield covered(held)
+                held, size = [], 0
+            held.append(row)
+            size += len(row[4])
+    if held:
+        yield covered(held)
+
+
 def _cover(starts: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Maximal covered byte runs of windows [start, start + count)."""
     order = np.argsort(starts, kind="stable")
@@ -315,7 +419,7 @@ def _keep(batches: Iterator[pa.RecordBatch], length: int, digest: bool) -> Itera
 
 
 def remove_repeats(
-    documents: DataFrame, *, length: int = 100, gram: int = 50, id_col: str = "doc_id", text_col: str = "text", digest: bool = False
+    documents: DataFrame, *, length: int = 100, gram: int = 50, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, hot: int = 4096
 ) -> DataFrame:
     """One row per input row: bytes, removed bytes and runs, and what is kept (or its SHA-256).
 
@@ -326,7 +430,7 @@ def remove_repeats(
     in byte order among equals) for all of its rows. Other columns are not
     read. ``kept`` can end inside a character, as bytes are what is compared.
     """
-    spark = documents.sparkSession
+    hot = min(hot, (1 << 20) // (2 * length))  # so that a suffix array's ranks fit 21 bits
     rows = documents.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
@@ -337,16 +441,29 @@ def remove_repeats(
         texts = rows.join(again, "doc_id", "left_anti").unionByName(longest.select("doc_id", F.col("t.text").alias("text")))
         rows = materialize(rows.select("doc_id").join(texts, "doc_id"), "texts")
     order = ("kind", "h1", "h2", "doc_id", "at")
-    found = "kind int, doc_id long, at long, windows int"
+    found = "kind int, trigger long, doc_id long, at long, windows int"
     parsed = rows.mapInArrow(lambda it: _parse(it, length, gram), PARSED).repartition(F.col("place_by")).sortWithinPartitions(*order)
     grouped = materialize(parsed.mapInArrow(lambda it: _group(it, True), found), "phrases")
-    release_shuffles(spark)
-    entries = grouped.where(F.col("kind") == FIRST).groupBy("doc_id").agg(F.collect_list(F.struct("at", "windows")).alias("phrases"))
-    open_texts = rows.join(entries, "doc_id").select("doc_id", "text", "phrases")
-    windows = open_texts.mapInArrow(lambda it: _windows(it, length), PARSED).repartition(F.col("place_by")).sortWithinPartitions(*order)
-    covered = materialize(windows.mapInArrow(lambda it: _group(it, False), found), "windows")
-    release_shuffles(spark)
-    runs = grouped.where(F.col("kind") == COPY).unionByName(covered).groupBy("doc_id").agg(F.collect_list(F.struct("at", "windows")).alias("runs"))
+    first = grouped.where(F.col("kind") == FIRST)
+    crowded = materialize(first.groupBy("trigger").agg(F.count(F.lit(1)).alias("phrases")).where(F.col("phrases") > hot).select("trigger"), "hot-triggers")
+
+    def of_texts(entries: DataFrame) -> DataFrame:
+        listed = entries.groupBy("doc_id").agg(F.collect_list(F.struct("trigger", "at", "windows")).alias("phrases"))
+        return rows.join(listed, "doc_id").select("doc_id", "text", "phrases")
+
+    kind = "trigger long, doc_id long, at long, windows int, phrase binary"
+    entries = of_texts(first.join(crowded, "trigger", "left_anti")).mapInArrow(lambda it: _dictionary(it, length), kind)
+    entries = entries.repartition(F.col("trigger")).sortWithinPartitions("trigger")
+    covered = [materialize(entries.mapInArrow(lambda it: _suffix_order(it, length), "doc_id long, at long, windows int"), "dictionary-copies")]
+    if not crowded.isEmpty():
+        windows = of_texts(first.join(crowded, "trigger", "left_semi")).mapInArrow(lambda it: _windows(it, length), PARSED)
+        windows = windows.repartition(F.col("place_by")).sortWithinPartitions(*order)
+        windows = windows.mapInArrow(lambda it: _group(it, False), found).select("doc_id", "at", "windows")
+        covered.append(materialize(windows, "hot-copies"))
+    copies = grouped.where(F.col("kind") == COPY).select("doc_id", "at", "windows")
+    for part in covered:
+        copies = copies.unionByName(part)
+    runs = copies.groupBy("doc_id").agg(F.collect_list(F.struct("at", "windows")).alias("runs"))
     made = "n_bytes long, n_removed long, n_spans long, " + ("kept_sha256 string" if digest else "spans array<struct<start:bigint,end:bigint>>, kept binary")
     out = rows.join(runs, "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(lambda it: _keep(it, length, digest), f"doc_id long, {made}")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(-(1 << 63))))
