@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.columns import bound, running, unused
 from tessera.sources.workspace import materialize
 
 # Base kinds in the order they are listed, pattern, and the test a match must pass.
@@ -49,26 +50,35 @@ EXAMPLE = r"(?i)example|changeme|placeholder|your[_-]|xxxx|dummy|sample|12345678
 PEM_EXAMPLE = EXAMPLE.replace("xxxx", "x{8}").replace("your[_-]", "your(?:private|secret)?key")
 
 
+SPANS = "array<struct<start:int,end:int,order:int,value:string,from:int,to:int>>"
+
+
 def _spans(text: Column, order: int, pattern: str, value_group: int) -> Column:
-    """Matches of ``pattern``, leftmost and non-overlapping, as (start, end, order, value).
+    """Matches of ``pattern``, leftmost and non-overlapping, as (start, end, order, value, from, to).
 
-    The pieces between matches and the matches themselves alternate, so adding
-    up their lengths gives every place in code points.
+    The pieces between matches and the matches themselves alternate, so the
+    running totals of their lengths are the places: in code points (start,
+    end) and in bytes (from, to).
     """
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)) if value_group else found
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,order:int,value:string>>").alias("out"))
+    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("found"), values.alias("value")), lambda x: x["found"].isNotNull())
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["found"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(order).alias("order"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def totals(z: Column, size) -> Column:
+        return running(F.transform(z, lambda x: size(x["gap"]) + size(x["found"])), lambda a, b: a + b)
 
-    zipped = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("found"), values.alias("value")), lambda x: x["found"].isNotNull())
-    spans = F.aggregate(zipped, zero, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,end:int,order:int,value:string>>"))
+    def placed(z: Column) -> Column:
+        ends = F.arrays_zip(totals(z, F.length).alias("end"), totals(z, F.octet_length).alias("to"), z.alias("x"))
+        return F.transform(
+            ends,
+            lambda e: F.struct(
+                (e["end"] - F.length(e["x"]["found"])).alias("start"), e["end"].alias("end"), F.lit(order).alias("order"), e["x"]["value"].alias("value"),
+                (e["to"] - F.octet_length(e["x"]["found"])).alias("from"), e["to"].alias("to"),
+            ),
+        )
+
+    return F.when(text.rlike(pattern), bound(pairs, placed)).otherwise(F.array().cast(SPANS))
 
 
 def _at_least(n: int):
@@ -106,9 +116,10 @@ def found_secrets(
 ) -> DataFrame:
     """One row per input row: ``row, doc_id, text_key, spans`` with each span's ownership.
 
-    ``spans`` is an array of (start, end, order, value_hash, owners, repos,
-    live); positions count code points, ends are exclusive. Null and empty
-    texts have no spans. Null owners count as one owner of their own. Null ids
+    ``spans`` is an array of (start, end, order, hash, owners, repos, live,
+    from, to); start and end count code points, from and to bytes, ends are
+    exclusive. Texts of any length are searched whole, in time proportional to
+    length and matches. Null and empty texts have no spans. Null owners count as one owner of their own. Null ids
     and repeated rows pass through as rows of their own. Columns of the input
     other than those named are not read.
     """
@@ -120,7 +131,7 @@ def found_secrets(
     rows = rows.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id", "owner", "repo", "text_key",
-        F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["order"].alias("order"),
+        F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["order"].alias("order"), s["from"].alias("from"), s["to"].alias("to"),
                                                 F.sha2(s["value"], 256).alias("hash"), _is_example(s).alias("example"))).alias("found"),
     )
     rows = materialize(rows, "secret-candidates")
@@ -130,8 +141,8 @@ def found_secrets(
     owned = uses.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
     owned = owned.groupBy("hash").agg(F.count(F.lit(1)).alias("owners"), F.sum("repos").alias("repos"))
     judged = each.join(owned, "hash").withColumn("live", (F.col("owners") <= live_owners) & ~F.col("example"))
-    spans = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "order", "hash", "owners", "repos", "live"))).alias("spans"))
-    empty = F.array().cast("array<struct<start:int,end:int,order:int,hash:string,owners:bigint,repos:bigint,live:boolean>>")
+    spans = judged.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "order", "hash", "owners", "repos", "live", "from", "to"))).alias("spans"))
+    empty = F.array().cast("array<struct<start:int,end:int,order:int,hash:string,owners:bigint,repos:bigint,live:boolean,from:int,to:int>>")
     return rows.select("row", "doc_id", "text_key").join(spans, "row", "left").select("row", "doc_id", "text_key", F.coalesce("spans", empty).alias("spans"))
 
 
@@ -154,21 +165,26 @@ def redacted(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """The input with every live-looking span of ``text_col`` replaced by ``mark``.
 
     Overlapping spans are cut out once, from the first start to the last end.
-    Texts of rows without such spans are left as they are.
+    Texts of rows without such spans are left as they are, nulls included.
+    Pieces are cut from the text's bytes and joined once, so the time does not
+    grow with the product of length and spans.
     """
+    key_id, key_text, cuts = unused(documents, "secret_id", "secret_text", "secret_cuts")
     live = found_secrets(documents, id_col=id_col, text_col=text_col, **options)
-    live = live.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.filter("spans", lambda s: s["live"]).alias("_cut"))
-    live = live.where(F.size("_cut") > 0).dropDuplicates(["_id", "_key"])
+    spans = F.transform(F.filter("spans", lambda s: s["live"]), lambda s: F.struct(s["from"].alias("from"), s["to"].alias("to")))
+    live = live.select(F.col("doc_id").alias(key_id), F.col("text_key").alias(key_text), F.sort_array(spans).alias(cuts))
+    live = live.where(F.size(cuts) > 0).dropDuplicates([key_id, key_text])
     text = F.col(text_col)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), fresh.alias("out"))).otherwise(
-            F.struct(F.greatest(s["end"], acc["at"]).alias("at"), acc["out"].alias("out"))
-        )
+    def pieces(found: Column, raw: Column) -> Column:
+        def between(reach: Column) -> Column:
+            sides = F.transform(found, lambda s, k: F.struct(F.coalesce(F.get(reach, k - F.lit(1)), F.lit(0)).alias("a"), s["from"].alias("b")))
+            kept = F.transform(F.filter(sides, lambda x: x["b"] >= x["a"]), lambda x: F.substring(raw, x["a"] + 1, x["b"] - x["a"]).cast("string"))
+            return F.concat(kept, F.array(F.substring(raw, F.element_at(reach, -1) + 1, F.octet_length(raw)).cast("string")))
+
+        return bound(running(F.transform(found, lambda s: s["to"]), F.greatest), between)
 
-    cut = F.aggregate("_cut", zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col("_key"))
+    cut = F.array_join(bound(F.col(cuts), lambda found: bound(text.cast("string").cast("binary"), lambda raw: pieces(found, raw))), mark)
+    same = F.col(id_col).eqNullSafe(F.col(key_id)) & (F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))) == F.col(key_text))
     joined = documents.join(live, same, "left")
-    return joined.select(*(F.when(F.col("_cut").isNull(), text).otherwise(cut).alias(c) if c == text_col else F.col(c) for c in documents.columns))
+    return joined.select(*(F.when(F.col(cuts).isNull(), text).otherwise(cut).alias(c) if c == text_col else F.col(c) for c in documents.columns))
