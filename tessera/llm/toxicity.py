@@ -8,9 +8,13 @@ sentences: a sentence is a bag of words, a toxic one holds at least one
 insulting word (the witness, chosen anew each round), a clean one holds none.
 A text scores as its worst word.
 
-The span of a subsequence is limited, so its feature vector is explicit. The
-kernel expansion over the landmarks collapses into one weight per subsequence,
-and scoring a word costs a gather and a sum.
+The span of a subsequence is limited, so its feature vector is explicit.
+Letters are code points, each its own. The kernel expansion over the landmarks
+collapses into one weight per subsequence that occurs in a landmark, and
+scoring a word costs a gather and a sum.
+
+The kernel compares words: an insult that is only one as a phrase of harmless
+words is out of its reach.
 """
 
 from __future__ import annotations
@@ -26,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPAN, DECAY, LETTERS, LONGEST = 7, 0.75, 32, 48
-WIDTHS = (8, 12, 16, 24, 48, 96)  # of the windows of tokens longer than 2 * LONGEST
+SPAN, DECAY = 7, 0.75
+LONG = 32  # letters beyond which a word is read through windows as well
+WIDTHS = (8, 12, 16, 24, 48, 96)
 TRIPLES = [(i, i + a, i + a + b) for i in range(1) for a in range(1, SPAN) for b in range(1, SPAN - a)]
 
 _spelled = re.compile(r"(?:(?<=\s)|^)[^\W\d_](?:[\s.*_-]{1,3}[^\W\d_]){3,}(?=\s|$|[.,!?])")
@@ -36,25 +41,27 @@ _sentence = re.compile(r"[.!?\n]+")
 
 
 def windows(word: str) -> Iterator[str]:
-    """``word``, or if it is long its windows of several widths, each overlapping the next by three quarters.
+    """``word`` up to the longest width, and if it is long its windows of several widths, each overlapping the next by three quarters.
 
-    Any run of at most ``LONGEST`` letters lies whole in a window, and a short
-    run in a short window, so that it is not lost among the letters around it.
+    Any run of at most three quarters of a width lies whole in a window of that
+    width, so a short run is not lost among the letters around it.
     """
-    if len(word) <= 2 * LONGEST:
+    if len(word) <= WIDTHS[-1]:
         yield word
-        return
-    for width in WIDTHS:
-        yield from (word[a : a + width] for a in range(0, len(word) - width * 3 // 4, width // 4))
+    if len(word) > LONG:
+        for width in WIDTHS:
+            if width < len(word):
+                yield from (word[a : a + width] for a in range(0, len(word) - width * 3 // 4, width // 4))
 
 
 def units(token: str) -> Iterator[str]:
-    """What a token is scored by: its letters; of a long token all windows of them, and its pieces between other characters."""
+    """What a token is scored by: its letters without the marks between them, and its pieces between marks."""
     word = _not_letter.sub("", token)
     yield from windows(word)
-    if len(word) > 2 * LONGEST:
-        for piece in _not_letter.split(token):
-            if len(piece) < len(word):
+    pieces = [p for p in _not_letter.split(token) if p]
+    if len(pieces) > 1:
+        for piece in pieces:
+            if len(piece) > 3:
                 yield from windows(piece)
 
 
@@ -66,35 +73,85 @@ def tokens(text: str) -> set[str]:
     return found
 
 
-def _codes(words: list[str], width: int) -> np.ndarray:
-    """Letters as 1..31 (a to z, then five classes of all others), 0 beyond the end of a word."""
-    raw = np.array(words, dtype=f"<U{width}").view(np.uint32).reshape(len(words), width).astype(np.int32)
-    return np.where(raw == 0, 0, np.where((raw >= 97) & (raw <= 122), raw - 96, 27 + raw % 5))
-
-
-def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, weight) of every 3-letter subsequence, one row per word; weight 0 pads.
+class Space:
+    """The subsequences that occur in given words, numbered; all others share the number after the last."""
+
+    DENSE = 1 << 22  # entries of a table by letters; beyond it numbers are found by search
+
+    def __init__(self, words: list[str]):
+        letters = sorted(set(map(ord, "".join(words))))
+        self.letters = np.zeros(0x110000, dtype=np.int32)
+        self.letters[letters] = np.arange(1, len(letters) + 1)
+        self.base = len(letters) + 1
+        self.keys, self.table = np.empty(0, dtype=np.int64), None
+        found = [np.unique(k[w > 0]) for _, part in by_length(words) for k, w in [self._features(part)]]
+        self.keys = np.unique(np.concatenate([*found, self.keys]))
+        self.size = len(self.keys)
+        if self.base**3 <= self.DENSE:
+            self.table = np.full(self.base**3, self.size, dtype=np.int32)
+            self.table[self.keys] = np.arange(self.size)
+
+    def _number(self, key: np.ndarray) -> np.ndarray:
+        """Number of each subsequence given by its three letters; -1 holds a letter that no word of the space has."""
+        if self.table is not None:
+            return np.where(key < 0, self.size, self.table[key])
+        at = np.searchsorted(self.keys, key)
+        return np.where((key >= 0) & (self.keys[np.minimum(at, self.size - 1)] == key), at, self.size)
+
+    def _features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(letters as one key, weight) of every 3-letter subsequence; equal ones summed into one place, rows of unit length."""
+        width = max([SPAN, *map(len, words)])
+        raw = np.array(words, dtype=f"<U{width}").view(np.uint32).reshape(len(words), width)
+        c = self.letters[raw]
+        strange = (c == 0) & (raw > 0)
+        other = np.unique(raw[strange]) if strange.any() else ()
+        if len(other):  # letters the space lacks are told apart all the same
+            c[strange] = self.base + np.searchsorted(other, raw[strange])
+        base = self.base + len(other)
+        c = np.pad(c.astype(np.int32 if base < 1290 else np.int64), ((0, 0), (0, SPAN)))
+        feats, weights = [], []
+        for _, j, k in TRIPLES:
+            a, b, d = c[:, :width], c[:, j : j + width], c[:, k : k + width]
+            feats.append((a * base + b) * base + d)
+            weights.append(np.where(d > 0, DECAY ** (k + 1), 0.0))
+        f, w = np.concatenate(feats, axis=1), np.concatenate(weights, axis=1)
+        order = np.argsort(np.where(w > 0, f, f.dtype.type(base**3 - 1)), axis=1, kind="stable")
+        f, w = np.take_along_axis(f, order, 1), np.take_along_axis(w, order, 1)
+        same = np.zeros_like(w, dtype=bool)
+        same[:, 1:] = (f[:, 1:] == f[:, :-1]) & (w[:, 1:] > 0) & (w[:, :-1] > 0)
+        start = np.flatnonzero(~same.ravel())
+        total = np.zeros(w.size)
+        total[start] = np.add.reduceat(w.ravel(), start)
+        w = total.reshape(w.shape)
+        norm = np.sqrt((w * w).sum(axis=1, keepdims=True))
+        if len(other):
+            a, b, d = f // (base * base), f // base % base, f % base
+            f = np.where((a < self.base) & (b < self.base) & (d < self.base), (a.astype(np.int64) * self.base + b) * self.base + d, -1)
+        return f, w / np.where(norm > 0, norm, 1)
+
+    def subsequences(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(number, weight) of every subsequence, one row per word; weight 0 pads."""
+        f, w = self._features(words)
+        return self._number(f), w
+
+    def dense(self, words: list[str]) -> np.ndarray:
+        """One row per word over the numbered subsequences; the last column is all others."""
+        out = np.zeros((len(words), self.size + 1), dtype=np.float32)
+        for places, part in by_length(words):
+            f, w = self.subsequences(part)
+            for row, ff, ww in zip(places, f, w, strict=True):
+                np.add.at(out[row], ff, ww)
+        out[:, self.size] = 0
+        return out
 
-    Equal features of a word are summed into one place, and rows have unit length.
-    """
-    width = max([SPAN, *map(len, words)])
-    c = np.pad(_codes(words, width), ((0, 0), (0, SPAN)))
-    feats, weights = [], []
-    for _, j, k in TRIPLES:
-        a, b, d = c[:, :width], c[:, j : j + width], c[:, k : k + width]
-        feats.append((a * LETTERS + b) * LETTERS + d)
-        weights.append(np.where(d > 0, DECAY ** (k + 1), 0.0))
-    f, w = np.concatenate(feats, axis=1), np.concatenate(weights, axis=1)
-    order = np.argsort(np.where(w > 0, f, LETTERS**3), axis=1, kind="stable")
-    f, w = np.take_along_axis(f, order, 1), np.take_along_axis(w, order, 1)
-    same = np.zeros_like(w, dtype=bool)
-    same[:, 1:] = (f[:, 1:] == f[:, :-1]) & (w[:, 1:] > 0) & (w[:, :-1] > 0)
-    start = np.flatnonzero(~same.ravel())
-    total = np.zeros(w.size)
-    total[start] = np.add.reduceat(w.ravel(), start)
-    w = total.reshape(w.shape)
-    norm = np.sqrt((w * w).sum(axis=1, keepdims=True))
-    return f, w / np.where(norm > 0, norm, 1)
+    def kernel(self, words: list[str], landmarks: np.ndarray) -> np.ndarray:
+        """Kernel between words and landmarks given as (landmark, subsequence) rows."""
+        flat, out = np.ascontiguousarray(landmarks.T), np.zeros((len(words), len(landmarks)), dtype=np.float32)
+        for places, part in by_length(words):
+            for a in range(0, len(part), 500):
+                f, w = self.subsequences(part[a : a + 500])
+                out[places[a : a + 500]] = np.einsum("nt,ntm->nm", w.astype(np.float32), flat[f])
+        return out
 
 
 def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -113,6 +170,7 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
 class Model:
     """Weight of each subsequence, bias, and the calibration of a text's worst word."""
 
+    space: Space
     weights: np.ndarray
     bias: float
     slope: float = 1.0
@@ -121,7 +179,7 @@ class Model:
     def decide(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), self.bias)
         for places, part in by_length(words):
-            f, w = subsequences(part)
+            f, w = self.space.subsequences(part)
             out[places] += (self.weights[f] * w).sum(axis=1)
         return out
 
@@ -129,23 +187,10 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.offset, -30, 30)))
 
 
-def _dense(words: list[str], size: int = LETTERS**3) -> np.ndarray:
-    out = np.zeros((len(words), size), dtype=np.float32)
-    for places, part in by_length(words):
-        f, w = subsequences(part)
-        for row, ff, ww in zip(places, f, w, strict=True):
-            np.add.at(out[row], ff, ww)
-    return out
-
-
-def _kernel(words: list[str], landmarks: np.ndarray) -> np.ndarray:
-    """Kernel between words and landmarks given as (landmark, feature) rows."""
-    flat, out = np.ascontiguousarray(landmarks.T), np.zeros((len(words), len(landmarks)), dtype=np.float32)
-    for places, part in by_length(words):
-        for a in range(0, len(part), 500):
-            f, w = subsequences(part[a : a + 500])
-            out[places[a : a + 500]] = np.einsum("nt,ntm->nm", w.astype(np.float32), flat[f])
-    return out
+def _constant(offset: float) -> Model:
+    """A model that says the same of every text."""
+    space = Space(["abc"])
+    return Model(space, np.zeros(space.size + 1), -1.0, 0.0, offset)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 2e-2, steps: int = 40) -> np.ndarray:
@@ -177,11 +222,23 @@ def _suspicion(bags: list[tuple[str, ...]], toxic: np.ndarray) -> dict[str, floa
     return {w: max(odds.get(g, -9.0) for g in grams(w)) for w, t in ((w, t) for b, t in zip(bags, toxic, strict=True) if t for w in b) if t}
 
 
+def _harmless(bags: list[tuple[str, ...]], toxic: np.ndarray, odds: float = 4.0) -> set[str]:
+    """Words of clean texts, but for those that are ``odds`` times as frequent in toxic ones.
+
+    A single clean text that quotes an insult, or is wrongly labelled, does not clear it.
+    """
+    pos, neg = Counter(), Counter()
+    for bag, t in zip(bags, toxic, strict=True):
+        (pos if t else neg).update(bag)
+    ratio = odds * max(int(toxic.sum()), 1) / max(int((~toxic).sum()), 1)
+    return {w for w, k in neg.items() if pos[w] < max(ratio * k, 3)}
+
+
 def train(texts: list[str], labels: list[int], *, landmarks: int = 128, negatives: int = 8_000, rounds: int = 3, seed: int = 7) -> Model:
     """Fits the SVM on sentences of labelled texts; one class alone gives a constant model."""
     toxic = np.array([bool(x) for x in labels], dtype=bool)
     if not toxic.any() or toxic.all():
-        return Model(np.zeros(LETTERS**3), -1.0, 0.0, 2.0 if toxic.any() else -2.0)
+        return _constant(2.0 if toxic.any() else -2.0)
     rng = np.random.default_rng(seed)
     # Sentences of toxic texts are bags whose witness is sought; those of clean texts are all negative.
     same: dict[str, str] = {}  # one string per distinct word
@@ -190,8 +247,8 @@ def train(texts: list[str], labels: list[int], *, landmarks: int = 128, negative
     whole = [tuple({w for s in b for w in s}) for b in bags]
     del same
     rated = _suspicion(whole, toxic)
-    clean = sorted({w for b, t in zip(whole, toxic, strict=True) if not t for w in b})
-    clean_set = set(clean)
+    harmless = _harmless(whole, toxic)
+    clean = sorted(harmless)
     pick = [clean[i] for i in rng.permutation(len(clean))[:negatives]]
     model = None
     for turn in range(rounds):
@@ -199,7 +256,7 @@ def train(texts: list[str], labels: list[int], *, landmarks: int = 128, negative
         for b, t in zip(bags, toxic, strict=True):
             if not t:
                 continue
-            score = {s: rated.get(s, -9.0) for sent in b for s in sent if s not in clean_set}
+            score = {s: rated.get(s, -9.0) for sent in b for s in sent if s not in harmless}
             top = max(score.values(), default=-9.0)
             for sent in b:
                 best = max((w for w in sent if w in score), key=lambda w: (score[w], w), default=None)
@@ -214,30 +271,32 @@ def train(texts: list[str], labels: list[int], *, landmarks: int = 128, negative
                 if seen[w[:3]] < 6 and len(chosen) < landmarks * 2 // 3:
                     chosen.append(w)
                     seen[w[:3]] += 1
-            marks = _dense(chosen + pick[: landmarks - len(chosen)])
+            named = chosen + pick[: landmarks - len(chosen)]
+            space = Space(named)
+            marks = space.dense(named)
             values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
             root = vectors / np.sqrt(np.maximum(values, 1e-3)) @ vectors.T
         # Disguised copies of the witnesses: one letter more, somewhere inside.
         disguised = [w[:k] + chr(97 + int(rng.integers(26))) + w[k:] for w in positive[:600] for k in rng.integers(1, len(w), 3)]
         words = positive + disguised + pick
-        x = np.hstack([_kernel(words, marks) @ root, np.ones((len(words), 1))])
+        x = np.hstack([space.kernel(words, marks) @ root, np.ones((len(words), 1))])
         y = np.concatenate([np.ones(len(positive) + len(disguised)), -np.ones(len(pick))])
         often = np.array([witness[w] for w in positive], dtype=float)
         again = np.repeat(often[:600], 3)
         weight = np.concatenate([often / often.sum(), 0.5 * again / again.sum(), np.full(len(pick), 2.0 / max(len(pick), 1))]) * 100
         w = _svm(x, y, weight)
-        model = Model((root @ w[:-1]) @ marks, float(w[-1]))
+        model = Model(space, (root @ w[:-1]) @ marks, float(w[-1]))
         # Next round: the model's own witnesses, and the clean words it finds worst.
         words = sorted(rated)
         rated = dict(zip(words, (model.decide(words) + 1).tolist(), strict=True))
         found = model.decide(clean)
         pick = sorted(set(pick) | {clean[i] for i in np.argsort(-found)[: negatives // 4]})
     if model is None:
-        return Model(np.zeros(LETTERS**3), -1.0, 0.0, -2.0)
+        return _constant(-2.0)
     known: dict[str, float] = {}
     worst = np.concatenate([worst_words(model, [tokens(t) for t in texts[a : a + 200]], known) for a in range(0, len(texts), 200)])
     slope, offset = _platt(worst, toxic)
-    return Model(model.weights, model.bias, slope, offset)
+    return Model(model.space, model.weights, model.bias, slope, offset)
 
 
 def _platt(worst: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
@@ -305,7 +364,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, *, per_class: int = 1_
 
 
 def score_toxicity(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score`` per input row, from the whole text alone.
+    """``doc_id, score`` per input row, from the whole text alone, whatever its length.
 
     Null, empty and letter-free texts score as a text without any suspicious
     word. Null ids and repeated rows pass through; other columns are not read.
