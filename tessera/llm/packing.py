@@ -10,6 +10,7 @@ padding multiple and a text longer than the budget is a batch of its own.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,6 +70,11 @@ def optimal_boundaries(lengths: list[int], counts: list[int], buckets: int) -> l
     return sorted(out)
 
 
+# A blank between two characters that are no white space starts a word of the pattern, whatever stands around:
+# the text can be cut before it. White space here includes all that the pattern counts as such.
+_single_blank = re.compile(r"(?<=\S) (?=\S)")
+
+
 def _token_counts(batches: Iterator[pa.RecordBatch], ranks: bytes, pattern: str) -> Iterator[pa.RecordBatch]:
     import tiktoken
 
@@ -78,14 +84,14 @@ def _token_counts(batches: Iterator[pa.RecordBatch], ranks: bytes, pattern: str)
     for batch in batches:
         out = []
         for text in batch.column(batch.num_columns - 1).to_pylist():
-            # The pattern never joins two blanks-free runs, so counts of "blank + run" add up.
             n = 0
-            for piece in (text or "").split(" "):
+            for i, piece in enumerate(_single_blank.split(text or "")):
+                piece = " " + piece if i else piece
                 k = known.get(piece)
                 if k is None:
                     if len(known) >= 300_000:
                         known.clear()
-                    k = len(encoding.encode_ordinary(" " + piece))
+                    k = len(encoding.encode_ordinary(piece))
                     if len(piece) <= 64:
                         known[piece] = k
                 n += k
@@ -94,11 +100,15 @@ def _token_counts(batches: Iterator[pa.RecordBatch], ranks: bytes, pattern: str)
 
 
 # Fixed value: the word pattern of byte-level vocabularies.
-PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def token_lengths(documents: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_tokens`` per row: tokens of the blank-separated runs, each with a leading blank."""
+    """``doc_id, n_tokens`` per row: tokens of the whole text, 0 for null and empty texts.
+
+    A text is cut before single blanks, where the pattern starts a word in any
+    case, so the counts add up to those of the text in one piece.
+    """
     with open(vocabulary, "rb") as f:
         ranks = documents.sparkSession.sparkContext.broadcast(f.read())
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -150,5 +160,5 @@ def pack(lengths: DataFrame, *, buckets: int = 16, budget: int = 65_536, multipl
 
 
 def pack_documents(documents: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Packs whole texts by their token counts; other columns are not read."""
+    """Packs whole texts, of any length, by their token counts; other columns are not read."""
     return pack(token_lengths(documents, vocabulary, id_col=id_col, text_col=text_col), **options)
