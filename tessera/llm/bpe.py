@@ -42,6 +42,55 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+# Fixed value: the word pattern that the cuts are proven for.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def fits(spec: dict) -> bool:
+    """Whether a ``tokenizers`` file has the parts the fragment encoder is proven for.
+
+    It cuts texts at blanks and between ASCII letters and marks, lower-cases
+    plain words itself and reads the decoded text off the tokens. That holds
+    for a byte-level BPE vocabulary whose words end in a suffix and never hold
+    blanks, whose normaliser lower-cases and folds white space, and whose added
+    tokens are taken literally.
+    """
+    model, pre, normal = spec.get("model") or {}, spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+    steps = normal.get("normalizers") or [normal]
+    parts = pre.get("pretokenizers") or [pre]
+    return (
+        model.get("type") == "BPE"
+        and bool(model.get("end_of_word_suffix"))
+        and not model.get("continuing_subword_prefix")
+        and not model.get("byte_fallback")
+        and not model.get("ignore_merges")
+        and not model.get("dropout")
+        and {x.get("type") for x in steps} == {"NFC", "Replace", "Lowercase"}
+        and len(parts) == 2
+        and parts[0].get("pattern") == {"Regex": WORD_PATTERN}
+        and parts[-1].get("type") == "ByteLevel"
+        and not parts[-1].get("add_prefix_space")
+        and (spec.get("decoder") or {}).get("type") is None
+        and all(not t.get("normalized") and not t.get("single_word") and not t.get("lstrip") and not t.get("rstrip") and not re.search(r"\s", t["content"]) for t in spec.get("added_tokens", ()))
+    )
+
+
+class LibraryBPE:
+    """Whole texts through the library, for files the fragment encoder is not proven for."""
+
+    def __init__(self, spec_json: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(spec_json)
+        self.library.no_truncation()
+        self.library.no_padding()
+
+    def encode_batch(self, texts: list[bytes]) -> Iterator[tuple[bytes, str]]:
+        for text in texts:
+            ids = self.library.encode(text.decode("utf-8"), add_special_tokens=False).ids
+            yield np.array(ids, dtype="<u4").tobytes(), self.library.decode(ids, skip_special_tokens=False)
+
+
 class ForcedBoundaryBPE:
     """Encoder of one byte-level ``tokenizers`` file with a BPE model."""
 
@@ -161,7 +210,7 @@ def _chained(made: list[tuple[bytes, str]]) -> tuple[bytes, str]:
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], spec: str, digest: bool) -> Iterator[pa.RecordBatch]:
-    bpe = ForcedBoundaryBPE(spec)
+    bpe = (ForcedBoundaryBPE if fits(json.loads(spec)) else LibraryBPE)(spec)
     for batch in batches:
         made = bpe.encode_batch([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])
         if digest:
@@ -180,6 +229,8 @@ def encode_documents(documents: DataFrame, tokenizer: str, *, id_col: str = "doc
     ``tokenizer`` is the path of the file on the driver; its bytes travel with
     the tasks, so executors need no copy. Texts that hold a control string are
     cut at blanks like all others and those fragments go through the library.
+    Texts of any length are encoded whole. Files the fragments are not proven
+    for (see ``fits``) are encoded by the library alone, with the same result.
     Null and empty texts have no ids and decode to the empty string. Null ids
     and repeated rows pass through; other columns are not read.
     """

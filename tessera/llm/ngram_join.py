@@ -9,15 +9,16 @@ candidates before any pair of sets is compared:
   Only that extended prefix of every document is shuffled. Document
   frequencies are counted exactly over these prefixes; inside one, linked sets
   must share one of the rarest ``len - l + 1``, so a document whose rare end
-  occurs nowhere else has no partner and leaves.
+  occurs nowhere else has no partner and leaves. Of the documents that stay, a
+  pair must share one of the ``g + 1`` smallest.
 * **B, rarest first**, over the whole sets of the documents that remain.
   Linked sets share one of their ``g + 1`` rarest shingles, and the place of
   the first shared one bounds the overlap from above for the pair at hand.
 * **C, descending hash of another mix.** Linked sets share one of the ``g + 1``
   first shingles here as well.
 
-A pair must meet in B under the bound and in C before its whole sets are
-fetched and compared. Equal sets are merged first. In each posting list all
+A pair must meet in all three, in B under the bound, before its whole sets
+are fetched and compared. Equal sets are merged first. In each posting list all
 members are first compared with the member that has the fewest unique
 shingles; lists that then lie in one component need no other pair, which keeps
 groups of copies linear. Lists that still span several components are joined
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shingles import WordHashes, mixed, shingle_set
 from tessera.operators.graph import connected_components
-from tessera.sources.workspace import materialize, release_shuffles
+from tessera.sources.workspace import discard, materialize
 
 
 def _lack(n, num, den):
@@ -63,10 +64,10 @@ def _sketch(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int, st
 
 
 def _whole(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Whole set and C-prefix of each text that has the given set key."""
+    """Whole set, A-prefix and C-prefix (32 bits a shingle) of each text that has the given set key."""
     words = WordHashes()
     for batch in batches:
-        ids, sets, tails = [], [], []
+        ids, sets, fronts, tails = [], [], [], []
         for doc, text, key in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
             s = shingle_set(text, size, words)
             if hashlib.blake2b(s.tobytes(), digest_size=16).digest() != key:  # another text of a repeated id
@@ -74,8 +75,10 @@ def _whole(batches: Iterator[pa.RecordBatch], size: int, num: int, den: int) ->
             c, g = mixed(s ^ np.uint64(0x5851F42D4C957F2D)), _lack(len(s), num, den)
             ids.append(doc)
             sets.append(s.view(np.int64))
+            fronts.append((s[: g + 1] >> np.uint64(32)).astype(np.uint32).view(np.int32))
             tails.append(np.partition(c, len(c) - g - 1)[len(c) - g - 1 :].astype(np.uint32).view(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(sets, pa.int64()), _lists(tails, pa.int32())], names=["doc_id", "shingles", "tail"])
+        columns = [pa.array(ids, pa.int64()), _lists(sets, pa.int64()), _lists(fronts, pa.int32()), _lists(tails, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shingles", "front", "tail"])
 
 
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -86,22 +89,23 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def _linked(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) that meet in order C and whose whole sets are similar enough."""
-    side = lambda p, c: whole.select(F.col("doc_id").alias(p), F.col(c).alias(f"{p}_{c}"))
-    met = pairs.join(side("a", "tail"), "a").join(side("b", "tail"), "b").where(F.arrays_overlap("a_tail", "b_tail")).select("a", "b")
+    """Pairs (a, b) that meet in orders A and C and whose whole sets are similar enough."""
+    side = lambda p, *cs: whole.select(F.col("doc_id").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in cs))
+    both = pairs.join(side("a", "front", "tail"), "a").join(side("b", "front", "tail"), "b")
+    met = both.where(F.arrays_overlap("a_front", "b_front") & F.arrays_overlap("a_tail", "b_tail")).select("a", "b")
     met = materialize(met, "candidates")
     both = F.size(F.array_intersect("a_shingles", "b_shingles"))
     similar = F.lit(den + num) * both >= F.lit(num) * (F.size("a_shingles") + F.size("b_shingles"))
     full = met.join(side("a", "shingles"), "a").join(side("b", "shingles"), "b").where(similar)
-    return materialize(full.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "links")
+    links = materialize(full.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "links")
+    discard(met)
+    return links
 
 
 def _shared_tokens(tokens: DataFrame) -> DataFrame:
     """Tokens of (doc_id, n, token) that occur in two rows or more, with their frequency."""
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    often = materialize(often, "frequencies")
-    release_shuffles(tokens.sparkSession)
-    return tokens.join(often, "token")
+    return tokens.join(materialize(often, "frequencies"), "token")
 
 
 def ngram_jaccard_components(
@@ -116,7 +120,6 @@ def ngram_jaccard_components(
     each row gets its own size and the node's component. Other columns of the
     input are not read, whatever their names.
     """
-    spark = documents.sparkSession
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = texts.mapInArrow(lambda it: _sketch(it, size, num, den, stretch), "doc_id long, n int, set_key binary, head array<bigint>")
     sets = materialize(sets, "sets")
@@ -133,16 +136,14 @@ def ngram_jaccard_components(
     partners = _shared_tokens(tokens).groupBy("doc_id", "n").agg(F.count(F.lit(1)).alias("shared"))
     partners = partners.where(length - F.col("shared") < length - least_shared + 1).select("doc_id").distinct()
     open_ids = materialize(partners.join(rep.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "open")
-    release_shuffles(spark)
 
     # Order B over whole sets.
     keyed = open_ids.join(rep.select(F.col("rep").alias("doc_id"), "set_key"), "doc_id")
     whole = texts.join(keyed, "doc_id").select("doc_id", "text", "set_key")
-    whole = whole.mapInArrow(lambda it: _whole(it, size, num, den), "doc_id long, shingles array<bigint>, tail array<int>")
+    whole = whole.mapInArrow(lambda it: _whole(it, size, num, den), "doc_id long, shingles array<bigint>, front array<int>, tail array<int>")
     if not primary.where("many > 1").isEmpty():
         whole = whole.dropDuplicates(["doc_id"])
     whole = materialize(whole, "open-sets")
-    release_shuffles(spark)
     tokens = whole.select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     ranked = _shared_tokens(tokens).groupBy("doc_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
     ranked = ranked.withColumn("alone", F.col("n") - F.size("list")).where(lack >= F.col("alone"))
@@ -150,7 +151,6 @@ def ngram_jaccard_components(
     # left: shingles from this one on, itself included; no more than that can be shared.
     index = index.select("doc_id", "n", "alone", (F.col("n") - F.col("alone") - F.col("at")).alias("left"), F.col("entry.token").alias("token"))
     index = materialize(index, "index")
-    release_shuffles(spark)
 
     def possible(n, left, m, other):
         return F.lit(den + num) * F.least(left, other) >= F.lit(num) * (n + m)
@@ -164,7 +164,6 @@ def ngram_jaccard_components(
     )
     first = materialize(first, "pivot-pairs")
     links = _linked(first, whole, num, den)
-    release_shuffles(spark)
 
     # Posting lists that still span several components: pairs across components only.
     node = connected_components(links)
@@ -181,8 +180,9 @@ def ngram_jaccard_components(
         .distinct()
         .join(first, ["a", "b"], "left_anti")
     )
-    more = _linked(materialize(rest, "cross-pairs"), whole, num, den)
-    release_shuffles(spark)
+    rest = materialize(rest, "cross-pairs")
+    more = _linked(rest, whole, num, den)
+    discard(rest, first, index, placed, whole)
     groups = connected_components(links.unionByName(more))
 
     placed_ids = primary.join(rep, "set_key").join(groups, F.col("rep") == F.col("node"), "left")
