@@ -222,8 +222,8 @@ def _suspicion(bags: list[tuple[str, ...]], toxic: np.ndarray) -> dict[str, floa
     return {w: max(odds.get(g, -9.0) for g in grams(w)) for w, t in ((w, t) for b, t in zip(bags, toxic, strict=True) if t for w in b) if t}
 
 
-def _harmless(bags: list[tuple[str, ...]], toxic: np.ndarray, odds: float = 4.0) -> set[str]:
-    """Words of clean texts, but for those that are ``odds`` times as frequent in toxic ones.
+def _harmless(bags: list[tuple[str, ...]], toxic: np.ndarray, odds: float = 20.0) -> set[str]:
+    """Words of clean texts, but for those ``odds`` times as frequent in toxic ones, one more clean text assumed.
 
     A single clean text that quotes an insult, or is wrongly labelled, does not clear it.
     """
@@ -231,7 +231,7 @@ def _harmless(bags: list[tuple[str, ...]], toxic: np.ndarray, odds: float = 4.0)
     for bag, t in zip(bags, toxic, strict=True):
         (pos if t else neg).update(bag)
     ratio = odds * max(int(toxic.sum()), 1) / max(int((~toxic).sum()), 1)
-    return {w for w, k in neg.items() if pos[w] < max(ratio * k, 3)}
+    return {w for w, k in neg.items() if pos[w] < ratio * (k + 1)}
 
 
 def train(texts: list[str], labels: list[int], *, landmarks: int = 128, negatives: int = 8_000, rounds: int = 3, seed: int = 7) -> Model:
