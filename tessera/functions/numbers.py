@@ -25,8 +25,9 @@ def norm(a: Column) -> Column:
 
 def l2_normalized(a: Column) -> Column:
     """Unit vector; the zero vector stays zero."""
-    length = norm(a)
-    return F.transform(a, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)))
+    # The length is bound to a name: inside the lambda it would be computed for every component.
+    scaled = lambda length: F.transform(a, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)))
+    return F.get(F.transform(F.array(norm(a)), scaled), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +15,11 @@ CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
 TOKEN_RUN = rf"[{CJK}]+|[a-zA-Z0-9]+(?:[._:/+-][a-zA-Z0-9]+)*"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def token_runs(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_RUN), F.lit(0))
 
@@ -30,6 +37,11 @@ def tokens(text: Column) -> Column:
     return F.when(text.rlike(f"[{CJK}]"), split).otherwise(runs)
 
 
+def token_count(text: Column) -> Column:
+    """Number of tokens, without listing them where all runs are single tokens."""
+    return F.when(text.rlike(f"[{CJK}]"), F.size(tokens(text))).otherwise(F.regexp_count(F.lower(text), F.lit(TOKEN_RUN)))
+
+
 def normalized_query(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
 
@@ -50,7 +62,7 @@ def normalized_ocr(values: pd.Series) -> pd.Series:
     import re
     import unicodedata
 
-    other = re.compile(r"[^\w]+|_+")
+    other = re.compile(r"\W+")
     return values.map(lambda x: None if x is None else other.sub(" ", unicodedata.normalize("NFKC", x).casefold()).strip())
 
 
@@ -63,9 +75,10 @@ def html_title(html: Column) -> Column:
 
 
 def quoted_terms(query: Column, least: int = 2) -> Column:
-    """Terms in straight or curly double quotes, in order, distinct."""
-    found = F.concat(F.regexp_extract_all(query, F.lit('"([^"]+)"'), F.lit(1)), F.regexp_extract_all(query, F.lit("“([^”]+)”"), F.lit(1)))
-    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda t: F.char_length(t) >= least))
+    """Terms in straight or curly double quotes, in order of appearance, distinct."""
+    found = F.regexp_extract_all(query, F.lit('"[^"]+"|“[^”]+”'), F.lit(0))
+    inside = F.transform(found, lambda x: F.trim(F.substring(x, F.lit(2), F.char_length(x) - 2)))
+    return F.array_distinct(F.filter(inside, lambda t: F.char_length(t) >= least))
 
 
 def id_list(value: Column) -> Column:
@@ -80,16 +93,21 @@ def sparse_weight(query: Column) -> Column:
     return F.when(n <= 2, 0.05).when(n <= 6, 0.15).otherwise(0.30)
 
 
-def excerpt(text: Column, terms: Column, width: int = 180) -> Column:
-    """At most ``width`` characters around the earliest term, with dots where text is cut."""
-    low = F.lower(text)
+def excerpt(text: Column, terms: Column, width: int = 180, low: Column | None = None) -> Column:
+    """At most ``width`` characters around the earliest term, with dots where text is cut.
+
+    ``low`` is the text in lower case, where it is at hand already.
+    """
+    low = F.lower(text) if low is None else low
     places = F.filter(F.transform(terms, lambda t: F.position(F.lower(t), low)), lambda p: p > 0)
-    first = F.coalesce(F.array_min(places), F.lit(1))
-    start = F.greatest(F.lit(1), first - F.lit(width // 4))
-    body = F.substring(text, start, F.lit(width))
-    head = F.when(start > 1, F.lit("...")).otherwise("")
-    tail = F.when(start + F.lit(width) <= F.char_length(text), F.lit("...")).otherwise("")
-    return F.concat(head, body, tail)
+    first = F.greatest(F.lit(1), F.coalesce(F.array_min(places), F.lit(1)) - F.lit(width // 4))
+
+    def cut(start: Column) -> Column:
+        head = F.when(start > 1, F.lit("...")).otherwise("")
+        tail = F.when(start + F.lit(width) <= F.char_length(text), F.lit("...")).otherwise("")
+        return F.concat(head, F.substring(text, start, F.lit(width)), tail)
+
+    return bound(first, cut)
 
 
 def edge_trimmed(text: Column) -> Column:

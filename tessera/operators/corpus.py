@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-# What a privacy scan looks for.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-LONG_NUMBER = r"[0-9]{9,}"
-PRIVATE_WORDS = r"(?i)(password|passwd|secret|token|api_?key)"
+from tessera.functions.text import bound
+
+# What a privacy scan looks for, in text with single blanks.
+EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
+LONG_NUMBER = r"[0-9][0-9 -]{7,}[0-9]"
+PRIVATE_WORDS = r"(?i)身份证|公民身份|住址|出生|姓名|手机号|电话|邮箱|\baddress\b|\bphone\b|\be-?mail\b|\bdate of birth\b|\bssn\b|\bsocial security\b"
+# Words of identity papers, and the category they suggest.
+IDENTITY_WORDS = r"(?i)身份证|公民身份号码|居民身份证|\bidentity card\b|\bid card\b"
+IDENTITY_CATEGORY = "table_form_ticket"
 
 
 def lines(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -17,40 +24,38 @@ def lines(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return items.select(F.col(id_col).alias("item"), F.posexplode(split).alias("line", "text")).where(F.trim("text") != "")
 
 
-def packed_chunks(line_texts: Column, limit: int = 400, overlap: int = 2) -> Column:
-    """Greedy chunks of an array of lines: array of (first, last) line numbers.
+def chunk_places(lengths: list[int], limit: int = 400, overlap: int = 2) -> list[tuple[int, int]]:
+    """(first, last) line of each greedy chunk.
 
     Lines are added while the characters stay within ``limit``, never fewer
     than one; the next chunk starts ``overlap`` lines back, at least one line
-    further than the last start. Folding over starts keeps it one expression.
+    further than the last start. One pass: at most ``overlap`` lines are read again.
     """
-    count = F.size(line_texts)
-    lengths = F.transform(line_texts, F.char_length)
+    out, first, n = [], 0, len(lengths)
+    while first < n:
+        last, total = first, lengths[first]
+        while last + 1 < n and total + lengths[last + 1] <= limit:
+            last += 1
+            total += lengths[last]
+        out.append((first, last))
+        if last == n - 1:
+            break
+        first = max(first + 1, last + 1 - overlap)
+    return out
 
-    def last_of(start: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("sum"), (start - 1).alias("last"), F.lit(False).alias("full"))
 
-        def add(acc: Column, i: Column) -> Column:
-            total = acc["sum"] + F.get(lengths, i)
-            over = acc["full"] | ((i > start) & (total > limit))
-            return F.when(over, F.struct(acc["sum"].alias("sum"), acc["last"].alias("last"), F.lit(True).alias("full"))).otherwise(
-                F.struct(total.alias("sum"), i.alias("last"), F.lit(False).alias("full"))
-            )
-
-        # A line has a character at least, so a chunk ends within ``limit`` lines.
-        return F.aggregate(F.sequence(start, F.least(count - 1, start + F.lit(limit))), zero, add, lambda acc: acc["last"])
+def packed_chunks(line_texts: Column, limit: int = 400, overlap: int = 2) -> Column:
+    """Greedy chunks of an array of lines: array of (first, last) line numbers.
 
-    empty = F.array().cast("array<struct<first:int,last:int>>")
-    zero = F.struct(F.lit(0).alias("next"), empty.alias("out"))
+    Where a chunk starts depends on where the last one ended, so the lengths of
+    a document's lines (not the lines) go through an Arrow batch.
+    """
 
-    def chunk(acc: Column, start: Column) -> Column:
-        last = last_of(start)
-        made = F.concat(acc["out"], F.array(F.struct(start.cast("int").alias("first"), last.cast("int").alias("last"))))
-        follow = F.when(last >= count - 1, count).otherwise(F.greatest(start + 1, last + 1 - overlap))
-        return F.when(start == acc["next"], F.struct(follow.cast("int").alias("next"), made.alias("out"))).otherwise(acc)
+    @pandas_udf("array<struct<first:int,last:int>>")
+    def placed(lengths: pd.Series) -> pd.Series:
+        return lengths.map(lambda x: [{"first": a, "last": b} for a, b in chunk_places(x.tolist(), limit, overlap)] if x is not None else [])
 
-    folded = F.aggregate(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), zero, chunk, lambda acc: acc["out"])
-    return F.when(count > 0, folded).otherwise(empty)
+    return placed(F.transform(line_texts, F.char_length))
 
 
 def chunk_table(items: DataFrame, id_col: str, text_col: str, limit: int = 400, overlap: int = 2) -> DataFrame:
@@ -63,7 +68,8 @@ def chunk_table(items: DataFrame, id_col: str, text_col: str, limit: int = 400,
 
 
 def contains_sensitive(text: Column) -> Column:
-    return text.rlike(EMAIL) | text.rlike(LONG_NUMBER) | text.rlike(PRIVATE_WORDS)
+    """Whether a text names private data: its words, an address, or a number of nine digits, blanks and dashes or more."""
+    return bound(F.regexp_replace(text, r"\s+", " "), lambda t: t.rlike(PRIVATE_WORDS) | t.rlike(EMAIL) | t.rlike(LONG_NUMBER))
 
 
 def risk_score(expected: Column, confidence: Column, low_share: Column, chars: Column) -> Column:
@@ -117,10 +123,10 @@ def phrase_pages(pages: DataFrame, phrases: DataFrame) -> DataFrame:
 
 
 def suggested_category(text: Column) -> Column:
-    """Category a text's wording suggests; null if none."""
-    low = F.lower(text)
-    return (
-        F.when(low.rlike("passport|identity card|driving licen[cs]e"), F.lit("identity_document"))
-        .when(low.rlike("invoice|receipt|total amount"), F.lit("financial_document"))
-        .when(low.rlike("license|licence|copyright"), F.lit("legal_notice"))
-    )
+    """Category that words of identity papers suggest; empty if none."""
+    return F.when(F.regexp_replace(text, r"\s+", " ").rlike(IDENTITY_WORDS), F.lit(IDENTITY_CATEGORY)).otherwise("")
+
+
+def category_checked(route: Column, current: Column, suggested: Column) -> Column:
+    """Passing pages whose text suggests another category go to review."""
+    return F.when((route == "pass") & (suggested != "") & (suggested != current), F.lit("category_review")).otherwise(route)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokens
+from tessera.functions.text import token_count, tokens
+from tessera.sources.workspace import materialize
 
 
 def token_table(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -17,7 +18,7 @@ def token_table(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def corpus_size(items: DataFrame, text_col: str) -> DataFrame:
     """One row: number of items and mean length in tokens."""
-    return items.agg(F.count(F.lit(1)).alias("n_items"), F.avg(F.size(tokens(F.coalesce(text_col, F.lit(""))))).alias("avg_dl"))
+    return items.agg(F.count(F.lit(1)).alias("n_items"), F.avg(token_count(F.coalesce(text_col, F.lit("")))).alias("avg_dl"))
 
 
 def bm25(queries: DataFrame, items: DataFrame, *, query_id: str, query_col: str, id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -26,15 +27,15 @@ def bm25(queries: DataFrame, items: DataFrame, *, query_id: str, query_col: str,
     Okapi weights with ``ln(1 + (N - df + .5) / (df + .5))``; a token repeated in
     the query counts ``1 + ln(qf)``. Items without a common token score 0 and
     are left implicit. Only tokens of some query enter the shuffle: the small
-    side is joined before items are grouped, and document frequencies come
-    from the same joined rows.
+    side is joined before items are grouped. These postings are written once;
+    document frequencies and scores both read them.
     """
     asked = queries.select(F.col(query_id).alias("query"), F.explode(tokens(F.coalesce(query_col, F.lit("")))).alias("token"))
     asked = asked.groupBy("query", "token").agg(F.count(F.lit(1)).alias("qf"))
     wanted = asked.select("token").distinct()
     listed = items.select(F.col(id_col).alias("item"), tokens(F.coalesce(text_col, F.lit(""))).alias("ts"))
     hits = listed.select("item", F.size("ts").alias("dl"), F.explode("ts").alias("token")).join(wanted, "token")
-    hits = hits.groupBy("item", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
+    hits = materialize(hits.groupBy("item", "dl", "token").agg(F.count(F.lit(1)).alias("tf")), "postings")
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     scale = corpus_size(items, text_col)
     idf = df.crossJoin(F.broadcast(scale)).select(

@@ -1,39 +1,27 @@
-"""Literal conditions of a query and the evidence a page gives for them."""
+"""Lines, phrases and dates that can stand as evidence."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
-IDENTIFIER = r"[A-Z][A-Z0-9]+-[0-9]{2,}"
-AMOUNT = r"[0-9]+(?:\.[0-9]{1,2})? ?(?:USD|EUR|CNY)"
-YEAR = r"(?:19|20)[0-9]{2}"
-
-
-def literal_groups(query: Column) -> Column:
-    """Identifiers, amounts and years of a query: array of (kind, label)."""
-    each = lambda kind, pattern: F.transform(
-        F.array_distinct(F.regexp_extract_all(query, F.lit(f"({pattern})"), F.lit(1))), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("label"))
-    )
-    return F.concat(each("identifier", IDENTIFIER), each("amount", AMOUNT), each("year", YEAR))
-
-
-def identifier_evidence(target: Column, lines: Column) -> Column:
-    """A line equals the identifier, or holds it when it has four characters or more."""
-    return F.exists(lines, lambda line: (F.trim(line) == target) | ((F.char_length(target) >= 4) & F.contains(line, target)))
+# Private words, and what names a place or an address.
+PRIVATE = r"(?i)地址|住址|电话|手机|邮箱|邮件|身份证|证件号码|出生日期|姓名|学号|账号|银行卡|邮编|微信|\baddress\b|\btelephone\b|\bphone\b|\be-?mail\b|\bpassport\b|\bdate of birth\b"
+PLACE = (
+    r"(?i)https?://|www\.|\.com\b|\.cn\b|省.{0,12}市|市.{0,12}(?:区|县|镇|路|街|号)|\d+\s+(?:avenue|street|road|boulevard)|"
+    r"\bWashington,\s*D\.?C\.?\b|\bN\.?W\.?\b|\b\d{5}(?:-\d{4})?\b"
+)
 
 
 def valid_evidence_line(text: Column, confidence: Column) -> Column:
-    """Whether a line can stand as evidence: readable, short, mostly letters, nothing private."""
+    """Whether a line can stand as evidence: readable, short, mostly letters, nothing private, no place."""
     n = F.char_length(text)
     letters = F.char_length(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
-    digits = F.char_length(F.regexp_replace(text, r"[^0-9]", ""))
-    private = text.rlike(r"[0-9]{6,}") | text.rlike(r"@|https?://|www\.")
-    distinct = F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(text, i, F.lit(1)))))
-    return (confidence >= 0.65) & n.between(4, 36) & ~private & (letters >= 0.65 * n) & (digits <= 0.5 * n) & (distinct >= 3)
+    digits = F.char_length(F.regexp_replace(text, r"[^\p{Nd}]", ""))
+    worded = text.rlike(r"[\x{4e00}-\x{9fff}]") | (F.regexp_count(text, F.lit("[A-Za-z]+")) >= 2)
+    distinct = F.size(F.array_distinct(F.split(text, "")))
+    bad = text.rlike(r"\d{6,}") | text.rlike("@") | text.rlike(PRIVATE) | text.rlike(PLACE)
+    return (confidence >= 0.65) & n.between(4, 36) & ~bad & (letters >= 0.65 * n) & (digits <= 0.5 * letters) & worded & (distinct >= 3)
 
 
 def phrase_candidates(line: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
@@ -49,41 +37,11 @@ def phrase_candidates(line: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Colum
     return F.array_distinct(F.concat(F.array(F.trim(line)), *map(grams, sizes)))
 
 
-def token_ratio(token: Column, fuzzy: float) -> Column:
-    """Similarity a token must reach: exact for five letters or fewer, at most .85 for seven or more."""
-    n = F.char_length(token)
-    return F.when(n <= 5, 1.0).when(n >= 7, min(fuzzy, 0.85)).otherwise(fuzzy)
-
-
-@pandas_udf(DoubleType())
-def best_similarity(term: pd.Series, lines: pd.Series) -> pd.Series:
-    """Largest matching-block ratio of a term with any line or any window of the term's width."""
-    from difflib import SequenceMatcher
-
-    def best(t: str | None, ls) -> float:
-        if not t or ls is None:
-            return 0.0
-        top = 0.0
-        for line in ls:
-            if not line:
-                continue
-            if t in line:
-                return 1.0
-            for i in range(max(1, len(line) - len(t) + 1)):
-                m = SequenceMatcher(None, t, line[i : i + len(t)])
-                if m.real_quick_ratio() > top and m.quick_ratio() > top:
-                    top = max(top, m.ratio())
-            top = max(top, SequenceMatcher(None, t, line).ratio())
-        return top
-
-    return pd.Series([best(t, ls) for t, ls in zip(term, lines)])
-
-
 def four_digit_year(year: Column) -> Column:
     """Two-digit years from 50 on belong to the last century."""
     return F.when(year >= 100, year).when(year >= 50, year + 1900).otherwise(year + 2000)
 
 
 def date_forms(day: Column) -> Column:
-    """Surface forms of a date."""
-    return F.array(*(F.date_format(day, f) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "yyyy/M/d", "MM/dd/yyyy", "MMMM d, yyyy", "d MMMM yyyy", "MMM d, yyyy")))
+    """Ways a date is written, one of each normal form: with signs or in figures, year first or last, with a month's name."""
+    return F.array_distinct(F.array(*(F.date_format(day, f) for f in ("y年M月d日", "y-M-d", "M/d/y", "M/d/yy", "MMMM d, y", "MMM d, y"))))

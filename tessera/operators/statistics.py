@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from tessera.sources.workspace import materialize
 
 from tessera.functions.numbers import safe_ratio
 
@@ -115,20 +120,43 @@ def fit_multinomial(rows: DataFrame, vector: str, label: str, *, l2: float = 0.0
     return Pipeline(stages=[index, model]).fit(rows.join(F.broadcast(sizes), label))
 
 
-def fit_text_forest(rows: DataFrame, text: str, label: str, *, n: int = 3, trees: int = 20, features: int = 4096, seed: int = 17):
-    """Random forest over hashed, IDF-weighted character n-grams."""
+def char_gram_counts(text: Column, n: int = 3, features: int = 4096) -> Column:
+    """Counts of lower-case character ``n``-grams, hashed to ``features`` places, as a vector.
+
+    Grams are hashed in an Arrow batch over the text's code points, so no
+    array of grams is ever built.
+    """
+    from pyspark.ml.functions import array_to_vector
+
+    @pandas_udf("array<double>")
+    def counted(texts: pd.Series) -> pd.Series:
+        def one(t):
+            codes = np.frombuffer((t or "").lower().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+            if len(codes) < n:
+                return np.zeros(features)
+            key = np.zeros(len(codes) - n + 1, dtype=np.uint64)
+            for i in range(n):
+                key = (key ^ codes[i : len(codes) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+                key ^= key >> np.uint64(29)
+            return np.bincount((key % np.uint64(features)).astype(np.int64), minlength=features).astype(float)
+
+        return texts.map(one)
+
+    return array_to_vector(counted(text))
+
+
+def fit_text_forest(rows: DataFrame, text: str, label: str, *, n: int = 3, trees: int = 20, features: int = 1024, seed: int = 17):
+    """Random forest over hashed, IDF-weighted character n-grams; ``(model, rows with their counts)``.
+
+    The counts are written once: the weights, the trees and the predictions read them.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer
+    from pyspark.ml.feature import IDF
 
-    steps = [
-        RegexTokenizer(inputCol=text, outputCol="_chars", pattern="", minTokenLength=1),
-        NGram(n=n, inputCol="_chars", outputCol="_grams"),
-        HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="_x"),
-        RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=6, seed=seed),
-    ]
-    return Pipeline(stages=steps).fit(rows)
+    counted = materialize(rows.withColumn("_tf", char_gram_counts(F.col(text), n, features)).drop(text), "char-grams")
+    steps = [IDF(inputCol="_tf", outputCol="_x"), RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=trees, maxDepth=6, seed=seed)]
+    return Pipeline(stages=steps).fit(counted), counted
 
 
 def out_of_fold(rows: DataFrame, fold: str, folds: int, fit) -> DataFrame:

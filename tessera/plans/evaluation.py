@@ -155,9 +155,9 @@ WITH {LISTWISE_CTE},
   e AS (SELECT query, item, "full" AS g, unnest([1, 2, 3]) AS r, unnest([0.55, 0.6, 0.5]) AS thr, unnest([0.8, 0.9, 0.7]) AS fs, unnest([1.0, 2.0, 0.5]) AS w, unnest([true, false, true]) AS mandatory,
     unnest(["full", 1 - rank / 20.0, CASE WHEN label = asked THEN 0.9 ELSE 0.4 END]) AS raw FROM c),
   st AS (SELECT *, greatest(0.0, least(1.0, (raw - (2 * thr - fs)) / greatest(fs - (2 * thr - fs), 1e-9))) AS strength, raw >= thr AS passed FROM e),
-  a AS (SELECT query, item, max(g) AS g, sum(w * strength) / sum(w) AS wm, exp(sum(w * ln(greatest(strength, 1e-6))) / sum(w)) AS wg, min(strength) AS weakest,
-    count_if(mandatory AND NOT passed) = 0 AS accepted FROM st GROUP BY ALL)
-SELECT query, item, accepted, round(weakest, 6) AS weakest, round(0.20 * g + 0.35 * wm + 0.25 * wg + 0.20 * weakest, 6) AS coverage FROM a
+  a AS (SELECT query, item, least(1.0, greatest(0.0, (max(g) - 0.35) / 0.25)) AS g, sum(w * strength) / sum(w) AS wm, exp(sum(w * ln(greatest(strength, 1e-6))) / sum(w)) AS wg,
+    min(strength) AS weakest, count_if(NOT passed) = 0 AS accepted, avg(CASE WHEN passed THEN 1.0 ELSE 0 END) AS ratio FROM st WHERE mandatory GROUP BY query, item)
+SELECT query, item, accepted, round(weakest, 6) AS weakest, round(ratio, 6) AS ratio, round(0.20 * g + 0.35 * wm + 0.25 * wg + 0.20 * weakest, 6) AS coverage FROM a
 """)
 def q34_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requirement coverage of the first ten candidates of each query."""
@@ -170,7 +170,9 @@ def q34_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = rows.select("query", "item", F.col("full").alias("global_score"), F.explode(needs).alias("n")).select("query", "item", "global_score", "n.*")
     each = each.withColumn("strength", gates.strength(F.col("raw"), F.col("thr"), F.col("fs"))).withColumn("passed", F.col("raw") >= F.col("thr"))
     out = gates.coverage(each, keys=["query", "item"])
-    return out.select("query", "item", "accepted", F.round("weakest", 6).alias("weakest"), F.round("coverage", 6).alias("coverage"))
+    return out.select(
+        "query", "item", "accepted", F.round("weakest", 6).alias("weakest"), F.round("coverage_ratio", 6).alias("ratio"), F.round("coverage", 6).alias("coverage")
+    )
 
 
 SCORED_CTE = "d AS (SELECT l.doc_id, l.toxic, l.quality, least(1.0, d.n_chars / 4000.0) AS score, d.source, d.lang FROM labels l JOIN documents d USING (doc_id))"
@@ -401,5 +403,5 @@ def q84_text_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows = table(spark, sf_dir, "labels").join(docs, "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("quality"))
-    model = statistics.fit_text_forest(rows, "text", "quality")
-    return model.transform(rows).select("doc_id", F.round(vector_to_array("probability")[1], 6).alias("probability"))
+    model, counted = statistics.fit_text_forest(rows, "text", "quality")
+    return model.transform(counted).select("doc_id", F.round(vector_to_array("probability")[1], 6).alias("probability"))

@@ -1,0 +1,433 @@
+"""Rules over queries, held against stated cases: literal conditions, requirements, routes, guards.
+
+A case table goes through the operator; its oracle lists what the cases must
+give. The cases are those whose outcome the rules' definition states.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators import conditions, decomposition, gates, intent
+from tessera.plans.registry import register
+
+
+def _literal(value) -> str:
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, float):
+        return f"{value!r}::DOUBLE"
+    if isinstance(value, int):
+        return repr(value)
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def values(columns: str, rows) -> str:
+    """SQL that returns ``rows``."""
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_literal, r)) + ')' for r in rows)}) t({columns})"
+
+
+BOTH = ("哪份资料必须包含“Alpha Project”，并同时包含“Budget 2026”？", "帮我找同时写有“Alpha Project”和“Budget 2026”的那一页。", "同页出现「Alpha Project」和「Budget 2026」。", "同时核验【Alpha Project】以及【Budget 2026】。")
+FAX = "找出发件机构为 Covington & Burling、日期为1999年12月9日的传真页。"
+# Queries, level, and the labels found with their sources.
+CONDITIONS = (
+    (FAX, "basic", "1999年12月9日|Covington & Burling", "structured_date|latin_phrase"),
+    ("要求用蓝色墨水和大写字母填写、必填项带星号", "basic", "蓝色墨水|大写字母|必填项", "translation_alias|translation_alias|translation_alias"),
+    ("查找卫念念的登记表，联系电话末位为9", "basic", "卫念念|phone_number_ends_with_9", "chinese_name|phone_suffix"),
+    ("哪一页记录了患者赵海鹏？", "basic", "赵海鹏", "chinese_name"),
+    ("哪些页面出现了实体“汇丰晋信”？", "basic", "汇丰晋信", "chinese_entity"),
+    *((q, "explicit", "Alpha Project|Budget 2026", "explicit_required|explicit_required") for q in BOTH),
+    ("有哪些文档讨论 KOOL Naturals 的宣传方案？", "explicit", "KOOL Naturals", "latin_phrase"),
+    ("有哪些文档同时含有表格和图片？", "explicit", "", ""),
+)
+
+
+@register(values("query, level, labels, sources", CONDITIONS))
+def q85_literal_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions of stated queries at each level, in order."""
+    rows = spark.createDataFrame([r[:2] for r in CONDITIONS], "query string, level string")
+    found = [rows.where(F.col("level") == level).withColumn("c", conditions.literal_conditions(F.col("query"), level)) for level in conditions.LEVELS]
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    joined = lambda field: F.array_join(F.transform("c", lambda x: x[field]), "|")
+    return every.select("query", "level", joined("label").alias("labels"), joined("source").alias("sources"))
+
+
+# Query, level, lines of a page, conditions and how many the page meets.
+PAGES = (
+    (FAX, "basic", "COVINGTO N& B URLING|Date: December 9, 1999", 2, 2, True),
+    ("找出发件机构为 Covington & Burling、日期为1999年12月8日的传真页。", "basic", "COVINGTON & BURLING|Date: December 9, 1999", 2, 1, False),
+    ("要求用蓝色墨水和大写字母填写、必填项带星号", "basic", "Please use black ink and BLOCK CAPITALS. All fields are mandatory.", 3, 2, False),
+    ("查找卫念念的登记表，联系电话末位为9", "basic", "姓名 卫念念|联系电话 15918555738|出生日期 1999", 2, 1, False),
+    ("查找卫念念的登记表，联系电话末位为9", "basic", "姓名 卫念念|联系电话 15918555739", 2, 2, True),
+    (BOTH[0], "explicit", "Alpha Project", 2, 1, False),
+    (BOTH[0], "explicit", "Alpha Project|Budget 2026", 2, 2, True),
+    ("哪份资料必须包含“DIRECT ACCOUNTS”，并同时包含“OUTSIDE REGION”？", "explicit", "DIRECT ACCOUNT|OUTSIDE REGIONS", 2, 1, False),
+    ("日期为1999年12月9日的传真", "structured", "12/9/99", 1, 1, True),
+    ("日期为1999年12月9日的传真", "structured", "Dec. 9th, 1999", 1, 1, True),
+    ("日期为1999年12月9日的传真", "structured", "1999-12-08", 1, 0, False),
+    ("编号为AB-12的记录", "structured", "see AB-12 here", 2, 2, True),
+    ("有哪些文档讨论 KOOL Naturals 的宣传方案？", "explicit", "KOOL|the natu-|rals Naturals plan", 1, 1, True),
+)
+
+
+@register(values("query, level, lines, n_conditions, n_matched, complete", PAGES))
+def q86_literal_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many conditions of a query a page meets."""
+    rows = spark.createDataFrame([r[:3] for r in PAGES], "query string, level string, lines string")
+    out = None
+    for level in conditions.LEVELS:
+        part = rows.where(F.col("level") == level).withColumn("c", conditions.literal_conditions(F.col("query"), level))
+        part = part.withColumn("e", conditions.condition_evidence(F.col("c"), F.split("lines", r"\|"), level))
+        out = part if out is None else out.unionByName(part)
+    return out.select("query", "level", "lines", "e.n_conditions", "e.n_matched", "e.complete")
+
+
+# Query, level, whether literal evidence may override, why, and kinds that are mentioned but not found.
+ELIGIBLE = (
+    ("有哪些文档讨论 KOOL Naturals 的宣传方案？", "explicit", True, "explicit_named_discovery_contract_v19_2", ""),
+    ("有哪些文档同时含有表格和图片？", "explicit", False, "no_high_precision_literal_contract", ""),
+    ("哪份资料必须包含“Original invoice number”，并同时包含“Virginia 23219”？", "explicit", True, "high_precision_structured_contract", ""),
+    *((q, "explicit", True, "high_precision_structured_contract", "") for q in BOTH),
+    (FAX, "structured", True, "high_precision_structured_contract", ""),
+    ("哪一页记录了患者赵海鹏？", "structured", True, "exact_entity_contract", ""),
+    ("KOOL Naturals", "explicit", False, "no_high_precision_literal_contract", ""),
+    ("哪一页有编号？", "structured", False, "necessary_condition_extraction_incomplete", "structured_identifier"),
+)
+
+
+@register(values("query, level, eligible, reason, missing", ELIGIBLE))
+def q87_override_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether literal evidence may override the ranking of stated queries."""
+    rows = spark.createDataFrame([r[:2] for r in ELIGIBLE], "query string, level string")
+    parts = [rows.where(F.col("level") == level).withColumn("e", conditions.override_eligibility(F.col("query"), level)) for level in conditions.LEVELS[1:]]
+    return parts[0].unionByName(parts[1]).select("query", "level", "e.eligible", "e.reason", F.array_join("e.missing", "|").alias("missing"))
+
+
+# Case, query, candidates in order with their lines.
+CANDIDATES = (
+    ("a", BOTH[0], "partial", 1, "Alpha Project"), ("a", BOTH[0], "complete", 2, "Alpha Project|Budget 2026"), ("a", BOTH[0], "later", 3, "Budget 2026|Alpha Project"),
+    ("b", "哪份资料必须包含“DIRECT ACCOUNTS”，并同时包含“OUTSIDE REGION”？", "near", 1, "DIRECT ACCOUNT|OUTSIDE REGIONS"),
+    ("b", "哪份资料必须包含“DIRECT ACCOUNTS”，并同时包含“OUTSIDE REGION”？", "exact", 2, "DIRECT ACCOUNTS|OUTSIDE REGION"),
+    ("c", "有哪些文档同时含有表格和图片？", "any", 1, "表格"), ("d", BOTH[1], "half", 1, "Budget 2026"),
+)
+SELECTED = (("a", "complete", 2, True), ("b", "exact", 2, True), ("c", None, None, False), ("d", None, None, False))
+
+
+@register(values("query_id, item, rank, accepted", SELECTED))
+def q88_literal_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first candidate that meets every condition, for eligible queries."""
+    rows = spark.createDataFrame(CANDIDATES, "query_id string, query string, item string, rank int, lines string").withColumn("lines", F.split("lines", r"\|"))
+    return conditions.select_literal(rows, level="explicit", fuzzy=0.84)
+
+
+# Picture requests and their requirements.
+REQUIRED = (
+    ("找一张黄色海豚跃过沙漠金字塔的照片", "color:黄色|scene:沙漠|object:海豚|object:金字塔|binding:黄色海豚|relation:海豚跃过金字塔", True),
+    ("蓝色汽车", "color:蓝色|object:汽车|binding:蓝色汽车", True),
+    ("森林", "scene:森林", False),
+    ("What letter is under his cap?", "object:visible letter|object:his cap|relation:visible letter under his cap", True),
+    ("What kind of zone is in front of the hitter?", "object:zone|object:the hitter|relation:zone in front of the hitter", True),
+    ("What does the logo under the shirt say?", "object:logo text|object:the shirt|relation:logo text under the shirt", True),
+    ("What's the phone number on the bus?", "object:the phone number|object:the bus|relation:the phone number on the bus", True),
+    ("What word is written in white on the engine?", "color:白色|object:visible word|object:the engine|binding:白色 visible word|relation:visible word on the engine", True),
+)
+# Compound queries and the conditions of their clauses.
+CLAUSES = (
+    ("一张居民家庭收入统计题的表格照片，1000至1200元分组的频数为18，百分比为45%。", "object:一张居民家庭收入统计题的表格照片|ocr:1000至1200元分组的频数为18|ocr:百分比为45%", True),
+    ("一只玩具蝴蝶有橙红色翅膀和蓝绿色身体，翅膀上同时有黄色与紫色斑块。", "binding:橙红色翅膀|binding:蓝绿色身体|binding:黄色斑块|binding:紫色斑块", True),
+    ("一片绿色农田位于高大山脉的前方，村庄分布在农田与山脉之间。", "binding:绿色农田|relation:一片农田位于高大山脉的前方|relation:村庄分布在农田与山脉之间", True),
+    ("白色背景上的卡通雨伞，伞面左侧为红色、右侧为黄色，并有蓝色边框。", "binding:白色背景|binding:伞面左侧红色|binding:右侧黄色|binding:蓝色边框", True),
+    ("草地上的羊驼身体覆盖灰色卷毛，脸和长颈为白色。", "binding:灰色卷毛|relation:草地上的羊驼身体覆盖卷毛|binding:脸和长颈白色", True),
+)
+
+
+def _requirements(spark: SparkSession, cases, parser: str) -> DataFrame:
+    rows = spark.createDataFrame([(q,) for q, *_ in cases], "query string").withColumn("p", decomposition.attribute_plan(F.col("query"), parser=parser))
+    listed = F.array_join(F.transform("p.requirements", lambda r: F.concat_ws(":", r["kind"], r["value"])), "|")
+    return rows.select("query", listed.alias("requirements"), "p.compositional")
+
+
+@register(values("query, requirements, compositional", REQUIRED))
+def q89_visual_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requirements of picture requests."""
+    return _requirements(spark, REQUIRED, "visual")
+
+
+@register(values("query, requirements, compositional", CLAUSES))
+def q90_clause_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions of compound queries, clause by clause."""
+    return _requirements(spark, CLAUSES, "clauses")
+
+
+# Candidates of the dolphin request, the requirement scores they miss, whether they are accepted and covered.
+COVERED = (("森林", "any", 0.51, True, 1.0), ("黄色海豚跃过沙漠金字塔", "full", 0.55, True, 1.0), ("黄色海豚跃过沙漠金字塔", "no dolphin", 0.72, False, 0.5))
+
+
+@register(values("query, item, global_score, accepted, ratio", COVERED))
+def q91_plan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A high global score does not hide a missing requirement; plans of one requirement pass by."""
+    cases = spark.createDataFrame([r[:3] for r in COVERED], "query string, item string, global_score double")
+    each = cases.withColumn("p", decomposition.attribute_plan(F.col("query"))).select("query", "item", "global_score", "p.compositional", F.explode("p.requirements").alias("r"))
+    missed = (F.col("item") == "no dolphin") & F.col("r.kind").isin("object", "relation", "binding") & F.contains("r.value", F.lit("海豚"))
+    raw = F.when(missed, F.col("r.threshold") - 0.08).otherwise(F.col("r.full_score"))
+    each = each.select("query", "item", "global_score", "compositional", "r.*", raw.alias("raw"))
+    each = each.withColumns({"strength": gates.strength(F.col("raw"), F.col("threshold"), F.col("full_score")), "passed": F.col("raw") >= F.col("threshold")})
+    out = gates.coverage(each, keys=["query", "item"], compositional=F.col("compositional"))
+    return out.select("query", "item", "global_score", "accepted", F.round("coverage_ratio", 6).alias("ratio"))
+
+
+# Queries and their routes.
+ROUTES = {
+    "visual_discovery": "山水 森林 蓝天白云 海边日落 湖泊倒影 草原 瀑布 美丽 蓝 蓝色汽车 天地 沙漠 城市夜景 跑车 田野 找一张红色跑车照片 山林 山峰 山水画",
+    "entity_exact": "方岩松 盛和 张三 李白 欧阳娜娜 姓名是方岩松 找一个名为方岩松的人 查找方岩松的资料",
+    "topic_discovery": "方程式 林业 马达 高等数学 量子力学 深度学习 神经网络 王者荣耀 高速公路 自然语言处理 建筑学 动物学 车辆工程 蓝牙 白血病 找一下介绍深度学习方法的那一页",
+    "text_evidence": "哪份文档包含课程成绩 哪张图片上写着北京理工大学 地址是哪里 编号20210001在哪份文件 哪份文档包含课程成绩？ 哪张场景照片中出现“惠图仿石艺术漆”和“品质浇筑美好”？",
+    "visual_metadata": "哪张图片是身份证正面 找带印章的正式文件 查找有柱状图的汇报幻灯片 找有三栏排版的幻灯片 找带搜索框的手机界面 找包含错误提示弹窗的截图 找包含流程图的PPT页面 查找一张展示“AParkCorner”的自然图像。",
+    "mixed": "如何设计一个检索系统 谁获得了一等奖 如何设计一个检索系统？ 找包含英文广告牌的街景照片 查找会议室白板上写着明天计划的照片 找车库里蓝色自行车的维修记录",
+}
+ROUTED = tuple((q, r) for r, qs in ROUTES.items() for q in qs.split())
+
+
+@register(values("query, route", ROUTED))
+def q92_route_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of the regression queries."""
+    return spark.createDataFrame([(q,) for q, _ in ROUTED], "query string").select("query", intent.route(F.col("query")).alias("route"))
+
+
+# Query, strict entity, colour, pure colour, topic phrases, relative times.
+PARSED = (
+    ("方岩松", "方岩松", None, False, "方岩松", ""), ("查找方岩松的资料", "方岩松", None, False, "方岩松", ""), ("量子力学", None, None, False, "量子力学", ""),
+    ("盛和", "盛和", None, False, "", ""), ("方程式", None, None, False, "方程式", ""), ("蓝", None, "blue", True, "", ""), ("找蓝色汽车", None, "blue", False, "蓝色汽车", ""),
+    ("找一张蓝色图片", None, "blue", True, "蓝色", ""), ("蓝牙", None, None, False, "蓝牙", ""), ("白血病", None, None, False, "白血病", ""),
+    ("查找标题里有年度报告的文档", None, None, False, "年度报告", ""), ("找带参考文献列表的学术资料", None, None, False, "参考文献列表|参考文献", ""),
+    ("找昨晚收到的通知截图", None, None, False, "昨晚收到|通知", "昨晚"), ("找蓝天下的建筑照片", None, None, False, "蓝天下|建筑", ""),
+)
+
+
+@register(values("query, entity, colour, pure_colour, topics, times", PARSED))
+def q93_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, colours, topics and relative times in queries."""
+    q = F.col("query")
+    return spark.createDataFrame([(r[0],) for r in PARSED], "query string").select(
+        "query", intent.strict_entity(q).alias("entity"), intent.colour_intent(q).alias("colour"), intent.is_pure_colour(q).alias("pure_colour"),
+        F.array_join(intent.topic_terms(q), "|").alias("topics"), F.array_join(intent.temporal_terms(q), "|").alias("times"),
+    )
+
+
+# Query, route, exploratory, entity, what its expansion holds.
+INTENTS = (
+    ("蓝", "visual_discovery", True, None, "以蓝色为主要色调"), ("蓝色汽车", "visual_discovery", True, None, "蓝色汽车，主体内容必须匹配"), ("天地", "visual_discovery", True, None, "天空与大地"),
+    ("美丽", "visual_discovery", True, None, "自然风景"), ("森林", "visual_discovery", True, None, "绿色森林"), ("跑车", "visual_discovery", True, None, "跑车，与该主题直接相关"),
+    ("方岩松", "entity_exact", False, "方岩松", "方岩松"), ("量子力学", "topic_discovery", True, None, "量子力学"), ("谁获得了一等奖", "mixed", False, None, "谁获得了一等奖"),
+)
+
+
+@register(values("query, route, exploratory, entity, holds", INTENTS).replace("SELECT *", "SELECT query, route, exploratory, entity, true AS holds"))
+def q94_search_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Route, mode, entity and search text of queries."""
+    rows = spark.createDataFrame([(r[0], r[4]) for r in INTENTS], "query string, want string").withColumn("i", intent.search_intent(F.col("query")))
+    return rows.select("query", "i.route", "i.exploratory", "i.entity", F.contains("i.search_query", F.col("want")).alias("holds"))
+
+
+# Method, route, exploratory, and the branches text, bm25, visual.
+BRANCHES = (
+    ("text", "mixed", False, True, False, False), ("visual", "mixed", False, False, False, True), ("quality_hybrid", "visual_discovery", True, True, True, True),
+    ("reranker", "visual_discovery", True, True, True, True), ("quality_hybrid", "topic_discovery", True, True, True, False), ("reranker", "text_evidence", False, True, True, False),
+    ("quality_hybrid", "text_evidence", False, True, True, False), ("quality_hybrid", "mixed", False, True, True, True), ("reranker", "visual_metadata", False, True, False, True),
+    ("reranker", "entity_exact", False, True, True, False), ("reranker", "mixed", False, True, True, True),
+)
+
+
+@register(values("method, route, exploratory, text, bm25, visual", BRANCHES))
+def q95_search_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Branches a search needs, by method and route."""
+    rows = spark.createDataFrame([r[:3] for r in BRANCHES], "method string, route string, exploratory boolean")
+    return rows.select("*", intent.branches(F.col("method"), F.col("route"), F.col("exploratory")).alias("b")).select("method", "route", "exploratory", "b.*")
+
+
+NEEDS = ("needs_literal_text", "needs_visual_semantics", "needs_layout_structure", "needs_exact_entity", "needs_topic_discovery")
+
+
+@register("""
+WITH b AS (SELECT unnest([true, false]) AS x),
+  n AS (SELECT l.x AS needs_literal_text, v.x AS needs_visual_semantics, y.x AS needs_layout_structure, e.x AS needs_exact_entity, t.x AS needs_topic_discovery FROM b l, b v, b y, b e, b t)
+SELECT *, CASE WHEN needs_exact_entity THEN 'entity_exact' WHEN needs_literal_text AND (needs_visual_semantics OR needs_layout_structure) THEN 'mixed'
+  WHEN needs_layout_structure THEN 'visual_metadata' WHEN needs_visual_semantics THEN 'visual_discovery' WHEN needs_topic_discovery THEN 'topic_discovery'
+  WHEN needs_literal_text THEN 'text_evidence' ELSE 'mixed' END AS route FROM n
+""")
+def q96_evidence_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The route of every combination of needs."""
+    from itertools import product
+
+    rows = spark.createDataFrame(list(product((True, False), repeat=5)), ", ".join(f"{n} boolean" for n in NEEDS))
+    return rows.withColumn("route", intent.evidence_route({n: F.col(n) for n in NEEDS}))
+
+
+# Query, rule's route, ambiguous, model's route (none: it failed), route taken, source, reason.
+HYBRID = (
+    ("哪页写着会议通知？", "text_evidence", False, None, "text_evidence", "rule", None), ("帮我找一下像公园夜景的那页", "mixed", True, "visual_discovery", "visual_discovery", "llm", None),
+    ("一条歧义查询", "mixed", True, None, "mixed", "rule_fallback", None),
+    ("白色列车在铁路桥上行驶", "visual_discovery", True, "text_evidence", "visual_discovery", "rule_guard", "preserve_visual_route_without_literal_requirement"),
+    ("一张小票，文字总额为174600", "mixed", True, "text_evidence", "text_evidence", "llm", None),
+    ("银色电脑屏幕显示森林，右侧放着光盘", "visual_discovery", True, "mixed", "visual_discovery", "rule_guard", "preserve_visual_route_without_literal_requirement"),
+    ("一张员工年休假申请表，申请人为桑新平，户籍所在地为四川省绵阳市", "mixed", True, "entity_exact", "mixed", "rule_guard", "reject_entity_route_for_long_compound_query"),
+)
+
+
+@register(values("query, rule, ambiguous, model, route, source, reason", HYBRID))
+def q97_hybrid_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and model routes brought together under the guards."""
+    rows = spark.createDataFrame([r[:4] for r in HYBRID], "query string, rule string, ambiguous boolean, model string")
+    out = rows.withColumn("h", intent.hybrid_route(F.col("query"), F.col("rule"), F.col("ambiguous"), F.col("model")))
+    return out.select("query", "rule", "ambiguous", "model", "h.*")
+
+
+# Query, whether the rules' route leaves doubt and why.
+DOUBTS = (
+    ("找一张蓝色海边照片", ""), ("材料里有没有林雨琪？", "rule_route_mixed|probable_person_lookup_missed_by_rule"), ("整理一下与储能安全相关的材料", ""),
+    ("哪份申请表右下角盖了红色印章？", "explicit_compound_evidence_missed_by_rule"), ("我记得山景照片里的路牌写着海拔三千米。", ""), ("标题写着“设备采购清单”的页面在哪里？", ""),
+    ("找蓝色瓶子且标签写着丙酮的照片。", "explicit_compound_evidence_missed_by_rule"),
+)
+RECOVERED = (("材料里有没有梁思远？", "entity_exact"), ("材料中有没有ZX-410？", "entity_exact"), ("我记得一张图中厨师正把锅抛起，旁边有火苗。", "visual_discovery"), ("森林", "visual_discovery"))
+
+
+@register(values("query, reasons", DOUBTS))
+def q98_route_ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a model is asked about a route."""
+    q = F.col("query")
+    return spark.createDataFrame([(r[0],) for r in DOUBTS], "query string").select("query", F.array_join(intent.ambiguity(q, intent.route(q)), "|").alias("reasons"))
+
+
+@register(values("query, route", RECOVERED))
+def q98b_recovered_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons, codes and plain scenes the first rules miss."""
+    return spark.createDataFrame([(r[0],) for r in RECOVERED], "query string").select("query", intent.calibrated_route(F.col("query")).alias("route"))
+
+
+# Query, old route, new route, compositional, route applied, reason.
+TRANSITIONS = (
+    ("找出明确写有金额的页面", "mixed", "visual_discovery", None, "mixed", "preserve_factual_acceptance"),
+    ("帮我找一个可能的人名", "text_evidence", "entity_exact", None, "text_evidence", "entity_exact_without_strict_term"),
+    ("金额和红色印章必须同时满足", "mixed", "text_evidence", True, "mixed", "compositional_candidate_removes_legacy_branch"),
+    ("找一份材料", "mixed", "text_evidence", False, "mixed", "candidate_removes_legacy_branch"),
+    ("找右上角带校徽的封面", "mixed", "visual_metadata", False, "visual_metadata", None),
+)
+
+
+@register(values("query, old, new, compositional, route, reason", TRANSITIONS))
+def q99_transition_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New routes that would weaken what the old route secures are turned down."""
+    rows = spark.createDataFrame([r[:4] for r in TRANSITIONS], "query string, old string, new string, compositional boolean")
+    guard = intent.transition_guard(F.lit("quality_hybrid"), F.col("old"), F.col("new"), F.col("compositional"), intent.strict_entity(F.col("query")))
+    return rows.withColumn("g", guard).select("query", "old", "new", "compositional", "g.*")
+
+
+# Query, route, candidates (dense, lexical, visual, quoted), accepted, signal.
+GUARDED = (
+    ("查找包含Python代码的页面", "text_evidence", ((0.45, 28.0, 0.0, False), (0.55, 2.0, 0.0, False)), False, 0), ("查找标题里有年度报告的文档", "text_evidence", ((0.55, 8.0, 0.0, False),), True, 1),
+    ("查找活动宣传海报", "visual_metadata", ((0.60, 12.0, 0.20, False),), False, 0), ("查找餐厅菜单或价目表照片", "visual_metadata", ((0.51, 0.0, 0.48, False),), False, 0),
+    ("查找“年度报告”的页面", "text_evidence", ((0.9, 9.0, 0.9, False),), False, 0), ("查找“年度报告”的页面", "mixed", ((0.1, 0.0, 0.0, True),), None, None),
+    ("随便", "visual_metadata", (), False, 0), ("森林", "visual_discovery", ((0.1, 0.0, 0.9, False),), None, None),
+)
+
+
+@register(values("query, accepted, signal", ((i, ok, n) for i, (_, _, _, ok, n) in enumerate(GUARDED))))
+def q100_route_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of a route must meet on one candidate."""
+    rows = [(i, q, r, f"c{k}" if c else None, k, *(c or (None,) * 4)) for i, (q, r, cs, *_) in enumerate(GUARDED) for k, c in enumerate(cs or (None,), 1)]
+    made = spark.createDataFrame(rows, "query int, text string, route string, item string, rank int, dense double, lexical double, visual double, quoted boolean")
+    return gates.route_guard(made).select("query", "accepted", "signal")
+
+
+# Query, route, best visual score, complete literal page, floor, floor of relations, composite, rejected.
+COMPOSED = (
+    ("钢琴旁摆放手写乐谱和小提琴的室内照片", "visual_metadata", 0.341, False, 0.35, None, True, True), ("猫和狗同时出现在草地照片中", "visual_metadata", 0.41, False, 0.35, None, True, False),
+    ("哪张场景照片中出现“JINGMI Rd”和“自行车优先”？", "visual_metadata", 0.30, True, 0.40, None, False, False), ("查找宠物戴红色帽子的照片", "visual_discovery", 0.35, False, 0.40, None, True, True),
+    ("找蓝色鲸鱼游过沙漠峡谷的照片", "visual_discovery", 0.451, False, 0.40, 0.46, True, True), ("蓝色汽车", "visual_discovery", 0.1, False, 0.40, None, False, False),
+    ("文档包含日期和很多其他内容", "text_evidence", 0.1, False, 0.40, None, False, False),
+)
+
+
+@register(values("query, applies, rejects", ((r[0], r[6], r[7]) for r in COMPOSED)))
+def q101_composite_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for several pictured things are not answered by one."""
+    out = None
+    for q, r, visual, literal, least, related, *_ in COMPOSED:
+        rows = spark.createDataFrame([(q, q, r, True, "a", 1, visual, literal)], "query string, text string, route string, accepted boolean, item string, rank int, visual double, literal boolean")
+        part = gates.composite_guard(rows, least=least, related=related)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# Query, whether a page of the first ten has evidence of its time, rejected.
+TIMED = (("找我去年在海边拍的日落照片", False, True), ("找我去年在海边拍的日落照片！", True, False), ("找蓝天下的建筑照片", False, False))
+
+
+@register(values("query, rejects", ((r[0], r[2]) for r in TIMED)))
+def q102_context_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times relative to the asker need evidence."""
+    rows = spark.createDataFrame([(q, q, 1, held) for q, held, _ in TIMED], "query string, text string, rank int, context boolean")
+    return gates.context_guard(rows)
+
+
+# Query, route, colour, exact topic, quoted, ranking shown.
+SOURCES = {"visual_discovery": "adaptive", "visual_metadata": "adaptive", "visual_metadata_plain_object": "visual_metadata_blend", "topic_discovery_without_exact": "adaptive"}
+SHOWN = (
+    ("蓝", "visual_discovery", "blue", False, False, "quality_hybrid"), ("查找有公式和图表的论文", "visual_metadata", None, False, False, "adaptive"),
+    ("找一张手机照片", "visual_metadata", None, False, False, "visual_metadata_blend"), ("量子力学", "topic_discovery", None, False, False, "adaptive"),
+    ("量子力学", "topic_discovery", None, True, False, "quality_hybrid"), ("“年度报告”", "visual_metadata", None, False, True, "quality_hybrid"), ("谁", "mixed", None, False, False, "quality_hybrid"),
+)
+
+
+@register(values("query, route, colour, exact, quoted, source", SHOWN))
+def q103_ranking_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which ranking a route shows."""
+    rows = spark.createDataFrame([r[:5] for r in SHOWN], "query string, route string, colour string, exact boolean, quoted boolean")
+    return rows.withColumn("source", gates.ranking_source(F.col("query"), F.col("route"), F.col("colour"), F.col("exact"), F.col("quoted"), SOURCES))
+
+
+# Relations and their opposites.
+TURNED = (
+    ("农田位于山脉的前方", True, "农田位于山脉的后方"), ("列车在水面上方", True, "列车在水面下方"), ("cat on the left of dog", False, "cat on the right of dog"),
+    ("text on the back of a car", False, "text on the front of a car"), ("zone in front of the hitter", True, "zone behind the hitter"), ("cat beside dog", True, None), ("person", False, None),
+)
+
+
+@register(values("value, newer, opposite", TURNED))
+def q104_opposite_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations with their direction turned round."""
+    rows = spark.createDataFrame([r[:2] for r in TURNED], "value string, newer boolean")
+    opposite = F.when(F.col("newer"), gates.opposite_relation(F.col("value"), True)).otherwise(gates.opposite_relation(F.col("value")))
+    return rows.withColumn("opposite", opposite)
+
+
+# Texts, whether they name private data, category they suggest; lines, whether they are evidence.
+PRIVATE = (
+    ("Email: user@example.com", True, ""), ("身份证 210123199901011234", True, "table_form_ticket"), ("普通课程通知", False, ""), ("call 010-1234 5678", True, ""),
+    ("姓名 朋朋 性别 男 出生 1996年 公民身份号码", True, "table_form_ticket"), ("姓名 李明 性别 男", True, ""), ("论文实验结果", False, ""), ("Date of Birth", True, ""), ("an ID card", False, "table_form_ticket"),
+)
+LINES = (
+    ("1234567890", False), ("tingting@example.com", False), ("家庭住址：某省某市", False), ("1201 Pennsylvania Avenue, N.W.", False), ("www.example.com", False), ("question", False),
+    ("卷积神经网络", True), ("Annual report of the board", True), ("独特实验设置", True), ("abc", False),
+)
+
+
+@register(values("text, sensitive, category", PRIVATE))
+def q105_private_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Private data and identity papers in stated texts."""
+    from tessera.operators import corpus
+
+    rows = spark.createDataFrame([r[:1] for r in PRIVATE], "text string")
+    return rows.select("text", corpus.contains_sensitive(F.col("text")).alias("sensitive"), corpus.suggested_category(F.col("text")).alias("category"))
+
+
+@register(values("line, valid", LINES))
+def q106_evidence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stated lines that can, or cannot, stand as evidence."""
+    from tessera.operators import literals
+
+    rows = spark.createDataFrame([r[:1] for r in LINES], "line string")
+    return rows.select("line", literals.valid_evidence_line(F.col("line"), F.lit(0.99)).alias("valid"))

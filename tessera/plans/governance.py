@@ -13,21 +13,21 @@ from tessera.sources.tables import table
 
 
 @register("""
-SELECT doc_id, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') AS has_email, regexp_matches(text, '[0-9]{9,}') AS has_long_number,
-  regexp_matches(text, '(?i)(password|passwd|secret|token|api_?key)') AS has_private_word FROM documents
+WITH t AS (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, regexp_matches(t, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b') AS has_email, regexp_matches(t, '[0-9][0-9 -]{7,}[0-9]') AS has_long_number, regexp_matches(t, '(?i)身份证|公民身份|住址|出生|姓名|手机号|电话|邮箱|\\baddress\\b|\\bphone\\b|\\be-?mail\\b|\\bdate of birth\\b|\\bssn\\b|\\bsocial security\\b') AS has_private_word FROM t
 """)
 def q15_privacy_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which kinds of private text every document holds."""
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select(
+    t = F.col("t")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("t"))
+    return rows.select(
         "doc_id", t.rlike(corpus.EMAIL).alias("has_email"), t.rlike(corpus.LONG_NUMBER).alias("has_long_number"), t.rlike(corpus.PRIVATE_WORDS).alias("has_private_word")
     )
 
 
 @register("""
 WITH r AS (SELECT d.doc_id, d.n_chars, coalesce(l.quality, 0) = 1 AS expected, coalesce(l.toxic, 0) = 1 AS private, len(string_split(d.text, chr(10))) AS boxes,
-    least(1.0, d.n_chars / 1000.0) AS conf, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') OR regexp_matches(text, '[0-9]{9,}')
-      OR regexp_matches(text, '(?i)(password|passwd|secret|token|api_?key)') AS sensitive FROM documents d LEFT JOIN labels l USING (doc_id))
+    least(1.0, d.n_chars / 1000.0) AS conf, regexp_matches(t, '(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b') OR regexp_matches(t, '[0-9][0-9 -]{7,}[0-9]') OR regexp_matches(t, '(?i)身份证|公民身份|住址|出生|姓名|手机号|电话|邮箱|\\baddress\\b|\\bphone\\b|\\be-?mail\\b|\\bdate of birth\\b|\\bssn\\b|\\bsocial security\\b') AS sensitive FROM (SELECT *, regexp_replace(text, '\\s+', ' ', 'g') AS t FROM documents) d LEFT JOIN labels l USING (doc_id))
 SELECT doc_id, CASE WHEN private AND sensitive THEN 'privacy_review' WHEN NOT expected AND n_chars >= 6 AND conf >= 0.70 THEN 'category_text_leak'
   WHEN NOT expected AND n_chars >= 3 AND conf >= 0.50 THEN 'category_review' WHEN NOT expected THEN 'pass' WHEN n_chars = 0 OR boxes = 0 THEN 'ocr_retry'
   WHEN conf < 0.60 THEN 'ocr_low_confidence' ELSE 'pass' END AS route,

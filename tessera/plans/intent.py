@@ -125,9 +125,10 @@ def q53_reference_reproduction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-SELECT doc_id, coalesce(CASE WHEN regexp_matches(lower(text), 'passport|identity card|driving licen[cs]e') THEN 'identity_document'
-  WHEN regexp_matches(lower(text), 'invoice|receipt|total amount') THEN 'financial_document' WHEN regexp_matches(lower(text), 'license|licence|copyright') THEN 'legal_notice' END, 'none') AS category FROM documents
+SELECT doc_id, CASE WHEN regexp_matches(regexp_replace(text, '\\s+', ' ', 'g'), '(?i)身份证|公民身份号码|居民身份证|\\bidentity card\\b|\\bid card\\b') THEN 'table_form_ticket' ELSE '' END AS category,
+  CASE WHEN category <> '' AND category <> lang THEN 'category_review' ELSE 'pass' END AS route FROM documents
 """)
 def q61_suggested_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Category each document's wording suggests."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(corpus.suggested_category(F.col("text")), F.lit("none")).alias("category"))
+    """Category each document's wording suggests, and where it goes if it has another."""
+    rows = table(spark, sf_dir, "documents").withColumn("category", corpus.suggested_category(F.col("text")))
+    return rows.select("doc_id", "category", corpus.category_checked(F.lit("pass"), F.col("lang"), F.col("category")).alias("route"))

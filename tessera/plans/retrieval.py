@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import cosine, dot, l2_normalized
-from tessera.functions.text import excerpt, sparse_weight, tokens
+from tessera.functions.text import excerpt, sparse_weight, token_count, tokens
 from tessera.operators import corpus, fusion, lexical, vectors
 from tessera.operators.splits import top_per_group
 from tessera.plans.registry import register
@@ -59,7 +59,7 @@ SELECT count(*) AS n_items, round(avg(len({TOKENS.format("text")})), 6) AS avg_d
 """)
 def q02b_corpus_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of the corpus and its mean and largest length in tokens."""
-    n = F.size(tokens(F.coalesce("text", F.lit(""))))
+    n = token_count(F.coalesce("text", F.lit("")))
     return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_items"), F.round(F.avg(n), 6).alias("avg_dl"), F.max(n).cast("long").alias("max_dl"))
 
 
@@ -343,9 +343,14 @@ SELECT query, doc_id AS item, CAST(len(hit) AS BIGINT) AS n_matched,
 def q46_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matched terms and an excerpt for documents that hold a query's first token."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.slice(tokens(F.col("text")), 1, 3).alias("terms"))
-    rows = table(spark, sf_dir, "documents").join(F.broadcast(asked), F.contains(F.lower("text"), F.get("terms", F.lit(0))))
-    rows = rows.withColumn("hit", F.filter("terms", lambda t: F.contains(F.lower("text"), t)))
-    return rows.select("query", F.col("doc_id").alias("item"), F.size("hit").cast("long").alias("n_matched"), excerpt(F.col("text"), F.col("hit")).alias("excerpt"))
+    asked = asked.withColumn("first", F.get("terms", F.lit(0)))
+    # Few distinct first tokens: each text is searched once for each of them, not once a query.
+    heads = asked.select("first").distinct().agg(F.collect_list("first").alias("heads"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text", F.lower("text").alias("low")).join(F.broadcast(heads))
+    held = texts.select("doc_id", "text", "low", F.explode(F.filter("heads", lambda t: F.contains(F.col("low"), t))).alias("first"))
+    rows = held.join(asked, "first").withColumn("hit", F.filter("terms", lambda t: F.contains(F.col("low"), t)))
+    found = excerpt(F.col("text"), F.col("hit"), low=F.col("low"))
+    return rows.select("query", F.col("doc_id").alias("item"), F.size("hit").cast("long").alias("n_matched"), found.alias("excerpt"))
 
 
 @register("""

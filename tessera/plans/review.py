@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import corpus, literals, review, statistics
+from tessera.functions.text import strip_tags
+from tessera.operators import conditions, corpus, literals, review, statistics
 from tessera.plans.evaluation import RANKED_CTE, SCORED_CTE, _ranked, _scored
 from tessera.plans.registry import register
 from tessera.sources.tables import table
@@ -77,9 +78,12 @@ def q73_union_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-WITH l AS (SELECT doc_id AS item, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT * FROM l WHERE trim(line, ' ') <> '')
-SELECT item, count(*) AS n_lines, CAST(count_if(length(line) BETWEEN 4 AND 36 AND NOT (regexp_matches(line, '[0-9]{6,}') OR regexp_matches(line, '@|https?://|www\\.'))
-  AND length(regexp_replace(line, '[^\\p{L}\\p{N}]', '', 'g')) >= 0.65 * length(line) AND length(regexp_replace(line, '[^0-9]', '', 'g')) <= 0.5 * length(line)
+WITH l AS (SELECT doc_id AS item, unnest(string_split(text, chr(10))) AS line FROM documents),
+  s AS (SELECT item, line, length(regexp_replace(line, '[^\\p{L}\\p{N}]', '', 'g')) AS letters FROM l WHERE trim(line, ' ') <> '')
+SELECT item, count(*) AS n_lines, CAST(count_if(length(line) BETWEEN 4 AND 36 AND NOT regexp_matches(line, '[0-9]{6,}|@')
+  AND NOT regexp_matches(line, '(?i)地址|住址|电话|手机|邮箱|邮件|身份证|证件号码|出生日期|姓名|学号|账号|银行卡|邮编|微信|\\baddress\\b|\\btelephone\\b|\\bphone\\b|\\be-?mail\\b|\\bpassport\\b|\\bdate of birth\\b')
+  AND NOT regexp_matches(line, '(?i)https?://|www\\.|\\.com\\b|\\.cn\\b|省.{0,12}市|市.{0,12}(?:区|县|镇|路|街|号)|[0-9]+\\s+(?:avenue|street|road|boulevard)|\\bWashington,\\s*D\\.?C\\.?\\b|\\bN\\.?W\\.?\\b|\\b[0-9]{5}(?:-[0-9]{4})?\\b')
+  AND letters >= 0.65 * length(line) AND length(regexp_replace(line, '[^0-9]', '', 'g')) <= 0.5 * letters AND len(regexp_extract_all(line, '[A-Za-z]+')) >= 2
   AND len(list_distinct(string_split(line, ''))) >= 3) AS BIGINT) AS n_valid FROM s GROUP BY item
 """)
 def q74_valid_evidence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,25 +103,16 @@ def q75_phrase_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '[A-Z][A-Z0-9]+-[0-9]{2,}'))) AS BIGINT) AS n_identifiers,
-  CAST(len(list_distinct(regexp_extract_all(text, '(?:19|20)[0-9]{2}'))) AS BIGINT) AS n_years FROM documents
-""")
-def q76_literal_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Identifiers and years that every text names."""
-    groups = literals.literal_groups(F.col("text"))
-    count = lambda kind: F.size(F.filter(groups, lambda g: g["kind"] == kind)).cast("long")
-    return table(spark, sf_dir, "documents").select("doc_id", count("identifier").alias("n_identifiers"), count("year").alias("n_years"))
-
-
-@register("""
-WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)
-SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, strftime(d, '%Y-%m-%d') AS iso, strftime(d, '%m/%d/%Y') AS us, CAST(CASE WHEN year(d) % 100 >= 50 THEN year(d) % 100 + 1900 ELSE year(d) % 100 + 2000 END AS BIGINT) AS pivoted FROM d
+WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders),
+  f AS (SELECT *, CAST(year(d) AS VARCHAR) AS y, CAST(month(d) AS VARCHAR) AS m, CAST(day(d) AS VARCHAR) AS n, lpad(CAST(year(d) % 100 AS VARCHAR), 2, '0') AS yy FROM d)
+SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, array_to_string(list_filter([y || '年' || m || '月' || n || '日', y || '-' || m || '-' || n, m || '/' || n || '/' || y, m || '/' || n || '/' || yy,
+    monthname(d) || ' ' || n || ', ' || y, CASE WHEN monthname(d) <> 'May' THEN left(monthname(d), 3) || ' ' || n || ', ' || y END], lambda x: x IS NOT NULL), '|') AS forms,
+  CAST(CASE WHEN year(d) % 100 >= 50 THEN year(d) % 100 + 1900 ELSE year(d) % 100 + 2000 END AS BIGINT) AS pivoted FROM f
 """)
 def q77_date_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Surface forms of order dates and their two-digit years back in full."""
-    forms = literals.date_forms(F.col("o_orderdate"))
     year = literals.four_digit_year(F.year("o_orderdate") % 100)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.get(forms, F.lit(0)).alias("iso"), F.get(forms, F.lit(4)).alias("us"), year.cast("long").alias("pivoted"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(literals.date_forms(F.col("o_orderdate")), "|").alias("forms"), year.cast("long").alias("pivoted"))
 
 
 @register(f"""
@@ -153,11 +148,10 @@ def q79_set_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def q80_fuzzy_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best matching-block similarity of each benchmark text's first word with the lines of pages that share its first letters."""
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("word"))
-    pages = table(spark, sf_dir, "pages").select("page_id", F.split(F.lower("url"), "[/.?]").alias("parts"))
-    pairs = pages.join(F.broadcast(asked)).withColumn("similarity", literals.best_similarity("word", "parts"))
-    return pairs.groupBy("item_id").agg(F.round(F.max("similarity"), 6).alias("best"))
+    """Pages whose lines hold a whole benchmark text, exactly or nearly; benchmark texts are the stated query set."""
+    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term_id"), F.col("text").alias("term"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), F.split(strip_tags(F.col("html")), "\n").alias("lines"))
+    return conditions.fuzzy_hits(pages, terms, fuzzy=0.95).select("term_id", "page", F.round("similarity", 6).alias("similarity"))
 
 
 @register("""

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tessera.operators import literals, review
+from tessera.operators import conditions, literals, review
 
 
 def one(spark, *columns):
@@ -39,14 +39,37 @@ def test_set_scores(spark):
 
 def test_literals(spark):
     r = one(
-        spark, literals.literal_groups(F.lit("HARBOR-001 in 2024 for 12.50 EUR, HARBOR-001")).alias("g"),
-        literals.identifier_evidence(F.lit("AB-1"), F.array(F.lit("x AB-1 y"))).alias("a"), literals.identifier_evidence(F.lit("AB1"), F.array(F.lit("x AB1 y"))).alias("b"),
-        literals.valid_evidence_line(F.lit("Annual report of the board"), F.lit(0.9)).alias("ok"), literals.valid_evidence_line(F.lit("call 1234567 now"), F.lit(0.9)).alias("no"),
+        spark, literals.valid_evidence_line(F.lit("Annual report of the board"), F.lit(0.9)).alias("ok"), literals.valid_evidence_line(F.lit("call 1234567 now"), F.lit(0.9)).alias("no"),
         literals.phrase_candidates(F.lit("one two three four")).alias("p"), literals.four_digit_year(F.lit(49)).alias("y"), literals.four_digit_year(F.lit(50)).alias("z"),
-        literals.token_ratio(F.lit("abcdef"), 0.92).alias("t"),
     )
-    assert [(g.kind, g.label) for g in r.g] == [("identifier", "HARBOR-001"), ("amount", "12.50 EUR"), ("year", "2024")]
-    assert (r.a, r.b, r.ok, r.no, r.y, r.z, r.t) == (True, False, True, False, 2049, 1950, 0.92)
+    assert (r.ok, r.no, r.y, r.z) == (True, False, 2049, 1950)
     assert r.p == ["one two three four", "one two three", "two three four"]
-    pairs = spark.createDataFrame([("token", ["x", "tokem"]), ("a", None), ("abc", ["zabcz"])], "t string, ls array<string>")
-    assert [round(x.s, 3) for x in pairs.select(literals.best_similarity("t", "ls").alias("s")).collect()] == [0.8, 0.0, 1.0]
+
+
+def test_fuzzy_hits(spark):
+    """The bounded search finds what comparing every window finds."""
+    import random
+    from difflib import SequenceMatcher
+
+    draw = random.Random(5)
+    terms = [(i, " ".join("".join(draw.choices("abcde", k=draw.randint(2, 6))) for _ in range(draw.randint(2, 6)))) for i in range(12)]
+    pages = []
+    for i in range(15):
+        near = list(draw.choice(terms)[1])
+        near[draw.randrange(len(near))] = "x"
+        pages.append((i, ["".join(draw.choices("abcde ", k=30)), "".join(near), "".join(draw.choices("abc ", k=20))]))
+    pages.append((99, None))
+
+    def best(term, lines):
+        t, parts = conditions.compact(term), [conditions.compact(x) for x in lines or [] if conditions.compact(x)]
+        joined = "".join(parts)
+        if t in joined:
+            return 1.0
+        windows = [joined[k : k + len(t)] for k in range(len(joined) - len(t) + 1)]
+        return max((SequenceMatcher(None, t, w).ratio() for w in parts + windows), default=0.0)
+
+    want = {(i, p): round(best(t, ls), 8) for i, t in terms for p, ls in pages}
+    rows = spark.createDataFrame(pages, "page int, lines array<string>")
+    got = conditions.fuzzy_hits(rows, spark.createDataFrame(terms, "term_id int, term string"), fuzzy=0.8, block=5)
+    assert {(r.term_id, r.page): r.similarity for r in got.collect()} == {k: v for k, v in want.items() if v >= 0.8}
+    assert conditions.PageText(["ab cd"]).best_ratio("zz") == 0.0
