@@ -419,7 +419,7 @@ def _keep(batches: Iterator[pa.RecordBatch], length: int, digest: bool) -> Itera
 
 
 def remove_repeats(
-    documents: DataFrame, *, length: int = 100, gram: int = 50, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, hot: int = 4096
+    documents: DataFrame, *, length: int = 100, gram: int = 50, id_col: str = "doc_id", text_col: str = "text", digest: bool = False, hot: int = 512
 ) -> DataFrame:
     """One row per input row: bytes, removed bytes and runs, and what is kept (or its SHA-256).
 
