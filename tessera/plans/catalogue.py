@@ -1,6 +1,6 @@
 """All registered queries over the driver tables."""
 
-from tessera.plans import evaluation, golden, governance, intent, retrieval, review  # noqa: F401
+from tessera.plans import evaluation, golden, governance, intent, retrieval, review, studies  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -27,9 +27,9 @@ def ingest_stream(spark: SparkSession, path: str, key: str, target: str, checkpo
 
 
 def ingested_once(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Everything under ``path`` taken in by one run of the stream."""
+    """What ``path`` (a file or a folder) holds, taken in by one run of the stream."""
     base = f"{shared_root(spark)}/tessera/ingest-{uuid.uuid4().hex}"
     parent, _, name = path.rpartition("/")
-    query = ingest_stream(spark, f"{parent}/{name.replace('events', 'event[s]')}", key, f"{base}/rows", f"{base}/checkpoint")
+    query = ingest_stream(spark, f"{parent}/{name[:-1]}[{name[-1]}]", key, f"{base}/rows", f"{base}/checkpoint")
     query.awaitTermination()
     return spark.read.parquet(f"{base}/rows")
