@@ -387,3 +387,81 @@ def claim_once(row: DataFrame, path: str) -> bool:
     except AnalysisException:
         return False
     return True
+
+
+# ---- categories, quality tags, page rotation, near negatives, configurations
+
+# Spellings of quality tags.
+TAG_NAMES = {
+    "clear": "clear", "clear_scan": "clear", "blur": "blur", "blurry": "blur", "tilt": "tilt", "perspective": "tilt", "shadow": "shadow", "reflection": "reflection", "glare": "reflection",
+    "low_resolution": "low_resolution", "occlusion": "occlusion", "low_contrast": "low_contrast", "scan_noise": "scan_noise", "compression_artifact": "compression_artifact",
+}
+
+
+def quality_tags(value: Column) -> Column:
+    """A list of tags under their one name, distinct, in order, ``;``-joined; "clear" only alone."""
+    names = F.create_map(*(F.lit(x) for pair in TAG_NAMES.items() for x in pair))
+    found = F.array_distinct(F.array_compact(F.transform(id_list(F.coalesce(value, F.lit(""))), lambda t: F.element_at(names, t))))
+    return F.array_join(F.when(F.size(found) > 1, F.array_remove(found, "clear")).otherwise(found), ";")
+
+
+def current_category(category: Column, categories: Iterable[str], fallback: str = "general_text_document") -> Column:
+    """A category of today's taxonomy; old and unknown ones are general documents."""
+    return F.when(category.isin(*categories), category).otherwise(fallback)
+
+
+def rotation_utility(characters: Column, confidence: Column, low_share: Column) -> Column:
+    """How much a reading of a turned page is worth."""
+    return F.log1p(characters) * confidence * (1 - 0.5 * low_share)
+
+
+def rotation_accepted(base: Mapping[str, Column], turned: Mapping[str, Column]) -> Column:
+    """Whether a turned reading replaces the plain one: worth more, and with clearly more characters or confidence."""
+    value = lambda r: rotation_utility(r["characters"], r["confidence"], r["low_share"])
+    surer, longer = turned["confidence"] - base["confidence"], turned["characters"] / F.greatest(base["characters"], F.lit(1))
+    material = ((longer >= 1.25) & (surer >= 0.05)) | ((longer >= 0.90) & (surer >= 0.15))
+    return (turned["angle"] != 0) & (turned["characters"] >= 8) & (value(turned) >= 1.15 * F.greatest(value(base), F.lit(1e-6))) & material
+
+
+def near_negative(question: Column, colours: Mapping[str, str], relations: Iterable[tuple[str, str]]) -> Column:
+    """``(query, kind, source, replacement)`` with the first colour, else the first relation, changed; null where there is none."""
+    out = F.lit(None)
+    for kind, source, target in reversed([("color_substitution", a, b) for a, b in colours.items()] + [("relation_substitution", a, b) for a, b in relations]):
+        found = rf"(?i)(?<![a-z0-9]){source}(?![a-z0-9])"
+        changed = F.regexp_replace(question, rf"(?s)^(.*?){found}(.*)$", f"$1{target}$2")
+        out = F.when(question.rlike(found), F.struct(changed.alias("query"), F.lit(kind).alias("kind"), F.lit(source).alias("source"), F.lit(target).alias("replacement"))).otherwise(out)
+    return out
+
+
+def tagged_question(tags: Column) -> Column:
+    """The question among a page's source tags, empty if none."""
+    held = F.filter(tags, lambda t: F.startswith(t, F.lit("question=")))
+    return F.coalesce(F.trim(F.regexp_replace(F.regexp_replace(F.get(held, F.lit(0)), "^question=", ""), r"\s+", " ")), F.lit(""))
+
+
+def preferred_branch(text_rank: Column, visual_rank: Column) -> Column:
+    """1 where text ranks the page better, 0 where pictures do, -1 where neither."""
+    return F.when(text_rank < visual_rank, 1).when(visual_rank < text_rank, 0).otherwise(-1)
+
+
+def configurations(spark, grid: Mapping[str, list[float]], paired: Iterable[tuple[str, ...]] = ()) -> DataFrame:
+    """All combinations of a grid; paired fields move together. Grids are short lists."""
+    together = {f for group in paired for f in group}
+    frames = [spark.createDataFrame(list(zip(*(map(float, grid[f]) for f in group), strict=True)), ", ".join(f"{f} double" for f in group)) for group in paired]
+    frames += [spark.createDataFrame([(float(v),) for v in grid[f]], f"{f} double") for f in sorted(grid) if f not in together]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.crossJoin(f)
+    return out
+
+
+# Things a picture shows, and words that ask for text.
+SHOWN = ("人物", "动物", "天空", "白云", "蓝天", "山峰", "雪山", "湖泊", "海边", "海面", "沙滩", "森林", "树木", "日出", "日落", "夕阳", "倒影", "建筑", "车辆", "帆船", "风景", "颜色", "画面")
+ASKS_PICTURE = ("哪张图片", "哪幅图片", "哪张照片", "哪幅照片")
+
+
+def query_mode(query: Column, text_words: Iterable[str]) -> Column:
+    """``visual`` for requests that name two things shown, or one of a picture; ``mixed`` otherwise and where text is asked for."""
+    hits = sum((F.contains(query, F.lit(w)).cast("int") for w in SHOWN), F.lit(0))
+    text = query.rlike("|".join(text_words))
+    return F.when(~text & ((hits >= 2) | (query.rlike("|".join(ASKS_PICTURE)) & (hits >= 1))), F.lit("visual")).otherwise("mixed")
