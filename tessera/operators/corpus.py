@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tessera.functions.text import bound
+from tessera.sources.tables import small
 
 # What a privacy scan looks for, in text with single blanks.
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
@@ -114,11 +115,11 @@ def phrase_pages(pages: DataFrame, phrases: DataFrame) -> DataFrame:
     """``(query, item)`` for pages that contain every phrase of a query (relational division).
 
     ``phrases`` (query, phrase) is a stated, small set: it is gathered to one
-    row per query and broadcast, so every page is read once and nothing of it
+    row per query and, if its size is checked to be small, broadcast, so every page is read once and nothing of it
     is shuffled.
     """
     wanted = phrases.groupBy("query").agg(F.collect_set("phrase").alias("phrases"))
-    met = pages.join(F.broadcast(wanted)).where(F.forall("phrases", lambda p: F.contains(F.col("text"), p)))
+    met = pages.join(small(wanted)).where(F.forall("phrases", lambda p: F.contains(F.col("text"), p)))
     return met.select("query", "item")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import small
+
 
 def per_query(query: str = "query") -> Window:
     return Window.partitionBy(query)
@@ -63,7 +65,7 @@ def full_grid(queries: DataFrame, items: DataFrame, scores: DataFrame, fill: flo
 
     For a stated, small query set; the grid has queries x items rows by design.
     """
-    grid = items.select("item").join(F.broadcast(queries.select("query").distinct()))
+    grid = items.select("item").join(small(queries.select("query").distinct()))
     return grid.join(scores, ["query", "item"], "left").withColumn("score", F.coalesce("score", F.lit(fill)))
 
 

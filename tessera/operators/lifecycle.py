@@ -50,10 +50,14 @@ def outside_domain(rows: DataFrame, column: str, allowed: list) -> DataFrame:
 
 
 def bounded_cache(files: DataFrame, *, name: str, size: str, newest: Column, most_files: int, most_bytes: int) -> DataFrame:
-    """Files kept when the newest come first until a count or a total size is reached."""
-    order = Window.partitionBy().orderBy(newest, F.col(name))
-    run = files.withColumn("_n", F.row_number().over(order)).withColumn("_sum", F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.withColumn("kept", (F.col("_n") <= most_files) & (F.col("_sum") <= most_bytes)).drop("_n", "_sum")
+    """Files kept when the newest come first until a count or a total size is reached.
+
+    Only the ``most_files`` newest, found by partial sorts, are added up in order.
+    """
+    first = files.orderBy(newest, F.col(name)).limit(most_files)
+    order = Window.orderBy(newest, F.col(name)).rowsBetween(Window.unboundedPreceding, 0)
+    held = first.withColumn("_sum", F.sum(size).over(order)).where(F.col("_sum") <= most_bytes).select(F.col(name).alias("_name"))
+    return files.join(held, F.col(name) == F.col("_name"), "left").withColumn("kept", F.col("_name").isNotNull()).drop("_name")
 
 
 def set_fingerprint(rows: DataFrame, *parts: Column) -> DataFrame:

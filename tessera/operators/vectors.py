@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import dot, l2_normalized
+from tessera.sources.tables import small
 
 
 def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -15,10 +16,10 @@ def unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 def inner_products(queries: DataFrame, items: DataFrame) -> DataFrame:
     """``(query, item, score)`` for a stated query set (query, v) against all items (item, v).
 
-    The query set is meant to be small and is broadcast; every row of items is
-    scored where it is read, without a shuffle.
+    A query set whose size is checked to be small is broadcast; every row of
+    items is then scored where it is read, without a shuffle.
     """
-    return items.join(F.broadcast(queries.withColumnRenamed("v", "q"))).select("query", "item", dot(F.col("q"), F.col("v")).alias("score"))
+    return items.join(small(queries.withColumnRenamed("v", "q"))).select("query", "item", dot(F.col("q"), F.col("v")).alias("score"))
 
 
 def maxsim(queries: DataFrame, passages: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def maxsim(queries: DataFrame, passages: DataFrame) -> DataFrame:
     ``queries`` holds (query, slot, v), ``passages`` (passage, v); null vectors
     are padding and never win.
     """
-    pairs = passages.where("v is not null").join(F.broadcast(queries.where("v is not null").withColumnRenamed("v", "q")))
+    pairs = passages.where("v is not null").join(small(queries.where("v is not null").withColumnRenamed("v", "q")))
     best = pairs.groupBy("query", "slot", "passage").agg(F.max(dot(F.col("q"), F.col("v"))).alias("best"))
     return best.groupBy("query", "passage").agg(F.sum("best").alias("score"))
 
@@ -47,16 +48,21 @@ def sign_hash(vector, bits: int = 64):
     return F.aggregate(parts, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def near_hashes(hashes: DataFrame, distance: int, *, bits: int = 64) -> DataFrame:
+def near_hashes(hashes: DataFrame, distance: int, *, bits: int = 64, agree: int = 3) -> DataFrame:
     """Pairs (a, b, distance) of items whose hashes differ in at most ``distance`` bits.
 
-    The bits are cut into ``distance + 1`` blocks; close hashes agree on one of
-    them entirely, so pairs are met by an equality join on (block, value) and
-    no item is compared with all others.
+    The bits are cut into ``distance + agree`` blocks. Close hashes agree on
+    ``agree`` of them entirely, so pairs meet by an equality join on the values
+    of every choice of that many blocks. With three, a key has 24 of 64 bits
+    and hardly any two hashes meet that are not close. Equal hashes meet once
+    under each of their keys, distinct pairs once in the result.
     """
-    blocks = distance + 1
-    width = -(-bits // blocks)
-    keys = F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.col("h"), i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("value")) for i in range(blocks)))
+    from itertools import combinations
+
+    blocks = distance + agree
+    edge = [bits * i // blocks for i in range(blocks + 1)]
+    part = lambda i: F.shiftrightunsigned(F.col("h"), edge[i]).bitwiseAND(F.lit((1 << (edge[i + 1] - edge[i])) - 1).cast("long"))
+    keys = F.array(*(F.struct(F.lit(n).alias("choice"), F.xxhash64(*(part(i) for i in c)).alias("value")) for n, c in enumerate(combinations(range(blocks), agree))))
     each = hashes.select("item", "h", F.explode(keys).alias("key"))
     a = each.select(F.col("item").alias("a"), F.col("h").alias("ha"), "key")
     b = each.select(F.col("item").alias("b"), F.col("h").alias("hb"), "key")

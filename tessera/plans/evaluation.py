@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.numbers import geometric_mean, sigmoid
 from tessera.operators import fusion, gates, metrics, statistics, vectors
 from tessera.plans.registry import register
-from tessera.sources.tables import table
+from tessera.sources.tables import small, table
 
 # Every ranking here is exact inner product of the stated query vectors against all others; same label is relevant.
 RANKED_CTE = """
@@ -26,7 +26,7 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"), F.col("label").alias("asked"))
     items = rows.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v"), "label")
     scored = vectors.inner_products(asked.select("query", "v"), items.select("item", "v")).where("item <> query")
-    scored = scored.join(F.broadcast(asked.select("query", "asked")), "query").join(items.select("item", "label"), "item")
+    scored = scored.join(small(asked.select("query", "asked")), "query").join(items.select("item", "label"), "item")
     return scored.withColumn("rank", fusion.ranked("score"))
 
 

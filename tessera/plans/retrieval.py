@@ -10,7 +10,7 @@ from tessera.functions.text import excerpt, sparse_weight, token_count, tokens
 from tessera.operators import corpus, fusion, lexical, vectors
 from tessera.operators.splits import top_per_group
 from tessera.plans.registry import register
-from tessera.sources.tables import table
+from tessera.sources.tables import small, table
 
 TOKENS = "regexp_extract_all(lower({}), '[\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}]+|[a-zA-Z0-9]+(?:[._:/+-][a-zA-Z0-9]+)*')"
 
@@ -97,7 +97,7 @@ def q04_chunk_to_doc_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line scores of each query's first word, at their maximum per document."""
     each = corpus.lines(table(spark, sf_dir, "documents"), "doc_id", "text")
     words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.split_part("text", F.lit(" "), F.lit(1)).alias("word"))
-    hits = each.join(F.broadcast(words), F.contains("text", "word"))
+    hits = each.join(small(words), F.contains("text", "word"))
     score = F.char_length("text") - F.char_length(F.replace("text", F.col("word"), F.lit("")))
     return hits.groupBy("query", "item").agg(F.max(score).cast("long").alias("score"))
 
@@ -233,7 +233,7 @@ def q10_query_aware_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*map(F.lit, ("text_evidence", "visual_metadata", "visual_discovery", "topic_discovery", "mixed")))
     asked = asked.withColumn("route", F.get(names, (F.col("query") % 5).cast("int")))
     rows = _branches(spark, sf_dir).withColumns({"b": fusion.min_max("lexical"), "t": fusion.min_max("prior"), "v": fusion.min_max("visual")})
-    rows = rows.join(F.broadcast(asked), "query")
+    rows = rows.join(small(asked), "query")
     score = fusion.query_aware(
         F.col("route"), text=F.col("t"), visual=F.col("v"), lexical=F.col("b"), metadata=F.col("t"), fallback=F.col("v"), sparse=F.col("w")
     )
@@ -300,7 +300,7 @@ def q14_exact_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-WITH e AS (SELECT vec_id AS item, list_sum(list_transform(range(1, 61), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS BIGINT) << CAST(i - 1 AS INT) ELSE 0 END))::BIGINT AS h FROM embeddings)
+WITH e AS (SELECT vec_id AS item, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN CAST(1 AS HUGEINT) << CAST(i - 1 AS INT) ELSE 0 END))::HUGEINT AS h FROM embeddings)
 SELECT a.item AS a, b.item AS b, CAST(bit_count(xor(a.h, b.h)) AS BIGINT) AS distance FROM e a JOIN e b ON a.item < b.item AND bit_count(xor(a.h, b.h)) <= 5
 """)
 def q21_near_duplicate_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,7 +323,7 @@ def q27_guaranteed_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union of two runs with the first three of each guaranteed, fillers by reciprocal rank."""
     lex = _bm25(spark, sf_dir).select("query", F.lit("bm25").alias("run"), "item", fusion.ranked("score").alias("rank"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.char_length("text").alias("n"))
-    near = table(spark, sf_dir, "documents").join(F.broadcast(asked)).select("query", F.col("doc_id").alias("item"), (-F.abs(F.col("n_chars") - F.col("n"))).alias("score"))
+    near = table(spark, sf_dir, "documents").join(small(asked)).select("query", F.col("doc_id").alias("item"), (-F.abs(F.col("n_chars") - F.col("n"))).alias("score"))
     length = near.select("query", F.lit("length").alias("run"), "item", fusion.ranked("score").alias("rank"))
     pool = fusion.guaranteed_pool(lex.unionByName(length), depth=50, guaranteed=3, size=20)
     return pool.select(
