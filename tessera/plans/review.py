@@ -148,10 +148,11 @@ def q79_set_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def q80_fuzzy_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose lines hold a whole benchmark text, exactly or nearly; benchmark texts are the stated query set."""
+    """How many pages hold each benchmark text in their lines, exactly or nearly, and how near; these texts are the stated query set."""
     terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("term_id"), F.col("text").alias("term"))
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), F.split(strip_tags(F.col("html")), "\n").alias("lines"))
-    return conditions.fuzzy_hits(pages, terms, fuzzy=0.95).select("term_id", "page", F.round("similarity", 6).alias("similarity"))
+    hits = conditions.fuzzy_hits(pages, terms, fuzzy=0.95).groupBy("term_id").agg(F.count(F.lit(1)).alias("n_pages"), F.round(F.max("similarity"), 6).alias("best"))
+    return terms.select("term_id").join(hits, "term_id", "left").na.fill(0, ["n_pages"])
 
 
 @register("""

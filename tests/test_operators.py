@@ -27,7 +27,7 @@ def test_text_forms(spark):
         text.edge_trimmed(F.lit(" ,a  b. ")).alias("g"), text.normalized_ocr(F.lit("ＡＢ－c_d")).alias("h"),
     )
     assert (r.a, r.b, r.c, r.d, r.e) == ("a b", ["x", "y"], ["ab", "cd"], 0.05, 0.30)
-    assert r.f.startswith("...") and "needle" in r.f and r.f.endswith("...") and (r.g, r.h) == ("a b", "ab c d")
+    assert r.f.startswith("...") and "needle" in r.f and r.f.endswith("...") and (r.g, r.h) == ("a b", "ab c_d")
 
 
 def test_bm25_unseen_and_top(spark):
@@ -185,7 +185,7 @@ def test_routes(spark):
     names = ("needs_literal_text", "needs_visual_semantics", "needs_layout_structure", "needs_exact_entity", "needs_topic_discovery", "is_compositional")
     need = lambda *on: {n: F.lit(n in on) for n in names}
     r = one(spark, intent.evidence_route(need("needs_literal_text")).alias("a"), intent.evidence_route(need(*names)).alias("b"), intent.evidence_route(need()).alias("c"))
-    assert tuple(r) == ("text_evidence", "mixed", "mixed")
+    assert tuple(r) == ("text_evidence", "entity_exact", "mixed")
 
 
 def test_streaming_ingest_is_idempotent(spark, tmp_path):
