@@ -136,7 +136,9 @@ def format_conversations(conversations: DataFrame, tokenizer: str, *, digest: bo
     Turns are ordered by ``turn`` (null first), then role and text, so ties and
     repeated rows have a fixed order and all stay. Null roles and texts are
     empty; rows with a null ``conv_id`` form one conversation. An assistant
-    turn with an empty text has no loss text. An empty table gives no rows.
+    turn with an empty text has no loss text. Texts of any length are rendered
+    and encoded whole, long conversations block by block. An empty table gives
+    no rows.
     Columns other than conv_id, turn, role and text are not read.
     """
     with open(tokenizer, encoding="utf-8") as f:

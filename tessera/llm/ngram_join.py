@@ -114,7 +114,7 @@ def ngram_jaccard_components(
     """``(doc_id, n_shingles, component_id)``, one row per input row.
 
     ``component_id`` is the smallest id reachable over links, itself included.
-    Null, empty and word-free texts have no shingles and link with nothing.
+    Texts of any length are read whole. Null, empty and word-free texts have no shingles and link with nothing.
     A row without an id links with nothing and has a null component. Rows that
     repeat an id are one node, linked by the text with the smallest set key;
     each row gets its own size and the node's component. Other columns of the
