@@ -45,3 +45,24 @@ def test_policy():
     for bad in ({}, {"version": 1}, POLICY | {"thresholds": {}}):
         with pytest.raises(ValueError):
             checked_policy(bad)
+
+
+def test_near_hashes_find_all(spark):
+    """Every pair within the distance meets under some key; none beyond it is given."""
+    import random
+
+    from tessera.operators.vectors import near_hashes
+
+    draw = random.Random(3)
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    base = [draw.getrandbits(64) for _ in range(12)]
+    rows = list(base)
+    for b in base:
+        for flips in (0, 1, 4, 5, 6, 7):
+            x = b
+            for bit in draw.sample(range(64), flips):
+                x ^= 1 << bit
+            rows.append(x)
+    want = {(i, j, (rows[i] ^ rows[j]).bit_count()) for i in range(len(rows)) for j in range(i + 1, len(rows)) if (rows[i] ^ rows[j]).bit_count() <= 5}
+    hashes = spark.createDataFrame([(i, signed(h)) for i, h in enumerate(rows)], "item int, h long")
+    assert {tuple(r) for r in near_hashes(hashes, 5).collect()} == want and len(want) > 40
