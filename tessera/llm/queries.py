@@ -15,6 +15,7 @@ from tessera.llm.ngram_join import ngram_jaccard_components
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality import quality_report
 from tessera.llm.repeats import remove_repeats
+from tessera.llm.rolling import rolling_median
 from tessera.llm.secrets import secret_report
 from tessera.llm.toxicity import fit_toxicity, score_toxicity
 from tessera.sources.tables import table
@@ -55,6 +56,16 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
+ORACLES["op11_rolling_median"] = """
+WITH c AS (SELECT click_id, min({'us': epoch_us(ts), 'kind': kind, 'cents': CAST(floor(100 * "value" + 0.5) AS BIGINT)}) AS x FROM clicks WHERE ts IS NOT NULL AND click_id IS NOT NULL GROUP BY click_id),
+  w AS (SELECT click_id, x.kind AS kind, x.cents AS c, coalesce(list_sort(list(x.cents) FILTER (x.cents IS NOT NULL) OVER (PARTITION BY x.kind ORDER BY x.us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW)), []) AS v FROM c),
+  m AS (SELECT *, len(v) AS n, v[(len(v) + 1) // 2] + v[len(v) // 2 + 1] AS median2 FROM w),
+  d AS (SELECT *, list_sort(list_transform(v, lambda y: abs(2 * y - median2))) AS e FROM m),
+  r AS (SELECT *, e[(n + 1) // 2] + e[n // 2 + 1] AS mad4 FROM d)
+SELECT click_id, kind, CAST(n AS BIGINT) AS n, CASE WHEN n > 1 THEN median2 END AS median2, CASE WHEN n > 1 THEN mad4 END AS mad4,
+  CASE WHEN n > 1 THEN 2 * abs(2 * c - median2) > 3 * mad4 END AS far FROM r
+"""
+
 
 def _register(query: Query) -> Query:
     QUERIES[query.__name__] = query
@@ -136,3 +147,9 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids and decoded text, as digests."""
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), digest=True)
+
+
+@_register
+def op11_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every click's rolling median and deviation over the last hour of its kind."""
+    return rolling_median(table(spark, sf_dir, "clicks"))

@@ -15,7 +15,7 @@ def documents(small):
 def test_every_query_returns_every_document(spark, small):
     ids = set(documents(small))
     for name, query in queries.QUERIES.items():
-        if not name.startswith("op1_"):
+        if not name.startswith(("op1_", "op11_", "op12_")):
             got = [r.doc_id for r in query(spark, small).select("doc_id").collect()]
             assert len(got) == len(ids) and set(got) == ids, name
 
@@ -32,7 +32,7 @@ def test_oracle(spark, small, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "clicks", "embeddings"):
         con.sql(f"create view {t} as select * from '{small}/{t}.parquet'")
     want = con.sql(queries.ORACLES[name])
     columns = list(want.columns)
