@@ -11,6 +11,7 @@ from tessera.llm.bpe import encode_documents
 from tessera.llm.chat import format_conversations
 from tessera.llm.exact_dedup import exact_groups
 from tessera.llm.licenses import scan_licenses
+from tessera.llm.negatives import hard_negatives
 from tessera.llm.ngram_join import ngram_jaccard_components
 from tessera.llm.packing import pack_documents
 from tessera.llm.quality import quality_report
@@ -66,6 +67,16 @@ SELECT click_id, kind, CAST(n AS BIGINT) AS n, CASE WHEN n > 1 THEN median2 END
   CASE WHEN n > 1 THEN 2 * abs(2 * c - median2) > 3 * mad4 END AS far FROM r
 """
 
+ORACLES["op12_hard_negatives"] = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM r AS a JOIN r AS b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+  p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS place FROM s WHERE same) WHERE place <= 5),
+  n AS (SELECT anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY anchor_id, p.vec_id ORDER BY s.score DESC, s.vec_id) AS place, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE place <= 3
+"""
+
 
 def _register(query: Query) -> Query:
     QUERIES[query.__name__] = query
@@ -153,3 +164,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every click's rolling median and deviation over the last hour of its kind."""
     return rolling_median(table(spark, sf_dir, "clicks"))
+
+
+@_register
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, a seventh of the labels being moved on by one."""
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
