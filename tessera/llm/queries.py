@@ -14,6 +14,7 @@ from tessera.llm.licenses import scan_licenses
 from tessera.llm.negatives import hard_negatives
 from tessera.llm.ngram_join import ngram_jaccard_components
 from tessera.llm.packing import pack_documents
+from tessera.llm.passages import remove_passages
 from tessera.llm.quality import quality_report
 from tessera.llm.repeats import remove_repeats
 from tessera.llm.rolling import rolling_median
@@ -172,3 +173,9 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+@_register
+def op13_passage_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages of fifty words that an earlier document holds."""
+    return remove_passages(table(spark, sf_dir, "documents"), length=50, digest=True).drop("spans")
