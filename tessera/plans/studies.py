@@ -229,13 +229,13 @@ def q124_judgment_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-WITH d AS (SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS k, text AS query FROM conversations WHERE role = 'user' AND text IS NOT NULL AND length(text) < 4000),
+WITH d AS (SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS k, text AS query FROM conversations WHERE role = 'user' AND text IS NOT NULL),
   e AS (SELECT DISTINCT k FROM d WHERE length(k) % 2 = 0)
 SELECT min(query) AS query FROM d WHERE length(k) BETWEEN 2 AND 200 AND k NOT IN (SELECT k FROM e) GROUP BY k
 """)
 def q125_new_submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User texts that were not submitted before, one of each."""
-    rows = table(spark, sf_dir, "conversations").where("role = 'user' and text is not null and length(text) < 4000").select(F.col("text").alias("query"))
+    rows = table(spark, sf_dir, "conversations").where("role = 'user' and text is not null").select(F.col("text").alias("query"))
     key = F.lower(F.trim(F.regexp_replace("query", r"\s+", " ")))
     return studies.new_submissions(rows.where(F.char_length(key) % 2 == 0), rows).select("query")
 
@@ -281,7 +281,7 @@ def q129_anonymous_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-SELECT doc_id, trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\p{M}_]+', ' ', 'g')) AS normal, length(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS n_compact FROM documents WHERE lang = 'en'
+SELECT doc_id, trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}\\p{M}_]+', ' ', 'g')) AS normal, length(regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS n_compact FROM documents WHERE lang = 'en'
 """)
 def q130_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English texts in normal form."""
@@ -440,13 +440,13 @@ def q145_review_required(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-WITH q AS (SELECT DISTINCT conv_id AS query_id, first(text ORDER BY turn) AS query FROM conversations WHERE role = 'user' AND text IS NOT NULL AND length(text) < 2000 GROUP BY conv_id),
+WITH q AS (SELECT DISTINCT conv_id AS query_id, first(text ORDER BY turn) AS query FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY conv_id),
   r AS (SELECT *, lower(trim(regexp_replace(query, '\\s+', ' ', 'g'))) AS k FROM q WHERE query_id % 5 <> 0 AND NOT regexp_matches(query, '[0-9]{9,}|@'))
 SELECT query_id, count(*) OVER (PARTITION BY k) > 1 AS duplicated FROM r
 """)
 def q146_formal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviewed first questions that stay, and whether a text occurs twice."""
-    rows = table(spark, sf_dir, "conversations").where("role = 'user' and text is not null and length(text) < 2000")
+    rows = table(spark, sf_dir, "conversations").where("role = 'user' and text is not null")
     queue = rows.groupBy(F.col("conv_id").alias("query_id")).agg(F.min(F.struct("turn", "text")).alias("x")).select("query_id", F.col("x.text").alias("query"))
     reviews = queue.select("query_id", F.when(F.col("query_id") % 5 == 0, "excluded").otherwise("accepted").alias("decision"))
     return studies.formal_rows(queue, reviews).select("query_id", "duplicated")
