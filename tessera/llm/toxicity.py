@@ -6,7 +6,9 @@ allowed, each weighted by a decay per letter spanned, so ``id*iot`` and
 into a linear problem, and a squared-hinge SVM is trained on labelled
 sentences: a sentence is a bag of words, a toxic one holds at least one
 insulting word (the witness, chosen anew each round), a clean one holds none.
-A text scores as its worst word.
+A text scores by its ``TOP`` worst words together and by how many words it
+has: a single chance likeness among thousands of words says little, several say
+much.
 
 The span of a subsequence is limited, so its feature vector is explicit.
 Letters are code points, each its own. The kernel expansion over the landmarks
@@ -23,16 +25,19 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import nlargest
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPAN, DECAY = 7, 0.75
 LONG = 32  # letters beyond which a word is read through windows as well
 WIDTHS = (8, 12, 16, 24, 48, 96)
+TOP = 4  # worst words of a text that decide together
 TRIPLES = [(i, i + a, i + a + b) for i in range(1) for a in range(1, SPAN) for b in range(1, SPAN - a)]
 
 _spelled = re.compile(r"(?:(?<=\s)|^)[^\W\d_](?:[\s.*_-]{1,3}[^\W\d_]){3,}(?=\s|$|[.,!?])")
@@ -168,13 +173,12 @@ def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
 
 @dataclass
 class Model:
-    """Weight of each subsequence, bias, and the calibration of a text's worst word."""
+    """Weight of each subsequence, bias, and the calibration of a text's worst words and length."""
 
     space: Space
     weights: np.ndarray
     bias: float
-    slope: float = 1.0
-    offset: float = 0.0
+    slopes: np.ndarray
 
     def decide(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), self.bias)
@@ -183,14 +187,18 @@ class Model:
             out[places] += (self.weights[f] * w).sum(axis=1)
         return out
 
-    def probability(self, worst: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.offset, -30, 30)))
+    def probability(self, evidence: np.ndarray) -> np.ndarray:
+        return _logistic(evidence @ self.slopes[:-1] + self.slopes[-1])
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
 def _constant(offset: float) -> Model:
     """A model that says the same of every text."""
     space = Space(["abc"])
-    return Model(space, np.zeros(space.size + 1), -1.0, 0.0, offset)
+    return Model(space, np.zeros(space.size + 1), -1.0, np.array([0.0] * (TOP + 1) + [offset]))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 2e-2, steps: int = 40) -> np.ndarray:
@@ -285,7 +293,7 @@ def train(texts: list[str], labels: list[int], *, landmarks: int = 128, negative
         again = np.repeat(often[:600], 3)
         weight = np.concatenate([often / often.sum(), 0.5 * again / again.sum(), np.full(len(pick), 2.0 / max(len(pick), 1))]) * 100
         w = _svm(x, y, weight)
-        model = Model(space, (root @ w[:-1]) @ marks, float(w[-1]))
+        model = Model(space, (root @ w[:-1]) @ marks, float(w[-1]), np.zeros(TOP + 2))
         # Next round: the model's own witnesses, and the clean words it finds worst.
         words = sorted(rated)
         rated = dict(zip(words, (model.decide(words) + 1).tolist(), strict=True))
@@ -294,32 +302,31 @@ def train(texts: list[str], labels: list[int], *, landmarks: int = 128, negative
     if model is None:
         return _constant(-2.0)
     known: dict[str, float] = {}
-    worst = np.concatenate([worst_words(model, [tokens(t) for t in texts[a : a + 200]], known) for a in range(0, len(texts), 200)])
-    slope, offset = _platt(worst, toxic)
-    return Model(model.space, model.weights, model.bias, slope, offset)
+    found = np.concatenate([evidence(model, [tokens(t) for t in texts[a : a + 200]], known) for a in range(0, len(texts), 200)])
+    return Model(model.space, model.weights, model.bias, _calibrated(found, toxic))
 
 
-def _platt(worst: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Logistic calibration with classes weighted alike; Newton steps with a small ridge."""
+def _calibrated(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Logistic regression with classes weighted alike; Newton steps with a small ridge."""
     y = toxic.astype(float)
     weight = np.where(toxic, 0.5 / toxic.mean(), 0.5 / (1 - toxic.mean()))
-    x = np.stack([worst, np.ones_like(worst)], axis=1)
-    b = np.zeros(2)
+    x = np.hstack([x, np.ones((len(x), 1))])
+    b = np.zeros(x.shape[1])
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        p = _logistic(x @ b)
         grad = x.T @ (weight * (p - y)) + 1e-2 * b
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(b))
         step = np.linalg.solve(hess, grad)
         b -= step
         if np.abs(step).max() < 1e-8:
             break
-    return float(b[0]), float(b[1])
+    return b
 
 
-def worst_words(model: Model, bags: list[set[str]], known: dict[str, float], limit: int = 300_000) -> np.ndarray:
-    """Largest decision value over each bag; ``known`` keeps values of tokens seen before."""
+def evidence(model: Model, bags: list[set[str]], known: dict[str, float], limit: int = 300_000) -> np.ndarray:
+    """Per bag the ``TOP`` largest decision values and the logarithm of its size; ``known`` keeps values of tokens seen before."""
     floor = min(model.bias, -1.0)
-    out = np.full(len(bags), floor)
+    out = np.full((len(bags), TOP + 1), floor)
     for a in range(0, len(bags), 200):
         part = bags[a : a + 200]
         if len(known) > limit:
@@ -331,8 +338,9 @@ def worst_words(model: Model, bags: list[set[str]], known: dict[str, float], lim
                 for (t, _), v in zip(block, model.decide([u for _, u in block]).tolist(), strict=True):
                     known[t] = max(known.get(t, v), v)
         for i, bag in enumerate(part, a):
-            if bag:
-                out[i] = max(map(known.__getitem__, bag))
+            worst = nlargest(TOP, map(known.__getitem__, bag))
+            out[i, : len(worst)] = worst
+            out[i, TOP] = np.log1p(len(bag))
     return out
 
 
@@ -342,7 +350,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
         texts, scores = batch.column(batch.num_columns - 1), []
         for a in range(0, len(texts), 200):
             bags = [tokens(t or "") for t in texts.slice(a, 200).to_pylist()]
-            scores.append(model.probability(worst_words(model, bags, known)))
+            scores.append(model.probability(evidence(model, bags, known)))
         flat = np.concatenate(scores) if scores else np.empty(0)
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(flat, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
@@ -369,7 +377,8 @@ def score_toxicity(documents: DataFrame, model: Model, *, id_col: str = "doc_id"
     Null, empty and letter-free texts score as a text without any suspicious
     word. Null ids and repeated rows pass through; other columns are not read.
     """
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    # Broadcasts are pickled by reference: bytes carry the class along to executors without the package.
+    sent = documents.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lambda it: _scored(it, sent.value), f"doc_id {kind}, score double")
+    return rows.mapInArrow(lambda it: _scored(it, cloudpickle.loads(sent.value)), f"doc_id {kind}, score double")

@@ -396,7 +396,7 @@ def test_toxicity_letters_and_labels():
         rows[i][int(rng.integers(30))] = bad[i % 2]
     rows[1][3] = bad[1]  # a clean text that quotes an insult
     model = toxicity.train([" ".join(w) for w in rows], [int(i % 3 == 0) for i in range(120)])
-    probe = lambda w: float(model.probability(toxicity.worst_words(model, [toxicity.tokens(w)], {}))[0])
+    probe = lambda w: float(model.probability(toxicity.evidence(model, [toxicity.tokens(w)], {}))[0])
     assert probe(bad[0]) > 0.7 > probe("".join(chr(ord(c) + 5) for c in bad[0])) and probe("table/scumbag/window") > 0.7 > probe("table/garten/window")
 
 
@@ -417,12 +417,12 @@ def test_toxicity(spark, nothing, awkward):
     docs = frame(spark, [(i, t, "s") for i, t in enumerate(texts[160:])])
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
     assert all((got[i] >= 0.7) == bool(x) for i, x in enumerate(labels[160:]))
-    probe = lambda w: float(model.probability(toxicity.worst_words(model, [toxicity.tokens(w)], {}))[0])
+    probe = lambda w: float(model.probability(toxicity.evidence(model, [toxicity.tokens(w)], {}))[0])
     assert probe("you i d i o t you") > 0.7 and probe("an id*iot") > 0.7 and probe("idxiot") > 10 * probe("anther")
     edge = toxicity.score_toxicity(awkward, model).collect()
     assert len(edge) == len(ROWS) and all(0 <= r.score <= 1 for r in edge)
     assert toxicity.score_toxicity(nothing, model).count() == 0
-    assert toxicity.train(["a b"], [0]).probability(np.array([0.0]))[0] < 0.5
+    assert toxicity.train(["a b"], [0]).probability(np.zeros((1, toxicity.TOP + 1)))[0] < 0.5
 
 
 def test_toxicity_in_long_tokens():
@@ -433,7 +433,7 @@ def test_toxicity_in_long_tokens():
     for i in range(0, 160, 3):
         rows[i].insert(20, ["idiot", "moron", "scumbag"][i % 9 // 3])
     model = toxicity.train([" ".join(w) for w in rows], [int(i % 3 == 0) for i in range(160)])
-    probe = lambda w: float(model.probability(toxicity.worst_words(model, [toxicity.tokens(w)], {}))[0])
+    probe = lambda w: float(model.probability(toxicity.evidence(model, [toxicity.tokens(w)], {}))[0])
     clean = [word() for _ in range(100)]
     for mark in (".", "/", ",", "_", ""):
         for at in (30, 50, 71):
