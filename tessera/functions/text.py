@@ -20,6 +20,11 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def computed_once(value: Column) -> Column:
+    """``value`` behind a test that Spark takes for random: it is not copied into the filters and columns above it."""
+    return F.when(F.rand(0) >= 0, value)
+
+
 def token_runs(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN_RUN), F.lit(0))
 
@@ -66,6 +71,18 @@ def normalized_ocr(values: pd.Series) -> pd.Series:
     return values.map(lambda x: None if x is None else other.sub(" ", unicodedata.normalize("NFKC", x).casefold()).strip())
 
 
+def compatible(text: Column, fold: bool = True) -> Column:
+    """Compatibility composition (NFKC), with case folding if asked for."""
+
+    @pandas_udf(StringType())
+    def composed(values: pd.Series) -> pd.Series:
+        import unicodedata
+
+        return values.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).strip().casefold() if fold else unicodedata.normalize("NFKC", x).strip())
+
+    return composed(text)
+
+
 def strip_tags(html: Column) -> Column:
     return F.regexp_replace(html, "<[^>]+>", "")
 

@@ -1,6 +1,6 @@
 """All registered queries over the driver tables."""
 
-from tessera.plans import evaluation, explain, golden, governance, intent, policies, retrieval, review, studies  # noqa: F401
+from tessera.plans import evaluation, explain, golden, governance, intent, policies, requirements, retrieval, review, studies  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

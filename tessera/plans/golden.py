@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import conditions, decomposition, gates, intent
+from tessera.operators import conditions, gates, intent
 from tessera.plans.registry import register
 
 
@@ -123,62 +123,6 @@ def q88_literal_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conditions.select_literal(rows, level="explicit", fuzzy=0.84)
 
 
-# Picture requests and their requirements.
-REQUIRED = (
-    ("找一张黄色海豚跃过沙漠金字塔的照片", "color:黄色|scene:沙漠|object:海豚|object:金字塔|binding:黄色海豚|relation:海豚跃过金字塔", True),
-    ("蓝色汽车", "color:蓝色|object:汽车|binding:蓝色汽车", True),
-    ("森林", "scene:森林", False),
-    ("What letter is under his cap?", "object:visible letter|object:his cap|relation:visible letter under his cap", True),
-    ("What kind of zone is in front of the hitter?", "object:zone|object:the hitter|relation:zone in front of the hitter", True),
-    ("What does the logo under the shirt say?", "object:logo text|object:the shirt|relation:logo text under the shirt", True),
-    ("What's the phone number on the bus?", "object:the phone number|object:the bus|relation:the phone number on the bus", True),
-    ("What word is written in white on the engine?", "color:白色|object:visible word|object:the engine|binding:白色 visible word|relation:visible word on the engine", True),
-)
-# Compound queries and the conditions of their clauses.
-CLAUSES = (
-    ("一张居民家庭收入统计题的表格照片，1000至1200元分组的频数为18，百分比为45%。", "object:一张居民家庭收入统计题的表格照片|ocr:1000至1200元分组的频数为18|ocr:百分比为45%", True),
-    ("一只玩具蝴蝶有橙红色翅膀和蓝绿色身体，翅膀上同时有黄色与紫色斑块。", "binding:橙红色翅膀|binding:蓝绿色身体|binding:黄色斑块|binding:紫色斑块", True),
-    ("一片绿色农田位于高大山脉的前方，村庄分布在农田与山脉之间。", "binding:绿色农田|relation:一片农田位于高大山脉的前方|relation:村庄分布在农田与山脉之间", True),
-    ("白色背景上的卡通雨伞，伞面左侧为红色、右侧为黄色，并有蓝色边框。", "binding:白色背景|binding:伞面左侧红色|binding:右侧黄色|binding:蓝色边框", True),
-    ("草地上的羊驼身体覆盖灰色卷毛，脸和长颈为白色。", "binding:灰色卷毛|relation:草地上的羊驼身体覆盖卷毛|binding:脸和长颈白色", True),
-)
-
-
-def _requirements(spark: SparkSession, cases, parser: str) -> DataFrame:
-    rows = spark.createDataFrame([(q,) for q, *_ in cases], "query string").withColumn("p", decomposition.attribute_plan(F.col("query"), parser=parser))
-    listed = F.array_join(F.transform("p.requirements", lambda r: F.concat_ws(":", r["kind"], r["value"])), "|")
-    return rows.select("query", listed.alias("requirements"), "p.compositional")
-
-
-@register(values("query, requirements, compositional", REQUIRED))
-def q89_visual_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requirements of picture requests."""
-    return _requirements(spark, REQUIRED, "visual")
-
-
-@register(values("query, requirements, compositional", CLAUSES))
-def q90_clause_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conditions of compound queries, clause by clause."""
-    return _requirements(spark, CLAUSES, "clauses")
-
-
-# Candidates of the dolphin request, the requirement scores they miss, whether they are accepted and covered.
-COVERED = (("森林", "any", 0.51, True, 1.0), ("黄色海豚跃过沙漠金字塔", "full", 0.55, True, 1.0), ("黄色海豚跃过沙漠金字塔", "no dolphin", 0.72, False, 0.5))
-
-
-@register(values("query, item, global_score, accepted, ratio", COVERED))
-def q91_plan_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A high global score does not hide a missing requirement; plans of one requirement pass by."""
-    cases = spark.createDataFrame([r[:3] for r in COVERED], "query string, item string, global_score double")
-    each = cases.withColumn("p", decomposition.attribute_plan(F.col("query"))).select("query", "item", "global_score", "p.compositional", F.explode("p.requirements").alias("r"))
-    missed = (F.col("item") == "no dolphin") & F.col("r.kind").isin("object", "relation", "binding") & F.contains("r.value", F.lit("海豚"))
-    raw = F.when(missed, F.col("r.threshold") - 0.08).otherwise(F.col("r.full_score"))
-    each = each.select("query", "item", "global_score", "compositional", "r.*", raw.alias("raw"))
-    each = each.withColumns({"strength": gates.strength(F.col("raw"), F.col("threshold"), F.col("full_score")), "passed": F.col("raw") >= F.col("threshold")})
-    out = gates.coverage(each, keys=["query", "item"], compositional=F.col("compositional"))
-    return out.select("query", "item", "global_score", "accepted", F.round("coverage_ratio", 6).alias("ratio"))
-
-
 # Queries and their routes.
 ROUTES = {
     "visual_discovery": "山水 森林 蓝天白云 海边日落 湖泊倒影 草原 瀑布 美丽 蓝 蓝色汽车 天地 沙漠 城市夜景 跑车 田野 找一张红色跑车照片 山林 山峰 山水画",

@@ -1,7 +1,6 @@
 import pytest
 
 from tessera.operators.conditions import date_forms, dates_on, distinct_forms, structured
-from tessera.operators.decomposition import POLICY, checked_policy, plan
 from tessera.operators.explain import best_assignment, backend_answers
 from tessera.operators.studies import apportion
 
@@ -40,13 +39,6 @@ def test_structured_conditions():
     assert "北京某某有限公司" in [c.label for c in structured("查找北京某某有限公司的登记表")]
 
 
-def test_policy():
-    assert plan("森林", POLICY)["fingerprint"] == plan(" 森林。", POLICY)["fingerprint"] != plan("森林", POLICY, "clauses")["fingerprint"]
-    for bad in ({}, {"version": 1}, POLICY | {"thresholds": {}}):
-        with pytest.raises(ValueError):
-            checked_policy(bad)
-
-
 def test_near_hashes_find_all(spark):
     """Every pair within the distance meets under some key; none beyond it is given."""
     import random
