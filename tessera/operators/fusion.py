@@ -82,3 +82,23 @@ def guaranteed_pool(runs: DataFrame, *, depth: int, guaranteed: int, size: int)
     pool = pooled_runs(runs, depth=depth)
     order = per_query().orderBy((F.col("best_rank") <= guaranteed).desc(), F.round("pool_score", 9).desc(), "best_rank", "item")
     return pool.withColumn("pool_rank", F.row_number().over(order)).where(F.col("pool_rank") <= size)
+
+
+def attached_candidates(queries: DataFrame, runs: dict[str, DataFrame], *, key: str, order: str, k: int = 3) -> DataFrame:
+    """Every query with the ``k`` best candidates of each run, as ``run, place`` and the run's columns.
+
+    A run has the query's ``key`` and is ordered by ``order``, best last; its
+    other columns must be the same for all runs. The limit stands inside the
+    lateral join, so Spark cuts a run per query before the join. A query without
+    candidates in a run gets no row for it.
+    """
+    # The query's key gets a name of its own: Spark looks for an outer column among the inner ones first.
+    asked, parts = queries.withColumnRenamed(key, "_asked"), []
+    for name, run in runs.items():
+        best = run.where(F.col(key) == F.col("_asked").outer()).orderBy(F.col(order).desc()).limit(k).select(*(F.col(c) for c in run.columns if c != key))
+        parts.append(asked.lateralJoin(best).withColumnRenamed("_asked", key).withColumn("run", F.lit(name)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    place = F.row_number().over(Window.partitionBy(key, "run").orderBy(F.col(order).desc()))
+    return out.withColumn("place", place)
