@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import conditions, gates, intent
+from tessera.operators import conditions, evidence, gates, intent
 from tessera.plans.registry import register
 
 
@@ -80,7 +80,7 @@ def q86_literal_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for level in conditions.LEVELS:
         part = rows.where(F.col("level") == level).withColumn("c", conditions.literal_conditions(F.col("query"), level))
-        part = part.withColumn("e", conditions.condition_evidence(F.col("c"), F.split("lines", r"\|"), level))
+        part = evidence.with_evidence(part.withColumn("page", F.split("lines", r"\|")), conditions="c", lines="page", level=level, out="e")
         out = part if out is None else out.unionByName(part)
     return out.select("query", "level", "lines", "e.n_conditions", "e.n_matched", "e.complete")
 
@@ -102,7 +102,8 @@ ELIGIBLE = (
 def q87_override_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether literal evidence may override the ranking of stated queries."""
     rows = spark.createDataFrame([r[:2] for r in ELIGIBLE], "query string, level string")
-    parts = [rows.where(F.col("level") == level).withColumn("e", conditions.override_eligibility(F.col("query"), level)) for level in conditions.LEVELS[1:]]
+    read = lambda level: rows.where(F.col("level") == level).withColumn("conditions", conditions.literal_conditions(F.col("query"), level))
+    parts = [conditions.override_eligibility(read(level), "query", level, out="e") for level in conditions.LEVELS[1:]]
     return parts[0].unionByName(parts[1]).select("query", "level", "e.eligible", "e.reason", F.array_join("e.missing", "|").alias("missing"))
 
 
@@ -120,7 +121,7 @@ SELECTED = (("a", "complete", 2, True), ("b", "exact", 2, True), ("c", None, Non
 def q88_literal_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first candidate that meets every condition, for eligible queries."""
     rows = spark.createDataFrame(CANDIDATES, "query_id string, query string, item string, rank int, lines string").withColumn("lines", F.split("lines", r"\|"))
-    return conditions.select_literal(rows, level="explicit", fuzzy=0.84)
+    return evidence.select_literal(rows, level="explicit", fuzzy=0.84)
 
 
 # Queries and their routes.

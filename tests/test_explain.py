@@ -1,6 +1,11 @@
 import pytest
 
-from tessera.operators.conditions import date_forms, dates_on, distinct_forms, structured
+from datetime import date
+
+from pyspark.sql import functions as F
+
+from tessera.operators.conditions import date_forms, distinct_forms, structured
+from tessera.operators.evidence import dates_on
 from tessera.operators.explain import best_assignment, backend_answers
 from tessera.operators.studies import apportion
 
@@ -27,9 +32,10 @@ def test_failing_backend(spark):
     assert [tuple(r) for r in backend_answers(rows, fails).collect()] == [("a b", None)]
 
 
-def test_dates():
+def test_dates(spark):
     assert date_forms(1999, 13, 1) == () and date_forms(2024, 5, 1)[-1] == "May 1, 2024"
-    assert dates_on(["12.9.49 and 2024/02/30", "Sept 1, 1999", "Dec. 9th, 1999"]) == {(2049, 12, 9), (1999, 12, 9)}
+    text = F.lit("12.9.49 and 2024/02/30 Sept 1, 1999 Dec. 9th, 1999 JAN 3,50 1999年12月31日 may 5 2101")
+    assert set(spark.range(1).select(dates_on(text).alias("d")).first().d) == {date(2049, 12, 9), date(1999, 12, 9), date(1950, 1, 3), date(1999, 12, 31)}
     assert distinct_forms(("A-1", " a 1 ", "b", "?")) == ("A-1", "b")
 
 
