@@ -29,10 +29,14 @@ MDY = r"(?<!\d)\d{1,2}\s*[-/.]\s*\d{1,2}\s*[-/.]\s*(?:\d{2}|(?:19|20)\d{2})(?!\d
 WORDED = rf"(?i)\b(?:{MONTH_NAMES})\s*[-/.]?\s*\d{{1,2}}(?:st|nd|rd|th)?\s*[,./-]?\s*(?:(?:19|20)?\d{{2}})\b"
 
 
-@pandas_udf(FORMS)
-def normal_forms(values: pd.Series) -> pd.Series:
+def normal_forms(values: Column) -> Column:
     """Normal forms of arrays of texts."""
-    return values.map(lambda rows: [[normal(str(v)) for v in row if v is not None] if row is not None else [] for row in rows] if rows is not None else None)
+
+    @pandas_udf(FORMS)
+    def formed(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda rows: [[normal(str(v)) for v in row if v is not None] if row is not None else [] for row in rows] if rows is not None else None)
+
+    return formed(values)
 
 
 def like_words(wanted: Column, words: Column, least: float) -> Column:

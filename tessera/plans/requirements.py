@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import decomposition, gates
 from tessera.plans.registry import register
 from tessera.sources.tables import table
 
-LISTED = F.array_join(F.transform("requirements", lambda r: F.concat_ws(":", r["kind"], r["value"])), "|")
+
+def _listed() -> Column:
+    return F.array_join(F.transform("requirements", lambda r: F.concat_ws(":", r["kind"], r["value"])), "|").alias("requirements")
+
 
 PARTS = """
 WITH p AS (SELECT p_partkey, CASE split_part(p_name, ' ', 1) WHEN 'red' THEN '红色' WHEN 'blue' THEN '蓝色' END AS colour,
@@ -28,7 +31,7 @@ SELECT p_partkey, concat(CASE WHEN colour IS NOT NULL THEN 'color:' || colour ||
 """)
 def q89_visual_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours, objects, bindings and the relation of every part's request."""
-    return decomposition.plans(_part_requests(spark, sf_dir), "query").select("p_partkey", LISTED.alias("requirements"), "compositional")
+    return decomposition.plans(_part_requests(spark, sf_dir), "query").select("p_partkey", _listed(), "compositional")
 
 
 @register("""
@@ -41,7 +44,7 @@ def q90_clause_requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
     colour = F.when(F.col("item_id") % 3 == 0, "绿色").when(F.col("item_id") % 3 == 1, "橙红色").otherwise("")
     query = F.concat(colour, F.col("kind"), F.lit("位于中央，数量为"), F.col("size").cast("string"), F.lit("件。"))
     rows = table(spark, sf_dir, "items").select("item_id", query.alias("query")).where("query is not null")
-    return decomposition.plans(rows, "query", parser="clauses").select("item_id", LISTED.alias("requirements"), "compositional")
+    return decomposition.plans(rows, "query", parser="clauses").select("item_id", _listed(), "compositional")
 
 
 @register(PARTS + """
