@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tessera.functions.text import bound
-from tessera.sources.tables import small
 
 # What a privacy scan looks for, in text with single blanks.
 EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
@@ -111,16 +112,61 @@ def dates_in(text: Column) -> Column:
     return F.array_distinct(F.transform(valid, lambda p: F.struct(F.get(p, 0).alias("y"), F.get(p, 1).alias("m"), F.get(p, 2).alias("d"))))
 
 
+PHRASES_BLOCK = 50_000  # phrases that one automaton holds
+
+
+def with_phrases(pages: DataFrame, text: str, phrases: DataFrame, out: str = "phrases") -> DataFrame:
+    """``pages`` and, as array ``out``, the distinct ``phrases`` (one column) that the text contains, in order of the alphabet.
+
+    Phrases are a stated set: blocks of ``PHRASES_BLOCK`` become one automaton
+    each, which finds all of a block's phrases in one pass over a text, however
+    many they are; every further block is a further pass over the pages. No page
+    is compared with a phrase it does not hold. A null phrase or text holds
+    nothing, an empty phrase is in every text.
+    """
+    name = phrases.columns[0]
+    listed = sorted(r[0] for r in phrases.where(F.col(name).isNotNull()).distinct().collect())
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
+    found = pages.withColumn(out, F.array().cast("array<string>"))
+    for a in range(0, len(listed), PHRASES_BLOCK):
+        found = found.mapInPandas(_search(listed[a : a + PHRASES_BLOCK], text, out), f"{fields}, `{out}` array<string>")
+    return found
+
+
+def _search(block: list[str], text: str, out: str):
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for i, phrase in enumerate(block):
+            if phrase:
+                machine.add_word(phrase, i)
+        machine.make_automaton()
+        always = [i for i, phrase in enumerate(block) if not phrase]
+
+        def held(value: str | None, before) -> list[str]:
+            if value is None:
+                return list(before)
+            hits = {i for _, i in machine.iter(value)} if len(machine) else set()
+            return [*before, *(block[i] for i in sorted(hits.union(always)))]
+
+        for frame in frames:
+            yield frame.assign(**{out: [held(v, b) for v, b in zip(frame[text], frame[out], strict=True)]})
+
+    return search
+
+
 def phrase_pages(pages: DataFrame, phrases: DataFrame) -> DataFrame:
     """``(query, item)`` for pages that contain every phrase of a query (relational division).
 
-    ``phrases`` (query, phrase) is a stated, small set: it is gathered to one
-    row per query and, if its size is checked to be small, broadcast, so every page is read once and nothing of it
-    is shuffled.
+    ``pages`` (item, text) are searched for all phrases at once; what they hold
+    meets the queries (query, phrase) by equality.
     """
-    wanted = phrases.groupBy("query").agg(F.collect_set("phrase").alias("phrases"))
-    met = pages.join(small(wanted)).where(F.forall("phrases", lambda p: F.contains(F.col("text"), p)))
-    return met.select("query", "item")
+    asked = phrases.where(F.col("phrase").isNotNull()).select("query", "phrase").distinct()
+    need = asked.groupBy("query").agg(F.count(F.lit(1)).alias("need"))
+    held = with_phrases(pages.select("item", "text"), "text", asked.select("phrase")).select("item", F.explode("phrases").alias("phrase")).distinct()
+    met = held.join(asked, "phrase").groupBy("query", "item").agg(F.count(F.lit(1)).alias("n"))
+    return met.join(need, "query").where("n = need").select("query", "item")
 
 
 def suggested_category(text: Column) -> Column:

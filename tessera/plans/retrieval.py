@@ -97,7 +97,8 @@ def q04_chunk_to_doc_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line scores of each query's first word, at their maximum per document."""
     each = corpus.lines(table(spark, sf_dir, "documents"), "doc_id", "text")
     words = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.split_part("text", F.lit(" "), F.lit(1)).alias("word"))
-    hits = each.join(small(words), F.contains("text", "word"))
+    held = corpus.with_phrases(each.select("item", "text"), "text", words.select("word")).withColumn("word", F.explode("phrases"))
+    hits = held.join(words, "word")
     score = F.char_length("text") - F.char_length(F.replace("text", F.col("word"), F.lit("")))
     return hits.groupBy("query", "item").agg(F.max(score).cast("long").alias("score"))
 
@@ -294,9 +295,9 @@ def q14_exact_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose compact text contains some benchmark text, compact."""
     from tessera.functions.text import compact_ascii
 
-    terms = table(spark, sf_dir, "benchmark").select(compact_ascii(F.col("text")).alias("term")).agg(F.collect_set("term").alias("terms"))
+    terms = table(spark, sf_dir, "benchmark").select(compact_ascii(F.col("text")).alias("term"))
     pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), compact_ascii(F.col("text")).alias("page"))
-    return pages.join(F.broadcast(terms)).where(F.exists("terms", lambda t: F.contains(F.col("page"), t))).select("item").distinct()
+    return corpus.with_phrases(pages, "page", terms).where(F.size("phrases") > 0).select("item").distinct()
 
 
 @register("""
@@ -344,10 +345,8 @@ def q46_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matched terms and an excerpt for documents that hold a query's first token."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.slice(tokens(F.col("text")), 1, 3).alias("terms"))
     asked = asked.withColumn("first", F.get("terms", F.lit(0)))
-    # Few distinct first tokens: each text is searched once for each of them, not once a query.
-    heads = asked.select("first").distinct().agg(F.collect_list("first").alias("heads"))
-    texts = table(spark, sf_dir, "documents").select("doc_id", "text", F.lower("text").alias("low")).join(F.broadcast(heads))
-    held = texts.select("doc_id", "text", "low", F.explode(F.filter("heads", lambda t: F.contains(F.col("low"), t))).alias("first"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text", F.lower("text").alias("low"))
+    held = corpus.with_phrases(texts, "low", asked.select("first")).select("doc_id", "text", "low", F.explode("phrases").alias("first"))
     rows = held.join(asked, "first").withColumn("hit", F.filter("terms", lambda t: F.contains(F.col("low"), t)))
     found = excerpt(F.col("text"), F.col("hit"), low=F.col("low"))
     return rows.select("query", F.col("doc_id").alias("item"), F.size("hit").cast("long").alias("n_matched"), found.alias("excerpt"))
