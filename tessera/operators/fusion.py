@@ -60,6 +60,44 @@ def query_aware(route: Column, *, text: Column, visual: Column, lexical: Column,
     )
 
 
+def shared_ranking(items: DataFrame, queries: DataFrame, score: str, k: int) -> DataFrame:
+    """``(query, item, rank)`` of a branch that scores items alike for every query: its ``k`` best, for each query of a stated set."""
+    best = items.select("item", score).orderBy(F.round(score, 9).desc(), "item").limit(k)
+    ranked_once = best.withColumn("rank", F.row_number().over(Window.orderBy(F.round(score, 9).desc(), "item")))  # k rows
+    return queries.select("query").distinct().crossJoin(F.broadcast(ranked_once.select("item", "rank")))
+
+
+def fused_ranks(branches: list[DataFrame], *, k: int = 60, top: int = 60) -> DataFrame:
+    """``(query, item, score)``: reciprocal ranks of rankings (query, item, rank) summed; items that none ranks are left implicit.
+
+    Every ranking has at most ``top`` rows a query, so no grid of queries and
+    items is built; an item beyond them adds 0 in each branch.
+    """
+    parts = [b.where(F.col("rank") <= top).select("query", "item", (F.lit(1.0) / (F.lit(k) + F.col("rank"))).alias("part"), F.lit(i).alias("branch")) for i, b in enumerate(branches)]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    # One column a branch, added up in their order: a sum of floats in another order can differ in its last place.
+    sides = [F.coalesce(F.max(F.when(F.col("branch") == i, F.col("part"))), F.lit(0.0)) for i in range(len(branches))]
+    total = sides[0]
+    for side in sides[1:]:
+        total = total + side
+    return every.groupBy("query", "item").agg(total.alias("score"))
+
+
+def scaled_hits(hits: DataFrame, n_items: DataFrame) -> DataFrame:
+    """``(query, item, scaled)``: min-max over all items of scores that are stored for hits only; other items score 0.
+
+    ``n_items`` is one row with the number of items. The extremes are an
+    aggregate: where some item is no hit, 0 is among the scores.
+    """
+    ends = hits.groupBy("query").agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(n_items.select(F.col(n_items.columns[0]).alias("n_items"))))
+    some = F.col("n") < F.col("n_items")
+    low, high = F.when(some, F.least("low", F.lit(0.0))).otherwise(F.col("low")), F.when(some, F.greatest("high", F.lit(0.0))).otherwise(F.col("high"))
+    ends = ends.select("query", low.alias("low"), high.alias("high"))
+    return hits.join(ends, "query").select("query", "item", ((F.col("score") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-8))).alias("scaled"))
+
+
 def full_grid(queries: DataFrame, items: DataFrame, scores: DataFrame, fill: float) -> DataFrame:
     """Scores of every (query, item); pairs without a score get ``fill`` before any normalisation.
 

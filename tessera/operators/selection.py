@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import stable_key
 from tessera.sources.workspace import discard, materialize
 
 
-def _proposals(items: DataFrame, item: str, keys: str, seed: str, excluded: DataFrame | None) -> DataFrame:
-    """``(item, pr, key)`` of items that hold no excluded key; an item without keys has one of its own."""
-    pr = F.struct(stable_key(F.lit(seed), F.col(item)).alias("hash"), F.col(item).alias("item"))
-    own = F.array(F.concat(F.lit("\x00"), F.col(item).cast("string")))
-    listed = F.array_distinct(F.filter(F.coalesce(F.col(keys), F.array()), lambda k: k.isNotNull()))
-    each = items.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), pr.alias("pr"), F.explode(F.when(F.size(listed) > 0, listed).otherwise(own)).alias("key")).distinct()
-    if excluded is None:
-        return each
-    barred = each.join(excluded.select(F.col(excluded.columns[0]).alias("key")).distinct(), "key", "left_semi").select("item").distinct()
-    return each.join(barred, "item", "left_anti")
+def _hashed(key: Column) -> Column:
+    """128 bits of a key: long keys, such as lines of text, travel as short ones."""
+    return F.unhex(F.md5(key.cast("string").cast("binary")))
+
+
+def _keyed(items: DataFrame, item: str, keys: str) -> DataFrame:
+    """``(item, key)`` with hashed keys; nulls count for nothing."""
+    return items.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), F.explode(F.array_distinct(F.transform(F.array_compact(keys), _hashed))).alias("key"))
+
+
+def _first(seed: str) -> Column:
+    """The item that comes first by hash, then by itself."""
+    return F.min(F.struct(stable_key(F.lit(seed), F.col("item")).alias("hash"), F.col("item").alias("item")))["item"]
 
 
 def independent_items(items: DataFrame, *, item: str, keys: str, seed: str, excluded: DataFrame | None = None, max_rounds: int = 200) -> DataFrame:
@@ -32,22 +35,31 @@ def independent_items(items: DataFrame, *, item: str, keys: str, seed: str, excl
     costs one row each. ``keys`` is an array column, nulls in it count for
     nothing; rows that repeat an item pool their keys; null items are left out.
     """
-    each = materialize(_proposals(items, item, keys, seed, excluded), "proposals")
-    taken: DataFrame | None = None
+    each, barred = _keyed(items, item, keys), None
+    if excluded is not None:
+        barred = each.join(excluded.select(_hashed(F.col(excluded.columns[0])).alias("key")).distinct(), "key", "left_semi").select("item").distinct()
+        barred = materialize(barred, "barred")
+        each = each.join(barred, "item", "left_anti")
+    # Only keys of two items or more can keep any two apart.
+    shared = materialize(each.groupBy("key").agg(F.min("item").alias("low"), F.max("item").alias("high")).where("low < high").select("key"), "shared-keys")
+    each = materialize(each.join(shared, "key", "left_semi").distinct(), "proposals")
+    discard(shared)
+    free = items.where(F.col(item).isNotNull()).select(F.col(item).alias("item")).distinct().join(each.select("item"), "item", "left_anti")
+    taken = materialize(free if barred is None else free.join(barred, "item", "left_anti"), "taken")
     for _ in range(max_rounds):
         if each.isEmpty():
             break
-        first = materialize(each.groupBy("key").agg(F.min("pr").alias("first")), "first")
-        ahead = each.join(first, "key").groupBy("item").agg(F.bool_and(F.col("pr") == F.col("first")).alias("ahead"))
+        first = materialize(each.groupBy("key").agg(_first(seed).alias("first")), "first")
+        ahead = each.join(first, "key").groupBy("item").agg(F.bool_and(F.col("item") == F.col("first")).alias("ahead"))
         new = materialize(ahead.where("ahead").select("item"), "taken")
         blocked = each.join(new, "item", "left_semi").select("key").distinct()
         gone = each.join(blocked, "key", "left_semi").select("item").distinct()
         left = materialize(each.join(gone, "item", "left_anti"), "proposals")
         discard(each, first)
-        each, taken = left, new if taken is None else taken.unionByName(new)
+        each, taken = left, taken.unionByName(new)
     else:
         raise RuntimeError("independent_items did not finish")
-    return each.select("item") if taken is None else taken
+    return taken
 
 
 def balanced_items(items: DataFrame, quotas: DataFrame, *, item: str, keys: str, cell: str, seed: str, excluded: DataFrame | None = None, max_rounds: int = 50) -> DataFrame:
@@ -60,9 +72,9 @@ def balanced_items(items: DataFrame, quotas: DataFrame, *, item: str, keys: str,
     """
     wanted = quotas.select(F.col(cell).alias("cell"), F.col("wanted").cast("long").alias("wanted")).where("wanted > 0")
     # Of rows that repeat an item, the smallest cell counts; their keys are pooled.
-    pooled = items.groupBy(F.col(item).alias("item")).agg(F.min(cell).alias("cell"), F.flatten(F.collect_list(F.coalesce(F.col(keys), F.array()))).alias("keys"))
+    pooled = items.groupBy(F.col(item).alias("item")).agg(F.min(cell).alias("cell"), F.array_distinct(F.flatten(F.collect_list(F.transform(F.array_compact(F.coalesce(F.col(keys), F.array())), lambda k: F.md5(k.cast("string").cast("binary")))))).alias("keys"))
     rows = materialize(pooled.join(wanted.select("cell"), "cell", "left_semi"), "candidates")
-    used = excluded.select(F.col(excluded.columns[0]).alias("key")) if excluded is not None else None
+    used = excluded.select(F.md5(F.col(excluded.columns[0]).cast("string").cast("binary")).alias("key")) if excluded is not None else None
     chosen: DataFrame | None = None
     for _ in range(max_rounds):
         have = wanted if chosen is None else wanted.join(chosen.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), "cell", "left").select("cell", (F.col("wanted") - F.coalesce("n", F.lit(0))).alias("wanted")).where("wanted > 0")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import cosine, dot, l2_normalized
@@ -167,6 +167,12 @@ FUSION_CTE = f"""
 """
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the branch scores that do not depend on a query."""
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "n_chars", "lang")
+    return items.select("item", (F.lit(1.0) / (1 + F.col("n_chars"))).alias("prior"), (F.char_length("lang") + (F.col("n_chars") % 97).cast("double")).alias("visual"))
+
+
 def _branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"))
     items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "n_chars", "lang")
@@ -187,9 +193,10 @@ SELECT query, item, rank, round(score, 6) AS score FROM r WHERE rank <= 10
 """)
 def q08_rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reciprocal-rank fusion of lexical score, length prior and a third branch; lexical only where positive."""
-    rows = _branches(spark, sf_dir)
-    parts = fusion.reciprocal_rank("lexical", positive_only=True) + fusion.reciprocal_rank("prior") + fusion.reciprocal_rank("visual")
-    best = lexical.top_k(rows.select("query", "item", parts.alias("score")), 10)
+    asked, items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query")), _items(spark, sf_dir)
+    lexical_ranks = lexical.top_k(_bm25(spark, sf_dir).where("score > 0"), 60)
+    fused = fusion.fused_ranks([lexical_ranks, fusion.shared_ranking(items, asked, "prior", 60), fusion.shared_ranking(items, asked, "visual", 60)])
+    best = lexical.top_k(fused, 10)
     return best.select("query", "item", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -233,12 +240,20 @@ def q10_query_aware_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), sparse_weight(F.col("text")).alias("w"))
     names = F.array(*map(F.lit, ("text_evidence", "visual_metadata", "visual_discovery", "topic_discovery", "mixed")))
     asked = asked.withColumn("route", F.get(names, (F.col("query") % 5).cast("int")))
-    rows = _branches(spark, sf_dir).withColumns({"b": fusion.min_max("lexical"), "t": fusion.min_max("prior"), "v": fusion.min_max("visual")})
-    rows = rows.join(small(asked), "query")
-    score = fusion.query_aware(
-        F.col("route"), text=F.col("t"), visual=F.col("v"), lexical=F.col("b"), metadata=F.col("t"), fallback=F.col("v"), sparse=F.col("w")
-    )
-    best = lexical.top_k(rows.select("query", "item", "route", score.alias("score")), 10)
+    # Two branches are the same for every query: they are scaled once, over items.
+    items = _items(spark, sf_dir)
+    ends = items.agg(F.count(F.lit(1)).alias("n_items"), *(f(c).alias(f"{c}_{n}") for c in ("prior", "visual") for n, f in (("low", F.min), ("high", F.max))))
+    scale = lambda c: (F.col(c) - F.col(f"{c}_low")) / F.greatest(F.col(f"{c}_high") - F.col(f"{c}_low"), F.lit(1e-8))
+    fixed = items.crossJoin(F.broadcast(ends)).select("item", scale("prior").alias("t"), scale("visual").alias("v"))
+    hits = fusion.scaled_hits(_bm25(spark, sf_dir), ends.select("n_items")).withColumnRenamed("scaled", "b").join(asked, "query").join(fixed, "item")
+    score = lambda b: fusion.query_aware(F.col("route"), text=F.col("t"), visual=F.col("v"), lexical=b, metadata=F.col("t"), fallback=F.col("v"), sparse=F.col("w"))
+    # An item without a hit can only be among the ten best if it is among the ten best of its route by the other branches: a hit never takes away.
+    routes = asked.select("route").distinct().withColumn("w", F.lit(0.0))
+    alone = F.row_number().over(Window.partitionBy("route").orderBy(F.round(score(F.lit(0.0)), 9).desc(), "item"))
+    likely = fixed.crossJoin(F.broadcast(routes)).withColumn("n", alone).where("n <= 10").drop("w", "n")
+    rest = likely.join(asked, "route").join(hits.select("query", "item"), ["query", "item"], "left_anti").withColumn("b", F.lit(0.0))
+    columns = ("query", "item", "route")
+    best = lexical.top_k(hits.select(*columns, score(F.col("b")).alias("score")).unionByName(rest.select(*columns, score(F.col("b")).alias("score"))), 10)
     return best.select("query", "item", "route", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
