@@ -20,25 +20,48 @@ class Lexicon:
     """Word lists that decide a route; a query has a list when it contains one of its words."""
 
     # Words that ask for text evidence.
-    text_evidence: tuple[str, ...] = tuple("提到 出现 写着 包含 记录 表格 编号 多少 成绩 课程 公式 关键词 日期 地址".split())
+    text_evidence: tuple[str, ...] = (
+        "提到", "出现", "写着", "包含", "记录", "表格", "编号", "多少", "成绩", "课程", "公式", "关键词", "日期", "地址",
+    )
     # Words that name a picture form.
-    visual_form: tuple[str, ...] = tuple("图片 照片 画面 截图 海报 自然图像 自然图片 自然照片 风景 人物照片 动物照片 建筑照片 课件 幻灯片 演示文稿".split())
+    visual_form: tuple[str, ...] = (
+        "图片", "照片", "画面", "截图", "海报", "自然图像", "自然图片", "自然照片", "风景", "人物照片", "动物照片",
+        "建筑照片", "课件", "幻灯片", "演示文稿",
+    )
     # Words that name visual structure.
-    visual_structure: tuple[str, ...] = tuple(
-        "广告牌 街景 白板 流程图 柱状图 折线图 图表 仪表盘 菜单栏 工具栏 搜索框 定位标记 商店招牌 路牌 印章 签字栏 日期栏 复选框 表格边框 填写栏 倾斜拍摄 阴影遮挡 三栏排版 登录界面 错误提示 弹窗 命令行窗口 手写 包装盒 菜单 价目表 通知截图 全家福 购物清单 自行车 放风筝 帽子 帐篷".split()
+    visual_structure: tuple[str, ...] = (
+        "广告牌", "街景", "白板", "流程图", "柱状图", "折线图", "图表", "仪表盘", "菜单栏", "工具栏", "搜索框", "定位标记",
+        "商店招牌", "路牌", "印章", "签字栏", "日期栏", "复选框", "表格边框", "填写栏", "倾斜拍摄", "阴影遮挡", "三栏排版",
+        "登录界面", "错误提示", "弹窗", "命令行窗口", "手写", "包装盒", "菜单", "价目表", "通知截图", "全家福", "购物清单",
+        "自行车", "放风筝", "帽子", "帐篷",
     )
     # Words that ask for literal text.
-    strong_literal: tuple[str, ...] = tuple("提到 写着 写有 文字 英文 代码 姓名 地址 日期 时间 地点 金额 标题 关键词 课程 记录 计划".split())
+    strong_literal: tuple[str, ...] = (
+        "提到", "写着", "写有", "文字", "英文", "代码", "姓名", "地址", "日期", "时间", "地点", "金额", "标题", "关键词",
+        "课程", "记录", "计划",
+    )
     # Words of visual topics.
-    visual_discovery: tuple[str, ...] = tuple(
-        "蓝色 红色 绿色 黄色 黑色 白色 紫色 粉色 橙色 灰色 棕色 青色 美丽 漂亮 好看 风景 森林 山林 山景 山水 山水画 风景画 自然 感觉 类似 天空 白云 蓝天 山峰 雪山 湖泊 海边 海面 沙滩 树木 日出 日落 夕阳 倒影 动物 建筑 车辆 帆船 花朵 树林 草原 田野 河流 瀑布 沙漠 峡谷 大海 海洋 海岸 雪景 城市夜景 夜景 公园 花园 草地 猫 狗 鸟 跑车 火车 轮船 肖像 天地".split()
+    visual_discovery: tuple[str, ...] = (
+        "蓝色", "红色", "绿色", "黄色", "黑色", "白色", "紫色", "粉色", "橙色", "灰色", "棕色", "青色", "美丽", "漂亮",
+        "好看", "风景", "森林", "山林", "山景", "山水", "山水画", "风景画", "自然", "感觉", "类似", "天空", "白云", "蓝天",
+        "山峰", "雪山", "湖泊", "海边", "海面", "沙滩", "树木", "日出", "日落", "夕阳", "倒影", "动物", "建筑", "车辆",
+        "帆船", "花朵", "树林", "草原", "田野", "河流", "瀑布", "沙漠", "峡谷", "大海", "海洋", "海岸", "雪景", "城市夜景",
+        "夜景", "公园", "花园", "草地", "猫", "狗", "鸟", "跑车", "火车", "轮船", "肖像", "天地",
     )
     # Words of technical topics.
-    technical: tuple[str, ...] = tuple("研究 工程 算法 模型 系统 方法 理论 数据 课程 论文 语言处理 图像处理 识别 检测 分类 分析 训练 生态学 建筑学 动物学".split())
+    technical: tuple[str, ...] = (
+        "研究", "工程", "算法", "模型", "系统", "方法", "理论", "数据", "课程", "论文", "语言处理", "图像处理", "识别",
+        "检测", "分类", "分析", "训练", "生态学", "建筑学", "动物学",
+    )
     # Question words.
-    question: tuple[str, ...] = tuple("哪张 哪份 哪些 什么 谁 是否 多少 怎么 怎样 为何 为什么 如何 哪里 何时 有没有".split())
+    question: tuple[str, ...] = (
+        "哪张", "哪份", "哪些", "什么", "谁", "是否", "多少", "怎么", "怎样", "为何", "为什么", "如何", "哪里", "何时",
+        "有没有",
+    )
     # Times relative to the asker.
-    temporal: tuple[str, ...] = tuple("我去年 我上个月 我上周 我昨天 我昨晚 去年 上个月 上周 昨天 昨晚".split())
+    temporal: tuple[str, ...] = (
+        "我去年", "我上个月", "我上周", "我昨天", "我昨晚", "去年", "上个月", "上周", "昨天", "昨晚",
+    )
     # Colours and their names; the first, of one character, counts only as the whole query.
     colours: tuple[tuple[str, str, tuple[str, ...]], ...] = (
         ("blue", "蓝", ("蓝色",)), ("red", "红", ("红色",)), ("green", "绿", ("绿色",)), ("yellow", "黄", ("黄色",)), ("black", "黑", ("黑色",)),
@@ -409,7 +432,7 @@ def transition_guard(method: Column, old: Column, new: Column, compositional: Co
 
 # Marks that several things are pictured together; the relational ones are the stronger.
 RELATION_MARKS = ("戴着", "搭着", "放着", "摆放", "飞越", "游过", "停在", "站在", "穿过", "驶过", "跃过", "降落", "围着", "顶着", "堆成", "坐在", "举着", "趴在", "装进", "挂在")
-TOGETHER_MARKS = ("和", "与", "以及", "同时", "并且", "、", "旁", "旁边", "戴着", "戴", "搭着", "放着", "摆放", "上写着", "下的", *RELATION_MARKS[4:])
+TOGETHER_MARKS = ("和", "与", "以及", "同时", "并且", "、", "旁", "旁边", "戴着", "戴", "搭着", "放着", "摆放", "上写着", "下的", "飞越", "游过", "停在", "站在", "穿过", "驶过", "跃过", "降落", "围着", "顶着", "堆成", "坐在", "举着", "趴在", "装进", "挂在")
 
 
 def is_composite_visual(query: Column, routed: Column) -> Column:
