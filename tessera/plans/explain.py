@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import explain, intent
-from tessera.plans.golden import values
+from tessera.operators import explain
 from tessera.plans.registry import register
 from tessera.sources.tables import table
 
-# Queries, texts, terms, matched terms and the branch that decides.
-TERMS = (
-    ("哪张图片展示了海边日落", "海边 SUNSET 日落", "海边日落|海边|边日|日落", "海边|日落"), ("find AB-12 in Report", "the report ab-12", "find|ab-12|in|report", "ab-12|report"), ("这张的", "x", "", ""),
-)
-
-
-@register(values("query, text, terms, matched", TERMS))
-def q170_query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of stated queries and those their texts hold."""
-    rows = spark.createDataFrame([r[:2] for r in TERMS], "query string, text string")
-    return rows.select(
-        "query", "text", F.array_join(explain.query_terms(F.col("query")), "|").alias("terms"), F.array_join(explain.matched_terms(F.col("query"), F.col("text")), "|").alias("matched")
-    )
-
 
 @register("""
 WITH r AS (SELECT doc_id, lang, n_chars, doc_id % 7 = 0 AS reranked, CASE doc_id % 3 WHEN 0 THEN 'visual_discovery' WHEN 1 THEN 'visual_metadata' ELSE 'mixed' END AS route,
@@ -44,26 +27,6 @@ def q171_dominant_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", told["branch"].alias("branch"))
 
 
-def _payload(**changed) -> str:
-    return json.dumps({f: False for f in explain.INTENT_FIELDS} | changed)
-
-
-# Answers of a model, and the route they give, none for those that break the contract.
-PAYLOADS = (
-    (_payload(needs_exact_entity=True), "entity_exact"), (_payload(needs_literal_text=True, needs_visual_semantics=True, is_compositional=True), "mixed"),
-    (_payload(needs_layout_structure=True), "visual_metadata"), (_payload(needs_visual_semantics=True, confidence=0.01), "visual_discovery"), (_payload(needs_topic_discovery=True), "topic_discovery"),
-    (_payload(needs_literal_text=True), "text_evidence"), (_payload(), "mixed"), (_payload(extra=True), None), (_payload(needs_literal_text=1.0), None), (_payload(needs_literal_text="true"), None),
-    ('{"needs_literal_text": true}', None), ("这里是解释文字", None), ("[]", None), (_payload(confidence=2), None), (None, None),
-)
-
-
-@register(values("n, route", ((i, r) for i, (_, r) in enumerate(PAYLOADS))))
-def q172_model_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes of stated model answers under their contract."""
-    rows = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(PAYLOADS)], "n int, payload string").withColumn("e", explain.intent_fields(F.col("payload")))
-    return rows.select("n", F.when(F.col("e").isNotNull(), intent.evidence_route({f: F.col(f"e.{f}") for f in explain.INTENT_FIELDS})).alias("route"))
-
-
 @register("SELECT DISTINCT trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS query, CASE WHEN item_id % 2 = 0 THEN 'cached' ELSE 'asked' END AS payload FROM benchmark")
 def q173_backend_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of a backend to every benchmark text that a cache does not hold."""

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tessera.operators import gates, studies
 from tessera.plans.evaluation import RANKED_CTE, _ranked
-from tessera.plans.golden import values
 from tessera.plans.registry import register
 from tessera.sources.tables import table
 
@@ -40,21 +39,6 @@ def q151_discovery_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.discovery_filtered(rows).select("query", "item")
 
 
-# Route, colour, best scores of colour, looks and text, exact pages, accepted.
-DISCOVERED = (
-    ("visual_discovery", "blue", 0.2, 0.0, 0.0, 0, True), ("visual_discovery", "blue", 0.1, 0.9, 0.9, 0, False), ("visual_discovery", None, 0.9, 0.36, 0.0, 0, True),
-    ("visual_discovery", None, 0.9, 0.34, 0.9, 5, False), ("topic_discovery", None, 0.0, 0.0, 0.44, 0, True), ("topic_discovery", None, 0.0, 0.9, 0.43, 0, False), ("topic_discovery", None, 0.0, 0.0, 0.1, 1, True),
-)
-
-
-@register(values("route, colour, c, v, t, exact, accepted", DISCOVERED))
-def q152_discovery_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether stated browsing queries find anything."""
-    rows = spark.createDataFrame([r[:6] for r in DISCOVERED], "route string, colour string, c double, v double, t double, exact int")
-    best = {"colour": F.col("c"), "visual": F.col("v"), "text": F.col("t")}
-    return rows.withColumn("accepted", gates.discovery_accepted(F.col("route"), F.col("colour"), best, F.col("exact")))
-
-
 @register(f"""
 WITH {RANKED_CTE}, r AS (SELECT query, item, rank, CASE WHEN rank <= 8 AND item % 3 <> 0 THEN round(1.0 / (1 + item % 13), 9) END AS s FROM ranked WHERE rank <= 15)
 SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY s IS NULL, round(s, 9) DESC, rank) AS reranked, row_number() OVER (PARTITION BY query ORDER BY (item % 5 = 0) DESC, rank) AS promoted FROM r
@@ -82,17 +66,6 @@ def q154_guard_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Phrases of pages with document frequency and whether a neighbour has them, and those chosen.
-PHRASES = (("a", "alpha beta gamma", 1, False), ("a", "beta gamma", 1, False), ("a", "delta", 1, False), ("a", "common words", 3, False), ("a", "shared phrase here", 1, True), ("b", "one", 2, False))
-
-
-@register(values("item, phrases", (("a", "alpha beta gamma|delta"), ("b", "one"))))
-def q155_distinctive_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rare phrases of stated pages that a neighbour lacks."""
-    rows = spark.createDataFrame(PHRASES, "item string, phrase string, df int, on_neighbour boolean")
-    return studies.distinctive_phrases(rows).select("item", F.array_join("phrases", "|").alias("phrases"))
-
-
 @register("""
 WITH s AS (SELECT vec_id AS item, label % 3 AS n FROM embeddings) SELECT item, row_number() OVER (ORDER BY n, sha256('s|' || item), item) AS place FROM s
 """)
@@ -136,16 +109,6 @@ def q159_category_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Tag lists and their normal form.
-TAGS = (("clear;blurry", "blur"), ("clear_scan", "clear"), ("glare, reflection;odd", "reflection"), ("perspective;tilt;shadow", "tilt;shadow"), ("", ""))
-
-
-@register(values("tags, normal", TAGS))
-def q160_quality_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stated tag lists in normal form."""
-    return spark.createDataFrame([r[:1] for r in TAGS], "tags string").select("tags", studies.quality_tags(F.col("tags")).alias("normal"))
-
-
 @register("""
 WITH r AS (SELECT event_id, CAST(event_id % 60 AS BIGINT) AS bc, (event_id % 50) / 100.0 + 0.3 AS bq, CAST(event_id % 90 AS BIGINT) AS tc, (event_id % 70) / 100.0 + 0.3 AS tq, event_id % 4 * 90 AS angle FROM events),
   u AS (SELECT *, ln(1 + bc) * bq * 0.95 AS bu, ln(1 + tc) * tq * 0.95 AS tu, tc / greatest(bc, 1) AS longer, round(tq - bq, 9) AS surer FROM r)
@@ -160,20 +123,6 @@ def q161_rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", studies.rotation_accepted(base, turned).alias("accepted"))
 
 
-# Questions and their near negatives.
-NEAR = (
-    ("What is on the red sign?", "What is on the blue sign?", "color_substitution"), ("Is the cat under the table?", "Is the cat on top of the table?", "relation_substitution"), ("Who wrote this?", None, None),
-)
-
-
-@register(values("question, query, kind", NEAR))
-def q162_near_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stated questions with one condition changed, read from their tags."""
-    rows = spark.createDataFrame([(["x", f"question= {q} "],) for q, *_ in NEAR], "tags array<string>").select(studies.tagged_question(F.col("tags")).alias("question"))
-    near = studies.near_negative(F.col("question"), {"red": "blue", "green": "yellow"}, (("under", "on top of"), ("left", "right")))
-    return rows.withColumn("n", near).select("question", "n.query", "n.kind")
-
-
 @register(f"""
 WITH {RANKED_CTE}, t AS (SELECT query, min(CASE WHEN label = asked THEN rank END) AS a, min(CASE WHEN label = asked THEN abs(item - query) END) AS b FROM ranked GROUP BY query)
 SELECT query, CASE WHEN a < b THEN 1 WHEN b < a THEN 0 ELSE -1 END AS preferred FROM t
@@ -185,18 +134,3 @@ def q163_preferred_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("query", studies.preferred_branch(F.col("a"), F.col("b")).alias("preferred"))
 
 
-@register("SELECT a, b, c FROM (VALUES (0.1::DOUBLE, 1.0::DOUBLE), (0.2, 2.0)) p(a, b), (VALUES (5.0::DOUBLE), (6.0), (7.0)) q(c)")
-def q164_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grid in which two fields move together."""
-    return studies.configurations(spark, {"a": [0.1, 0.2], "b": [1, 2], "c": [5, 6, 7]}, paired=[("a", "b")])
-
-
-# Queries and their mode.
-MODES = (("哪张图片展示了海边日落和水面倒影？", "visual"), ("哪张图片包含北京理工大学成绩单和课程分数？", "mixed"), ("哪张图片展示蓝天湖泊和建筑？", "visual"), ("森林", "mixed"), ("森林和湖泊", "visual"))
-
-
-@register(values("query, mode", MODES))
-def q165_query_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether stated queries describe a picture."""
-    rows = spark.createDataFrame([r[:1] for r in MODES], "query string")
-    return rows.select("query", studies.query_mode(F.col("query"), ("写着", "包含", "标题", "文字", "关键词", "编号")).alias("mode"))

@@ -10,39 +10,11 @@ from pyspark.sql import functions as F
 from tessera.functions.text import compact_ascii, edge_trimmed, normalized_ocr
 from tessera.operators import lifecycle, review, studies, vectors
 from tessera.plans.evaluation import RANKED_CTE, _ranked
-from tessera.plans.golden import values
 from tessera.plans.registry import register
 from tessera.sources import readers
 from tessera.sources.tables import table
 from tessera.sources.workspace import application_folder
 
-# Reviews and what is wrong with them; known ids are a and b.
-REVIEWS = (
-    ("accepted", "who", "a;b", None), ("revised", " ", "a", "blank_query"), ("accepted", "who", "", "missing_relevant_ids"), ("no_answer", "who", "a", "relevant_ids_without_answer"),
-    ("no_answer", "who", "", None), ("excluded", "", "", None), ("accepted", "who", "a,c", "unknown_ids"), ("maybe", "who", "a", "unsupported_decision"),
-)
-
-
-@register(values("decision, query, ids, fault", REVIEWS))
-def q110_review_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faults of stated query reviews."""
-    rows = spark.createDataFrame([r[:3] for r in REVIEWS], "decision string, query string, ids string")
-    return rows.withColumn("fault", studies.review_fault(F.col("decision"), F.col("query"), F.col("ids"), F.array(F.lit("a"), F.lit("b"))))
-
-
-# Quality reviews and what is wrong with them.
-QUALITY = (
-    (True, "accepted", "", "blur", None), (False, "accepted", "", "", "unknown_item"), (True, "keep", "", "", "unsupported_decision"), (True, "reclassified", "", "", "missing_category"),
-    (True, "reclassified", "form", "", None), (True, "accepted", "none", "", "unsupported_category"), (True, "ocr_retry", "", "blur;odd", "unsupported_tags"),
-)
-
-
-@register(values("known, decision, category, tags, fault", QUALITY))
-def q111_quality_review_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Faults of stated quality reviews."""
-    rows = spark.createDataFrame([r[:4] for r in QUALITY], "known boolean, decision string, category string, tags string")
-    return rows.withColumn("fault", studies.quality_review_fault(F.col("known"), F.col("decision"), F.col("category"), F.col("tags"), ("form", "photo"), ("blur", "skew")))
-
 
 @register("""
 SELECT d.doc_id, CASE WHEN r = '' THEN 'high_uncertainty' ELSE r END AS reasons FROM (
@@ -74,32 +46,6 @@ def q113_retrieval_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("query", F.array_join(errors, ",").alias("errors"), studies.error_cause(F.col("query") % 2 == 0, F.col("best")).alias("cause"))
 
 
-# Query, flags, ranks of the branches, priority and reasons.
-PRIORITIES = (
-    ("", "", None, None, None, 100.0, "blank_query"), ("q", "privacy_query_requires_manual,evidence_not_unique", 1, 9, 1, 90.0, "privacy|nonunique_evidence"),
-    ("q", "", 4, 5, 3, 34.0, "both_branches_fail|adaptive_not_top1"), ("q", "category_needs_confirmation", None, 8, 50, 48.0, "category|adaptive_not_top1"), ("q", "", 1, 1, 1, 0.0, ""),
-)
-
-
-@register(values("query, flags, t, v, a, score, reasons", PRIORITIES))
-def q114_review_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Priority of stated queries and why."""
-    rows = spark.createDataFrame([r[:5] for r in PRIORITIES], "query string, flags string, t int, v int, a int")
-    rows = rows.withColumn("p", studies.review_priority(F.col("query"), F.col("flags"), F.col("t"), F.col("v"), F.col("a")))
-    return rows.select("query", "flags", "t", "v", "a", "p.score", F.array_join("p.reasons", "|").alias("reasons"))
-
-
-# Lines of pages with confidence and document frequency, and the evidence chosen.
-EVIDENCE = (("p", "常见标题内容", 0.99, 5), ("p", "独特实验设置", 0.90, 1), ("p", "独特实验", 0.99, 1), ("q", "only line", 0.7, 1))
-
-
-@register(values("item, evidence", (("p", "独特实验设置|常见标题内容"), ("q", "only line"))))
-def q115_chosen_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evidence lines of stated pages: rare and long first, none inside another."""
-    rows = spark.createDataFrame(EVIDENCE, "item string, text string, confidence double, df int")
-    return studies.chosen_evidence(rows).select("item", F.array_join("evidence", "|").alias("evidence"))
-
-
 @register("""
 WITH f AS (SELECT source AS stratum, count(*) AS n FROM documents GROUP BY source),
   o AS (SELECT *, n % 2 AS odd, sum(n % 2) OVER (ORDER BY stratum ROWS UNBOUNDED PRECEDING) AS turn FROM f)
@@ -200,34 +146,6 @@ def q123_effective_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Reviews of a model and whether they stand; pool decisions and records of "no answer", and their faults.
-MODEL = (("yes", 0.95, None, True), ("yes", 0.85, None, False), ("yes", 0.95, "a", False), ("unsure", 0.99, None, False))
-POOLS = (("relevant_candidate_in_pool", True, None), ("relevant_candidate_in_pool", False, "no_relevant_candidate"), ("no_relevant_candidate_in_pool", True, "marked_relevant"), ("other", False, "unknown_decision"))
-ABSENT = (
-    ("a" * 64, 1, 5, 2, True, False, None), ("xyz", 1, 5, 2, True, False, "pool_sha256"), ("a" * 64, 0, 5, 2, True, False, "retrieval_runs"), ("a" * 64, 1, 0, 2, True, False, "candidate_count"),
-    ("a" * 64, 1, 5, 1, True, False, "reviewer_count"), ("a" * 64, 1, 5, 2, False, False, "adjudicated"), ("a" * 64, 1, 5, 2, True, None, "known_relevant_outside_pool"),
-)
-
-
-@register(
-    " UNION ALL ".join((
-        values("kind, n, said", ((f"model{i}", i, str(r[3]).lower()) for i, r in enumerate(MODEL))),
-        values("kind, n, said", ((f"pool{i}", i, r[2]) for i, r in enumerate(POOLS))), values("kind, n, said", ((f"absent{i}", i, r[6]) for i, r in enumerate(ABSENT))),
-    ))
-)
-def q124_judgment_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stated model reviews, pool decisions and no-answer records under their rules."""
-    name = lambda kind: (F.concat(F.lit(kind), F.col("n").cast("string")).alias("kind"), "n")
-    model = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(MODEL)], "n int, decision string, confidence double, u string")
-    model = studies.sure_reviews(model.withColumn("uncertain_item_ids", F.when(F.col("u").isNotNull(), F.array("u"))), ("yes", "no"))
-    pools = spark.createDataFrame([(i, *r[:2]) for i, r in enumerate(POOLS)], "n int, decision string, relevant boolean")
-    absent = spark.createDataFrame([(i, *r[:6]) for i, r in enumerate(ABSENT)], "n int, pool_sha256 string, runs int, candidate_count int, reviewer_count int, adjudicated boolean, known_relevant_outside_pool boolean")
-    absent = absent.withColumn("retrieval_runs", F.array_repeat(F.lit("r"), F.col("runs")))
-    out = model.select(*name("model"), F.col("auto").cast("string").alias("said"))
-    out = out.unionByName(pools.select(*name("pool"), studies.pool_judgment_fault(F.col("decision"), F.col("relevant")).alias("said")))
-    return out.unionByName(absent.select(*name("absent"), studies.no_answer_fault({c: F.col(c) for c in absent.columns}).alias("said")))
-
-
 @register("""
 WITH d AS (SELECT lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS k, text AS query FROM conversations WHERE role = 'user' AND text IS NOT NULL),
   e AS (SELECT DISTINCT k FROM d WHERE length(k) % 2 = 0)
@@ -395,14 +313,6 @@ def q141_whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.join(hashed, "path").groupBy(F.element_at(F.split("path", "/"), -1).alias("name")).agg(F.count(F.lit(1)).cast("int").alias("n_files"), F.bool_and(named).alias("named"))
 
 
-@register("SELECT true AS first, false AS second")
-def q142_one_shot_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A receipt can be claimed once."""
-    path = _folder(spark, "receipt")
-    row = spark.range(1)
-    return spark.createDataFrame([(studies.claim_once(row, path), studies.claim_once(row, path))], "first boolean, second boolean")
-
-
 @register(f"""
 WITH {RANKED_CTE}, r AS (SELECT query, string_agg(CAST(item AS VARCHAR), chr(10) ORDER BY rank) AS ids FROM ranked WHERE rank <= 20 GROUP BY query)
 SELECT query, substr(sha256('p' || chr(10) || 'discovery' || chr(10) || ids), 1, 12) AS signature, query % 2 = 0 AS cached FROM r
