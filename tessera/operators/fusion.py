@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import numbered
 from tessera.sources.tables import small
 
 
@@ -60,11 +61,30 @@ def query_aware(route: Column, *, text: Column, visual: Column, lexical: Column,
     )
 
 
+def percentiles(rows: DataFrame, score: str, *, item: str = "item", by: tuple[str, ...] = (), out: str = "percentile") -> DataFrame:
+    """``rank_percentile`` as a column of ``rows``, with a group's items spread over tasks."""
+    placed = numbered(rows, [F.round(score, 9).desc(), F.col(item)], by=by, out=out)
+    sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_items"))
+    placed = placed.join(sizes, list(by)) if by else placed.crossJoin(F.broadcast(sizes))  # without groups one row
+    return placed.withColumn(out, F.lit(1.0) - (F.col(out) - 1) / F.greatest(F.col("_items") - 1, F.lit(1))).drop("_items")
+
+
+def scaled(rows: DataFrame, score: str, *, query: str = "query") -> DataFrame:
+    """Adds ``scaled``: ``min_max`` from the extremes of each query as an aggregate; ``rows`` are read twice."""
+    ends = rows.groupBy(query).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    both = rows.join(ends, query)
+    return both.withColumn("scaled", (F.col(score) - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-8))).drop("_low", "_high")
+
+
+def first_items(items: DataFrame, score: str, k: int) -> DataFrame:
+    """``(item, rank)`` of the ``k`` best items."""
+    best = items.select("item", score).orderBy(F.round(score, 9).desc(), "item").limit(k)
+    return best.select("item", F.row_number().over(Window.orderBy(F.round(score, 9).desc(), "item")).alias("rank"))  # k rows
+
+
 def shared_ranking(items: DataFrame, queries: DataFrame, score: str, k: int) -> DataFrame:
     """``(query, item, rank)`` of a branch that scores items alike for every query: its ``k`` best, for each query of a stated set."""
-    best = items.select("item", score).orderBy(F.round(score, 9).desc(), "item").limit(k)
-    ranked_once = best.withColumn("rank", F.row_number().over(Window.orderBy(F.round(score, 9).desc(), "item")))  # k rows
-    return queries.select("query").distinct().crossJoin(F.broadcast(ranked_once.select("item", "rank")))
+    return queries.select("query").distinct().crossJoin(F.broadcast(first_items(items, score, k)))
 
 
 def fused_ranks(branches: list[DataFrame], *, k: int = 60, top: int = 60) -> DataFrame:

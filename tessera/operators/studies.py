@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import stable_fraction, stable_key
 from tessera.functions.text import id_list
+from tessera.operators.ordering import numbered
 
 
 def _first(*rules: tuple[Column, str]) -> Column:
@@ -289,15 +290,14 @@ def chosen_families(families: DataFrame, routes: list[str], seed: str, *, per_ro
 
 def specificity_order(rows: DataFrame, *, item: str, n_strata: str, seed: str) -> DataFrame:
     """Items that fit few strata first, then in hash order; ``place`` from 1."""
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(n_strata, stable_key(F.lit(seed), F.col(item)), F.col(item))))
+    return numbered(rows, [F.col(n_strata), stable_key(F.lit(seed), F.col(item)), F.col(item)], out="place")
 
 
 def role_rows(sources: DataFrame, submissions: DataFrame, key: str = "source_id") -> DataFrame:
     """Two rows per source, its target query and its near negative, numbered in order."""
     roles = F.explode(F.array(F.struct(F.lit("target").alias("role"), F.col("target_query").alias("query")), F.struct(F.lit("neighbor").alias("role"), F.col("neighbor_query").alias("query")))).alias("r")
     each = sources.join(submissions, key).select(key, roles).select(key, "r.*")
-    number = F.row_number().over(Window.orderBy(key, F.col("role").desc()))
-    return each.withColumn("query_id", F.format_string("Q%04d", number))
+    return numbered(each, [F.col(key), F.col("role").desc()], out="query_id").withColumn("query_id", F.format_string("Q%04d", "query_id"))
 
 
 def apportion(total: int, shares: Mapping[str, float]) -> dict[str, int]:

@@ -11,6 +11,7 @@ from tessera.operators import corpus, fusion, lexical, vectors
 from tessera.operators.splits import top_per_group
 from tessera.plans.registry import register
 from tessera.sources.tables import small, table
+from tessera.sources.workspace import materialize
 
 TOKENS = "regexp_extract_all(lower({}), '[\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}]+|[a-zA-Z0-9]+(?:[._:/+-][a-zA-Z0-9]+)*')"
 
@@ -147,7 +148,8 @@ FROM knn WINDOW w AS (PARTITION BY query)
 """)
 def q07_minmax_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of each query scaled to 0..1 over all items."""
-    return _knn(spark, sf_dir).select("query", "item", F.round(fusion.min_max("score"), 6).alias("scaled"))
+    scores = materialize(_knn(spark, sf_dir), "scores")
+    return fusion.scaled(scores, "score").select("query", "item", F.round("scaled", 6).alias("scaled"))
 
 
 FUSION_CTE = f"""
@@ -173,18 +175,6 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("item", (F.lit(1.0) / (1 + F.col("n_chars"))).alias("prior"), (F.char_length("lang") + (F.col("n_chars") % 97).cast("double")).alias("visual"))
 
 
-def _branches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"))
-    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "n_chars", "lang")
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item"), F.col("quality").cast("double").alias("confidence"))
-    items = items.join(labels, "item", "left")
-    grid = fusion.full_grid(asked, items, _bm25(spark, sf_dir), 0.0).join(items, "item")
-    return grid.select(
-        "query", "item", F.col("score").alias("lexical"), (F.lit(1.0) / (1 + F.col("n_chars"))).alias("prior"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
-        (F.char_length("lang") + (F.col("n_chars") % 97).cast("double")).alias("visual"),
-    )
-
-
 @register(f"""
 WITH {FUSION_CTE},
   f AS (SELECT query, item, cl + cp + cv AS score FROM parts),
@@ -210,11 +200,18 @@ SELECT query, item, round(least(greatest(0.6 * confidence, 0), 1) * t + (1 - lea
 """)
 def q09_quality_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence-adaptive and quality-weighted fusion of every (query, document)."""
-    rows = _branches(spark, sf_dir)
-    rows = rows.withColumns({
-        "cl": fusion.reciprocal_rank("lexical", positive_only=True), "cp": fusion.reciprocal_rank("prior"), "cv": fusion.reciprocal_rank("visual"),
-        "t": fusion.min_max("lexical"), "v": fusion.min_max("visual"),
-    })
+    asked, items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query")), _items(spark, sf_dir)
+    hits = materialize(_bm25(spark, sf_dir), "scores")
+    share = lambda ranks, out: ranks.select(*(c for c in ("query", "item") if c in ranks.columns), (F.lit(1.0) / (60 + F.col("rank"))).alias(out))
+    # What does not depend on a query is worked out once an item; of the lexical branch only hits are stored, other items have 0.
+    ends = items.agg(F.count(F.lit(1)).alias("n_items"), F.min("visual").alias("low"), F.max("visual").alias("high"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item"), F.col("quality").cast("double").alias("confidence"))
+    fixed = items.crossJoin(F.broadcast(ends)).withColumn("v", (F.col("visual") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-8))).join(labels, "item", "left")
+    for score, out in (("prior", "cp"), ("visual", "cv")):
+        fixed = fixed.join(F.broadcast(share(fusion.first_items(items, score, 60), out)), "item", "left")  # sixty rows
+    rows = fixed.select("item", "v", "confidence", "cp", "cv").join(small(asked.distinct()))
+    rows = rows.join(fusion.scaled_hits(hits, ends.select("n_items")).withColumnRenamed("scaled", "t"), ["query", "item"], "left")
+    rows = rows.join(share(lexical.top_k(hits.where("score > 0"), 60), "cl"), ["query", "item"], "left").na.fill(0.0, ["t", "cl", "cp", "cv", "confidence"])
     c = F.col("confidence")
     return rows.select(
         "query", "item", F.round(fusion.adaptive(F.col("t"), F.col("v"), c), 6).alias("adaptive"),
@@ -266,8 +263,11 @@ SELECT query, item, round(pl, 6) AS full_percentile, round(least(pp, pv), 6) AS
 """)
 def q11_rank_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank percentiles of the full query and two conditions, and their blends."""
-    rows = _branches(spark, sf_dir)
-    rows = rows.withColumns({"pl": fusion.rank_percentile("lexical"), "pp": fusion.rank_percentile("prior"), "pv": fusion.rank_percentile("visual")})
+    items = _items(spark, sf_dir)
+    for score, out in (("prior", "pp"), ("visual", "pv")):  # once, not for every query
+        items = fusion.percentiles(items, score, out=out)
+    grid = fusion.full_grid(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query")), items, _bm25(spark, sf_dir), 0.0)
+    rows = fusion.percentiles(grid, "score", by=("query",), out="pl").join(items.select("item", "pp", "pv"), "item")
     low, mean = F.least("pp", "pv"), (F.col("pp") + F.col("pv")) / 2
     return rows.select(
         "query", "item", F.round("pl", 6).alias("full_percentile"), F.round(low, 6).alias("min_percentile"), F.round(mean, 6).alias("mean_percentile"),
