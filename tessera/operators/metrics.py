@@ -31,6 +31,13 @@ def ndcg(rankings: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
     return ideal.join(gains, "query", "left").select("query", (F.coalesce("dcg", F.lit(0.0)) / best).alias("ndcg"))
 
 
+def ndcg_counted(rows: DataFrame, counts: DataFrame, k: int = 10) -> DataFrame:
+    """``ndcg`` of the first ``k`` rows (query, rank, relevant) of each query, given how many items are relevant to it (query, n)."""
+    gains = rows.where((F.col("rank") <= k) & F.col("relevant")).groupBy("query").agg(F.sum(1 / F.log2(F.col("rank") + 1)).alias("dcg"))
+    best = F.aggregate(F.sequence(F.lit(1), F.least("n", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    return counts.join(gains, "query", "left").select("query", (F.coalesce("dcg", F.lit(0.0)) / best).alias("ndcg"))
+
+
 def gated_metrics(rows: DataFrame, *by: str) -> DataFrame:
     """Ranker and product metrics of rows (answerable, accepted, best_rank); a product metric is 0 where not accepted.
 

@@ -32,3 +32,16 @@ def numbered(rows: DataFrame, order: Iterable[Column], *, by: Iterable[str] = ()
     for i, b in enumerate(by):
         same = same & inside[b].eqNullSafe(before[f"_by{i}"])
     return inside.join(before, same).select(*(inside[c] for c in rows.columns if c != out), (inside[out] + before["_before"]).alias(out))
+
+
+def neighbours(queries: DataFrame, items: DataFrame, k: int, *, by: str | None = None) -> DataFrame:
+    """``(query, item)``: the ``k`` ids before and after each query among the distinct ids of ``items`` (item), with ``by`` those of its group.
+
+    Places are numbered and met by equality, so no group is in one task. The
+    query must be among the items; a null group has no neighbours.
+    """
+    groups = [by] if by else []
+    placed = materialize(numbered(items.dropna().distinct(), [F.col("item")], by=groups, out="place"), "places")
+    own = queries.select("query", *groups).distinct().join(placed.withColumnRenamed("item", "query"), ["query", *groups])
+    near = F.explode(F.array(*(F.col("place") + i for i in range(-k, k + 1) if i)))
+    return own.withColumn("place", near).join(placed, ["place", *groups]).select("query", "item")

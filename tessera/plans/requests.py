@@ -282,7 +282,7 @@ def q100_route_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence of a route must meet on one of the ten nearest vectors of a query."""
     n = F.floor(F.col("query") / 50) % 4
     text = _either(n, "查找“年度报告”的页面", "查找包含Python代码的页面", "查找活动宣传海报", "查找餐厅菜单或价目表照片")
-    rows = _ranked(spark, sf_dir).where("rank <= 30").select(
+    rows = _ranked(spark, sf_dir, 30).select(
         "query", text.alias("text"), F.when(n <= 1, "text_evidence").otherwise("visual_metadata").alias("route"), "item", "rank", ((F.col("item") % 20) / 10.0).alias("dense"),
         (F.col("item") % 11).cast("double").alias("lexical"), F.col("score").alias("visual"), (F.col("item") % 29 == 0).alias("quoted"),
     )
@@ -297,7 +297,7 @@ def q101_composite_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests for several pictured things are not answered by one: the ten vectors after each query's nearest."""
     n = F.floor(F.col("query") / 50) % 3
     text = _either(n, "猫和狗同时出现在草地照片中", "找蓝色鲸鱼游过沙漠峡谷的照片", "蓝色汽车")
-    rows = _ranked(spark, sf_dir).where("rank BETWEEN 2 AND 11").select(
+    rows = _ranked(spark, sf_dir, 11).where("rank >= 2").select(
         "query", text.alias("text"), F.lit("visual_discovery").alias("route"), (F.col("query") % 100 == 0).alias("accepted"), "item", (F.col("rank") - 1).alias("rank"), F.col("score").alias("visual"),
         (F.col("item") % 31 == 0).alias("literal"),
     )
@@ -310,7 +310,7 @@ WITH {RANKED_CTE} SELECT query, query % 100 = 0 AND NOT bool_or(rank <= 10 AND i
 def q102_context_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times relative to the asker need evidence on one of the ten nearest vectors."""
     text = F.when(F.col("query") % 100 == 0, "找我去年在海边拍的日落照片").otherwise("找蓝天下的建筑照片")
-    return gates.context_guard(_ranked(spark, sf_dir).where("rank <= 20").select("query", text.alias("text"), "rank", (F.col("item") % 13 == 0).alias("context")))
+    return gates.context_guard(_ranked(spark, sf_dir, 20).select("query", text.alias("text"), "rank", (F.col("item") % 13 == 0).alias("context")))
 
 
 SOURCES = {"visual_discovery": "adaptive", "visual_metadata": "adaptive", "visual_metadata_plain_object": "visual_metadata_blend", "topic_discovery_without_exact": "adaptive"}

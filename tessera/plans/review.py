@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip_tags
-from tessera.operators import conditions, corpus, literals, review, statistics
-from tessera.plans.evaluation import RANKED_CTE, SCORED_CTE, _ranked, _scored
+from tessera.operators import conditions, corpus, literals, ordering, review, statistics
+from tessera.plans.evaluation import RANKED_CTE, SCORED_CTE, _first_hits, _hits, _scored, _sides
 from tessera.plans.registry import register
 from tessera.sources.tables import table
+from tessera.sources.workspace import materialize
 
 
 @register("""
@@ -55,7 +56,7 @@ SELECT query, item, rank, new_rank FROM o WHERE new_rank <= 20
 """)
 def q72_promoted_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rankings with evidence rows moved to the front, first twenty."""
-    rows = review.promoted(_ranked(spark, sf_dir), F.col("label") == F.col("asked")).where("new_rank <= 20")
+    rows = review.promoted(_first_hits(spark, sf_dir, 20), F.col("label") == F.col("asked")).where("new_rank <= 20")
     return rows.select("query", "item", F.col("rank").cast("long").alias("rank"), F.col("new_rank").cast("long").alias("new_rank"))
 
 
@@ -71,9 +72,12 @@ def q73_union_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall at three of two runs and of their union."""
     from tessera.operators.fusion import ranked as place
 
-    a = _ranked(spark, sf_dir)
-    b = a.withColumn("near", -F.abs(F.col("item") - F.col("query"))).withColumn("rank", place("near"))
-    out = review.union_recall(a, b, a.where("label = asked").select("query", "item"), 3)
+    asked, items = _sides(spark, sf_dir)
+    hits = materialize(_hits(spark, sf_dir, 3), "best")  # a query with relevant rows has one here
+    near = ordering.neighbours(asked.select("query"), items.select("item"), 3).withColumn("near", -F.abs(F.col("item") - F.col("query")))
+    near = near.join(items.select("item", "label"), "item").join(asked.select("query", "asked"), "query").withColumn("rank", place("near"))
+    relevant = hits.where("label = asked").select("query", "item").unionByName(near.where("rank <= 3 and label = asked").select("query", "item"))
+    out = review.union_recall(hits, near, relevant, 3)
     return out.select(*(F.round(c, 6).alias(c) for c in ("recall_a", "recall_b", "recall_union")), "n")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import compact_ascii, edge_trimmed, normalized_ocr
 from tessera.operators import lifecycle, review, studies, vectors
-from tessera.plans.evaluation import RANKED_CTE, _ranked
+from tessera.plans.evaluation import RANKED_CTE, _hits, _ranked
 from tessera.plans.registry import register
 from tessera.sources import readers
 from tessera.sources.tables import table
@@ -38,7 +38,7 @@ SELECT query, CASE WHEN no_answer THEN CASE WHEN accepted THEN 'false_accept' EL
 """)
 def q113_retrieval_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of every query and their likeliest cause."""
-    ranked = _ranked(spark, sf_dir).groupBy("query").agg(
+    ranked = _hits(spark, sf_dir, 10).groupBy("query").agg(
         F.min(F.when(F.col("label") == F.col("asked"), F.col("rank"))).alias("rank"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("best")
     )
     rank = F.when(F.col("query") % 7 != 0, F.col("rank"))
@@ -319,7 +319,7 @@ SELECT query, substr(sha256('p' || chr(10) || 'discovery' || chr(10) || ids), 1,
 """)
 def q143_ranking_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signatures of the first twenty candidates, and which requests a cache can answer."""
-    rows = _ranked(spark, sf_dir).where("rank <= 20").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "item"))).alias("x"))
+    rows = _ranked(spark, sf_dir, 20).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "item"))).alias("x"))
     ids = F.transform("x", lambda r: r["item"].cast("string"))
     signed = rows.select("query", studies.ranking_signature(ids, F.lit("p"), F.lit("discovery")).alias("signature"), F.lit(None).cast("string").alias("revision"))
     hits = studies.cache_hits(signed, signed.where("query % 2 = 0"), ["query", "signature", "revision"]).select("query", F.lit(True).alias("cached"))
