@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import cosine, dot, l2_normalized
 from tessera.functions.text import excerpt, sparse_weight, token_count, tokens
-from tessera.operators import corpus, fusion, lexical, vectors
+from tessera.operators import corpus, fusion, lexical, products, vectors
 from tessera.operators.splits import top_per_group
 from tessera.plans.registry import register
 from tessera.sources.tables import small, table
@@ -113,14 +113,14 @@ SELECT query, item, rank, round(score, 6) AS score FROM r WHERE rank <= 10
 """)
 def q05_dense_knn_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact inner-product search of the stated query set against every vector."""
-    best = lexical.top_k(_knn(spark, sf_dir), 10)
+    best = products.best_products(*_sides(spark, sf_dir), 10, others=False)
     return best.select("query", "item", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-def _knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The stated queries (query, v) and all items (item, v)."""
     rows = table(spark, sf_dir, "embeddings")
-    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
-    return vectors.inner_products(asked, rows.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v")))
+    return rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v")), rows.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v"))
 
 
 @register("""
@@ -148,8 +148,7 @@ FROM knn WINDOW w AS (PARTITION BY query)
 """)
 def q07_minmax_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of each query scaled to 0..1 over all items."""
-    scores = materialize(_knn(spark, sf_dir), "scores")
-    return fusion.scaled(scores, "score").select("query", "item", F.round("scaled", 6).alias("scaled"))
+    return products.scaled_products(*_sides(spark, sf_dir)).select("query", "item", F.round("scaled", 6).alias("scaled"))
 
 
 FUSION_CTE = f"""
