@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numbers import dot, l2_normalized
+from tessera.operators.products import best_by_group
 from tessera.sources.tables import small
 
 
@@ -28,8 +29,7 @@ def maxsim(queries: DataFrame, passages: DataFrame) -> DataFrame:
     ``queries`` holds (query, slot, v), ``passages`` (passage, v); null vectors
     are padding and never win.
     """
-    pairs = passages.where("v is not null").join(small(queries.where("v is not null").withColumnRenamed("v", "q")))
-    best = pairs.groupBy("query", "slot", "passage").agg(F.max(dot(F.col("q"), F.col("v"))).alias("best"))
+    best = best_by_group(queries.where("v is not null"), passages.where("v is not null"))
     return best.groupBy("query", "passage").agg(F.sum("best").alias("score"))
 
 
