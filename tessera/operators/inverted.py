@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.numbers import dot
-from tessera.operators.lexical import top_k
+from tessera.operators.products import best_products
 
 SAMPLE = 4_096  # vectors that the cells' centres are fitted on
 ROUNDS = 10
@@ -75,12 +74,10 @@ def append(root: str, vectors: DataFrame, *, item: str, vector: str) -> None:
 def search(root: str, queries: DataFrame, *, query: str, vector: str, k: int, probe: int) -> DataFrame:
     """``(query, item, score, rank)``: the ``k`` best items by exact inner product among those of the ``probe`` nearest cells.
 
-    Queries meet items by an equality join on the cell, so Spark prunes the
-    partitions that no query probes. With ``probe`` as large as the number of
+    Blocks of queries meet blocks of items of the same cell. With ``probe`` as large as the number of
     cells the result is exact.
     """
     spark = queries.sparkSession
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(query).alias("query"), F.col(vector).cast("array<float>").alias("q"))
     asked = _nearest(asked, "q", _centres(spark, root), probe).select("query", "q", F.explode("cells").alias("cell"))
-    scored = indexed(spark, root).join(asked, "cell").select("query", "item", dot(F.col("q"), F.col("v")).alias("score"))
-    return top_k(scored, k)
+    return best_products(asked.withColumnRenamed("q", "v"), indexed(spark, root), k, others=False, by=("cell",)).select("query", "item", "score", "rank")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import fusion, inverted, lexical, search, selection, vectors
+from tessera.operators import fusion, inverted, products, search, selection
 from tessera.plans.registry import register
 from tessera.sources.archives import archive_members
 from tessera.sources.tables import table
@@ -69,7 +69,7 @@ def q179_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = rows.where("vec_id % 50 = 0")
     found = inverted.search(root, asked, query="vec_id", vector="embedding", k=10, probe=13).select("query", "item")
     queries = asked.select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
-    exact = lexical.top_k(vectors.inner_products(queries, rows.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v"))), 10).select("query", "item")
+    exact = products.best_products(queries, rows.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v")), 10, others=False).select("query", "item")
     met = exact.join(found.withColumn("hit", F.lit(1)), ["query", "item"], "left").agg((F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"), F.countDistinct("query").alias("queries"))
     held = inverted.indexed(spark, root).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("item").alias("items"))
     return held.crossJoin(met)  # one row each
