@@ -46,6 +46,45 @@ def bm25(queries: DataFrame, items: DataFrame, *, query_id: str, query_col: str,
     return hits.join(asked, "token").groupBy("query", "item").agg(F.sum(weight * F.col("boost")).alias("score"))
 
 
+def bm25_best(
+    queries: DataFrame, items: DataFrame, k: int, *, query_id: str, query_col: str, id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75, common: int = 1_000
+) -> DataFrame:
+    """``(query, item, score, rank)``: the ``k`` best rows of ``bm25`` without scoring every item that shares a token.
+
+    A token never takes away, so an item that shares no token of at most
+    ``common`` items with the query is only among its best if it is among the
+    best by the other, common tokens. Items with the same common tokens, counts
+    and length score alike there, as do queries: classes of queries meet
+    classes of items, and ``k`` items stand for a class. These candidates and
+    all items that share a rarer token are scored in full. Exact for any ``common``.
+    """
+    asked = queries.select(F.col(query_id).alias("query"), F.explode(tokens(F.coalesce(query_col, F.lit("")))).alias("token"))
+    asked = asked.groupBy("query", "token").agg(F.count(F.lit(1)).alias("qf"))
+    listed = items.select(F.col(id_col).alias("item"), tokens(F.coalesce(text_col, F.lit(""))).alias("ts"))
+    hits = listed.select("item", F.size("ts").alias("dl"), F.explode("ts").alias("token")).join(asked.select("token").distinct(), "token")
+    hits = materialize(hits.groupBy("item", "dl", "token").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.col("n_items") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = asked.join(df, "token").crossJoin(F.broadcast(corpus_size(items, text_col)))
+    asked = materialize(asked.select("query", "token", "qf", "avg_dl", (F.col("df") > common).alias("often"), (idf * (1 + F.log("qf"))).alias("boost")), "asked")
+    weight = F.col("boost") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest("avg_dl", F.lit(1e-12))))
+    often = asked.where("often")
+    # Classes by what counts; the smallest member names the class.
+    by_query = often.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("token", "qf", "boost", "avg_dl"))).alias("asks"))
+    named = by_query.groupBy("asks").agg(F.min("query").alias("kind"))
+    by_item = hits.join(often.select("token").distinct(), "token").groupBy("item", "dl").agg(F.array_sort(F.collect_list(F.struct("token", "tf"))).alias("holds"))
+    first = Window.partitionBy("dl", "holds").orderBy("item")
+    stand = materialize(by_item.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k).withColumn("class", F.min("item").over(Window.partitionBy("dl", "holds"))), "classes")
+    held = stand.where("n = 1").select("class", "dl", F.explode("holds").alias("h")).select("class", "dl", "h.*")
+    scored = named.select("kind", F.explode("asks").alias("a")).select("kind", "a.*").join(held, "token").groupBy("kind", "class").agg(F.sum(weight).alias("score"))
+    likely = top_k(scored.join(stand.select("class", "item"), "class"), k, query="kind").select("kind", "item")
+    likely = by_query.join(named, "asks").select("query", "kind").join(likely, "kind").select("query", "item")
+    rare = hits.join(asked.where("not often"), "token").select("query", "item")
+    pairs = likely.unionByName(rare).distinct()
+    full = pairs.join(asked, "query").join(hits, ["item", "token"]).groupBy("query", "item").agg(F.sum(weight).alias("score"))
+    return top_k(full, k)
+
+
 def top_k(scores: DataFrame, k: int, *, query: str = "query", item: str = "item", score: str = "score") -> DataFrame:
     """The ``k`` best items of each query with their rank; equal scores by item.
 
