@@ -46,6 +46,23 @@ def bm25(queries: DataFrame, items: DataFrame, *, query_id: str, query_col: str,
     return hits.join(asked, "token").groupBy("query", "item").agg(F.sum(weight * F.col("boost")).alias("score"))
 
 
+def weighted_postings(
+    queries: DataFrame, items: DataFrame, *, query_id: str, query_col: str, id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75
+) -> tuple[DataFrame, DataFrame]:
+    """``(query, token, boost)`` and ``(item, token, w)``, written once: ``bm25`` is the sum of boost times w over the common tokens."""
+    asked = queries.select(F.col(query_id).alias("query"), F.explode(tokens(F.coalesce(query_col, F.lit("")))).alias("token"))
+    asked = asked.groupBy("query", "token").agg(F.count(F.lit(1)).alias("qf"))
+    listed = items.select(F.col(id_col).alias("item"), tokens(F.coalesce(text_col, F.lit(""))).alias("ts"))
+    hits = listed.select("item", F.size("ts").alias("dl"), F.explode("ts").alias("token")).join(asked.select("token").distinct(), "token")
+    scale = F.broadcast(corpus_size(items, text_col))  # one row
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest("avg_dl", F.lit(1e-12))))
+    hits = hits.groupBy("item", "dl", "token").agg(F.count(F.lit(1)).alias("tf")).crossJoin(scale).select("item", "token", part.alias("w"))
+    hits = materialize(hits, "postings")
+    df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.col("n_items") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return materialize(asked.join(df, "token").crossJoin(scale).select("query", "token", (idf * (1 + F.log("qf"))).alias("boost")), "asked"), hits
+
+
 def bm25_best(
     queries: DataFrame, items: DataFrame, k: int, *, query_id: str, query_col: str, id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75, common: int = 1_000
 ) -> DataFrame:

@@ -102,19 +102,20 @@ def _kth(s: np.ndarray, k: int) -> np.ndarray:
     return np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -np.inf)
 
 
+def first_rows(q: np.ndarray, score: np.ndarray, null: np.ndarray, k: int) -> np.ndarray:
+    """Of rows in order, the first ``k`` of each query and those that rounding may set before one of them."""
+    n = np.arange(len(q))
+    begin = np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]], n, 0))
+    value = np.maximum.accumulate(np.where(np.r_[True, (q[1:] != q[:-1]) | (null[1:] != null[:-1]) | (score[1:] != score[:-1])], n, 0))
+    last = np.minimum(begin + k - 1, len(q) - 1)
+    near = ~null & ~null[last] & (score >= score[last] - 2.1e-9) & (n - value < k) & (q[last] == q)
+    return (n - begin < k) | near
+
+
 BEST = "query long, asked long, item long, label long, score double"
 
 
 def _best(k: int, same: bool, others: bool) -> Callable:
-    def cut(q: np.ndarray, score: np.ndarray, null: np.ndarray) -> np.ndarray:
-        """Of rows in order, the first ``k`` of each query and those that rounding may set before one of them."""
-        n = np.arange(len(q))
-        begin = np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]], n, 0))
-        value = np.maximum.accumulate(np.where(np.r_[True, (q[1:] != q[:-1]) | (null[1:] != null[:-1]) | (score[1:] != score[:-1])], n, 0))
-        last = np.minimum(begin + k - 1, len(q) - 1)
-        near = ~null & ~null[last] & (score >= score[last] - 2.1e-9) & (n - value < k) & (q[last] == q)
-        return (n - begin < k) | near
-
     def work(queries: pa.Table, items: pa.Table) -> pa.Table:
         found = [[np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool), np.empty(0, np.int64)]]
         if queries.num_rows and items.num_rows:
@@ -146,11 +147,11 @@ def _best(k: int, same: bool, others: bool) -> Callable:
                 line = np.lexsort((ids[item], -np.where(np.isnan(score), np.inf, score), null, a))
                 a, item, score, null = a[line], item[line], score[line], null[line]
                 rank_by = np.where(np.isnan(score), np.inf, score)
-                first = cut(a, rank_by, null) if len(a) else np.zeros(0, bool)
+                first = first_rows(a, rank_by, null, k) if len(a) else np.zeros(0, bool)
                 if same:
                     hit = np.flatnonzero((label[item] == asked[a]) & (label[item] != np.iinfo(np.int64).min))
                     if len(hit):
-                        first[hit[cut(a[hit], rank_by[hit], null[hit])]] = True
+                        first[hit[first_rows(a[hit], rank_by[hit], null[hit], k)]] = True
                 found.append([a[first], item[first], score[first], null[first], item[first]])
         a, item, score, null, _ = (np.concatenate(c) for c in zip(*found, strict=True))
         columns = [queries.column("query").take(pa.array(a)), queries.column("asked").take(pa.array(a)), items.column("item").take(pa.array(item)), items.column("label").take(pa.array(item))]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import cosine, dot, l2_normalized
 from tessera.functions.text import excerpt, sparse_weight, token_count, tokens
-from tessera.operators import corpus, fusion, lexical, products, vectors
+from tessera.operators import blended, corpus, fusion, lexical, products, vectors
 from tessera.operators.splits import top_per_group
 from tessera.plans.registry import register
 from tessera.sources.tables import small, table
@@ -241,15 +241,15 @@ def q10_query_aware_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = items.agg(F.count(F.lit(1)).alias("n_items"), *(f(c).alias(f"{c}_{n}") for c in ("prior", "visual") for n, f in (("low", F.min), ("high", F.max))))
     scale = lambda c: (F.col(c) - F.col(f"{c}_low")) / F.greatest(F.col(f"{c}_high") - F.col(f"{c}_low"), F.lit(1e-8))
     fixed = items.crossJoin(F.broadcast(ends)).select("item", scale("prior").alias("t"), scale("visual").alias("v"))
-    hits = fusion.scaled_hits(_bm25(spark, sf_dir), ends.select("n_items")).withColumnRenamed("scaled", "b").join(asked, "query").join(fixed, "item")
-    score = lambda b: fusion.query_aware(F.col("route"), text=F.col("t"), visual=F.col("v"), lexical=b, metadata=F.col("t"), fallback=F.col("v"), sparse=F.col("w"))
-    # An item without a hit can only be among the ten best if it is among the ten best of its route by the other branches: a hit never takes away.
-    routes = asked.select("route").distinct().withColumn("w", F.lit(0.0))
-    alone = F.row_number().over(Window.partitionBy("route").orderBy(F.round(score(F.lit(0.0)), 9).desc(), "item"))
-    likely = fixed.crossJoin(F.broadcast(routes)).withColumn("n", alone).where("n <= 10").drop("w", "n")
-    rest = likely.join(asked, "route").join(hits.select("query", "item"), ["query", "item"], "left_anti").withColumn("b", F.lit(0.0))
-    columns = ("query", "item", "route")
-    best = lexical.top_k(hits.select(*columns, score(F.col("b")).alias("score")).unionByName(rest.select(*columns, score(F.col("b")).alias("score"))), 10)
+    # The route's weights of each branch, by setting one branch to 1 and the others to 0.
+    one = lambda **on: fusion.query_aware(
+        F.col("route"), text=F.lit(on.get("t", 0.0)), visual=F.lit(on.get("v", 0.0)), lexical=F.lit(on.get("b", 0.0)), metadata=F.lit(on.get("t", 0.0)), fallback=F.lit(on.get("v", 0.0)), sparse=F.col("w")
+    )
+    weights = asked.select("query", one(t=1.0).alias("ct"), one(v=1.0).alias("cv"), one(b=1.0).alias("cb"))
+    words = lexical.weighted_postings(
+        table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), query_id="item_id", query_col="text", id_col="doc_id", text_col="text"
+    )
+    best = lexical.top_k(blended.blended_best(*words, weights, fixed, 10), 10).join(asked.select("query", "route"), "query")
     return best.select("query", "item", "route", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
