@@ -24,8 +24,10 @@ array of its part of the dictionary by prefix tripling, cut off at depth
 **Corpus order.** Ranks and places combine: of the suffixes of one rank the
 first in corpus order stays, the others are covered. Triggers with more than
 ``hot`` different phrases (contexts of one passage that very many documents
-share) would all meet in one task; the windows of those are dealt out by their
-fingerprint instead and sorted by it.
+share) would all meet in one task. Their phrases are cut in two by how many
+bytes a window has before the trigger, and the parts are dealt out by the bytes
+that all windows of such a part share. Parts of keys that are still crowded are
+merged when equal and cut in two again, down to single windows.
 
 Each task marks the copies among its own rows before a shuffle and deals them
 out evenly, so a passage that a third of all documents share sends one row per
@@ -42,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.workspace import materialize
+from tessera.sources.workspace import discard, materialize
 
 CHUNK = 1 << 20  # bytes hashed at once
 
@@ -183,26 +185,28 @@ def later(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np
 
 
 class _Rows:
-    """Rows (two hashes, document, place, windows) of a task, given out with copies among them marked."""
+    """Rows (two hashes, document, place, windows, maybe bytes) of a task, given out with copies among them marked."""
 
-    def __init__(self):
-        self.parts, self.size = [], 0
+    def __init__(self, held: int = HELD):
+        self.parts, self.size, self.held = [], 0, held
 
     def add(self, *columns: np.ndarray) -> bool:
         self.parts.append(columns)
         self.size += len(columns[0])
-        return self.size >= HELD
+        return self.size >= self.held
 
     def batch(self) -> pa.RecordBatch:
-        h1, h2, doc, at, n = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        h1, h2, doc, at, n, *phrase = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         self.parts, self.size = [], 0
         copy = later(h1, h2, doc, at)
         where = np.where(copy, (doc * np.int64(1_000_003) + at) * np.int64(2_654_435_761), h1.view(np.int64))
-        columns = (where, copy.astype(np.int32), h1.view(np.int64), h2.view(np.int64), doc, at, n.astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["place_by", "kind", "h1", "h2", "doc_id", "at", "windows"])
+        columns = [pa.array(c) for c in (where, copy.astype(np.int32), h1.view(np.int64), h2.view(np.int64), doc, at, n.astype(np.int32))]
+        columns += [pa.array(np.where(copy, None, p), pa.binary()) for p in phrase]
+        return pa.RecordBatch.from_arrays(columns, names=["place_by", "kind", "h1", "h2", "doc_id", "at", "windows", "phrase"][: len(columns)])
 
 
 PARSED = "place_by long, kind int, h1 long, h2 long, doc_id long, at long, windows int"
+FOUND = "kind int, trigger long, doc_id long, at long, windows int"
 
 
 def _parse(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -220,79 +224,87 @@ def _parse(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterato
         yield rows.batch()
 
 
-def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Two content hashes of every window of the given phrases of a text."""
-    hashes, rows = RollingHash(CHUNK + 4 * length), _Rows()
-    parts, places, size = [], [], 0
-
-    def hashed() -> tuple:
-        data = np.frombuffer(b"".join(parts), dtype=np.uint8)
-        doc, at, n = (np.array(x, dtype=np.int64) for x in zip(*places, strict=True))
-        begin = np.concatenate([[0], np.cumsum(n + length - 1)[:-1]])
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = np.repeat(begin, n) + within
-        h = [hashes.every(hashes.prefix(data, k), length, k)[start] for k in (0, 1)]
-        return h[0], h[1], np.repeat(doc, n), np.repeat(at, n) + within, np.ones(len(start), dtype=np.int32)
+def _halves(phrase: list[bytes], places: list[tuple], hashes: RollingHash, length: int, gram: int, width: int) -> tuple:
+    """Phrases (bytes; document, place, windows) cut by how many bytes a window has before the trigger, ``width`` such numbers a part.
 
+    Two hashes of each part (of what every window with such a number shares, and of its bytes), its place, windows and bytes.
+    """
+    data = np.frombuffer(b"".join(phrase), dtype=np.uint8)
+    doc, at, n = (np.array(x, dtype=np.int64) for x in zip(*places, strict=True))
+    begin = np.concatenate([[0], np.cumsum(n + length - 1)[:-1]])
+    one, two = hashes.prefix(data, 0), hashes.prefix(data, 1)
+    span = length - gram + 1
+    key = hashes.every(one, gram, 0) & ~np.uint64((1 << 22) - 1)  # the order that ``phrases`` chose triggers by
+    trigger = np.argmin(key[begin[:, None] + np.arange(span)], axis=1)
+    low, high = (trigger - n + 1) // width, trigger // width
+    many = high - low + 1
+    of = np.repeat(np.arange(len(n)), many)
+    part = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    t, least, most = trigger[of], part * width, np.minimum(part * width + width, span) - 1
+    shared = hashes.substrings(one, begin[of] + t - least, begin[of] + t - most + length, 0)
+    before, after = np.minimum(t, most), np.maximum(t - n[of] + 1, least)
+    first, count = t - before, before - after + 1
+    start, end = begin[of] + first, begin[of] + first + count + length - 1
+    content = hashes.substrings(two, start, end, 1) ^ (count.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    cut = np.empty(len(of), dtype=object)
+    cut[:] = [data[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    return shared, content, doc[of], at[of] + first, count, cut
+
+
+def _parts(batches: Iterator[pa.RecordBatch], length: int, gram: int, width: int) -> Iterator[pa.RecordBatch]:
+    """The given phrases (document, place, windows, bytes) in parts, with two hashes of each."""
+    hashes, rows, step = RollingHash(CHUNK + 4 * length), _Rows(HELD // 8), CHUNK // (2 * length)
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
-        for i, doc in enumerate(batch.column(0).to_pylist()):
-            text = texts[i].as_py() or b""
-            for p in batch.column(2)[i].as_py():
-                parts.append(text[p["at"] : p["at"] + p["windows"] + length - 1])
-                places.append((doc, p["at"], p["windows"]))
-                size += len(parts[-1])
-                if size >= CHUNK:
-                    if rows.add(*hashed()):
-                        yield rows.batch()
-                    parts, places, size = [], [], 0
-    if parts:
-        rows.add(*hashed())
+        for a in range(0, batch.num_rows, step):
+            doc, at, n, phrase = (batch.column(c)[a : a + step].to_pylist() for c in ("doc_id", "at", "windows", "phrase"))
+            if rows.add(*_halves(phrase, list(zip(doc, at, n, strict=True)), hashes, length, gram, width)):
+                yield rows.batch()
     if rows.size:
         yield rows.batch()
 
 
-def _group(batches: Iterator[pa.RecordBatch], by_first: bool) -> Iterator[pa.RecordBatch]:
+def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads rows sorted by kind, hashes and place; gives copies, and what must be looked at closer.
 
-    Rows of equal hashes after the first are copies. With ``by_first``, the
-    first rows of each first hash that has several second hashes are given as
-    well, with that hash as their trigger. One row is carried over from batch to batch, however many rows a
+    Rows of equal hashes after the first are copies. The first rows of each
+    first hash that has several second hashes are given as well, with that hash
+    as their trigger (and their bytes, where there are any). One row is carried over from batch to batch, however many rows a
     hash has.
     """
-    held = None  # (h1, h2, doc, at, windows, given already)
+    held = None  # (h1, h2, doc, at, windows, bytes, given already)
     names = ("h1", "h2", "doc_id", "at", "windows")
-    made = lambda kind, h, d, a, n: pa.RecordBatch.from_arrays(
-        [pa.array(kind, pa.int32()), pa.array(h, pa.int64()), pa.array(d, pa.int64()), pa.array(a, pa.int64()), pa.array(n, pa.int32())],
-        names=["kind", "trigger", "doc_id", "at", "windows"],
-    )
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
     for batch in batches:
         kind = batch.column("kind").to_numpy()
         ready = kind == COPY
         h1, h2, doc, at, n = (batch.column(c).to_numpy() for c in names)
+        phrase = np.full(len(kind), None, dtype=object)
+        if "phrase" in batch.schema.names:
+            phrase[:] = batch.column("phrase").to_pylist()
         none = lambda k: np.zeros(int(k.sum()), dtype=np.int64)
-        out = [(np.full(int(ready.sum()), COPY), none(ready), doc[ready], at[ready], n[ready])]
-        h1, h2, doc, at, n = (x[~ready] for x in (h1, h2, doc, at, n))
+        out = [(np.full(int(ready.sum()), COPY), none(ready), doc[ready], at[ready], n[ready], phrase[ready])]
+        h1, h2, doc, at, n, phrase = (x[~ready] for x in (h1, h2, doc, at, n, phrase))
         if len(h1):
             given = np.zeros(len(h1) + (held is not None), dtype=bool)
             if held is not None:
-                h1, h2, doc, at, n = (np.concatenate([[v], x]) for v, x in zip(held, (h1, h2, doc, at, n), strict=False))
-                given[0] = held[5]
+                h1, h2, doc, at, n, phrase = (np.concatenate([np.array([v], dtype=x.dtype), x]) for v, x in zip(held, (h1, h2, doc, at, n, phrase), strict=False))
+                given[0] = held[6]
             new1, new2 = np.ones(len(h1), dtype=bool), np.ones(len(h1), dtype=bool)
             new1[1:] = h1[1:] != h1[:-1]
             new2[1:] = new1[1:] | (h2[1:] != h2[:-1])
             first = np.maximum.accumulate(np.where(new2, np.arange(len(h1)), 0))
             copy = ~new2 & ((doc != doc[first]) | (at != at[first]))
-            out.append((np.full(int(copy.sum()), COPY), none(copy), doc[copy], at[copy], n[copy]))
+            out.append((np.full(int(copy.sum()), COPY), none(copy), doc[copy], at[copy], n[copy], np.full(int(copy.sum()), None)))
             group = np.cumsum(new1) - 1
             several = np.bincount(group, weights=new2) > 1
             several[0] |= bool(given[0])
-            if by_first:
-                open_ = new2 & several[group] & ~given
-                out.append((np.full(int(open_.sum()), FIRST), h1[open_], doc[open_], at[open_], n[open_]))
+            open_ = new2 & several[group] & ~given
+            out.append((np.full(int(open_.sum()), FIRST), h1[open_], doc[open_], at[open_], n[open_], phrase[open_]))
             k = first[-1]
-            held = (h1[k], h2[k], doc[k], at[k], n[k], bool(several[group[-1]]))
-        yield made(*(np.concatenate(c) for c in zip(*out, strict=True)))
+            held = (h1[k], h2[k], doc[k], at[k], n[k], phrase[k], bool(several[group[-1]]))
+        columns = [pa.array(np.concatenate(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+        named = ["kind", "trigger", "doc_id", "at", "windows", "phrase"][: 6 if "phrase" in batch.schema.names else 5]
+        yield pa.RecordBatch.from_arrays(columns[: len(named)], names=named)
 
 
 def ranks(data: np.ndarray, length: int) -> np.ndarray:
@@ -331,20 +343,38 @@ def ranks(data: np.ndarray, length: int) -> np.ndarray:
     return rank[:n]
 
 
-def _dictionary(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The bytes of the given phrases of a text, with their places."""
+def _dictionary(batches: Iterator[pa.RecordBatch], length: int, gram: int, width: int) -> Iterator[pa.RecordBatch]:
+    """The bytes of the given phrases of a text, with their places; those of crowded triggers in parts under the hash of what is shared."""
+    hashes, size, rows, crowded = RollingHash(CHUNK + 4 * length), 0, [], []
     names = ["trigger", "doc_id", "at", "windows", "phrase"]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+
+    def cut() -> pa.RecordBatch:
+        shared, _, doc, at, n, phrase = _halves([c[0] for c in crowded], [c[1] for c in crowded], hashes, length, gram, width)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((shared.view(np.int64), doc, at, n, phrase), kinds, strict=True)], names=names)
+
     for batch in batches:
-        texts, docs, listed, rows = batch.column(1).cast(pa.binary()), batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
+        texts, docs, listed = batch.column(1).cast(pa.binary()), batch.column(0).to_pylist(), batch.column(2).to_pylist()
         for i, doc in enumerate(docs):
             text = texts[i].as_py() or b""
-            rows += [(p["trigger"], doc, p["at"], p["windows"], text[p["at"] : p["at"] + p["windows"] + length - 1]) for p in listed[i]]
+            for p in listed[i]:
+                phrase = text[p["at"] : p["at"] + p["windows"] + length - 1]
+                if p["crowded"]:
+                    crowded.append((phrase, (doc, p["at"], p["windows"])))
+                    size += len(phrase)
+                    if size >= CHUNK:
+                        yield cut()
+                        size, crowded = 0, []
+                else:
+                    rows.append((p["trigger"], doc, p["at"], p["windows"], phrase))
             if len(rows) >= 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                 rows = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            rows = []
+    if crowded:
+        yield cut()
 
 
 BLOCK = 1 << 19  # bytes of a suffix array, and a group of one trigger beyond that
@@ -441,25 +471,36 @@ def remove_repeats(
         texts = rows.join(again, "doc_id", "left_anti").unionByName(longest.select("doc_id", F.col("t.text").alias("text")))
         rows = materialize(rows.select("doc_id").join(texts, "doc_id"), "texts")
     order = ("kind", "h1", "h2", "doc_id", "at")
-    found = "kind int, trigger long, doc_id long, at long, windows int"
     parsed = rows.mapInArrow(lambda it: _parse(it, length, gram), PARSED).repartition(F.col("place_by")).sortWithinPartitions(*order)
-    grouped = materialize(parsed.mapInArrow(lambda it: _group(it, True), found), "phrases")
+    grouped = materialize(parsed.mapInArrow(_group, FOUND), "phrases")
     first = grouped.where(F.col("kind") == FIRST)
-    crowded = materialize(first.groupBy("trigger").agg(F.count(F.lit(1)).alias("phrases")).where(F.col("phrases") > hot).select("trigger"), "hot-triggers")
 
-    def of_texts(entries: DataFrame) -> DataFrame:
-        listed = entries.groupBy("doc_id").agg(F.collect_list(F.struct("trigger", "at", "windows")).alias("phrases"))
-        return rows.join(listed, "doc_id").select("doc_id", "text", "phrases")
+    def crowded(entries: DataFrame) -> DataFrame:
+        full = entries.groupBy("trigger").agg(F.count(F.lit(1)).alias("phrases")).where(F.col("phrases") > hot)
+        return materialize(full.select("trigger", F.lit(True).alias("crowded")), "crowded")
 
+    width = 1 << ((length - gram + 1).bit_length() - 1)  # of at most length - gram bytes before a trigger: two parts
+    full = crowded(first)
+    listed = first.join(full, "trigger", "left").groupBy("doc_id").agg(F.collect_list(F.struct("trigger", "at", "windows", "crowded")).alias("phrases"))
+    entries = rows.join(listed, "doc_id").select("doc_id", "text", "phrases")
     kind = "trigger long, doc_id long, at long, windows int, phrase binary"
-    entries = of_texts(first.join(crowded, "trigger", "left_anti")).mapInArrow(lambda it: _dictionary(it, length), kind)
+    entries = dictionary = materialize(entries.mapInArrow(lambda it, w=width: _dictionary(it, length, gram, w), kind), "dictionary")
+    covered, ordered = [], []
+    full = full if full.isEmpty() else crowded(entries)
+    while not full.isEmpty():
+        width = max(width // 2, 1)
+        ordered.append(entries.join(full, "trigger", "left_anti"))
+        parts = entries.join(full, "trigger", "left_semi").mapInArrow(lambda it, w=width: _parts(it, length, gram, w), PARSED + ", phrase binary")
+        parts = parts.repartition(F.col("place_by")).sortWithinPartitions(*order)
+        parts = materialize(parts.mapInArrow(_group, FOUND + ", phrase binary"), "parts")
+        covered.append(parts.where(F.col("kind") == COPY).select("doc_id", "at", "windows"))
+        entries = parts.where(F.col("kind") == FIRST).drop("kind")
+        full = crowded(entries)
+    for part in ordered:
+        entries = entries.unionByName(part)
     entries = entries.repartition(F.col("trigger")).sortWithinPartitions("trigger")
-    covered = [materialize(entries.mapInArrow(lambda it: _suffix_order(it, length), "doc_id long, at long, windows int"), "dictionary-copies")]
-    if not crowded.isEmpty():
-        windows = of_texts(first.join(crowded, "trigger", "left_semi")).mapInArrow(lambda it: _windows(it, length), PARSED)
-        windows = windows.repartition(F.col("place_by")).sortWithinPartitions(*order)
-        windows = windows.mapInArrow(lambda it: _group(it, False), found).select("doc_id", "at", "windows")
-        covered.append(materialize(windows, "hot-copies"))
+    covered.append(materialize(entries.mapInArrow(lambda it: _suffix_order(it, length), "doc_id long, at long, windows int"), "dictionary-copies"))
+    discard(dictionary)
     copies = grouped.where(F.col("kind") == COPY).select("doc_id", "at", "windows")
     for part in covered:
         copies = copies.unionByName(part)

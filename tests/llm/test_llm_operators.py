@@ -214,6 +214,22 @@ def test_repeats_in_crowded_triggers(spark):
         assert sorted(tuple(r) for r in remove_repeats(frame(spark, rows), digest=True, hot=hot).collect()) == want
 
 
+def test_crowded_phrases_are_not_dealt_out_by_window(spark, monkeypatch):
+    """No step makes a row for each window of a crowded trigger's phrases: a round cuts a phrase in two at most."""
+    from tessera.llm import repeats
+
+    made, keep = [], repeats.materialize
+    monkeypatch.setattr(repeats, "materialize", lambda df, label: made.append((label, keep(df, label))) or made[-1][1])
+    rng = np.random.default_rng(5)
+    alike = ["".join(map(chr, rng.integers(97, 123, 120))) for _ in range(3)]
+    rows = [(i, f"{alike[i % 3][i % 40 :]} {LINE} {alike[i % 2][: i % 45]}#{i}", "s") for i in range(300)]
+    got = repeats.remove_repeats(frame(spark, rows), digest=True, hot=8)
+    assert sorted(tuple(r) for r in got.collect()) == brute.removed([(i, t) for i, t, _ in rows], 100)
+    phrases = next(df.count() for label, df in made if label == "phrases")
+    tables = {label: df.count() for label, df in made if label not in ("phrases", "dictionary")}
+    assert max(tables.values()) <= 2 * phrases, (phrases, tables)
+
+
 def test_repeats_across_chunks(spark):
     """A text longer than the piece that is hashed at once, with a repeat over its edge."""
     from tessera.llm import repeats
