@@ -189,32 +189,50 @@ def _order():
 
 
 def _before(queries: pa.Table, items: pa.Table) -> pa.Table:
-    """How many items of the block stand before each target (score, item) of a query."""
-    out = {"query": [], "item": [], "n": []}
+    """How many items of the block stand before each target (score, item) of a query, where any does.
+
+    Only items that reach a query's lowest target are looked at: one sort of
+    those and of all targets counts who is surely before, those too close to
+    tell are scored exactly.
+    """
+    found = [[np.empty(0, np.int64)] * 3]
     if queries.num_rows and items.num_rows:
-        ids, asked_ids, targets = _ids(items, "item"), _ids(queries, "query"), queries.column("targets").to_pylist()
+        ids, asked_ids, targets = _ids(items, "item"), _ids(queries, "query"), queries.column("targets").combine_chunks()
+        of = np.repeat(np.arange(len(targets)), targets.value_lengths().to_numpy(zero_copy_only=False))
+        score, item = targets.flatten().flatten()
+        none, key, item = np.asarray(score.is_null()), score.fill_null(0.0).to_numpy(zero_copy_only=False), item.to_numpy(zero_copy_only=False)
+        key = np.where(np.isnan(key), np.inf, key)
+        own = _nine(key) if len(key) else key
         for at, q, v, wq, wv, s in _steps(queries, items):
-            slack = _slack(q, v)
-            for i, a in enumerate(at.tolist()):
-                null = (wq[i] != wv) | (wq[i] < 0)
-                other = ids != asked_ids[a]
-                for t in targets[a]:
-                    score, item = t["score"], t["item"]
-                    if score is None:
-                        n = int((other & (~null | (ids < item))).sum())
-                    else:
-                        key = np.inf if np.isnan(score) else score
-                        sure = s[i] > key + slack
-                        close = np.flatnonzero((s[i] >= key - slack) & ~sure & other & ~null)
-                        n = int((sure & other & ~null).sum())
-                        if len(close):
-                            x = _exact(q, v, np.full(len(close), i), close)
-                            r, own = _nine(np.where(np.isnan(x), np.inf, x)), _nine(np.array([key]))[0]
-                            n += int(((r > own) | ((r == own) & (ids[close] < item))).sum())
-                    out["query"].append(asked_ids[a])
-                    out["item"].append(item)
-                    out["n"].append(n)
-    return pa.table({c: pa.array(x, pa.int64()) for c, x in out.items()})
+            slack, mine = _slack(q, v), np.flatnonzero((of >= at[0]) & (of <= at[-1]))
+            t = mine[~none[mine]]
+            row, low = of[t] - at[0], np.full(len(at), np.inf)
+            np.minimum.at(low, row, key[t])
+            a, b = np.nonzero(s >= (low - slack)[:, None])
+            fit = (wq[a] == wv[b]) & (wq[a] >= 0) & (ids[b] != asked_ids[at][a])
+            a, b = a[fit], b[fit]
+            line = np.lexsort((s[a, b], a))
+            a, b = a[line], b[line]
+            kind = np.repeat([1, 2, 0], [len(a), len(t), len(t)])
+            line = np.lexsort((kind, np.r_[s[a, b], key[t] + slack, key[t] - slack], np.r_[a, row, row]))
+            place = np.empty(len(line), np.int64)
+            place[line] = np.cumsum(kind[line] == 1)
+            sure, close = place[kind == 2], place[kind == 0]  # where the items of each target begin that are surely, maybe before it
+            n, many = np.searchsorted(a, row, side="right") - sure, sure - close
+            for group in np.split(np.arange(len(t)), np.flatnonzero(np.diff(np.cumsum(many) // (16 * PAIRS))) + 1):
+                g = np.repeat(group, many[group])
+                c = np.repeat(close[group] - np.cumsum(many[group]) + many[group], many[group]) + np.arange(len(g))
+                if len(c):
+                    x = _exact(q, v, a[c], b[c])
+                    r, base = _nine(np.where(np.isnan(x), np.inf, x)), own[t][g]
+                    n += np.bincount(g[(r > base) | ((r == base) & (ids[b[c]] < item[t][g]))], minlength=len(t))
+            found.append([asked_ids[of[t]][n > 0], item[t][n > 0], n[n > 0]])
+            for j in mine[none[mine]].tolist():
+                i = of[j] - at[0]
+                fits = (wq[i] == wv) & (wq[i] >= 0)
+                before = int(((ids != asked_ids[of[j]]) & (fits | (ids < item[j]))).sum())
+                found.append([asked_ids[of[[j]]], item[[j]], np.array([before])])
+    return pa.table({c: pa.array(np.concatenate(x), pa.int64()) for c, x in zip(("query", "item", "n"), zip(*found, strict=True), strict=True)})
 
 
 def same_ranks(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:

@@ -65,3 +65,31 @@ def test_near_scaled_and_neighbours(spark):
     assert len(scaled) == 40 * 400 and all(r.scaled is None or 0 <= r.scaled <= 1 for r in scaled)
     near = ordering.neighbours(queries.select("query"), items.select("item"), 2).collect()
     assert sorted(r.item for r in near if r.query == 0) == [1, 2] and sorted(r.item for r in near if r.query == 50) == [48, 49, 51, 52]
+
+
+def test_blocks_without_predecessors_send_nothing():
+    """A block of items answers for the targets that it holds a predecessor of, not for every target of every query."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.operators import products
+
+    rng = np.random.default_rng(3)
+    v = np.round(rng.normal(size=(300, 4)), 1)
+    scores = np.round(v[:20] @ v.T, 9)
+    asked = [[{"score": float(scores[q, i]), "item": i} for i in (q + 1, 150 + q, 299 - q)] for q in range(20)]
+    kind = pa.list_(pa.struct([("score", pa.float64()), ("item", pa.int64())]))
+    queries = pa.table({"query": pa.array(range(20), pa.int64()), "v": pa.array(v[:20].tolist()), "targets": pa.array(asked, kind)})
+    total, sent = {}, 0
+    for a in range(0, 300, 10):
+        items = pa.table({"item": pa.array(range(a, a + 10), pa.int64()), "v": pa.array(v[a : a + 10].tolist())})
+        for r in products._before(queries, items).to_pylist():
+            assert r["n"] > 0
+            total[r["query"], r["item"]] = total.get((r["query"], r["item"]), 0) + r["n"]
+            sent += 1
+    want = {}
+    for q in range(20):
+        for t in asked[q]:
+            n = sum(i != q and (scores[q, i] > scores[q, t["item"]] or (scores[q, i] == scores[q, t["item"]] and i < t["item"])) for i in range(300))
+            want.update({(q, t["item"]): n} if n else {})
+    assert total == want and sent < 20 * 3 * 30
