@@ -14,8 +14,10 @@ from tessera.operators.fusion import ranked
 from tessera.sources.workspace import materialize
 
 ITEMS_BLOCK, QUERIES_BLOCK = 4_096, 4_096  # items and queries that one task compares
-STEP = 256  # queries whose scores are in memory at once
-PAIRS = 1 << 16  # pairs whose vectors are laid side by side at once
+STRIPE, GROUPS = 65_536, 64  # items of a block worked through tile by tile, and how many blocks are wanted before they grow to that
+STEP, TILE = 256, 1_024  # queries, and items of a stripe, whose scores are in memory at once
+PAIRS = 1 << 11  # pairs whose vectors are laid side by side at once
+CLOSE = 1 << 20  # pairs too close to tell that are looked at together
 
 
 def met(queries: DataFrame, items: DataFrame, work: Callable, schema: str, *, by: tuple[str, ...] = (), items_block: int = ITEMS_BLOCK, queries_block: int = QUERIES_BLOCK) -> DataFrame:
@@ -23,10 +25,13 @@ def met(queries: DataFrame, items: DataFrame, work: Callable, schema: str, *, by
 
     Both tables have an id first and a vector ``v``; the blocks are dealt out by
     hash. An item is sent once for each block of queries, a query once for each
-    block of items; neither side is broadcast or passes the driver.
+    block of items; neither side is broadcast or passes the driver. Blocks of
+    items wider than ``ITEMS_BLOCK`` are narrowed while there are under ``GROUPS`` tasks.
     """
     sizes = [df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0 for df in (queries, items)]
-    q_blocks, i_blocks = max(-(-sizes[0] // queries_block), 1), max(-(-sizes[1] // items_block), 1)
+    q_blocks = max(-(-sizes[0] // queries_block), 1)
+    items_block = min(items_block, max(-(-sizes[1] * q_blocks // GROUPS), ITEMS_BLOCK))
+    i_blocks = max(-(-sizes[1] // items_block), 1)
     whole = F.when(~F.exists("v", lambda x: x.isNull()), F.col("v"))
     deal = lambda df, n: F.pmod(F.xxhash64(df.columns[0], "v"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -57,7 +62,8 @@ def _widened(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _slack(q: np.ndarray, v: np.ndarray) -> float:
     """By how much fast products may differ in order from exact ones rounded to nine decimals."""
-    most = [np.sqrt((x[np.isfinite(x).all(axis=1)] ** 2).sum(axis=1)).max(initial=0.0) for x in (q, v)]
+    with np.errstate(over="ignore"):
+        most = [np.sqrt((x[np.isfinite(x).all(axis=1)] ** 2).sum(axis=1)).max(initial=0.0) for x in (q, v)]
     return 2.1e-9 + 1e-12 * most[0] * most[1]
 
 
@@ -76,9 +82,8 @@ def _exact(q: np.ndarray, v: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.n
     out = np.zeros(len(at))
     with np.errstate(all="ignore"):
         for a in range(0, len(at), PAIRS):
-            x, y = q[at[a : a + PAIRS]], v[to[a : a + PAIRS]]
-            for d in range(x.shape[1]):
-                out[a : a + PAIRS] += x[:, d] * y[:, d]
+            for x in np.ascontiguousarray((q[at[a : a + PAIRS]] * v[to[a : a + PAIRS]]).T):
+                out[a : a + PAIRS] += x
     return out
 
 
@@ -102,6 +107,90 @@ def _kth(s: np.ndarray, k: int) -> np.ndarray:
     return np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -np.inf)
 
 
+def _halves(q: np.ndarray, v: np.ndarray, of: np.ndarray, to: np.ndarray) -> Iterator[tuple]:
+    """Queries ``of`` and items ``to`` of one width in parts, each with the numbers to multiply fast and by how much those differ from exact ones.
+
+    Finite vectors of moderate length are multiplied in single precision; the
+    slack is twice the error that its rounding can make. Others stay doubles.
+    """
+    with np.errstate(all="ignore"):
+        long_q, long_v = np.sqrt((q[of] ** 2).sum(axis=1)), np.sqrt((v[to] ** 2).sum(axis=1))
+    fine_q, fine_v = long_q < 1e15, long_v < 1e15
+    if fine_q.any() and fine_v.any():
+        error = (q.shape[1] + 4) * 2.0**-24 * long_v[fine_v].max()
+        yield of[fine_q], to[fine_v], np.float32, 2.1e-9 + 2 * error * long_q[fine_q]
+    for a, b in ((of[fine_q], to[~fine_v]), (of[~fine_q], to)):
+        if len(a) and len(b):
+            yield a, b, np.float64, np.full(len(a), _slack(q[a], v[b]))
+
+
+def _tiles(q: np.ndarray, v: np.ndarray, kind: type) -> Iterator[tuple]:
+    """(place of the first item, fast scores) of a step of queries with one tile of items after the other; NaN counts as the largest."""
+    q = q.astype(kind)
+    for a in range(0, len(v), TILE):
+        with np.errstate(all="ignore"):
+            s = q @ v[a : a + TILE].T
+        if kind is np.float64:
+            s[np.isnan(s)] = np.inf
+        yield a, s
+
+
+def _under(score: np.ndarray, slack: np.ndarray) -> np.ndarray:
+    """What fast scores must reach; anything does where the slack has no bound."""
+    with np.errstate(invalid="ignore"):
+        return np.fmax(score - slack, -np.inf)
+
+
+def _reaching(s: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (row, column) of the scores that reach the least of their row."""
+    rows = np.flatnonzero(s.max(axis=1, initial=-np.inf) >= least)
+    a, b = np.divmod(np.flatnonzero(s[rows] >= least[rows][:, None]), s.shape[1])
+    return rows[a], b
+
+
+def _first_pairs(q: np.ndarray, v: np.ndarray, wq: np.ndarray, wv: np.ndarray, ids: np.ndarray, of: np.ndarray, to: np.ndarray, k: int) -> Iterator[tuple]:
+    """Pairs (query, item, score, null) of queries ``of`` and items ``to`` that hold the first ``k`` items of each query.
+
+    A step of queries goes through the items tile by tile and keeps its first
+    ``k`` so far: a score that does not reach the last of them is left at once.
+    Pairs without a product come last, by item.
+    """
+    for width in np.unique(wq[of]):
+        mine = of[wq[of] == width]
+        fits = (wv[to] == width) & (width >= 0)
+        rest = to[~fits]
+        rest = rest[np.argsort(ids[rest], kind="stable")[:k]]
+        if len(rest):
+            yield np.repeat(mine, len(rest)), np.tile(rest, len(mine)), np.zeros(len(mine) * len(rest)), np.ones(len(mine) * len(rest), bool)
+        for asked, rows, kind, slack in _halves(q, v, mine, to[fits]):
+            fast = v[rows].astype(kind)
+            for step in range(0, len(asked), STEP):
+                line, by = asked[step : step + STEP], slack[step : step + STEP]
+                least = np.full(len(line), -np.inf)
+                a, b, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+                new, waits, due = [], 0, 0
+                for at, s in _tiles(q[line], fast, kind):
+                    if at == 0:
+                        least = _under(_kth(s, k), by)
+                    x, y = _reaching(s, least.astype(kind) if kind is np.float64 else np.nextafter(least.astype(kind), np.float32(-np.inf)))
+                    new.append((x, y + at))
+                    waits += len(x)
+                    if at >= due or waits > CLOSE or at + TILE >= len(rows):
+                        due = 4 * at + TILE
+                        x, y = (np.concatenate(c) for c in zip(*new, strict=True))
+                        a, b, score = np.r_[a, x], np.r_[b, y], np.r_[score, _exact(q, v, line[x], rows[y])]
+                        new, waits = [], 0
+                        rank_by = np.where(np.isnan(score), np.inf, score)
+                        order = np.lexsort((ids[rows[b]], ~np.isnan(score), -rank_by, a))
+                        a, b, score, rank_by = a[order], b[order], score[order], rank_by[order]
+                        first = first_rows(a, rank_by, np.zeros(len(a), bool), k)
+                        start = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.empty(0, np.int64)
+                        full = start[np.diff(np.append(start, len(a))) >= k]
+                        least[a[full]] = _under(rank_by[full + k - 1], by[a[full]])
+                        a, b, score = a[first], b[first], score[first]
+                yield line[a], rows[b], score, np.zeros(len(a), bool)
+
+
 def first_rows(q: np.ndarray, score: np.ndarray, null: np.ndarray, k: int) -> np.ndarray:
     """Of rows in order, the first ``k`` of each query and those that rounding may set before one of them."""
     n = np.arange(len(q))
@@ -115,45 +204,59 @@ def first_rows(q: np.ndarray, score: np.ndarray, null: np.ndarray, k: int) -> np
 BEST = "query long, asked long, item long, label long, score double"
 
 
+def _copies(v: np.ndarray, wv: np.ndarray, label: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sets equal vectors of one label side by side, by id, and where each group of them begins."""
+    key = np.column_stack([v.view(np.int64), wv, label])
+    factor = np.random.default_rng(0).integers(1, 2**62, key.shape[1]) * 2 + 1
+    order = np.lexsort((ids, (key * factor).sum(axis=1)))
+    return order, np.flatnonzero(np.r_[True, (key[order[1:]] != key[order[:-1]]).any(axis=1)])
+
+
+def _in_order(ids: np.ndarray, a: np.ndarray, item: np.ndarray, score: np.ndarray, null: np.ndarray) -> list[np.ndarray]:
+    line = np.lexsort((ids[item], ~np.isnan(score), -np.where(np.isnan(score), np.inf, score), null, a))
+    return [x[line] for x in (a, item, score, null)]
+
+
+def _firsts(a: np.ndarray, score: np.ndarray, null: np.ndarray, k: int) -> np.ndarray:
+    return first_rows(a, np.where(np.isnan(score), np.inf, score), null, k) if len(a) else np.zeros(0, bool)
+
+
 def _best(k: int, same: bool, others: bool) -> Callable:
     def work(queries: pa.Table, items: pa.Table) -> pa.Table:
-        found = [[np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool), np.empty(0, np.int64)]]
+        found = [[np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0, bool)]]
         if queries.num_rows and items.num_rows:
             ids, asked_ids = _ids(items, "item"), _ids(queries, "query")
-            label, asked = _ids(items, "label"), _ids(queries, "asked")
+            label, asked, none = _ids(items, "label"), _ids(queries, "asked"), np.iinfo(np.int64).min
             # Copies of a vector with one label score alike: each is scored once, and at most k + 1 of them can count.
-            v, wv = _vectors(items)
-            key = np.ascontiguousarray(np.column_stack([v.view(np.int64), wv, label]))
-            _, of = np.unique(key.view([("", key.dtype)] * key.shape[1]).ravel(), return_inverse=True)
-            order = np.lexsort((ids, of))
-            start = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]])
+            (q, wq), (v, wv) = _vectors(queries), _vectors(items)
+            order, start = _copies(v, wv, label, ids)
             size = np.minimum(np.diff(np.append(start, len(order))), k + 1)
-            once, by_label = items.take(pa.array(order[start])), label[order[start]]
-            for at, q, v, wq, wv, s in _steps(queries, once):
-                slack = _slack(q, v)
-                keep = s >= (_kth(s, k + 1) - slack)[:, None]
-                if same:
-                    alike = (by_label[None, :] == asked[at][:, None]) & (by_label != np.iinfo(np.int64).min)[None, :]
-                    keep |= alike & (s >= (_kth(np.where(alike, s, -np.inf), k + 1) - slack)[:, None])
-                a, b = np.nonzero(keep)
-                null = (wq[a] != wv[b]) | (wq[a] < 0)
-                score = np.where(null, 0.0, _exact(q, v, a, b))
-                n = size[b]
-                item = order[np.repeat(start[b], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                a, score, null = np.repeat(at[a], n), np.repeat(score, n), np.repeat(null, n)
-                if others:
-                    other = ids[item] != asked_ids[a]
-                    a, item, score, null = a[other], item[other], score[other], null[other]
-                line = np.lexsort((ids[item], -np.where(np.isnan(score), np.inf, score), null, a))
-                a, item, score, null = a[line], item[line], score[line], null[line]
-                rank_by = np.where(np.isnan(score), np.inf, score)
-                first = first_rows(a, rank_by, null, k) if len(a) else np.zeros(0, bool)
-                if same:
-                    hit = np.flatnonzero((label[item] == asked[a]) & (label[item] != np.iinfo(np.int64).min))
-                    if len(hit):
-                        first[hit[first_rows(a[hit], rank_by[hit], null[hit], k)]] = True
-                found.append([a[first], item[first], score[first], null[first], item[first]])
-        a, item, score, null, _ = (np.concatenate(c) for c in zip(*found, strict=True))
+            q, v = _widened(q, v[order[start]])
+            wv, by_label, lead = wv[order[start]], label[order[start]], ids[order[start]]
+            parts = [(np.arange(len(q)), np.arange(len(v)))]
+            if same:
+                held = np.argsort(by_label, kind="stable")
+                ends = lambda x: (np.searchsorted(by_label[held], x), np.searchsorted(by_label[held], x, side="right"))
+                parts += [(np.flatnonzero(asked == x), held[slice(*ends(x))]) for x in np.intersect1d(asked[asked != none], by_label)]
+            for of, to in parts:
+                for a, b, score, null in _first_pairs(q, v, wq, wv, lead, of, to, k + 1):
+                    n = size[b]
+                    item = order[np.repeat(start[b], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                    a, score, null = np.repeat(a, n), np.repeat(score, n), np.repeat(null, n)
+                    other = ids[item] != asked_ids[a] if others else np.ones(len(a), bool)
+                    rows = _in_order(ids, a[other], item[other], score[other], null[other])
+                    first = _firsts(rows[0], *rows[2:], k)
+                    found.append([x[first] for x in rows])
+        a, item, score, null = (np.concatenate(c) for c in zip(*found, strict=True))
+        if len(a):
+            line = np.lexsort((item, a))  # a pair may come twice: as one of all items and as one of its label
+            line = line[np.r_[True, (a[line][1:] != a[line][:-1]) | (item[line][1:] != item[line][:-1])]]
+            a, item, score, null = _in_order(ids, a[line], item[line], score[line], null[line])
+            first = _firsts(a, score, null, k)
+            if same:
+                hit = np.flatnonzero((label[item] == asked[a]) & (label[item] != none))
+                first[hit[_firsts(a[hit], score[hit], null[hit], k)]] = True
+            a, item, score, null = a[first], item[first], score[first], null[first]
         columns = [queries.column("query").take(pa.array(a)), queries.column("asked").take(pa.array(a)), items.column("item").take(pa.array(item)), items.column("label").take(pa.array(item))]
         return pa.Table.from_arrays([*(c.cast(pa.int64()) for c in columns), pa.array(score, mask=null)], names=["query", "asked", "item", "label", "score"])
 
@@ -173,7 +276,7 @@ def best_products(queries: DataFrame, items: DataFrame, k: int, *, same: bool =
     rows = items if "label" in items.columns else items.withColumn("label", F.lit(None).cast("long"))
     left = asked.select(F.col("query").cast("long").alias("query"), F.col("asked").cast("long").alias("asked"), "v", *by)
     right = rows.select(F.col("item").cast("long").alias("item"), F.col("label").cast("long").alias("label"), "v", *by)
-    near = met(left, right, _best(k, same, others), BEST, by=by)
+    near = met(left, right, _best(k, same, others), BEST, by=by, items_block=STRIPE)
     if not same:
         return near.withColumn("rank", ranked("score")).where(F.col("rank") <= k)
     placed = near.withColumn("rank", ranked("score"))
@@ -219,7 +322,7 @@ def _before(queries: pa.Table, items: pa.Table) -> pa.Table:
             place[line] = np.cumsum(kind[line] == 1)
             sure, close = place[kind == 2], place[kind == 0]  # where the items of each target begin that are surely, maybe before it
             n, many = np.searchsorted(a, row, side="right") - sure, sure - close
-            for group in np.split(np.arange(len(t)), np.flatnonzero(np.diff(np.cumsum(many) // (16 * PAIRS))) + 1):
+            for group in np.split(np.arange(len(t)), np.flatnonzero(np.diff(np.cumsum(many) // CLOSE)) + 1):
                 g = np.repeat(group, many[group])
                 c = np.repeat(close[group] - np.cumsum(many[group]) + many[group], many[group]) + np.arange(len(g))
                 if len(c):

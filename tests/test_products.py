@@ -93,3 +93,61 @@ def test_blocks_without_predecessors_send_nothing():
             n = sum(i != q and (scores[q, i] > scores[q, t["item"]] or (scores[q, i] == scores[q, t["item"]] and i < t["item"])) for i in range(300))
             want.update({(q, t["item"]): n} if n else {})
     assert total == want and sent < 20 * 3 * 30
+
+
+def _tables(rows, asked):
+    import pyarrow as pa
+
+    v = pa.list_(pa.float64())
+    items = pa.table({"item": pa.array([r[0] for r in rows], pa.int64()), "label": pa.array([r[2] for r in rows], pa.int64()), "v": pa.array([r[1] for r in rows], v)})
+    queries = pa.table({"query": pa.array([r[0] for r in asked], pa.int64()), "asked": pa.array([r[2] for r in asked], pa.int64()), "v": pa.array([r[1] for r in asked], v)})
+    return queries, items
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_best_rows_of_a_block_of_odd_vectors(monkeypatch, same):
+    """Null, empty, short, endless and very long vectors, NaN, copies and ties, in tiles far smaller than the block."""
+    from tessera.operators import products
+
+    for name, n in (("STEP", 7), ("TILE", 16), ("CLOSE", 200), ("PAIRS", 32)):
+        monkeypatch.setattr(products, name, n, raising=False)
+    rng, k = random.Random(11), 4
+    odd = [None, [], [1.0], [float("nan"), 0.0, 1.0], [float("inf"), 1.0, 1.0], [float("-inf"), 1.0, 0.5], [1e200, 1.0, 0.0], [-1e18, 0.5, 1.0], [1e-42, 0.0, 1e-40]]
+    base = [*odd, *([rng.choice([-1.0, -0.5, 0.0, 0.5, 1.0]) for _ in range(3)] for _ in range(60))]
+    rows = [(i, rng.choice(base) if i > 8 else odd[i], rng.choice([0, 1, 2, None])) for i in range(500)]
+    asked = [r for r in rows if r[0] < 9 or r[0] % 10 == 0]
+    found = {}
+    for r in products._best(k, same, True)(*_tables(rows, asked)).to_pylist():
+        assert r["query"] not in found or r["item"] not in found[r["query"]]
+        found.setdefault(r["query"], {})[r["item"]] = r["score"]
+    for q, a, label in asked:
+        line = []
+        for i, b, kind in rows:
+            s = None if a is None or b is None or len(a) != len(b) else sum((x * y for x, y in zip(a, b, strict=True)), 0.0)
+            nan = s is not None and s != s
+            line.append(((s is None, not nan, 0.0 if s is None or nan else -s, i), i, kind, s))
+        line = [r[1:] for r in sorted(line, key=lambda r: r[0]) if r[1] != q]
+        want = line[:k] + ([r for r in line if label is not None and r[1] == label][:k] if same else [])
+        for i, _, s in want:
+            assert i in found[q] and (found[q][i] == s or (s is not None and s != s and found[q][i] != found[q][i]))
+
+
+def test_scores_of_a_wide_block_are_never_in_memory_together():
+    """A block may hold any number of items: it is worked through in tiles and sends ``k`` rows a query, so blocks can be few."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.operators import products
+
+    v = np.random.default_rng(2).normal(size=(40_000, 2))
+    items = pa.table({"item": pa.array(range(40_000), pa.int64()), "label": pa.array([0] * 40_000, pa.int64()), "v": pa.array(list(v))})
+    queries = pa.table({"query": pa.array(range(256), pa.int64()), "asked": pa.array([0] * 256, pa.int64()), "v": pa.array(list(v[:256]))})
+    tracemalloc.start()
+    try:
+        rows = products._best(3, False, True)(queries, items)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows.num_rows == 256 * 3 and peak < 256 * 40_000 * 4
