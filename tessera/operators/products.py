@@ -141,6 +141,11 @@ def _under(score: np.ndarray, slack: np.ndarray) -> np.ndarray:
         return np.fmax(score - slack, -np.inf)
 
 
+def _lowered(least: np.ndarray, kind: type) -> np.ndarray:
+    """``least`` in the kind of the fast scores, never above it."""
+    return least if kind is np.float64 else np.nextafter(least.astype(np.float32), np.float32(-np.inf))
+
+
 def _reaching(s: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places (row, column) of the scores that reach the least of their row."""
     rows = np.flatnonzero(s.max(axis=1, initial=-np.inf) >= least)
@@ -172,7 +177,7 @@ def _first_pairs(q: np.ndarray, v: np.ndarray, wq: np.ndarray, wv: np.ndarray, i
                 for at, s in _tiles(q[line], fast, kind):
                     if at == 0:
                         least = _under(_kth(s, k), by)
-                    x, y = _reaching(s, least.astype(kind) if kind is np.float64 else np.nextafter(least.astype(kind), np.float32(-np.inf)))
+                    x, y = _reaching(s, _lowered(least, kind))
                     new.append((x, y + at))
                     waits += len(x)
                     if at >= due or waits > CLOSE or at + TILE >= len(rows):
@@ -294,48 +299,68 @@ def _order():
 def _before(queries: pa.Table, items: pa.Table) -> pa.Table:
     """How many items of the block stand before each target (score, item) of a query, where any does.
 
-    Only items that reach a query's lowest target are looked at: one sort of
-    those and of all targets counts who is surely before, those too close to
-    tell are scored exactly.
+    Only items that reach a query's lowest target are looked at, tile by tile:
+    one sort of those and of all targets counts who is surely before, those too
+    close to tell are scored exactly.
     """
-    found = [[np.empty(0, np.int64)] * 3]
+    ids, asked_ids, targets = _ids(items, "item"), _ids(queries, "query"), queries.column("targets").combine_chunks()
+    of = np.repeat(np.arange(len(targets)), targets.value_lengths().to_numpy(zero_copy_only=False))
+    score, item = targets.flatten().flatten()
+    none, key, item = np.asarray(score.is_null()), score.fill_null(0.0).to_numpy(zero_copy_only=False), item.to_numpy(zero_copy_only=False)
+    n = np.zeros(len(of), np.int64)
     if queries.num_rows and items.num_rows:
-        ids, asked_ids, targets = _ids(items, "item"), _ids(queries, "query"), queries.column("targets").combine_chunks()
-        of = np.repeat(np.arange(len(targets)), targets.value_lengths().to_numpy(zero_copy_only=False))
-        score, item = targets.flatten().flatten()
-        none, key, item = np.asarray(score.is_null()), score.fill_null(0.0).to_numpy(zero_copy_only=False), item.to_numpy(zero_copy_only=False)
-        key = np.where(np.isnan(key), np.inf, key)
-        own = _nine(key) if len(key) else key
-        for at, q, v, wq, wv, s in _steps(queries, items):
-            slack, mine = _slack(q, v), np.flatnonzero((of >= at[0]) & (of <= at[-1]))
-            t = mine[~none[mine]]
-            row, low = of[t] - at[0], np.full(len(at), np.inf)
-            np.minimum.at(low, row, key[t])
-            a, b = np.nonzero(s >= (low - slack)[:, None])
-            fit = (wq[a] == wv[b]) & (wq[a] >= 0) & (ids[b] != asked_ids[at][a])
-            a, b = a[fit], b[fit]
-            line = np.lexsort((s[a, b], a))
-            a, b = a[line], b[line]
-            kind = np.repeat([1, 2, 0], [len(a), len(t), len(t)])
-            line = np.lexsort((kind, np.r_[s[a, b], key[t] + slack, key[t] - slack], np.r_[a, row, row]))
-            place = np.empty(len(line), np.int64)
-            place[line] = np.cumsum(kind[line] == 1)
-            sure, close = place[kind == 2], place[kind == 0]  # where the items of each target begin that are surely, maybe before it
-            n, many = np.searchsorted(a, row, side="right") - sure, sure - close
-            for group in np.split(np.arange(len(t)), np.flatnonzero(np.diff(np.cumsum(many) // CLOSE)) + 1):
-                g = np.repeat(group, many[group])
-                c = np.repeat(close[group] - np.cumsum(many[group]) + many[group], many[group]) + np.arange(len(g))
-                if len(c):
-                    x = _exact(q, v, a[c], b[c])
-                    r, base = _nine(np.where(np.isnan(x), np.inf, x)), own[t][g]
-                    n += np.bincount(g[(r > base) | ((r == base) & (ids[b[c]] < item[t][g]))], minlength=len(t))
-            found.append([asked_ids[of[t]][n > 0], item[t][n > 0], n[n > 0]])
-            for j in mine[none[mine]].tolist():
-                i = of[j] - at[0]
-                fits = (wq[i] == wv) & (wq[i] >= 0)
-                before = int(((ids != asked_ids[of[j]]) & (fits | (ids < item[j]))).sum())
-                found.append([asked_ids[of[[j]]], item[[j]], np.array([before])])
-    return pa.table({c: pa.array(np.concatenate(x), pa.int64()) for c, x in zip(("query", "item", "n"), zip(*found, strict=True), strict=True)})
+        (q, wq), (v, wv) = _vectors(queries), _vectors(items)
+        q, v = _widened(q, v)
+        for width in np.unique(wq[wq >= 0]):
+            for asked, rows, kind, slack in _halves(q, v, np.flatnonzero(wq == width), np.flatnonzero(wv == width)):
+                fast, mine = v[rows].astype(kind), ids[rows]
+                for step in range(0, len(asked), STEP):
+                    line, by = asked[step : step + STEP], slack[step : step + STEP]
+                    at_row = np.full(len(q), -1)
+                    at_row[line] = np.arange(len(line))
+                    t = np.flatnonzero((at_row[of] >= 0) & ~none)
+                    row, low = at_row[of[t]], np.full(len(line), np.inf)
+                    np.minimum.at(low, row, np.where(np.isnan(key[t]), np.inf, key[t]))
+                    found, waits = [], 0
+                    for at, scores in _tiles(q[line], fast, kind):
+                        a, b = _reaching(scores, _lowered(_under(low, by), kind))
+                        other = mine[at + b] != asked_ids[line[a]]
+                        a, b = a[other], b[other]
+                        found.append((a, at + b, scores[a, b].astype(np.float64)))
+                        waits += len(a)
+                        if waits > CLOSE or at + TILE >= len(rows):
+                            a, b, s = (np.concatenate(c) for c in zip(*found, strict=True))
+                            n[t] += _passed(a, s, row, key[t], by[row], item[t], lambda a, b, line=line, rows=rows: _exact(q, v, line[a], rows[b]), b, mine)
+                            found, waits = [], 0
+        for j in np.flatnonzero(none).tolist():
+            fits = (wq[of[j]] == wv) & (wq[of[j]] >= 0)
+            n[j] = int(((ids != asked_ids[of[j]]) & (fits | (ids < item[j]))).sum())
+    some = n > 0
+    return pa.table({"query": pa.array(asked_ids[of[some]], pa.int64()), "item": pa.array(item[some], pa.int64()), "n": pa.array(n[some], pa.int64())})
+
+
+def _passed(a: np.ndarray, s: np.ndarray, row: np.ndarray, key: np.ndarray, slack: np.ndarray, item: np.ndarray, exact: Callable, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each target (row, key, item), how many of the items ``b`` of its row stand before it: fast scores ``s``, exact ones only where those are too close."""
+    line = np.lexsort((s, a))
+    a, b, s = a[line], b[line], s[line]
+    nan, high = np.isnan(key), np.where(np.isnan(key), np.inf, key)
+    kind = np.repeat([1, 2, 0], [len(a), len(row), len(row)])
+    line = np.lexsort((kind, np.r_[s, -_under(-high, slack), _under(high, slack)], np.r_[a, row, row]))
+    place = np.empty(len(line), np.int64)
+    place[line] = np.cumsum(kind[line] == 1)
+    sure, close = place[kind == 2], place[kind == 0]  # where the items of each target begin that are surely, maybe before it
+    n, many = np.searchsorted(a, row, side="right") - sure, sure - close
+    own = np.zeros(len(row))
+    own[many > 0] = _nine(high[many > 0])
+    for group in np.split(np.arange(len(row)), np.flatnonzero(np.diff(np.cumsum(many) // CLOSE)) + 1):
+        g = np.repeat(group, many[group])
+        c = np.repeat(close[group] - np.cumsum(many[group]) + many[group], many[group]) + np.arange(len(g))
+        if len(c):
+            x = exact(a[c], b[c])
+            r, over = _nine(np.where(np.isnan(x), np.inf, x)), np.isnan(x)
+            before = (over & ~nan[g]) | ((over == nan[g]) & ((r > own[g]) | ((r == own[g]) & (ids[b[c]] < item[g]))))
+            n += np.bincount(g[before], minlength=len(row))
+    return n
 
 
 def same_ranks(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
@@ -346,7 +371,7 @@ def same_ranks(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
         return best
     targets = far.groupBy("query").agg(F.collect_list(F.struct("score", "item")).alias("targets"))
     left = queries.select(F.col("query").cast("long").alias("query"), "v").join(targets, "query")
-    counted = met(left.select("query", "v", "targets"), items.select(F.col("item").cast("long").alias("item"), "v"), _before, "query long, item long, n long")
+    counted = met(left.select("query", "v", "targets"), items.select(F.col("item").cast("long").alias("item"), "v"), _before, "query long, item long, n long", items_block=STRIPE)
     places = counted.groupBy("query", "item").agg((F.sum("n") + 1).alias("_place"))
     return best.join(places, ["query", "item"], "left").withColumn("rank", F.coalesce(F.col("rank").cast("long"), "_place")).drop("_place")
 

@@ -104,29 +104,39 @@ def _tables(rows, asked):
     return queries, items
 
 
-@pytest.mark.parametrize("same", [False, True])
-def test_best_rows_of_a_block_of_odd_vectors(monkeypatch, same):
-    """Null, empty, short, endless and very long vectors, NaN, copies and ties, in tiles far smaller than the block."""
+def _odd(monkeypatch):
+    """Null, empty, short, endless and very long vectors, NaN, copies and ties, in tiles far smaller than the block; each query's items in order."""
     from tessera.operators import products
 
     for name, n in (("STEP", 7), ("TILE", 16), ("CLOSE", 200), ("PAIRS", 32)):
         monkeypatch.setattr(products, name, n, raising=False)
-    rng, k = random.Random(11), 4
+    rng = random.Random(11)
     odd = [None, [], [1.0], [float("nan"), 0.0, 1.0], [float("inf"), 1.0, 1.0], [float("-inf"), 1.0, 0.5], [1e200, 1.0, 0.0], [-1e18, 0.5, 1.0], [1e-42, 0.0, 1e-40]]
     base = [*odd, *([rng.choice([-1.0, -0.5, 0.0, 0.5, 1.0]) for _ in range(3)] for _ in range(60))]
     rows = [(i, rng.choice(base) if i > 8 else odd[i], rng.choice([0, 1, 2, None])) for i in range(500)]
     asked = [r for r in rows if r[0] < 9 or r[0] % 10 == 0]
-    found = {}
-    for r in products._best(k, same, True)(*_tables(rows, asked)).to_pylist():
-        assert r["query"] not in found or r["item"] not in found[r["query"]]
-        found.setdefault(r["query"], {})[r["item"]] = r["score"]
-    for q, a, label in asked:
+    lines = {}
+    for q, a, _ in asked:
         line = []
         for i, b, kind in rows:
             s = None if a is None or b is None or len(a) != len(b) else sum((x * y for x, y in zip(a, b, strict=True)), 0.0)
             nan = s is not None and s != s
-            line.append(((s is None, not nan, 0.0 if s is None or nan else -s, i), i, kind, s))
-        line = [r[1:] for r in sorted(line, key=lambda r: r[0]) if r[1] != q]
+            line.append(((s is None, not nan, 0.0 if s is None or nan else -round(s, 9), i), i, kind, s))
+        lines[q] = [r[1:] for r in sorted(line, key=lambda r: r[0]) if r[1] != q]
+    return rows, asked, lines
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_best_rows_of_a_block_of_odd_vectors(monkeypatch, same):
+    from tessera.operators import products
+
+    rows, asked, lines = _odd(monkeypatch)
+    found, k = {}, 4
+    for r in products._best(k, same, True)(*_tables(rows, asked)).to_pylist():
+        assert r["query"] not in found or r["item"] not in found[r["query"]]
+        found.setdefault(r["query"], {})[r["item"]] = r["score"]
+    for q, _, label in asked:
+        line = lines[q]
         want = line[:k] + ([r for r in line if label is not None and r[1] == label][:k] if same else [])
         for i, _, s in want:
             assert i in found[q] and (found[q][i] == s or (s is not None and s != s and found[q][i] != found[q][i]))
@@ -151,3 +161,33 @@ def test_scores_of_a_wide_block_are_never_in_memory_together():
     finally:
         tracemalloc.stop()
     assert rows.num_rows == 256 * 3 and peak < 256 * 40_000 * 4
+
+
+def test_predecessors_in_a_block_of_odd_vectors(monkeypatch):
+    import pyarrow as pa
+
+    from tessera.operators import products
+
+    rows, asked, lines = _odd(monkeypatch)
+    queries, items = _tables(rows, asked)
+    kind = pa.list_(pa.struct([("score", pa.float64()), ("item", pa.int64())]))
+    targets = [[{"score": s, "item": i} for i, _, s in lines[q][::9]] for q, *_ in asked]
+    got = {(r["query"], r["item"]): r["n"] for r in products._before(queries.append_column("targets", pa.array(targets, kind)), items.drop_columns("label")).to_pylist()}
+    assert got == {(q, i): n for q, line in lines.items() for n, (i, *_) in list(enumerate(line))[9::9]}
+
+
+def test_only_targets_with_close_items_are_rounded(monkeypatch):
+    """Rounding a score is dear: a block must not do it for every target, as each query's targets go to each block of items."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.operators import products
+
+    rounded = []
+    monkeypatch.setattr(products, "_nine", lambda x, real=products._nine: rounded.append(len(x)) or real(x))
+    v = np.random.default_rng(3).normal(size=(300, 4))
+    kind = pa.list_(pa.struct([("score", pa.float64()), ("item", pa.int64())]))
+    asked = [[{"score": -1000.0 + j, "item": 1000 + j} for j in range(30)] for _ in range(20)]
+    queries = pa.table({"query": pa.array(range(20), pa.int64()), "v": pa.array(v[:20].tolist()), "targets": pa.array(asked, kind)})
+    out = products._before(queries, pa.table({"item": pa.array(range(300), pa.int64()), "v": pa.array(v.tolist())}))
+    assert out.num_rows == 600 and set(out.column("n").to_pylist()) == {299} and sum(rounded) == 0
