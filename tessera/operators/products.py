@@ -380,16 +380,23 @@ def near_products(queries: DataFrame, items: DataFrame) -> DataFrame:
     """``(query, item, score)`` of all other items (item, v) whose score reaches the ``cut`` of its query (query, v, cut)."""
 
     def work(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        parts = []
+        parts = [_pairs_table([], [], [])]
         if asked.num_rows and rows.num_rows:
-            ids, asked_ids, least = _ids(rows, "item"), _ids(asked, "query"), asked.column("cut").to_numpy()
-            for at, q, v, wq, wv, s in _steps(asked, rows):
-                a, b = np.nonzero((s >= (least[at] - _slack(q, v))[:, None]) & (ids[None, :] != asked_ids[at][:, None]))
-                x = _exact(q, v, a, b)
-                keep = ((x >= least[at][a]) | np.isnan(x)) & (wq[a] == wv[b]) & (wq[a] >= 0)
-                parts.append(pa.table({"query": asked_ids[at][a[keep]], "item": ids[b[keep]], "score": x[keep]}))
-        empty = pa.table({"query": pa.array([], pa.int64()), "item": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        return pa.concat_tables([empty, *parts])
+            ids, asked_ids, cut = _ids(rows, "item"), _ids(asked, "query"), asked.column("cut").to_numpy()
+            (q, wq), (v, wv) = _vectors(asked), _vectors(rows)
+            q, v = _widened(q, v)
+            for width in np.unique(wq[wq >= 0]):
+                for of, to, kind, slack in _halves(q, v, np.flatnonzero(wq == width), np.flatnonzero(wv == width)):
+                    fast = v[to].astype(kind)
+                    for step in range(0, len(of), STEP):
+                        line, by = of[step : step + STEP], slack[step : step + STEP]
+                        for at, s in _tiles(q[line], fast, kind):
+                            a, b = _reaching(s, _lowered(_under(cut[line], by), kind))
+                            a, b = line[a], to[at + b]
+                            x = _exact(q, v, a, b)
+                            keep = ((x >= cut[a]) | np.isnan(x)) & (ids[b] != asked_ids[a])
+                            parts.append(_pairs_table(asked_ids[a[keep]], ids[b[keep]], x[keep]))
+        return pa.concat_tables(parts)
 
     left = queries.where("cut is not null").select(F.col("query").cast("long").alias("query"), "v", F.col("cut").cast("double").alias("cut"))
     return met(left, items.where("item is not null").select(F.col("item").cast("long").alias("item"), "v"), work, "query long, item long, score double", queries_block=1_024)

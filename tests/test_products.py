@@ -191,3 +191,18 @@ def test_only_targets_with_close_items_are_rounded(monkeypatch):
     queries = pa.table({"query": pa.array(range(20), pa.int64()), "v": pa.array(v[:20].tolist()), "targets": pa.array(asked, kind)})
     out = products._before(queries, pa.table({"item": pa.array(range(300), pa.int64()), "v": pa.array(v.tolist())}))
     assert out.num_rows == 600 and set(out.column("n").to_pylist()) == {299} and sum(rounded) == 0
+
+
+def test_rows_that_reach_a_cut_that_is_no_number(spark):
+    """NaN reaches NaN, as in SQL; a finite cut is reached by NaN, infinity and what is large enough."""
+    from tessera.operators import products
+
+    nan, inf = float("nan"), float("inf")
+    base = [[nan, 1.0], [inf, 1.0], [1.0, 0.5], [0.25, 0.0], [-1.0, 0.0], None, [1.0]]
+    items = spark.createDataFrame([(i, base[i % 7]) for i in range(70)], "item long, v array<float>")
+    queries = spark.createDataFrame([(1000, [1.0, 1.0], nan), (1001, [1.0, 1.0], inf), (1002, [1.0, 1.0], 0.25), (1003, [nan, 1.0], nan), (30, [1.0, 1.0], 1.5), (1004, None, 0.0)], "query long, v array<float>, cut double")
+    got = {}
+    for r in products.near_products(queries, items).collect():
+        got.setdefault(r["query"], []).append(r["item"])
+    kinds = {1000: {0}, 1001: {0, 1}, 1002: {0, 1, 2, 3}, 1003: {0, 1, 2, 3, 4}, 30: {0, 1, 2}}
+    assert {q: sorted(x) for q, x in got.items()} == {q: [i for i in range(70) if i % 7 in kind and i != q] for q, kind in kinds.items()}
