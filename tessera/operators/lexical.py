@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import token_count, tokens
+from tessera.functions.text import computed_once, token_count, tokens
+from tessera.sources.tables import small
 from tessera.sources.workspace import materialize
 
 
@@ -49,18 +50,24 @@ def bm25(queries: DataFrame, items: DataFrame, *, query_id: str, query_col: str,
 def weighted_postings(
     queries: DataFrame, items: DataFrame, *, query_id: str, query_col: str, id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75
 ) -> tuple[DataFrame, DataFrame]:
-    """``(query, token, boost)`` and ``(item, token, w)``, written once: ``bm25`` is the sum of boost times w over the common tokens."""
+    """``(query, token, boost)`` and ``(item, token, w)``: ``bm25`` is the sum of boost times w over the common tokens.
+
+    Texts are split once: the empty token, which no text has, stands for the
+    item itself and its length. What is counted is written, weights are read off it.
+    """
     asked = queries.select(F.col(query_id).alias("query"), F.explode(tokens(F.coalesce(query_col, F.lit("")))).alias("token"))
     asked = asked.groupBy("query", "token").agg(F.count(F.lit(1)).alias("qf"))
-    listed = items.select(F.col(id_col).alias("item"), tokens(F.coalesce(text_col, F.lit(""))).alias("ts"))
-    hits = listed.select("item", F.size("ts").alias("dl"), F.explode("ts").alias("token")).join(asked.select("token").distinct(), "token")
-    scale = F.broadcast(corpus_size(items, text_col))  # one row
+    listed = items.select(F.col(id_col).alias("item"), computed_once(tokens(F.coalesce(text_col, F.lit("")))).alias("ts"))
+    wanted = asked.select("token").distinct().unionByName(queries.sparkSession.createDataFrame([("",)], "token string"))
+    hits = listed.select("item", F.size("ts").alias("dl"), F.explode(F.concat("ts", F.array(F.lit("")))).alias("token")).join(small(wanted), "token")
+    hits = materialize(hits.groupBy("item", "dl", "token").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    scale = hits.where("token = ''").agg(F.sum("tf").alias("n_items"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("avg_dl"))
+    scale, hits = F.broadcast(materialize(scale, "scale")), hits.where("token <> ''")  # one row
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest("avg_dl", F.lit(1e-12))))
-    hits = hits.groupBy("item", "dl", "token").agg(F.count(F.lit(1)).alias("tf")).crossJoin(scale).select("item", "token", part.alias("w"))
-    hits = materialize(hits, "postings")
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n_items") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return materialize(asked.join(df, "token").crossJoin(scale).select("query", "token", (idf * (1 + F.log("qf"))).alias("boost")), "asked"), hits
+    asked = materialize(asked.join(df, "token").crossJoin(scale).select("query", "token", (idf * (1 + F.log("qf"))).alias("boost")), "asked")
+    return asked, hits.crossJoin(scale).select("item", "token", part.alias("w"))
 
 
 def bm25_best(

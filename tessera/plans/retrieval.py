@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.numbers import cosine, dot, l2_normalized
 from tessera.functions.text import excerpt, sparse_weight, token_count, tokens
-from tessera.operators import blended, corpus, fusion, lexical, products, vectors
+from tessera.operators import blended, corpus, fusion, grids, lexical, products, vectors
 from tessera.operators.splits import top_per_group
 from tessera.plans.registry import register
 from tessera.sources.tables import small, table
@@ -34,6 +34,13 @@ def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _words(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What ``_bm25`` sums, by token."""
+    return lexical.weighted_postings(
+        table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), query_id="item_id", query_col="text", id_col="doc_id", text_col="text"
+    )
+
+
 @register(f"""
 WITH {BM25_CTE},
   ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, item) AS rank FROM bm25)
@@ -246,10 +253,7 @@ def q10_query_aware_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("route"), text=F.lit(on.get("t", 0.0)), visual=F.lit(on.get("v", 0.0)), lexical=F.lit(on.get("b", 0.0)), metadata=F.lit(on.get("t", 0.0)), fallback=F.lit(on.get("v", 0.0)), sparse=F.col("w")
     )
     weights = asked.select("query", one(t=1.0).alias("ct"), one(v=1.0).alias("cv"), one(b=1.0).alias("cb"))
-    words = lexical.weighted_postings(
-        table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), query_id="item_id", query_col="text", id_col="doc_id", text_col="text"
-    )
-    best = lexical.top_k(blended.blended_best(*words, weights, fixed, 10), 10).join(asked.select("query", "route"), "query")
+    best = lexical.top_k(blended.blended_best(*_words(spark, sf_dir), weights, fixed, 10), 10).join(asked.select("query", "route"), "query")
     return best.select("query", "item", "route", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
@@ -265,13 +269,7 @@ def q11_rank_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir)
     for score, out in (("prior", "pp"), ("visual", "pv")):  # once, not for every query
         items = fusion.percentiles(items, score, out=out)
-    grid = fusion.full_grid(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query")), items, _bm25(spark, sf_dir), 0.0)
-    rows = fusion.percentiles(grid, "score", by=("query",), out="pl").join(items.select("item", "pp", "pv"), "item")
-    low, mean = F.least("pp", "pv"), (F.col("pp") + F.col("pv")) / 2
-    return rows.select(
-        "query", "item", F.round("pl", 6).alias("full_percentile"), F.round(low, 6).alias("min_percentile"), F.round(mean, 6).alias("mean_percentile"),
-        F.round(0.25 * F.col("pl") + 0.75 * low, 6).alias("blend_min"), F.round(0.25 * F.col("pl") + 0.75 * mean, 6).alias("blend_mean"),
-    )
+    return grids.percentile_grid(*_words(spark, sf_dir), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query")), items.select("item", "pp", "pv"))
 
 
 @register("""
