@@ -207,22 +207,14 @@ SELECT query, item, round(least(greatest(0.6 * confidence, 0), 1) * t + (1 - lea
 def q09_quality_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Confidence-adaptive and quality-weighted fusion of every (query, document)."""
     asked, items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query")), _items(spark, sf_dir)
-    hits = materialize(_bm25(spark, sf_dir), "scores")
-    share = lambda ranks, out: ranks.select(*(c for c in ("query", "item") if c in ranks.columns), (F.lit(1.0) / (60 + F.col("rank"))).alias(out))
-    # What does not depend on a query is worked out once an item; of the lexical branch only hits are stored, other items have 0.
-    ends = items.agg(F.count(F.lit(1)).alias("n_items"), F.min("visual").alias("low"), F.max("visual").alias("high"))
+    share = lambda ranks, out: ranks.select("item", (F.lit(1.0) / (60 + F.col("rank"))).alias(out))
+    # What does not depend on a query is worked out once an item.
+    ends = items.agg(F.min("visual").alias("low"), F.max("visual").alias("high"))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item"), F.col("quality").cast("double").alias("confidence"))
     fixed = items.crossJoin(F.broadcast(ends)).withColumn("v", (F.col("visual") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-8))).join(labels, "item", "left")
     for score, out in (("prior", "cp"), ("visual", "cv")):
         fixed = fixed.join(F.broadcast(share(fusion.first_items(items, score, 60), out)), "item", "left")  # sixty rows
-    rows = fixed.select("item", "v", "confidence", "cp", "cv").join(small(asked.distinct()))
-    rows = rows.join(fusion.scaled_hits(hits, ends.select("n_items")).withColumnRenamed("scaled", "t"), ["query", "item"], "left")
-    rows = rows.join(share(lexical.top_k(hits.where("score > 0"), 60), "cl"), ["query", "item"], "left").na.fill(0.0, ["t", "cl", "cp", "cv", "confidence"])
-    c = F.col("confidence")
-    return rows.select(
-        "query", "item", F.round(fusion.adaptive(F.col("t"), F.col("v"), c), 6).alias("adaptive"),
-        F.round(fusion.quality_rrf(F.col("cp"), F.col("cl"), F.col("cv"), c), 6).alias("quality_rrf"),
-    )
+    return grids.quality_grid(*_words(spark, sf_dir), asked, fixed.na.fill(0.0, ["cp", "cv", "confidence"]))
 
 
 @register(f"""
